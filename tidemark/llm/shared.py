@@ -62,3 +62,14 @@ def words(text: Column) -> Column:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, from the files' sizes; no job is run."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def worker_cache(key: str, make):
+    """What make() returned for this key in this Python process; functions pickled by value have no other memory between tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("tidemark_worker_cache", types.ModuleType("tidemark_worker_cache"))
+    if key not in kept.__dict__:
+        setattr(kept, key, make())
+    return kept.__dict__[key]
