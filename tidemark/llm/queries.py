@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, quality, simhash
+from tidemark.llm import bpe, mixing, quality, simhash, tokenbin
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,8 +36,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.written(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+QUERIES = {"op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
