@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, quality, simhash, tokenbin
+from tidemark.llm import bpe, editfp, licenses, mixing, quality, simhash, tokenbin, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_editfp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editfp.with_edits(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "epochs", "copies")
@@ -36,6 +40,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    at = F.col("licenses.places.at")
+    base = F.array_sort(F.array_distinct(F.col("licenses.places.label")))
+    found = F.col("licenses.found.label")
+    best = F.coalesce(F.array_max(F.col("licenses.found.score")), F.lit(0.0))
+    return scanned.select(
+        "doc_id",
+        F.col("licenses.n_words").alias("n_words"),
+        F.size(at).cast("long").alias("n_base"),
+        F.array_min(at).cast("long").alias("first_word"),
+        F.array_max(at).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, found)), ",").alias("labels"),
+        F.when(F.size(at) > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
+
+
 def op8_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.written(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -44,4 +66,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+# The rules that the query applies.
+URL_RULES = (
+    urls.UrlRule("block", "net"),
+    urls.UrlRule("allow", "example.net", "/en/"),
+    urls.UrlRule("block", "example.com", "/de/"),
+    urls.UrlRule("allow", "org", "/fr/"),
+)
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {"op4_editfp": op4_editfp, "op7_licenses": op7_licenses, "op10_urls": op10_urls, "op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
