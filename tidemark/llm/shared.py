@@ -59,11 +59,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from the files' sizes; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def worker_cache(key: str, make):
     """What make() returned for this key in this Python process; functions pickled by value have no other memory between tasks."""
     import sys
