@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, editfp, licenses, mixing, quality, simhash, suffix, tokenbin, urls
+from tidemark.llm import bpe, editfp, licenses, lm, mixing, quality, simhash, suffix, tokenbin, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(_read(spark, sf_dir, "documents"), length=50)
 
@@ -83,4 +87,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {"op2_suffix": op2_suffix, "op4_editfp": op4_editfp, "op7_licenses": op7_licenses, "op10_urls": op10_urls, "op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+QUERIES = {"op1_lm": op1_lm, "op2_suffix": op2_suffix, "op4_editfp": op4_editfp, "op7_licenses": op7_licenses, "op10_urls": op10_urls, "op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
