@@ -11,8 +11,7 @@ place in the order without sorting a source in one task, sources are cut into ha
 first; only within a range are documents ordered. A hot source spreads over all ranges.
 
 Null sources form a group of their own, ordered last; null texts have size 0. A document of size 0 is never
-taken. Repeated rows share an id, get places of their own by their number in the range, and each counts.
-An empty table gives an empty result. A source of size 0 gets the target 0, and when every source is clamped
+taken. Equal rows stand at one place in the order, so all or none of them are taken once more; each counts. An empty table gives an empty result. A source of size 0 gets the target 0, and when every source is clamped
 the mix is as large as the caps allow. Other columns of the input are not looked at.
 """
 
@@ -58,18 +57,11 @@ def mix(
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     seed: int = 42,
     ranges: int = 1024,
-    carry: bool = False,
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, epochs, copies (how often the mix takes it).
-
-    carry keeps the document itself in a struct column `row`; without it no text is shuffled.
-    """
+    """One row a document: doc_id, source, size, source_size, target, epochs, copies (how often the mix takes it), place (its hash). No text is shuffled."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    place = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
-    kept = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
-    sized = df.select(
-        F.col(id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), place.alias("place"), F.pmod(place, F.lit(ranges)).alias("range"), *kept
-    )
+    place = _place(seed, id, text)
+    sized = df.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), place.alias("place"), F.pmod(place, F.lit(ranges)).alias("range"))
     slots = sized.groupBy("source", "range").agg(F.sum("size").alias("slot_size"))
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     targets = water_fill(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), share, max_epochs, weights)
@@ -84,13 +76,15 @@ def mix(
     slots = slots.withColumn("edge", ~(full | none)).withColumn("more", F.when(full, 1).otherwise(0))
     columns = ["source_size", "target", "epochs", "whole", "extra", "slot_start", "edge", "more"]
     joined = _same(sized, slots.select("source", "range", *columns), ["source", "range"])
-    in_slot = Window.partitionBy("source", "range").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = joined.filter(~F.col("edge")).withColumn("copies", F.col("whole") + F.col("more"))
     edge = joined.filter(F.col("edge"))
-    start = F.col("slot_start") + F.coalesce(F.sum("size").over(in_slot), F.lit(0))
+    # equal rows stand at one place and share their fate
+    up_to_here = F.sum("size").over(Window.partitionBy("source", "range").orderBy("place", "doc_id"))
+    equals = F.sum("size").over(Window.partitionBy("source", "range", "place", "doc_id"))
+    edge = edge.withColumn("equals", equals).withColumn("start", F.col("slot_start") + up_to_here - F.col("equals"))
     # the document on the border is taken when more than half of it is still missing
-    edge = edge.withColumn("start", start).withColumn("copies", F.col("whole") + F.when(F.col("start") + F.col("size") / 2 < F.col("extra"), 1).otherwise(0))
-    out = ["doc_id", "source", "size", "source_size", "target", "epochs", "copies", *(["row"] if carry else [])]
+    edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("start") + F.col("equals") / 2 < F.col("extra"), 1).otherwise(0))
+    out = ["doc_id", "source", "size", "source_size", "target", "epochs", "copies", "place"]
     return inside.select(out).unionByName(edge.select(out))
 
 
@@ -103,7 +97,13 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.alias("l").join(right.alias("r"), on).select(*[F.col(f"l.{c}") for c in left.columns], *others)
 
 
-def repeated(df: DataFrame, **options) -> DataFrame:
+def _place(seed: int, id: str, text: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id), F.col(text))
+
+
+def repeated(df: DataFrame, *, id: str = "doc_id", text: str = "text", seed: int = 42, **options) -> DataFrame:
     """The mix itself: each document as often as mix() says, with df's own columns."""
-    taken = mix(df, carry=True, **options).filter("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("row.*")
+    taken = mix(df, id=id, text=text, seed=seed, **options).filter("copies > 0").select("doc_id", "place", "copies").distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id).alias("doc_id"), _place(seed, id, text).alias("place"))
+    joined = _same(rows, taken, ["doc_id", "place"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy")).select("row.*")

@@ -135,4 +135,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", in
 
 def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with df's own columns."""
-    return judge(df, rules, text, "__quality").filter(F.size("__quality_failed") == 0).drop("__quality", "__quality_failed")
+    judged = judge(df, rules, text, "__quality")
+    # a filter is pushed below deterministic projections, where each use of an array would work it out anew
+    stays = judged.withColumn("__part", F.spark_partition_id())
+    return stays.filter((F.size("__quality_failed") == 0) & (F.col("__part") >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -142,3 +142,123 @@ def near_duplicates(
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select(F.col("fp").alias("node_fp"), "component_id")
     return docs.join(named, docs["fp"] == named["node_fp"], "left").select("doc_id", "fp", "component_id")
+
+
+#: Slots of the sketch by which similarity is verified, and independent 64-bit parts of the candidates' fingerprint.
+SKETCH, PARTS = 256, 6
+
+
+def word_prints(text: str | None, width: int = 5) -> tuple[int, list[int], bytes]:
+    """(hash of the word sequence, PARTS fingerprints over distinct words weighted by length, min-hash sketch of the word shingles)."""
+    import numpy as np
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    whole = b" ".join(words)
+    name = _signed(xxh64_intdigest(whole, 1))
+    if not words:
+        return name, [0] * PARTS, bytes(SKETCH)
+    distinct = list(dict.fromkeys(words))
+    digests = b"".join([xxh3_128_digest(w, seed) for w in distinct for seed in range(PARTS // 2)])
+    weight = np.array([len(w) for w in distinct], np.int32)
+    total = np.zeros(64 * PARTS, np.int64)
+    for k in range(0, len(distinct), 1 << 12):
+        part = np.frombuffer(digests[8 * PARTS * k : 8 * PARTS * (k + (1 << 12))], np.uint8).reshape(-1, 8 * PARTS)
+        total += (np.unpackbits(part, axis=1, bitorder="little") * weight[k : k + (1 << 12), None]).sum(axis=0)
+    prints = np.packbits(2 * total > weight.sum(), bitorder="little").view("<i8").tolist()
+    if len(words) <= width:
+        hashes = [xxh64_intdigest(whole, 3)]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = [0, *(ends[: len(words) - width] + 1).tolist()]
+        hashes = [xxh64_intdigest(whole[a:b], 3) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+    # the smallest hash of each slot; a slot keeps a byte of it, 0 if nothing fell into it
+    h = np.unique(np.array(hashes, "<u8"))
+    slot = (h >> np.uint64(56)).astype(np.int64)
+    used, first = np.unique(slot, return_index=True)
+    sketch = np.zeros(SKETCH, np.uint8)
+    sketch[used] = h[first] % np.uint64(255) + np.uint64(1)
+    return name, prints, sketch.tobytes()
+
+
+def similar_stars(nodes: list[int], sketches: list[bytes], least: float) -> list[tuple[int, int]]:
+    """(member, smallest member) for the components of texts whose sketches agree by `least`."""
+    import numpy as np
+
+    order = np.argsort(np.array(nodes, np.int64))
+    names = np.array(nodes, np.int64)[order]
+    s = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)[order]
+    rest = np.arange(len(names))
+    stars = []
+    while len(rest):
+        root, todo, rest = rest[0], [rest[0]], rest[1:]
+        while todo and len(rest):
+            own, others = s[todo.pop()], s[rest]
+            agree = ((others == own) & (own > 0)).sum(axis=1)
+            near = agree >= least * np.maximum(((others > 0) | (own > 0)).sum(axis=1), 1)
+            if near.any():
+                found = rest[near]
+                rest = rest[~near]
+                todo.extend(found.tolist())
+                stars.extend((int(names[x]), int(names[root])) for x in found)
+    return stars
+
+
+def near_texts(
+    df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, margin: float = 0.04, radius: int = 3, bucket: int = 4096
+) -> DataFrame:
+    """(doc_id, component_id): classes of documents whose word shingles are similar by `least` (Jaccard).
+
+    Fingerprints of whole word shingles change in many bits when a few words do, so candidates come from SimHash
+    over the distinct words, weighted by length, in PARTS independent parts: texts that agree to within `radius`
+    bits in any part meet by covering masks. What meets is verified by min-hash sketches of the shingles, with
+    `margin` for their error. Copies up to case and white space are one node. A bucket of more than `bucket` nodes
+    is cut into blocks, and each pair of blocks is a bucket of its own, so no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_prints(t.as_py(), width) for t in batch.column(1)]
+            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "fps", "sketch"])
+
+    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, node long, fps array<long>, sketch binary"))
+    nodes = docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    masks = covering_masks(radius)
+    tables = F.array(*[F.struct(F.lit(p * len(masks) + t).cast("short").alias("t"), F.lit(p).alias("p"), F.lit(_signed(m)).alias("m")) for p in range(PARTS) for t, m in enumerate(masks)])
+    dealt = nodes.select("node", "fps", F.explode(tables).alias("x")).select("node", F.col("x.t").alias("t"), F.get("fps", F.col("x.p")).bitwiseAND(F.col("x.m")).alias("key"))
+    shared = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = dealt.join(shared, ["t", "key"])
+    half = bucket // 2
+    blocks = F.ceil(F.col("n") / half).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    placed = members.select("t", "key", "node", F.explode(F.when(F.col("n") <= bucket, one).otherwise(pairs)).alias("pair"))
+    sketched = placed.join(nodes.select("node", "sketch"), "node")
+    met = sketched.groupBy("t", "key", "pair").agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stars = [s for n, k in zip(*batch.columns, strict=True) for s in similar_stars(n.as_py(), k.as_py(), least - margin)]
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    components = connected_components(met.select("nodes", "sketches").mapInArrow(verify, "a long, b long"))
+    known = nodes.select(F.col("node").alias("n"), "least")
+    rooted = known.join(components, known["n"] == components["node"], "left").select("n", "least", F.coalesce("root", "n").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").select("n", "component_id")
+    return docs.select("doc_id", "node").join(named, F.col("node") == F.col("n"), "left").select("doc_id", "component_id")
+
+
+def one_each(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """df without the documents whose class has one of a smaller id. Rows that share the smallest id leave one; rows without an id stay."""
+    found = near_texts(df, id, text, **options)
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = df.join(gone, F.col(f"`{id}`") == F.col("__gone"), "left_anti")
+    if not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        named = kept.filter(F.col(f"`{id}`").isNotNull()).dropDuplicates([id])
+        kept = named.unionByName(kept.filter(F.col(f"`{id}`").isNull()))
+    return kept
