@@ -5,19 +5,24 @@ Every byte is removed that lies in a string of `length` bytes which also starts
 Which suffixes can agree on `length` bytes is settled before anything is sorted. Of the `GRAM`-byte strings in a
 window of `length` bytes, the one with the smallest hash is the window's anchor; it depends on the window's bytes
 alone, so equal windows have equal anchors at equal places. Consecutive windows with one anchor form a segment of
-at most 2 * length - GRAM bytes, and segments are dealt out by the anchor's hash: equal windows always meet in the
-same bucket. A bucket drops the anchors that only one document has, and sorts the suffixes of the segments left
-by their first `length` bytes (deep_shallow below). Neighbours that agree on all of them are one class, and in it
-all but the smallest document's windows are repeats. Hashes only decide where windows meet: results come from bytes.
-
-Before the shuffle, equal segments of one batch are sent once, for the smallest document that has them; in the
-others they are repeats already. So a passage in a third of all documents costs an entry a batch, not an entry a
-document. A bucket's size follows from the number of buckets, which grows with the input. Long documents are cut
-into overlapping pieces, so memory does not depend on a document's length.
-
-Null text counts as empty. Null ids count as larger than all others and stay null. Rows that share an id are
-documents of equal rank, told apart by a checksum of their text; repeated rows get equal results. Texts shorter
-than `length` bytes are kept whole. An empty table gives an empty result.
+at most 2 * length - GRAM bytes. The work then goes over the cluster in this way:
+
+1. Rows are packed into blocks of bounded size, written once as a table; documents are known by block and place.
+2. Each block asks which of its anchors another block has too: sorted hashes, dealt out by range. The answer is a
+   bit an anchor.
+3. Segments whose anchor two documents have are dealt out by the anchor's hash, so equal windows meet in one
+   bucket. It sorts the suffixes of its segments by their first `length` bytes (deep_shallow below). Neighbours
+   that agree on all of them are one class, and in it all but the smallest document's windows are repeats.
+4. Blocks meet the stretches found and cut their texts.
+
+Hashes only decide where windows meet: results come from bytes. Equal segments of one block are sent once, for
+the smallest document that has them; in the others they are repeats already. So a passage in a third of all
+documents costs an entry a block, not an entry a document. The number of ranges and buckets grows with the input,
+so the size of one does not. A long document is taken in overlapping pieces.
+
+Null text counts as empty and stays null. Null ids count as larger than all others. Rows that share an id are
+documents of equal rank; repeated rows get equal results. Texts shorter than `length` bytes are kept whole. An
+empty table gives an empty result. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import Table, cut
+
 GRAM = 16
-#: Bytes of text that a batch of the first stage holds, and for which there is a bucket.
-BATCH, PER_BUCKET = 4 << 20, 8 << 20
+#: Bytes of text in a block and in one step of the search for anchors, and for which there is a range or bucket.
+BLOCK, STEP, PER_BUCKET = 16 << 20, 2 << 20, 8 << 20
 NULL_ID = (1 << 63) - 1
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -217,60 +224,133 @@ def _gather(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return buffer[place]
 
 
-def _batch_blocks(pieces: list[tuple[tuple[int, int, int], bytes]], length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blocks (bucket, bytes) of one batch of pieces ((id, tag, offset), bytes). Bucket -1: stretches that repeat a smaller document of the batch."""
-    buffer, piece, start, size, h = segments([(k, p) for k, (_, p) in enumerate(pieces)], length)
-    if not len(start):
+def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (document, offset, bytes) of about STEP bytes; the pieces of a long text overlap by length - 1."""
+    held, size = [], 0
+    for doc, data in enumerate(texts):
+        for at in range(0, max(len(data) - length + 1, 0), STEP):
+            piece = data[at : at + STEP + length - 1]
+            held.append((doc, at, piece))
+            size += len(piece)
+            if size >= STEP:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Anchors' hashes as evenly spread 56-bit numbers (as minima, the hashes are small)."""
+    x = (h ^ (h >> np.uint64(31))) * _M[1]
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(8)
+
+
+def _part(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range of each 56-bit key; not decreasing with the key."""
+    return ((keys >> np.uint64(24)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _asked(texts: list[bytes], length: int, n: int) -> Iterator[tuple[int, bytes]]:
+    """(range, packed sorted keys) of the distinct anchors of a block."""
+    found = [np.unique(_mixed(segments([(d, p) for d, _, p in pieces], length)[4])) for pieces in _pieces(texts, length)]
+    if not found:
         return
-    raw = np.frombuffer(buffer, np.uint8)
-    ids = np.array([k[0] for k, _ in pieces], np.int64)[piece]
-    tags = np.array([k[1] for k, _ in pieces], np.int64)[piece]
-    base = np.cumsum([0, *(len(p) for _, p in pieces[:-1])])
-    offset = np.array([k[2] for k, _ in pieces], np.int64)[piece] + start - base[piece]
-    # only segments whose anchor is met twice in the batch can be equal; their bytes are compared as fixed strings
-    by_hash = np.argsort(h, kind="stable")
-    hs = h[by_hash]
-    twice = np.zeros(len(h), bool)
-    equal = hs[1:] == hs[:-1]
-    twice[by_hash[1:][equal]] = True
-    twice[by_hash[:-1][equal]] = True
-    content = np.arange(len(h))
-    chosen = np.flatnonzero(twice)
-    if len(chosen):
-        most = 2 * length - GRAM
-        fixed = np.zeros((len(chosen), most + 1), np.uint8)
-        fixed[:, 0] = size[chosen] - length + 1
-        lanes = np.arange(most)
-        for k in range(0, len(chosen), 1 << 15):
-            part = chosen[k : k + (1 << 15)]
-            inside = lanes < size[part][:, None]
-            fixed[k : k + len(part), 1:] = np.where(inside, raw[np.minimum(start[part][:, None] + lanes, len(raw) - 1)], 0)
-        _, first, number = np.unique(fixed.view(f"S{most + 1}").ravel(), return_index=True, return_inverse=True)
-        content[chosen] = chosen[first][number]
-        del fixed
-    least = np.full(len(h), np.iinfo(np.int64).max)
-    np.minimum.at(least, content, ids)
-    local = ids > least[content]
+    keys = np.unique(np.concatenate(found))
+    edges = np.searchsorted(_part(keys, n), np.arange(n + 1))
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        part = keys[edges[r] : edges[r + 1]]
+        planes = np.ascontiguousarray(np.diff(part, prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T)
+        yield r, _pack(planes)
+
+
+def _answered(asked: list[bytes]) -> list[bytes]:
+    """For each block's keys of one range: a bit a key, set if another block has it."""
+    keys = []
+    for data in asked:
+        (planes,) = _unpack(data, "u1")
+        keys.append(np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64))
+    _, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    several = times[number] > 1
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    return [_pack(np.array([b - a], "<i8"), np.packbits(several[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _segments_sent(block: int, ids: np.ndarray, texts: list[bytes], answers: list[bytes], length: int, n: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed segments) of a block for the anchors that another block, or two of its documents, have.
+
+    Bucket -1: packed stretches (document, first byte, end) that repeat a smaller document of the block.
+    """
+    bits = []
+    for data in answers:
+        size, packed = _unpack(data, "<i8", "u1")
+        bits.append(np.unpackbits(packed, count=int(size[0])).astype(bool))
+    found = []
+    for pieces in _pieces(texts, length):
+        buffer, piece, start, size, h = segments([(d, p) for d, _, p in pieces], length)
+        docs = np.array([d for d, _, _ in pieces], np.int64)
+        base = np.cumsum([0, *(len(p) for _, _, p in pieces[:-1])])
+        offset = np.array([at for _, at, _ in pieces], np.int64)[piece] + start - base[piece]
+        found.append((docs[piece], offset, size, _mixed(h)))
+    if not found:
+        return
+    doc, offset, size, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    shared = np.concatenate(bits)
+    distinct, number = np.unique(key, return_inverse=True)
+    # an anchor of two documents of this block counts as well
+    low = np.full(len(distinct), np.iinfo(np.int64).max)
+    high = np.full(len(distinct), -1)
+    np.minimum.at(low, number, doc)
+    np.maximum.at(high, number, doc)
+    inner = low != high
+    kept = np.flatnonzero((shared | inner)[number])
+    if not len(kept):
+        return
+    doc, offset, size, key, several, elsewhere = doc[kept], offset[kept], size[kept], key[kept], inner[number[kept]], shared[number[kept]]
+    whole = b"".join(texts)
+    raw = np.frombuffer(whole, np.uint8)
+    begin = np.cumsum([0, *map(len, texts[:-1])])
+    start = begin[doc] + offset
+    # segments of anchors that two documents share are compared by their bytes, as fixed strings
+    content = np.arange(len(doc))
+    chosen = np.flatnonzero(several)
+    most = 2 * length - GRAM
+    lanes = np.arange(most)
+    order = chosen[np.argsort(key[chosen], kind="stable")]
+    at = 0
+    while at < len(order):  # a step ends where an anchor does
+        to = min(at + (1 << 16), len(order))
+        while to < len(order) and key[order[to]] == key[order[to - 1]]:
+            to += 1
+        part = order[at:to]
+        fixed = np.zeros((len(part), most + 1), np.uint8)
+        fixed[:, 0] = size[part] - length + 1
+        for k in range(0, len(part), 1 << 14):
+            some = part[k : k + (1 << 14)]
+            inside = lanes < size[some][:, None]
+            fixed[k : k + len(some), 1:] = np.where(inside, raw[np.minimum(start[some][:, None] + lanes, len(raw) - 1)], 0)
+        _, first, name = np.unique(fixed.view(f"S{most + 1}").ravel(), return_index=True, return_inverse=True)
+        content[part] = part[first][name]
+        at = to
+    least = np.full(len(doc), np.iinfo(np.int64).max)
+    np.minimum.at(least, content, ids[doc])
+    local = ids[doc] > least[content]
     if local.any():
-        # neighbouring segments of a document overlap, so their stretches are joined before they are sent
-        order = np.flatnonzero(local)
-        order = order[np.lexsort((offset[order], tags[order], ids[order]))]
-        i, t, a, b = ids[order], tags[order], offset[order], offset[order] + size[order]
-        other = np.concatenate([[False], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
-        lift = np.cumsum(other) << 33  # so that no document reaches into the next
-        new = np.concatenate([[True], (a + lift)[1:] > np.maximum.accumulate(b + lift)[:-1]])
-        group = np.cumsum(new) - 1
-        ends = np.zeros(group[-1] + 1, np.int64)
-        np.maximum.at(ends, group, b)
-        yield -1, _pack(i[new], t[new], a[new], ends)
-    # what is left, in order of content and document: equal ones of a document are sent once, with all their places
-    rest = np.flatnonzero(~local)
-    mixed = (h ^ (h >> np.uint64(31))) * _M[1]
-    bucket = (mixed[rest] >> np.uint64(33)) % np.uint64(buckets)
-    order = np.lexsort((offset[rest], tags[rest], ids[rest], content[rest], bucket))
-    rest, bucket = rest[order], bucket[order].astype(np.int64)
-    key = np.stack([content[rest], ids[rest], tags[rest]])
-    new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        yield -1, _pack(*_joined(doc[local], offset[local], offset[local] + size[local]))
+    # of what is left, equal segments of a document are sent once, with all their places; if no other block has
+    # the anchor and its segments are all equal here, they can repeat nothing more
+    distinct, number = np.unique(key, return_inverse=True)
+    low = np.full(len(distinct), np.iinfo(np.int64).max)
+    high = np.full(len(distinct), -1)
+    np.minimum.at(low, number, content)
+    np.maximum.at(high, number, content)
+    rest = np.flatnonzero(~local & (elsewhere | (low != high)[number]))
+    bucket = _part(key[rest], n).astype(np.int64)
+    order = np.lexsort((offset[rest], doc[rest], content[rest], bucket))
+    rest, bucket = rest[order], bucket[order]
+    if not len(rest):
+        return
+    new = np.concatenate([[True], (content[rest[1:]] != content[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])])
     heads = np.flatnonzero(new)
     counts = np.diff(np.concatenate([heads, [len(rest)]]))
     lead = rest[heads]
@@ -278,182 +358,238 @@ def _batch_blocks(pieces: list[tuple[tuple[int, int, int], bytes]], length: int,
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(heads)], strict=True):
         own = lead[a:b]
         places = offset[rest[heads[a] : heads[b - 1] + counts[b - 1]]]
-        # three bytes of the hash tell apart what a bucket holds, whatever the input's size
-        short = (mixed[own] >> np.uint64(8)).astype("<u4").view("u1").reshape(-1, 4)[:, :3]
-        block = _pack(short, ids[own], tags[own].astype("<i4"), size[own].astype("u1"), counts[a:b].astype("<i4"), places.astype("<i4"), _gather(raw, start[own], size[own]))
-        yield int(bucket[heads[a]]), block
-
-
-def _bucket_repeats(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, tag, first byte, end) of stretches that repeat a smaller document, over all blocks of a bucket."""
-    parts = [_unpack(b, "u1", "<i8", "<i4", "u1", "<i4", "<i4", "u1") for b in blocks]
-    short, ids, tags, size, counts, places, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    h = short.reshape(-1, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
+        packed = _pack(key[own], ids[doc[own]], doc[own].astype("<i4"), size[own].astype("u1"), counts[a:b].astype("<i4"), places.astype("<i4"), _gather(raw, start[own], size[own]))
+        yield int(bucket[heads[a]]), packed
+
+
+def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (document, first byte, end), overlapping ones of a document made one."""
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    lift = doc << 33  # so that no document reaches into the next
+    new = np.concatenate([[True], (a + lift)[1:] > np.maximum.accumulate(b + lift)[:-1]])
+    ends = np.zeros(int(new.sum()), np.int64)
+    np.maximum.at(ends, np.cumsum(new) - 1, b)
+    return doc[new], a[new], ends
+
+
+def _bucket_repeats(parts: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, bytes]]:
+    """(block, packed stretches) of what repeats a smaller document, over all (block, packed segments) of a bucket."""
+    lists = [_unpack(data, "<u8", "<i8", "<i4", "u1", "<i4", "<i4", "u1") for _, data in parts]
+    block = np.repeat(np.array([b for b, _ in parts], np.int64), [len(x[0]) for x in lists])
+    key, ids, doc, size, counts, places, raw = (np.concatenate(x) for x in zip(*lists, strict=True))
+    del lists
     size = size.astype(np.int64)
     start = np.cumsum(size) - size
     first_place = np.cumsum(counts) - counts
-    # anchors that two documents have
-    order = np.lexsort((ids, h))
-    hs, ds = h[order], ids[order]
-    new = np.concatenate([[True], hs[1:] != hs[:-1]])
+    # anchors that documents of two ids have
+    order = np.lexsort((ids, key))
+    ks, ds = key[order], ids[order]
+    new = np.concatenate([[True], ks[1:] != ks[:-1]])
     group = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
-    tails = np.concatenate([heads[1:], [len(hs)]]) - 1
+    tails = np.concatenate([heads[1:], [len(ks)]]) - 1
     kept = np.sort(order[(ds[heads] != ds[tails])[group]])
     if not len(kept):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return
     buffer = _gather(raw, start[kept], size[kept]).tobytes() + b"\0" * (length + 8)
     size = size[kept]
     start = np.cumsum(size) - size
     windows = size - length + 1
     owner = np.repeat(np.arange(len(kept)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = start[owner] + inside
-    order, same = deep_shallow(buffer, at, length)
-    doc = ids[kept][owner]
+    order, same = deep_shallow(buffer, start[owner] + inside, length)
+    rank = ids[kept][owner]
     heads = np.flatnonzero(~same)
-    least = np.minimum.reduceat(doc[order], heads)
+    least = np.minimum.reduceat(rank[order], heads)
     repeat = np.empty(len(owner), bool)
-    repeat[order] = doc[order] > least[np.cumsum(~same) - 1]
+    repeat[order] = rank[order] > least[np.cumsum(~same) - 1]
     a, b = _runs(repeat, owner)
-    seg = owner[a]
-    times = counts[kept][seg]
+    if not len(a):
+        return
+    seg = kept[owner[a]]
+    times = counts[seg]
     which = np.repeat(np.arange(len(a)), times)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    place = places[first_place[kept][seg][which] + nth]
-    source = kept[seg][which]
-    return ids[source], tags[source].astype(np.int64), place + inside[a][which], place + inside[b][which] + length
+    place = places[first_place[seg][which] + nth].astype(np.int64)
+    own, docs, first, last = block[seg][which], doc[seg][which].astype(np.int64), place + inside[a][which], place + inside[b][which] + length
+    order = np.argsort(own, kind="stable")
+    edges = np.flatnonzero(np.diff(own[order])) + 1
+    for part in np.split(order, edges):
+        yield int(own[part[0]]), _pack(*_joined(docs[part], first[part], last[part]))
+
+
+def _cut(data: bytes, stretches: list[tuple[int, int]]) -> bytes:
+    """What is kept of a text."""
+    kept, at = [], 0
+    for a, b in stretches:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]]) if kept else data
 
 
-def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, buckets: int | None = None) -> DataFrame:
-    """(key, tag, stretches): for documents with repeats, lists of [first byte, end) as binary int64 pairs; a document may have several rows.
+def _rows(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
 
-    key is the id (NULL_ID for null) and tag the checksum that tells apart rows that share it, 0 if none do.
-    """
+
+def _texts(rows: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """Ranks (the ids, null last) and texts in UTF-8 of a block's rows."""
+    ids = rows.column("__id").fill_null(NULL_ID).to_numpy()
+    return ids, [t or b"" for t in rows.column("__text").cast(pa.binary()).to_pylist()]
+
+
+def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result: str, make) -> DataFrame:
+    """make(rows, texts, stretches by document) -> record batch, over all blocks."""
     spark = df.sparkSession
-    keyed = keyed_texts(df, id, text)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = buckets or max(partitions, total // PER_BUCKET)
+    rows = df.select(F.col(f"`{id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"), *columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        size = 0
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
-        def blocks() -> pa.RecordBatch:
-            found = list(_batch_blocks(held, length, n))
+        def block() -> pa.RecordBatch:
+            nonlocal made, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
+                writer.write_table(table)
+            made, size = made + 1, 0
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made]), pa.array([table.nbytes]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "bytes", "data"])
 
         for batch in batches:
-            for key, tag, t in zip(*[batch.column(k) for k in range(3)], strict=True):
-                data = memoryview(t.as_buffer()) if t.is_valid else b""
-                for at in range(0, max(len(data) - length + 1, 0), BATCH):
-                    piece = bytes(data[at : at + BATCH + length - 1])
-                    held.append(((key.as_py(), tag.as_py(), at), piece))
-                    size += len(piece)
-                    if size >= BATCH:
-                        yield blocks()
-                        size = 0
-        if held:
-            yield blocks()
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(i: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((a, t, i))
-            i, t, pairs = i[order], t[order], np.stack([a[order], b[order]], axis=1)
-            heads = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])) if len(i) else np.zeros(0, int)
-            ends = [*heads[1:].tolist(), len(i)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(i[heads]), pa.array(t[heads].astype(np.int32)), pa.array([merged(pairs[x:y]).tobytes() for x, y in zip(heads.tolist(), ends, strict=False)], pa.binary())],
-                ["key", "tag", "stretches"],
-            )
-
-        held: list[bytes] = []
-        now = None
-        for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket < 0:
-                    yield lists(*_unpack(block.as_py(), "<i8", "<i8", "<i8", "<i8"))
-                    continue
-                if bucket != now and held:
-                    yield lists(*_bucket_repeats(held, length))
-                    held = []
-                now = bucket
-                held.append(block.as_py())
+            at = 0
+            sizes = np.cumsum(np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(1).offset))) if batch.num_rows else []
+            while at < batch.num_rows:
+                before = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, before + BLOCK - size, "right")))
+                # a copy, so that the batch's memory can go
+                held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, to - at)]).take(pa.array(range(to - at))) for c in batch.columns], schema=batch.schema))
+                size += int(sizes[to - 1]) - before
+                at = to
+                if size >= BLOCK or at < batch.num_rows:
+                    yield block()
         if held:
-            yield lists(*_bucket_repeats(held, length))
-
-    blocks = keyed.select("key", "tag", F.col("text").cast("binary")).mapInArrow(first, "bucket int, block binary")
-    # blocks of bucket -1 are dealt out by their own bytes
-    spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
-    dealt = blocks.withColumn("spread", spread).repartition(partitions, "spread").sortWithinPartitions("bucket")
-    return dealt.select("bucket", "block").mapInArrow(second, "key long, tag int, stretches binary")
-
-
-def keyed_texts(df: DataFrame, id: str, text: str) -> DataFrame:
-    """df with key, tag and text (null: empty) set; tag is 0 unless ids repeat."""
-    key = F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID))
-    several = not df.select(key.alias("key")).groupBy("key").count().filter("count > 1").isEmpty()
-    tag = (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
-    return df.withColumns({"key": key, "tag": tag if several else F.lit(0), "text": F.coalesce(F.col(text), F.lit(""))})
-
-
-def merged(pairs: np.ndarray) -> np.ndarray:
-    """The union of stretches, sorted by start: maximal stretches; touching ones are one."""
-    if not len(pairs):
-        return pairs
-    reach = np.maximum.accumulate(pairs[:, 1])
-    new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
-    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(pairs) - 1]])
-    return np.stack([pairs[new, 0], reach[last]], axis=1)
-
-
-def _cut(data: bytes, lists: list[bytes] | None) -> tuple[bytes, int, int]:
-    """What is kept of a text, how many bytes are removed, in how many maximal runs."""
-    if not lists:
-        return data, 0, 0
-    pairs = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2)
-    pairs = merged(pairs[np.argsort(pairs[:, 0], kind="stable")]).tolist()
-    kept, at = [], 0
-    for a, b in pairs:
-        kept.append(data[at:a])
-        at = b
-    return b"".join([*kept, data[at:]]), sum(b - a for a, b in pairs), len(pairs)
-
-
-def _with_stretches(df: DataFrame, columns: list, id: str, text: str, length: int, buckets: int | None) -> DataFrame:
-    found = repeats(df, id, text, length, buckets).groupBy("key", "tag").agg(F.collect_list("stretches").alias("stretches"))
-    rows = keyed_texts(df, id, text).select("key", "tag", F.col("text").cast("binary").alias("data"), *columns)
-    return rows.join(found, ["key", "tag"], "left").drop("key", "tag")
+            yield block()
 
+    blocks = Table(rows.mapInArrow(pack, "block long, bytes long, data binary"), "suffix-blocks", "uncompressed")
+    total = blocks.read().agg(F.sum("bytes")).first()[0] or 0
+    n = max(partitions, total // PER_BUCKET)
 
-def report(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, buckets: int | None = None) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(*batch.columns, strict=True):
+                asked = list(_asked(_texts(_rows(data.as_py()))[1], length, n))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in asked], pa.int32()), pa.array([block.as_py()] * len(asked), pa.int64()), pa.array([d for _, d in asked], pa.binary())], ["part", "block", "data"])
+
+    def grouped(run):
+        """run(part, [(block, data)]) for each part of sorted rows (part, block, data)."""
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+            for batch in batches:
+                for part, block, data in zip(*batch.columns, strict=True):
+                    if part.as_py() != now and held:
+                        yield run(now, held)
+                        held = []
+                    now = part.as_py()
+                    held.append((block.as_py(), data.as_py()))
+            if held:
+                yield run(now, held)
+
+        return over
+
+    def answer(part: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        bits = _answered([d for _, d in held])
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(held), pa.int32()), pa.array([b for b, _ in held], pa.int64()), pa.array(bits, pa.binary())], ["part", "block", "data"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions, "part").sortWithinPartitions("part").select("part", "block", "data")
+
+    kind = "part int, block long, data binary"
+    asked = blocks.read().select("block", "data").mapInArrow(ask, kind)
+    answers = dealt(asked).mapInArrow(grouped(answer), kind)
+
+    def met(found: DataFrame, run, schema: str) -> DataFrame:
+        """run(block, rows, data of `found` in order of part) for each block."""
+        own = blocks.read().select(F.lit(-2).alias("part"), "block", "data")
+        both = own.unionByName(found).repartition(partitions, "block").sortWithinPartitions("block", "part").select("part", "block", "data")
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, own, got = None, b"", []
+            for batch in batches:
+                for part, name, data in zip(*batch.columns, strict=True):
+                    if part.as_py() == -2:
+                        if block is not None:
+                            yield from run(block, _rows(own), got)
+                        block, own, got = name.as_py(), data.as_py(), []
+                    else:
+                        got.append(data.as_py())
+            if block is not None:
+                yield from run(block, _rows(own), got)
+
+        return both.mapInArrow(over, schema)
+
+    def send(block: int, rows: pa.Table, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, texts = _texts(rows)
+        sent = list(_segments_sent(block, ids, texts, got, length, n))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([block] * len(sent), pa.int64()), pa.array([d for _, d in sent], pa.binary())], ["part", "block", "data"])
+
+    def sort(part: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        found = held if part < 0 else list(_bucket_repeats(held, length))
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array([b for b, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["part", "block", "data"])
+
+    segments_sent = met(answers, send, kind)
+    # stretches found within a block pass through, spread by block
+    spread = F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")).otherwise(F.col("part"))
+    in_buckets = segments_sent.withColumn("spread", spread).repartition(partitions, "spread").sortWithinPartitions("part").select("part", "block", "data")
+    stretches = in_buckets.mapInArrow(grouped(sort), kind)
+
+    def cut_texts(block: int, rows: pa.Table, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+        texts = _texts(rows)[1]
+        by_doc: dict[int, list[tuple[int, int]]] = {}
+        if got:
+            lists = [_unpack(data, "<i8", "<i8", "<i8") for data in got]
+            doc, a, b = _joined(*(np.concatenate(x) for x in zip(*lists, strict=True)))
+            for d, x, y in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True):
+                by_doc.setdefault(d, []).append((x, y))
+        yield make(rows, texts, by_doc)
+
+    finished = met(stretches, cut_texts, result)
+    finished = cut(finished) if not columns else Table(finished, "suffix-kept").read()
+    blocks.drop()
+    return finished
+
+
+def report(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(len(d.as_py()), *_cut(d.as_py(), s.as_py())) for d, s in zip(batch.column(0), batch.column(2), strict=True)]
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 2, 3)]
-            hashes = pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns, hashes], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def make(rows: pa.Table, texts: list[bytes], by_doc: dict[int, list[tuple[int, int]]]) -> pa.RecordBatch:
+        none: list = []
+        columns = [
+            rows.column("__id").combine_chunks(),
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([sum(b - a for a, b in by_doc.get(d, none)) for d in range(len(texts))], pa.int64()),
+            pa.array([len(by_doc.get(d, none)) for d in range(len(texts))], pa.int64()),
+            pa.array([hashlib.sha256(_cut(t, by_doc.get(d, none))).hexdigest() for d, t in enumerate(texts)], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_stretches(df, [F.col(id).cast("long").alias("doc_id")], id, text, length, buckets)
-    return joined.select("data", "doc_id", "stretches").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _run(df, id, text, length, [], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", make)
 
 
-def remove(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, buckets: int | None = None) -> DataFrame:
-    """df with each text cut down to what is kept. A character that loses some of its bytes goes whole."""
+def remove(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+    """df with each text cut down to what is kept, as a table in the shared folder. A character that loses some of its bytes goes whole."""
+    others = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(0).alias("none")]).alias("row")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if null.as_py() else _cut(d.as_py(), s.as_py())[0].decode("utf-8", "ignore") for d, s, null in zip(batch.column(0), batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["kept", "row"])
-
-    whole = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), F.col(f"`{text}`").isNull().alias("missing")]
-    joined = _with_stretches(df, whole, id, text, length, buckets)
-    kept = joined.select("data", "stretches", "missing", "row")
-    schema = kept.select(F.lit("").alias("kept"), "row").schema
-    return kept.mapInArrow(run, schema).select(*[F.col("kept").alias(text) if c == text else F.col(f"row.`{c}`") for c in df.columns])
+    def make(rows: pa.Table, texts: list[bytes], by_doc: dict[int, list[tuple[int, int]]]) -> pa.RecordBatch:
+        null = rows.column("__text").is_null().to_pylist()
+        kept = [None if n else _cut(t, by_doc.get(d, [])).decode("utf-8", "ignore") for d, (t, n) in enumerate(zip(texts, null, strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), rows.column("row").combine_chunks()], ["kept", "row"])
+
+    schema = df.select(F.lit(None).cast("string").alias("kept"), others).schema
+    done = _run(df, id, text, length, [others], schema, make)
+    return done.select(*[F.col("kept").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
