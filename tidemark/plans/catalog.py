@@ -1,2 +1,739 @@
-"""Query registry."""
-QUERIES: dict = {}
+"""One query an operator, over the star-schema tables."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.columns import blank_to_null, boolean, date_key, iso_weekday, surrogate_key
+from tidemark.operators import aggregates, asof, contracts, dedup, events, facts, labels, layout, quality, scd2
+from tidemark.sources import generator, tables
+from tidemark.sources.tables import table
+from tidemark.streaming import prices as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+# The statement contract's columns and allowed values.
+STATEMENTS = contracts.Contract(
+    "statements",
+    ("ticker", "report_period", "fiscal_year", "total_assets"),
+    ("net_income", "exchange", "audited"),
+    {"fiscal_year": "integer", "total_assets": "float", "net_income": "float", "audited": "boolean"},
+    {"exchange": ("HOSE", "HNX", "UPCOM")},
+)
+LINE_ORDER = [F.col("l_shipdate").desc_nulls_last(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The folder that executors share, or a temporary one where none is set (local mode)."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+
+
+# ---- scans, projections, filters
+
+
+@query
+def scan_parquet(spark, d):
+    return table(spark, d, "lineitem").filter("l_shipdate >= '1995-01-01' and l_quantity < 10").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query
+def scan_optional(spark, d):
+    present = tables.optional(spark, f"{d}/region.parquet", "r_regionkey int, r_name string")
+    missing = tables.optional(spark, f"{d}/no_such_table.parquet", "r_regionkey int, r_name string")
+    return present.select("r_regionkey", "r_name").unionByName(missing)
+
+
+@query
+def scan_glob(spark, d):
+    path = f"{_scratch(spark)}/glob-{spark.sparkContext.applicationId}-{id(spark)}"
+    layout.write_partitioned(table(spark, d, "orders").withColumn("order_year", F.year("o_orderdate")).select("o_orderkey", "o_orderstatus", "order_year"), path, ["order_year", "o_orderstatus"])
+    return tables.partitioned_glob(spark, path, "order_year=*/o_orderstatus=F").groupBy("order_year").agg(F.count("*").alias("order_count"))
+
+
+@query
+def scan_run_filter(spark, d):
+    runs = table(spark, d, "events").withColumn("evidence_run_id", F.concat(F.lit("run"), (F.col("event_id") % 3).cast("string")))
+    return tables.of_run(runs, "run1").select("event_id", "event_type", "value")
+
+
+@query
+def src_decode_json(spark, d):
+    decoded = tables.decode_json(table(spark, d, "events").select("event_id", "props"), "props", "k bigint")
+    return decoded.select("event_id", "k")
+
+
+@query
+def src_manifest(spark, d):
+    sources = [{"name": "nations", "path": f"{d}/nation.parquet", "field_map": {"n_name": "country", "n_nationkey": "country_id"}}, {"name": "off", "path": "x", "enabled": False}]
+    return tables.manifest(spark, sources, "nations").select("country_id", "country")
+
+
+@query
+def src_views(spark, d):
+    tables.register_views(spark, {"dim_company": tables.companies(spark, d)})
+    return spark.sql("select sector, count(*) as companies from gold_dim_company group by sector")
+
+
+@query
+def proj_normalize_cols(spark, d):
+    odd = table(spark, d, "nation").select(F.col("n_nationkey").alias(" Nation_Key "), F.col("n_name").alias("N_NAME"))
+    return contracts.normalize_columns(odd)
+
+
+def _raw_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Statements as text, with missing, blank, unparsable and not allowed values by rule of supplier and period."""
+    s = tables.statements(spark, d).join(tables.companies(spark, d).select("supplier", "exchange"), "supplier")
+    k = F.col("supplier") + F.col("fiscal_year") + F.col("fiscal_quarter")
+    return s.select(
+        F.when(k % 31 != 0, F.col("ticker")).alias("Ticker "),
+        F.when(k % 37 == 0, F.lit("  ")).otherwise(F.col("report_period")).alias("report_period"),
+        F.when(k % 41 == 0, F.lit("n/a")).otherwise(F.col("fiscal_year").cast("string")).alias("fiscal_year"),
+        F.col("total_assets").cast("decimal(18,2)").cast("string").alias("total_assets"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.col("net_income").cast("decimal(18,4)").cast("string")).alias("net_income"),
+        F.col("exchange"),
+        F.when(k % 3 == 0, F.lit("YES")).when(k % 3 == 1, F.lit("0")).otherwise(F.when(k % 43 == 0, F.lit("maybe"))).alias("audited"),
+        F.lit("x").alias("unknown_column"),
+    )
+
+
+@query
+def flt_typed(spark, d):
+    valid, _ = contracts.validate(_raw_statements(spark, d), STATEMENTS)
+    return valid
+
+
+@query
+def flt_required(spark, d):
+    _, failed = contracts.validate(_raw_statements(spark, d), STATEMENTS)
+    return failed.groupBy("failure_reason").agg(F.count("*").alias("failed_rows"))
+
+
+@query
+def flt_enum(spark, d):
+    _, failed = contracts.validate(_raw_statements(spark, d), STATEMENTS)
+    return failed.filter(F.col("failure_reason").contains("exchange: not allowed")).agg(F.count("*").alias("not_allowed"))
+
+
+@query
+def flt_blank_null(spark, d):
+    raw = _raw_statements(spark, d)
+    return raw.agg(F.count_if(blank_to_null(F.col("report_period")).isNull()).alias("blank_periods"), F.count_if(blank_to_null(F.col("net_income")).isNull()).alias("blank_incomes"))
+
+
+@query
+def flt_boolean(spark, d):
+    return _raw_statements(spark, d).groupBy(boolean(F.col("audited")).alias("audited")).agg(F.count("*").alias("rows_with"))
+
+
+@query
+def flt_missing_required_col(spark, d):
+    valid, failed = contracts.validate(_raw_statements(spark, d).drop("total_assets"), STATEMENTS)
+    return valid.agg(F.count("*").alias("valid_rows")).join(failed.agg(F.count("*").alias("failed_rows")))
+
+
+@query
+def silver_pipeline(spark, d):
+    k = F.xxhash64("report_period", "ticker")
+    doubled = _raw_statements(spark, d).unionByName(_raw_statements(spark, d).withColumn("total_assets", F.lit("1")))
+    good, _ = contracts.silver(doubled, STATEMENTS, ["ticker", "report_period"], [F.col("total_assets").desc(), k])
+    return good
+
+
+@query
+def contract_validate(spark, d):
+    return contracts.differences(tables.statements(spark, d), STATEMENTS)
+
+
+@query
+def proj_keys(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select("o_orderkey", surrogate_key(F.col("c_name")).alias("company_key"), date_key(F.col("o_orderdate")).alias("date_key"))
+
+
+@query
+def proj_reference_date(spark, d):
+    o = table(spark, d, "orders")
+    release = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate"))
+    event = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
+    return o.select("o_orderkey", facts.reference_date(release, event, F.year("o_orderdate")).alias("reference_date"))
+
+
+@query
+def proj_pick_prefix(spark, d):
+    n = table(spark, d, "nation")
+    return n.select(*[F.col(c).alias("feature_" + c) for c in n.columns])
+
+
+@query
+def proj_ratios(spark, d):
+    r = facts.ratios(tables.statements(spark, d))
+    return r.select("ticker", "report_period", *[F.round(c, 6).alias(c) for c in ("current_ratio", "debt_to_asset", "debt_to_equity", "return_on_assets", "return_on_equity", "interest_coverage")])
+
+
+@query
+def flt_year(spark, d):
+    path = f"{_scratch(spark)}/by-year-{spark.sparkContext.applicationId}-{id(spark)}"
+    layout.write_partitioned(tables.statements(spark, d), path, ["fiscal_year"])
+    return spark.read.parquet(path).filter("fiscal_year = 1996").select("ticker", "report_period", "total_assets")
+
+
+@query
+def flt_substring_search(spark, d):
+    return table(spark, d, "part").filter(F.lower("p_name").contains("a") & F.lower("p_type").contains("b")).select("p_partkey", "p_name", "p_type")
+
+
+@query
+def flt_point_lookup(spark, d):
+    return tables.statements(spark, d).filter("ticker = 'Supplier#000000007'").orderBy(F.col("report_period").desc()).limit(1).select("ticker", "report_period", "total_assets")
+
+
+# ---- joins
+
+
+@query
+def join_inner_equi(spark, d):
+    return tables.statements(spark, d).join(tables.companies(spark, d), "ticker").groupBy("exchange").agg(F.count("*").alias("statement_count"))
+
+
+@query
+def join_broadcast(spark, d):
+    x, n = table(spark, d, "customer"), table(spark, d, "nation")  # nation: 25 rows at every size
+    return x.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
+
+
+@query
+def join_left_multi(spark, d):
+    s = tables.statements(spark, d)
+    labelled = labels.label(s, None).filter("distress_label = 1").select("ticker", "report_period", "distress_label")
+    return s.join(labelled, ["ticker", "report_period"], "left").groupBy("fiscal_year", "distress_label").agg(F.count("*").alias("n"))
+
+
+@query
+def join_left_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query
+def join_exists(spark, d):
+    big = table(spark, d, "lineitem").filter("l_quantity >= 49")
+    return table(spark, d, "orders").join(big, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_totalprice")
+
+
+def _purchases_and_views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return e.filter("event_type = 'purchase'").drop("event_type"), e.filter("event_type = 'view'").drop("event_type")
+
+
+@query
+def join_asof(spark, d):
+    left, right = _purchases_and_views(spark, d)
+    return asof.asof_join(left, right, ["user_id"], "ts", "ts", ["event_id"]).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
+
+
+@query
+def join_asof_range(spark, d):
+    left, right = _purchases_and_views(spark, d)
+    return asof.asof_by_range(left, right, ["user_id"], "ts", "ts", "event_id", ["event_id"]).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
+
+
+def _reference(spark: SparkSession, d: str) -> DataFrame:
+    """Quarters of users with the time that they are known by: release, else event, else creation."""
+    e = table(spark, d, "events").filter("event_id % 10 = 0")
+    release = F.when(F.col("event_id") % 20 == 0, F.col("ts") + F.expr("interval 1 day"))
+    return e.select("event_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.coalesce(release, F.col("ts")).alias("reference_ts"))
+
+
+@query
+def join_asof_ref_ts(spark, d):
+    p = facts.price_facts(tables.prices(spark, d)).withColumn("price_ts", F.col("trading_date").cast("timestamp_ntz")).select("ticker", "price_ts", "close_price", "volume")
+    return asof.asof_join(_reference(spark, d), p, ["ticker"], "reference_ts", "price_ts").select("event_id", "ticker", "reference_ts", "feature_price_ts", "feature_close_price", "feature_volume")
+
+
+# ---- aggregations and windows
+
+
+def _report_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = dedup.latest_by_aggregate(table(spark, d, "lineitem"), LINE_KEYS, ["l_shipdate", "l_partkey", "l_suppkey"])
+    s = lines.select(F.col("l_suppkey").alias("ticker"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("total_assets"))
+    c = tables.companies(spark, d).select(F.col("supplier").alias("ticker"), "sector")
+    return s, c
+
+
+def _report(df: DataFrame) -> DataFrame:
+    return df.select("sector", F.col("company_count").cast("long").alias("company_count"), F.col("statement_count").cast("long").alias("statement_count"), F.col("record_count").cast("long").alias("record_count"), F.col("total_assets").cast("double").alias("total_assets"))
+
+
+@query
+def agg_sector_baseline(spark, d):
+    return _report(aggregates.sector_report(*_report_inputs(spark, d)))
+
+
+@query
+def agg_two_level_salted(spark, d):
+    return _report(aggregates.sector_report_salted(*_report_inputs(spark, d)))
+
+
+@query
+def equivalence_check(spark, d):
+    s, c = _report_inputs(spark, d)
+    return aggregates.equivalent(_report(aggregates.sector_report(s, c)), _report(aggregates.sector_report_salted(s, c)))
+
+
+@query
+def canonical_digest(spark, d):
+    n = table(spark, d, "nation")
+    a, b = aggregates.canonical_digest(n), aggregates.canonical_digest(n.orderBy(F.col("n_name").desc())).toDF("other")
+    return a.join(b).select((F.col("digest") == F.col("other")).alias("same"), F.length("digest").alias("digest_length"))
+
+
+@query
+def agg_latest_by_key(spark, d):
+    latest = dedup.latest_by_aggregate(table(spark, d, "lineitem"), LINE_KEYS, ["l_shipdate", "l_partkey", "l_suppkey"])
+    return latest.select(*LINE_KEYS, "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@query
+def win_row_number_latest(spark, d):
+    return dedup.latest_by_key(table(spark, d, "lineitem"), LINE_KEYS, LINE_ORDER).select(*LINE_KEYS, "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@query
+def agg_having_dups(spark, d):
+    return aggregates.duplicates(table(spark, d, "lineitem"), LINE_KEYS)
+
+
+@query
+def agg_label_dist(spark, d):
+    return _labelled(spark, d).groupBy("distress_label").agg(F.count("*").alias("n"))
+
+
+@query
+def agg_table_count(spark, d):
+    counts = [table(spark, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count")) for t in ("customer", "orders", "lineitem", "supplier", "part", "events")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query
+def agg_cond_sum(spark, d):
+    return scd2_rebuild(spark, d).agg(F.count_if(F.col("is_current")).alias("current_rows"), F.count("*").alias("all_rows"))
+
+
+@query
+def agg_rate(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.avg((F.col("value") > 50).cast("double")).alias("share"), F.countDistinct("user_id").alias("users"))
+
+
+@query
+def agg_ordered_list(spark, d):
+    n = table(spark, d, "nation")
+    return n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), ",").alias("nations"))
+
+
+@query
+def agg_min_max_union(spark, d):
+    days = [table(spark, d, t).select(F.to_date(c)) for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"))]
+    return facts.date_bounds(*days)
+
+
+@query
+def agg_window_counts(spark, d):
+    return aggregates.window_profile(table(spark, d, "events"), "ts", 3600)
+
+
+@query
+def win_lag_return(spark, d):
+    p = facts.price_facts(tables.prices(spark, d))
+    return p.select("ticker", "trading_date", "company_key", "date_key", F.round("daily_return", 6).alias("daily_return"), "volatility_signal")
+
+
+@query
+def win_volatility(spark, d):
+    return facts.price_facts(tables.prices(spark, d)).groupBy("volatility_signal").agg(F.count("*").alias("n"))
+
+
+@query
+def win_prev_quarter(spark, d):
+    return labels.previous_quarter(tables.statements(spark, d)).select("ticker", "report_period", "net_income", "previous_net_income")
+
+
+@query
+def win_running_watermark(spark, d):
+    e = tables.price_events(spark, d)
+    return events.running_max(e, "seq", "ts", "watermark", chunk=1000).select("seq", "ts", "watermark")
+
+
+@query
+def dim_date(spark, d):
+    b = facts.date_bounds(table(spark, d, "orders").select(F.to_date("o_orderdate")))
+    return facts.dim_date(spark, F.col("first_date"), F.col("last_date"), b)
+
+
+@query
+def iso_weekdays(spark, d):
+    return table(spark, d, "orders").groupBy(iso_weekday(F.col("o_orderdate")).alias("day_of_week")).agg(F.count("*").alias("orders"))
+
+
+# ---- labels and features
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    s = tables.statements(spark, d)
+    # one region stands for the excluded sector, and some inputs are missing or zero
+    sector = F.when(F.col("supplier") % 10 == 0, F.lit("Banks")).otherwise(F.lit("Industry"))
+    s = s.withColumn("sector", sector)
+    s = s.withColumn("retained_earnings", F.when(F.col("supplier") % 9 != 1, F.col("retained_earnings")))
+    return labels.label(s.withColumn("total_liabilities", F.when(F.col("supplier") % 11 == 2, F.lit(0.0)).otherwise(F.col("total_liabilities"))))
+
+
+@query
+def z_score(spark, d):
+    return _labelled(spark, d).select("ticker", "report_period", "z_score")
+
+
+@query
+def warning_rules(spark, d):
+    s = labels.previous_quarter(tables.statements(spark, d))
+    return s.select("ticker", "report_period", *[v.alias(k) for k, v in labels.warning_flags().items()])
+
+
+@query
+def distress_label(spark, d):
+    return _labelled(spark, d).select("ticker", "report_period", "distress_label", "distress_reason", "label_confidence", "training_eligible", "n_warnings")
+
+
+@query
+def sector_exclusion(spark, d):
+    c = tables.companies(spark, d)
+    sector = F.when(F.col("supplier") % 5 == 0, F.lit(" BANKS ")).when(F.col("supplier") % 5 == 1, F.lit("Blood banks")).otherwise(F.col("sector"))
+    return c.select("ticker", labels.is_financial(sector, F.when(F.col("supplier") % 7 == 0, F.lit("4010"))).alias("excluded"))
+
+
+@query
+def obt(spark, d):
+    f = facts.ratios(tables.statements(spark, d))
+    x = _labelled(spark, d).select("ticker", "report_period", "distress_label", "label_confidence")
+    return f.join(x, ["ticker", "report_period"], "left").select("ticker", "report_period", "total_assets", F.round("debt_to_asset", 6).alias("debt_to_asset"), "distress_label", "label_confidence")
+
+
+@query
+def feat_financial(spark, d):
+    f = facts.ratios(tables.statements(spark, d))
+    return f.select(F.lit("financial").alias("feature_family"), "ticker", F.col("report_period").alias("feature_period"), F.round("return_on_assets", 6).alias("feature_roa"), F.coalesce(F.col("interest_expense"), F.lit(0.0)).alias("feature_interest"))
+
+
+@query
+def feat_market(spark, d):
+    p = facts.price_facts(tables.prices(spark, d))
+    return p.select(F.lit("market").alias("feature_family"), "ticker", F.col("trading_date").alias("feature_date"), F.col("close_price").alias("feature_close"), F.coalesce(F.round("daily_return", 6), F.lit(0.0)).alias("feature_return"))
+
+
+@query
+def feat_news(spark, d):
+    e = facts.event_facts(table(spark, d, "events").filter("event_type = 'click'").select("event_id", "ts", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), "value"), "event_id", "ts", "ticker")
+    return e.select(F.lit("news").alias("feature_family"), "event_id", "ticker", "company_key", "date_key", F.col("value").alias("feature_score"))
+
+
+@query
+def fact_alert(spark, d):
+    e = table(spark, d, "events").filter("value > 90").select("event_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ticker"), "event_type")
+    return facts.event_facts(e.unionByName(e), "event_id", "ts", "ticker").select("event_id", F.upper("ticker").alias("ticker"), "company_key", "date_key", "event_type")
+
+
+@query
+def fact_fin(spark, d):
+    s = tables.statements(spark, d)
+    day = facts.reference_date(F.lit(None).cast("date"), F.lit(None).cast("date"), F.col("fiscal_year"))
+    return s.select("ticker", "report_period", surrogate_key(F.col("ticker")).alias("company_key"), date_key(day).alias("date_key"), "total_assets")
+
+
+@query
+def pit_unified(spark, d):
+    p = facts.price_facts(tables.prices(spark, d)).withColumn("price_ts", F.col("trading_date").cast("timestamp_ntz"))
+    joined = asof.asof_join(_reference(spark, d), p.select("ticker", "price_ts", "close_price", F.round("daily_return", 6).alias("daily_return")), ["ticker"], "reference_ts", "price_ts")
+    return joined.select("event_id", "ticker", "feature_close_price", "feature_daily_return")
+
+
+@query
+def flt_pit_leak(spark, d):
+    return join_asof_ref_ts(spark, d).filter("feature_price_ts > reference_ts").agg(F.count("*").alias("leaks"))
+
+
+# ---- slowly changing dimension
+
+TRACKED = ["status", "priority", "segment"]
+
+
+@query
+def scd2_rebuild(spark, d):
+    return scd2.rebuild(tables.snapshots(spark, d), "ticker", "created_ts", TRACKED, "seq")
+
+
+@query
+def scd2_merge(spark, d):
+    s = tables.snapshots(spark, d)
+    old = scd2.rebuild(s.filter("created_ts < '1997-01-01'"), "ticker", "created_ts", TRACKED, "seq")
+    return scd2.merge(old, s.filter("created_ts >= '1997-01-01'"), "ticker", "created_ts", TRACKED, "seq")
+
+
+@query
+def win_change_detect(spark, d):
+    return scd2_rebuild(spark, d).groupBy("ticker").agg(F.count("*").alias("versions"))
+
+
+@query
+def win_lead_validity(spark, d):
+    return scd2_rebuild(spark, d).select("ticker", "seq", "valid_from_ts", "valid_to_ts", "is_current")
+
+
+# ---- sets, sorts, limits
+
+
+@query
+def union_positional(spark, d):
+    a = table(spark, d, "customer").select("c_nationkey", "c_acctbal")
+    return a.union(table(spark, d, "supplier").select("s_nationkey", "s_acctbal")).groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query
+def union_by_name(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return table(spark, d, "supplier").select(F.col("s_name").alias("name")).unionByName(a, allowMissingColumns=True)
+
+
+@query
+def union_dates(spark, d):
+    return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(table(spark, d, "events").select(F.to_date("ts"))).distinct()
+
+
+@query
+def distinct_keys(spark, d):
+    return table(spark, d, "lineitem").select("l_suppkey", "l_returnflag").distinct()
+
+
+@query
+def sort_global(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.col("s_acctbal").desc(), "s_suppkey")
+
+
+@query
+def topk_recent(spark, d):
+    return table(spark, d, "orders").filter("o_orderstatus = 'F'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query
+def limit_n(spark, d):
+    return table(spark, d, "nation").orderBy("n_nationkey").limit(20).select("n_nationkey", "n_name")
+
+
+@query
+def page_offset(spark, d):
+    return table(spark, d, "customer").orderBy("c_custkey").offset(40).limit(20).select("c_custkey", "c_name")
+
+
+# ---- quality
+
+
+@query
+def dq_not_null(spark, d):
+    return quality.not_null(_raw_statements(spark, d).withColumnRenamed("Ticker ", "ticker"), "statements", "ticker")
+
+
+@query
+def dq_unique(spark, d):
+    return quality.unique(table(spark, d, "lineitem"), "lineitem", LINE_KEYS)
+
+
+@query
+def dq_referential(spark, d):
+    # every hundredth order names a customer that does not exist
+    o = table(spark, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 100 == 0, -1).otherwise(F.col("o_custkey")))
+    return quality.referential(o, "orders", "o_custkey", table(spark, d, "customer"), "c_custkey")
+
+
+@query
+def dq_range(spark, d):
+    return quality.between(table(spark, d, "lineitem"), "lineitem", "l_discount", 0.0, 0.09)
+
+
+@query
+def dq_retention(spark, d):
+    x = table(spark, d, "lineitem")
+    return quality.retention(x.select(*LINE_KEYS).distinct(), x, "lineitem")
+
+
+@query
+def dq_volume_change(spark, d):
+    o = table(spark, d, "orders")
+    return quality.volume_change(o.filter("o_orderdate >= '1996-01-01'"), o.filter("o_orderdate < '1996-01-01'"), "orders")
+
+
+@query
+def dq_freshness(spark, d):
+    return quality.freshness(table(spark, d, "orders"), "orders", "o_orderdate", F.to_timestamp(F.lit("2005-01-01 00:00:00")), 1440.0)
+
+
+@query
+def dq_schema(spark, d):
+    return quality.schema(table(spark, d, "nation"), "nation", ["n_nationkey", "n_name", "n_continent"])
+
+
+@query
+def dq_pit(spark, d):
+    return quality.leaks(join_asof(spark, d), "features", "feature_ts", "ts")
+
+
+@query
+def dq_suite(spark, d):
+    return quality.suite([f(spark, d) for f in (dq_not_null, dq_unique, dq_referential, dq_range, dq_retention, dq_volume_change, dq_schema, dq_pit)])
+
+
+@query
+def publish_gate(spark, d):
+    tables_of = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+    checks = [quality.unique(table(spark, d, t), t, [k]) for t, k in tables_of.items()]
+    checks.append(quality.referential(table(spark, d, "lineitem"), "lineitem", "l_orderkey", table(spark, d, "orders"), "o_orderkey"))
+    return quality.suite(checks)
+
+
+@query
+def profile_digest(spark, d):
+    a = aggregates.digest(table(spark, d, "part"))
+    b = aggregates.digest(table(spark, d, "part").orderBy("p_name")).toDF("rows_2", "digest_2")
+    return a.join(b).select(F.col("rows").alias("part_rows"), (F.col("digest") == F.col("digest_2")).alias("same"))
+
+
+@query
+def docs_by_content(spark, d):
+    return dedup.by_content(table(spark, d, "documents"), "text", "doc_id")
+
+
+# ---- event time
+
+
+def _route(spark: SparkSession, d: str, repeated: bool) -> DataFrame:
+    e = tables.price_events(spark, d)
+    return events.route(e, id="id", seq="seq", ts="ts", valid=F.col("price").isNotNull(), delay=7200, lateness=10800, dedup=repeated)
+
+
+@query
+def st_bounded_oracle(spark, d):
+    return _route(spark, d, True).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query
+def st_routed_no_dedup(spark, d):
+    return _route(spark, d, False).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query
+def st_too_late(spark, d):
+    return _route(spark, d, True).filter("route = 'too_late'").select("id", "seq", "ts", "ticker")
+
+
+@query
+def st_batch_windows(spark, d):
+    kept = _route(spark, d, True).filter("route in ('on_time', 'allowed_late')").withColumn("price", F.col("price").cast("decimal(18,4)"))
+    w = events.tumbling(kept, "ticker", "ts", 3600, "price", "volume")
+    return w.select("ticker", "window_start", "window_end", "event_count", "total_volume")
+
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    raw = stream.ticks_from_files(spark, f"{d}/events.parquet*", EVENTS)
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("value").alias("price"), F.lit(1).cast("long").alias("volume"))
+
+
+@query
+def st_tumbling(spark, d):
+    out = stream.replay(stream.windows(_ticks(spark, d), "1 hour", "5 hours", False), _scratch(spark), ["ticker", "window_start"])
+    return out.select("ticker", F.unix_timestamp("window_start").alias("window_start"), "event_count", "total_volume")
+
+
+@query
+def st_dedup_ttl(spark, d):
+    doubled = _ticks(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    out = stream.replay(stream.windows(doubled, "1 hour", "5 hours", True), _scratch(spark), ["ticker", "window_start"])
+    return out.agg(F.sum("event_count").alias("event_count"), F.count("*").alias("windows"))
+
+
+@query
+def st_parse_side_output(spark, d):
+    e = table(spark, d, "events")
+    broken = F.when(F.col("event_id") % 50 == 0, F.lit("{not json"))
+    tick = F.to_json(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("value").alias("price"), F.lit(1).alias("volume")))
+    good, bad = stream.decode(e.select(F.coalesce(broken, tick).alias("value")))
+    return good.agg(F.count("*").alias("valid_rows"), F.sum("volume").alias("volume")).join(bad.agg(F.count("*").alias("invalid_rows")))
+
+
+# ---- layout, sinks, generators
+
+
+@query
+def compact_files(spark, d):
+    base = f"{_scratch(spark)}/compact-{spark.sparkContext.applicationId}-{id(spark)}"
+    table(spark, d, "orders").repartition(12).write.mode("overwrite").parquet(base)
+    return layout.compact(spark, base, base + "-out").select("files_before", "files_after", "rows")
+
+
+@query
+def zorder(spark, d):
+    z = layout.zorder(table(spark, d, "part").select("p_partkey", "p_size", F.col("p_retailprice").cast("decimal(12,2)").cast("double").alias("price")), ["p_size", "price"], bits=4)
+    return z.select("p_partkey", "z_key")
+
+
+@query
+def repartition_layout(spark, d):
+    path = f"{_scratch(spark)}/layout-{spark.sparkContext.applicationId}-{id(spark)}"
+    layout.write_partitioned(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"), path, ["l_returnflag", "l_linestatus"])
+    return spark.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query
+def sink_staged_publish(spark, d):
+    path = f"{_scratch(spark)}/publish-{spark.sparkContext.applicationId}-{id(spark)}"
+    layout.publish(table(spark, d, "region"), path)
+    layout.publish(table(spark, d, "region").filter("r_regionkey < 3"), path)
+    return spark.read.parquet(path).select("r_regionkey", "r_name")
+
+
+@query
+def sink_upsert(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    newest = dedup.latest_by_key(o.filter("o_orderkey % 2 = 0"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    more = dedup.latest_by_key(o.filter("o_orderkey % 2 = 1"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    return layout.upsert(newest, more, ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderdate")
+
+
+@query
+def gen_offline(spark, d):
+    c = generator.with_duplicates(generator.companies(spark, 10_000), "ticker", 0.02)
+    return c.agg(F.count("*").alias("rows"), F.countDistinct("ticker").alias("companies"), F.round(F.avg((F.col("sector") == "Manufacturing").cast("double")), 2).alias("hot_share"))
+
+
+@query
+def gen_stream(spark, d):
+    e = generator.stream(spark, 50_000)
+    return e.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), F.sum(F.col("is_late").cast("long")).alias("late"))
+
+
+@query
+def lineage_audit(spark, d):
+    """Edges of the pipelines registered here, and whether each has an input and an output."""
+    rows = [("silver", "raw", "statements"), ("labels", "statements", "labels"), ("features", "labels", "features"), ("features", "prices", "features")]
+    edges = spark.createDataFrame(rows, "pipeline string, source string, target string")
+    return edges.groupBy("pipeline").agg(F.count("*").alias("edges"), F.min((F.col("source") != "") & (F.col("target") != "")).alias("complete"))
