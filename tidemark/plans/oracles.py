@@ -1,2 +1,261 @@
-"""DuckDB SQL of the registry."""
-ORACLES: dict = {}
+"""The catalog's queries in DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def key(c: str) -> str:
+    return f"substr(sha256(upper(trim({c}))), 1, 16)"
+
+
+COMPANIES = """companies as (
+  select s_suppkey as supplier, s_name as ticker, s_name as company_name,
+    case s_nationkey % 4 when 0 then 'HOSE' when 1 then 'HNX' when 2 then 'UPCOM' else 'OTHER' end as exchange, r_name as sector
+  from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+STATEMENTS = """sums as (
+  select l_suppkey as supplier, year(l_shipdate) as fiscal_year, quarter(l_shipdate) as fiscal_quarter,
+    sum(p) as ta, coalesce(sum(p) filter (l_returnflag <> 'A'), 0) as tl, coalesce(sum(p) filter (l_linestatus = 'O'), 0) as ca,
+    coalesce(sum(p) filter (l_returnflag = 'R'), 0) as cl, coalesce(sum(p) filter (l_returnflag = 'N' and l_linestatus = 'O'), 0) as no,
+    sum(p * (d - 0.04::decimal(4,2))) as ebit, sum(p * t) as interest, sum(p * (d - 0.05::decimal(4,2))) as ni, sum(p * (t - 0.03::decimal(4,2))) as re
+  from (select *, l_extendedprice::decimal(18,2) as p, l_discount::decimal(4,2) as d, l_tax::decimal(4,2) as t from lineitem) group by all),
+statements as (
+  select supplier, 'Supplier#' || lpad(supplier::varchar, 9, '0') as ticker, fiscal_year::varchar || 'Q' || fiscal_quarter::varchar as report_period,
+    fiscal_year, fiscal_quarter, ta::double as total_assets, tl::double as total_liabilities, ca::double as current_assets, cl::double as current_liabilities,
+    (ta - tl - no)::double as equity, ebit::double as ebit, interest::double as interest_expense, ni::double as net_income, re::double as retained_earnings
+  from sums)"""
+
+RAW = f"""{COMPANIES}, {STATEMENTS},
+raw as (
+  select case when k % 31 <> 0 then ticker end as ticker, case when k % 37 = 0 then '  ' else report_period end as report_period,
+    case when k % 41 = 0 then 'n/a' else fiscal_year::varchar end as fiscal_year, total_assets::decimal(18,2)::varchar as total_assets,
+    case when k % 5 = 0 then '' else net_income::decimal(18,4)::varchar end as net_income, exchange,
+    case when k % 3 = 0 then 'YES' when k % 3 = 1 then '0' when k % 43 = 0 then 'maybe' end as audited
+  from (select s.*, c.exchange, s.supplier + fiscal_year + fiscal_quarter as k from statements s join companies c on s.supplier = c.supplier)),
+judged as (
+  select *, concat_ws('; ',
+    case when ticker is null then 'ticker: required' end, case when trim(report_period) = '' then 'report_period: required' end,
+    case when try_cast(fiscal_year as bigint) is null then 'fiscal_year: not integer' end,
+    case when exchange not in ('HOSE', 'HNX', 'UPCOM') then 'exchange: not allowed' end,
+    case when audited = 'maybe' then 'audited: not boolean' end) as failure_reason
+  from raw),
+valid as (
+  select ticker, report_period, fiscal_year::bigint as fiscal_year, total_assets::double as total_assets, nullif(net_income, '')::double as net_income, exchange,
+    case audited when 'YES' then true when '0' then false end as audited
+  from judged where failure_reason = '')"""
+
+PRICES = """prices as (
+  select 'U' || user_id::varchar as ticker, ts::date as trading_date, arg_max(value, (ts, event_id)) as close_price, count(*) as volume from events group by all),
+price_facts as (
+  select *, case when before <> 0 then (close_price - before) / before end as daily_return
+  from (select *, lag(close_price) over (partition by ticker order by trading_date) as before from prices))"""
+
+SNAPSHOTS = f"""snapshots as (
+  select c_name as ticker, o_orderstatus as status, o_orderpriority as priority, c_mktsegment as segment, o_orderdate as created_ts, o_orderkey as seq
+  from orders join customer on o_custkey = c_custkey),
+marked as (
+  select *, lag(seq) over w is null as is_first, (lag(status) over w, lag(priority) over w, lag(segment) over w) is distinct from (status, priority, segment) as changed
+  from snapshots window w as (partition by ticker order by created_ts, seq)),
+versions as (
+  select {key("ticker")} as company_key, substr(sha256(upper(trim(ticker)) || '|' || upper(strftime(created_ts, '%Y-%m-%d %H:%M:%S'))), 1, 16) as version_key,
+    ticker, status, priority, segment, created_ts as valid_from_ts, lead(created_ts) over w as valid_to_ts, lead(seq) over w is null as is_current, seq
+  from marked where is_first or changed window w as (partition by ticker order by created_ts, seq))"""
+
+PREVIOUS = """previous as (
+  select *, case when fiscal_year * 4 + fiscal_quarter - lag(fiscal_year * 4 + fiscal_quarter) over w = 1 then lag(net_income) over w end as previous_net_income
+  from {0} window w as (partition by ticker order by report_period))"""
+
+FLAGS = """coalesce(total_assets > 0 and total_liabilities / nullif(total_assets, 0) > 0.8, false) as high_debt_to_asset,
+    coalesce(equity < 0, false) as negative_equity, coalesce(net_income < 0 and previous_net_income < 0, false) as two_quarter_net_loss,
+    coalesce(current_liabilities > 0 and current_assets / nullif(current_liabilities, 0) < 1, false) as weak_current_ratio,
+    coalesce(interest_expense > 0 and ebit / nullif(interest_expense, 0) < 1, false) as weak_interest_coverage"""
+
+LABELLED = f"""{STATEMENTS},
+mutated as (
+  select * replace (case when supplier % 9 <> 1 then retained_earnings end as retained_earnings, case when supplier % 11 = 2 then 0.0 else total_liabilities end as total_liabilities),
+    supplier % 10 = 0 as financial from statements),
+{PREVIOUS.format("mutated")},
+scored as (
+  select *, case when not financial and total_assets > 0 then round(
+      6.56 * ((current_assets - current_liabilities) / total_assets) + 3.26 * (retained_earnings / total_assets) + 6.72 * (ebit / total_assets)
+      + 1.05 * (case when total_liabilities = 0 then 99.0 when total_liabilities > 0 then equity / total_liabilities end), 4) end as z_score, {FLAGS}
+  from previous),
+counted as (
+  select *, list_filter([case when high_debt_to_asset then 'high_debt_to_asset' end, case when negative_equity then 'negative_equity' end,
+      case when two_quarter_net_loss then 'two_quarter_net_loss' end, case when weak_current_ratio then 'weak_current_ratio' end,
+      case when weak_interest_coverage then 'weak_interest_coverage' end], lambda x: x is not null) as warnings from scored),
+labelled as (
+  select *, len(warnings) as n_warnings,
+    case when financial then null when z_score is null and len(warnings) >= 2 then 1 when z_score is null then null when z_score < 1.1 or len(warnings) >= 2 then 1 else 0 end as distress_label,
+    case when financial then 'financial_sector_excluded' else array_to_string(list_filter(warnings || [
+      case when z_score is null and len(warnings) >= 2 then 'z_score_null' when z_score is null then 'insufficient_data' when z_score < 1.1 then 'z_score_distress_zone'
+        when len(warnings) >= 2 then null when z_score > 2.6 then 'z_score_safe_zone' else 'gray_zone_monitor' end,
+      case when total_liabilities = 0 and z_score is not null then 'zero_liabilities_x4_capped' end], lambda x: x is not null), ';') end as distress_reason,
+    case when financial then null when z_score is null and len(warnings) >= 2 then 'medium' when z_score is null then null when z_score < 1.1 then 'high'
+      when len(warnings) >= 2 then 'medium' when z_score > 2.6 then 'high' else 'low' end as label_confidence,
+    not financial and coalesce(z_score < 1.1 or len(warnings) >= 2 or z_score > 2.6, len(warnings) >= 2) as training_eligible
+  from counted)"""
+
+REPORT = f"""with {COMPANIES}, latest as (
+  select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc nulls last, l_partkey desc, l_suppkey desc) = 1)
+select sector, count(distinct supplier) as company_count, count(*) as statement_count, count(distinct (l_orderkey, l_linenumber)) as record_count,
+  sum(l_extendedprice::decimal(18,2))::double as total_assets
+from latest join companies on l_suppkey = supplier group by sector"""
+
+LATEST = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate from lineitem
+qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc nulls last, l_partkey desc, l_suppkey desc) = 1"""
+
+ASOF = """select p.event_id, p.user_id, p.ts, v.event_id as feature_event_id, v.ts as feature_ts, v.value as feature_value
+from (select * from events where event_type = 'purchase') p asof left join (
+  select * from events where event_type = 'view' qualify row_number() over (partition by user_id, ts order by event_id desc) = 1) v
+on p.user_id = v.user_id and p.ts >= v.ts"""
+
+REFERENCE = """reference as (
+  select event_id, 'U' || user_id::varchar as ticker, case when event_id % 20 = 0 then ts + interval 1 day else ts end as reference_ts from events where event_id % 10 = 0)"""
+
+TICKS = """base as (
+  select event_id as id, event_id * 2 as seq, floor(epoch(ts))::bigint - case when event_id % 7 = 0 then event_id * 997 % 20000 else 0 end as ts,
+    'U' || user_id::varchar as ticker, case when event_id % 101 <> 0 then value end as price, 1 as volume from events),
+ticks as (select * from base union all select id, seq + 1, ts, ticker, price, volume from base where id % 66 = 0)"""
+
+
+def routed(dedup: bool) -> str:
+    dup = "valid and row_number() over (partition by valid, id order by seq) > 1" if dedup else "false"
+    return f"""{TICKS},
+flagged as (select *, {dup} as dup from (select *, price is not null as valid from ticks)),
+topped as (select *, max(case when valid and not dup then ts end) over (order by seq rows between unbounded preceding and 1 preceding) as top from flagged),
+routed as (
+  select *, greatest(coalesce(top, ts), ts) - 7200 as mark,
+    case when not valid then 'invalid' when dup then 'duplicate' when ts + 10800 < greatest(coalesce(top, ts), ts) - 7200 then 'too_late'
+      when ts < greatest(coalesce(top, ts), ts) - 7200 then 'allowed_late' else 'on_time' end as route from topped)"""
+
+
+def check(dataset: str, name: str, metric: str, source: str, severity: str = "critical", bad: str = "m > 0", limit: str = "0.0") -> str:
+    failing = "fail" if severity == "critical" else "warning"
+    return f"""select '{dataset}' as dataset_name, '{name}' as check_name, case when {bad} then '{failing}' else 'pass' end as status, '{severity}' as severity,
+  m::double as metric_value, {limit}::double as threshold_value from (select {metric} as m from {source})"""
+
+
+CHECKS = {
+    "dq_not_null": f"with {RAW} " + check("statements", "not_null:ticker", "count(*) filter (ticker is null)", "raw"),
+    "dq_unique": check("lineitem", "unique:l_orderkey,l_linenumber", "coalesce(sum(n - 1), 0)", "(select count(*) as n from lineitem group by l_orderkey, l_linenumber)"),
+    "dq_referential": check("orders", "referential:o_custkey", "count(*)", "(select case when o_orderkey % 100 = 0 then -1 else o_custkey end as k from orders) where k is null or k not in (select c_custkey from customer)"),
+    "dq_range": check("lineitem", "range:l_discount", "count(*) filter (l_discount not between 0.0 and 0.09)", "lineitem"),
+    "dq_retention": check("lineitem", "retention", "(select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)) / (select count(*) from lineitem)", "range(1)", "warning", "m < 0.8", "0.8"),
+    "dq_volume_change": check("orders", "volume_change", "abs(count(*) filter (o_orderdate >= '1996-01-01') - count(*) filter (o_orderdate < '1996-01-01')) / count(*) filter (o_orderdate < '1996-01-01')", "orders", "warning", "m > 0.5", "0.5"),
+    "dq_schema": check("nation", "schema", "1", "range(1)"),
+    "dq_pit": check("features", "point_in_time", "count(*) filter (feature_ts > ts)", f"({ASOF})"),
+}
+
+ORACLES: dict[str, str] = {
+    "scan_parquet": "select l_orderkey, l_linenumber, l_quantity from lineitem where l_shipdate >= '1995-01-01' and l_quantity < 10",
+    "scan_optional": "select r_regionkey, r_name from region",
+    "scan_glob": "select year(o_orderdate)::int as order_year, count(*) as order_count from orders where o_orderstatus = 'F' group by 1",
+    "scan_run_filter": "select event_id, event_type, value from events where event_id % 3 = 1",
+    "src_decode_json": "select event_id, (props::json ->> 'k')::bigint as k from events",
+    "src_manifest": "select n_nationkey as country_id, n_name as country from nation",
+    "src_views": f"with {COMPANIES} select sector, count(*) as companies from companies group by sector",
+    "proj_normalize_cols": "select n_nationkey as nation_key, n_name from nation",
+    "flt_typed": f"with {RAW} select * from valid",
+    "flt_required": f"with {RAW} select failure_reason, count(*) as failed_rows from judged where failure_reason <> '' group by 1",
+    "flt_enum": f"with {RAW} select count(*) as not_allowed from judged where failure_reason like '%exchange: not allowed%'",
+    "flt_blank_null": f"with {RAW} select count(*) filter (trim(report_period) = '') as blank_periods, count(*) filter (net_income = '') as blank_incomes from raw",
+    "flt_boolean": f"with {RAW} select case audited when 'YES' then true when '0' then false end as audited, count(*) as rows_with from raw group by 1",
+    "flt_missing_required_col": f"with {RAW} select 0 as valid_rows, count(*) as failed_rows from raw",
+    "silver_pipeline": f"with {RAW} select * from valid",
+    "contract_validate": "select * from (values ('audited', 'missing'), ('exchange', 'missing'), ('current_assets', 'extra'), ('current_liabilities', 'extra'), ('ebit', 'extra'), ('equity', 'extra'), ('fiscal_quarter', 'extra'), ('fiscal_year', 'incompatible'), ('interest_expense', 'extra'), ('retained_earnings', 'extra'), ('supplier', 'extra'), ('total_liabilities', 'extra')) t(column_name, problem)",
+    "proj_keys": f"select o_orderkey, {key('c_name')} as company_key, strftime(o_orderdate, '%Y%m%d')::int as date_key from orders join customer on o_custkey = c_custkey",
+    "proj_reference_date": "select o_orderkey, case when o_orderkey % 2 = 0 or o_orderkey % 3 = 0 then o_orderdate::date else make_date(year(o_orderdate)::int, 1, 1) end as reference_date from orders",
+    "proj_pick_prefix": "select n_nationkey as feature_n_nationkey, n_name as feature_n_name, n_regionkey as feature_n_regionkey from nation",
+    "proj_ratios": f"with {STATEMENTS} select ticker, report_period, "
+    + ", ".join(
+        f"round(case when {b} > 0 then {a} / {b} end, 6) as {n}"
+        for n, a, b in (
+            ("current_ratio", "current_assets", "current_liabilities"),
+            ("debt_to_asset", "total_liabilities", "total_assets"),
+            ("debt_to_equity", "total_liabilities", "equity"),
+            ("return_on_assets", "net_income", "total_assets"),
+            ("return_on_equity", "net_income", "equity"),
+            ("interest_coverage", "ebit", "interest_expense"),
+        )
+    )
+    + " from statements",
+    "flt_year": f"with {STATEMENTS} select ticker, report_period, total_assets from statements where fiscal_year = 1996",
+    "flt_substring_search": "select p_partkey, p_name, p_type from part where lower(p_name) like '%a%' and lower(p_type) like '%b%'",
+    "flt_point_lookup": f"with {STATEMENTS} select ticker, report_period, total_assets from statements where ticker = 'Supplier#000000007' order by report_period desc limit 1",
+    "join_inner_equi": f"with {COMPANIES}, {STATEMENTS} select exchange, count(*) as statement_count from statements s join companies c on s.ticker = c.ticker group by 1",
+    "join_broadcast": "select n_name, count(*) as customers, sum(c_acctbal::decimal(18,2))::double as balance from customer join nation on c_nationkey = n_nationkey group by 1",
+    "join_exists": "select o_orderkey, o_totalprice from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity >= 49)",
+    "join_left_anti": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "join_asof": ASOF,
+    "join_asof_range": ASOF,
+    "join_asof_ref_ts": f"with {PRICES}, {REFERENCE} select event_id, r.ticker, reference_ts, trading_date::timestamp as feature_price_ts, close_price as feature_close_price, volume as feature_volume from reference r asof left join price_facts p on r.ticker = p.ticker and r.reference_ts >= p.trading_date::timestamp",
+    "agg_sector_baseline": REPORT,
+    "agg_two_level_salted": REPORT,
+    "equivalence_check": "select 0 as only_left, 0 as only_right",
+    "canonical_digest": "select true as same, 64 as digest_length",
+    "agg_latest_by_key": LATEST,
+    "win_row_number_latest": LATEST,
+    "agg_having_dups": "select l_orderkey, l_linenumber, count(*) as row_count from lineitem group by 1, 2 having count(*) > 1",
+    "agg_label_dist": f"with {LABELLED} select distress_label, count(*) as n from labelled group by 1",
+    "agg_table_count": " union all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in ("customer", "orders", "lineitem", "supplier", "part", "events")),
+    "agg_cond_sum": f"with {SNAPSHOTS} select count(*) filter (is_current) as current_rows, count(*) as all_rows from versions",
+    "agg_rate": "select event_type, avg((value > 50)::int::double) as share, count(distinct user_id) as users from events group by 1",
+    "agg_ordered_list": "select n_regionkey, string_agg(n_name, ',' order by n_nationkey, n_name) as nations from nation group by 1",
+    "agg_min_max_union": "select min(d) as first_date, max(d) as last_date from (select o_orderdate::date as d from orders union all select l_shipdate::date from lineitem union all select ts::date from events)",
+    "agg_window_counts": "select count(*) as windows, median(n)::double as median_count, max(n) as largest_count, round(max(n) / median(n), 6) as burst_ratio from (select count(*) as n from events group by floor(floor(epoch(ts)) / 3600))",
+    "win_lag_return": f"with {PRICES} select ticker, trading_date, {key('ticker')} as company_key, strftime(trading_date, '%Y%m%d')::int as date_key, round(daily_return, 6) as daily_return, coalesce(abs(daily_return) > 0.07, false) as volatility_signal from price_facts",
+    "win_volatility": f"with {PRICES} select coalesce(abs(daily_return) > 0.07, false) as volatility_signal, count(*) as n from price_facts group by 1",
+    "win_prev_quarter": f"with {STATEMENTS}, {PREVIOUS.format('statements')} select ticker, report_period, net_income, previous_net_income from previous",
+    "win_running_watermark": f"with {TICKS} select seq, ts, max(ts) over (order by seq rows between unbounded preceding and 1 preceding) as watermark from ticks",
+    "dim_date": "select strftime(d, '%Y%m%d')::int as date_key, d::date as calendar_date, isodow(d)::int as day_of_week, month(d)::int as month, quarter(d)::int as quarter, year(d)::int as year, isodow(d) >= 6 as is_weekend from (select unnest(generate_series(min(o_orderdate)::date, max(o_orderdate)::date, interval 1 day)) as d from orders)",
+    "iso_weekdays": "select isodow(o_orderdate)::int as day_of_week, count(*) as orders from orders group by 1",
+    "z_score": f"with {LABELLED} select ticker, report_period, z_score from labelled",
+    "warning_rules": f"with {STATEMENTS}, {PREVIOUS.format('statements')} select ticker, report_period, {FLAGS} from previous",
+    "distress_label": f"with {LABELLED} select ticker, report_period, distress_label, distress_reason, label_confidence, training_eligible, n_warnings from labelled",
+    "sector_exclusion": "select s_name as ticker, s_suppkey % 5 = 0 or s_suppkey % 7 = 0 as excluded from supplier",
+    "obt": f"with {LABELLED} select s.ticker, s.report_period, s.total_assets, round(case when s.total_assets > 0 then s.total_liabilities / s.total_assets end, 6) as debt_to_asset, distress_label, label_confidence from statements s left join labelled l on s.ticker = l.ticker and s.report_period = l.report_period",
+    "feat_financial": f"with {STATEMENTS} select 'financial' as feature_family, ticker, report_period as feature_period, round(case when total_assets > 0 then net_income / total_assets end, 6) as feature_roa, interest_expense as feature_interest from statements",
+    "feat_market": f"with {PRICES} select 'market' as feature_family, ticker, trading_date as feature_date, close_price as feature_close, coalesce(round(daily_return, 6), 0.0) as feature_return from price_facts",
+    "feat_news": f"select 'news' as feature_family, event_id, 'U' || user_id::varchar as ticker, {key("'U' || user_id::varchar")} as company_key, strftime(ts, '%Y%m%d')::int as date_key, value as feature_score from events where event_type = 'click'",
+    "fact_alert": f"select event_id, 'U' || user_id::varchar as ticker, {key("'U' || user_id::varchar")} as company_key, strftime(ts, '%Y%m%d')::int as date_key, event_type from events where value > 90",
+    "fact_fin": f"with {STATEMENTS} select ticker, report_period, {key('ticker')} as company_key, (fiscal_year * 10000 + 101)::int as date_key, total_assets from statements",
+    "pit_unified": f"with {PRICES}, {REFERENCE} select event_id, r.ticker, close_price as feature_close_price, round(daily_return, 6) as feature_daily_return from reference r asof left join price_facts p on r.ticker = p.ticker and r.reference_ts >= p.trading_date::timestamp",
+    "flt_pit_leak": "select 0 as leaks",
+    "scd2_rebuild": f"with {SNAPSHOTS} select * from versions",
+    "scd2_merge": f"with {SNAPSHOTS} select * from versions",
+    "win_change_detect": f"with {SNAPSHOTS} select ticker, count(*) as versions from versions group by 1",
+    "win_lead_validity": f"with {SNAPSHOTS} select ticker, seq, valid_from_ts, valid_to_ts, is_current from versions",
+    "union_positional": "select nation, count(*) as n from (select c_nationkey as nation from customer union all select s_nationkey from supplier) group by 1",
+    "union_by_name": "select s_name as name, null::varchar as segment from supplier union all select c_name, c_mktsegment from customer",
+    "union_dates": "select o_orderdate::date as day from orders union select ts::date from events",
+    "distinct_keys": "select distinct l_suppkey, l_returnflag from lineitem",
+    "sort_global": "select s_suppkey, s_acctbal from supplier order by s_acctbal desc, s_suppkey",
+    "topk_recent": "select o_orderkey, o_orderdate, o_totalprice from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 25",
+    "limit_n": "select n_nationkey, n_name from nation order by n_nationkey limit 20",
+    "page_offset": "select c_custkey, c_name from customer order by c_custkey limit 20 offset 40",
+    **CHECKS,
+    "dq_freshness": "select 'orders' as dataset_name, 'freshness:o_orderdate' as check_name, case when m is null then 'warning' when m < 0 then 'fail' when m > 1440 then 'warning' else 'pass' end as status, case when m < 0 then 'critical' else 'warning' end as severity, m as metric_value, 1440.0::double as threshold_value from (select (epoch(timestamp '2005-01-01 00:00:00') - floor(epoch(max(o_orderdate)))) / 60 as m from orders)",
+    "dq_suite": " union all ".join(f"(select * from ({CHECKS[k]}))" for k in ("dq_not_null", "dq_unique", "dq_referential", "dq_range", "dq_retention", "dq_volume_change", "dq_schema", "dq_pit")),
+    "publish_gate": " union all ".join(
+        [check(t, f"unique:{k}", "coalesce(sum(n - 1), 0)", f"(select count(*) as n from {t} group by {k})") for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))]
+        + [check("lineitem", "referential:l_orderkey", "count(*)", "lineitem where l_orderkey is null or l_orderkey not in (select o_orderkey from orders)")]
+    ),
+    "profile_digest": "select count(*) as part_rows, true as same from part",
+    "docs_by_content": "select sha256(coalesce(text, '')) as content_hash, min(doc_id) as kept_id, count(*) as copies from documents group by 1",
+    "join_left_multi": f"with {STATEMENTS}, {PREVIOUS.format('statements')}, flagged as (select *, {FLAGS}, total_assets > 0 as ok from previous), judged as (select *, round(6.56 * ((current_assets - current_liabilities) / total_assets) + 3.26 * (retained_earnings / total_assets) + 6.72 * (ebit / total_assets) + 1.05 * (case when total_liabilities = 0 then 99.0 when total_liabilities > 0 then equity / total_liabilities end), 4) as z, high_debt_to_asset::int + negative_equity::int + two_quarter_net_loss::int + weak_current_ratio::int + weak_interest_coverage::int as w from flagged) select fiscal_year::int as fiscal_year, case when coalesce(z < 1.1, false) or w >= 2 then 1 end as distress_label, count(*) as n from judged group by 1, 2",
+    "st_bounded_oracle": f"with {routed(True)} select route, count(*) as n from routed group by 1",
+    "st_routed_no_dedup": f"with {routed(False)} select route, count(*) as n from routed group by 1",
+    "st_too_late": f"with {routed(True)} select id, seq, ts, ticker from routed where route = 'too_late'",
+    "st_batch_windows": f"with {routed(True)} select ticker, ts - ts % 3600 as window_start, ts - ts % 3600 + 3600 as window_end, count(*) as event_count, sum(volume)::bigint as total_volume from routed where route in ('on_time', 'allowed_late') group by all",
+    "st_tumbling": "select 'U' || user_id::varchar as ticker, (floor(epoch(ts)) - floor(epoch(ts)) % 3600)::bigint as window_start, count(*) as event_count, count(*) as total_volume from events group by 1, 2",
+    "st_dedup_ttl": "select count(*) as event_count, count(distinct (user_id, floor(epoch(ts) / 3600))) as windows from events",
+    "st_parse_side_output": "select count(*) filter (event_id % 50 <> 0) as valid_rows, count(*) filter (event_id % 50 <> 0) as volume, count(*) filter (event_id % 50 = 0) as invalid_rows from events",
+    "compact_files": "select 12 as files_before, 1 as files_after, count(*) as rows from orders",
+    "repartition_layout": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2",
+    "sink_staged_publish": "select r_regionkey, r_name from region where r_regionkey < 3",
+    "sink_upsert": "select o_custkey, max(o_orderdate) as o_orderdate from orders group by 1",
+    "lineage_audit": "select * from (values ('silver', 1, true), ('labels', 1, true), ('features', 2, true)) t(pipeline, edges, complete)",
+    "zorder": "with s as (select p_partkey, case when max(p_size) over () > min(p_size) over () then floor((p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ()) * 15)::bigint else 0 end as a, case when max(price) over () > min(price) over () then floor((price - min(price) over ()) / (max(price) over () - min(price) over ()) * 15)::bigint else 0 end as b from (select *, p_retailprice::decimal(12,2)::double as price from part)) select p_partkey, "
+    + " + ".join(f"((a >> {k}) & 1) * {4**k} + ((b >> {k}) & 1) * {2 * 4**k}" for k in range(4))
+    + " as z_key from s",
+}
