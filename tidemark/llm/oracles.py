@@ -1,3 +1,86 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from tidemark.llm.licenses import PHRASES, TEMPLATES, _mandatory, index
+from tidemark.llm.quality import RULES, STOP_WORDS, SYMBOLS
+from tidemark.llm.shared import UPPER
+
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def lower(c: str) -> str:
+    return f"translate({c}, '{UPPER}', '{UPPER.lower()}')"
+
+
+def quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def quality_sql() -> str:
+    per = lambda a, b: f"coalesce({a}::double / nullif({b}, 0), 0.0)"
+    measures = {
+        "n_words": "n_words",
+        "repeat_word_ratio": per("n_repeat_words", "n_words"),
+        "mean_word_length": per("word_chars", "n_words"),
+        "symbols_per_word": per("n_symbols", "n_words"),
+        "stop_word_ratio": per("n_stop", "n_words"),
+        "duplicate_line_ratio": per("n_dup_lines", "n_lines"),
+        "ellipsis_line_ratio": per("n_ellipsis", "n_lines"),
+        "upper_case_ratio": per("n_upper", "n_chars"),
+    }
+    broken = []
+    for r in RULES:
+        tests = [f"{measures[r.measure]} < {r.low}"] * (r.low is not None) + [f"{measures[r.measure]} > {r.high}"] * (r.high is not None)
+        broken.append(f"case when {' or '.join(tests)} then '{r.measure}' end")
+    return f"""
+with docs as (select row_number() over () as row, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+windows as (select row, i, w[i:i + 2] as k from docs, unnest(range(1, len(w) - 1)) as u(i)),
+repeated as (select row, i from windows qualify count(*) over (partition by row, k) > 1),
+covered as (select row, count(distinct i + o) as n from repeated, (values (0), (1), (2)) as v(o) group by row),
+counts as (
+  select docs.row, doc_id, len(w) as n_words, length(regexp_replace(t, '{SPACE}+', '', 'g')) as word_chars, length(t) as n_chars,
+    length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) as n_symbols, coalesce(n, 0) as n_repeat_words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper,
+    len(list_filter(w, lambda x: rtrim({lower('x')}, '.,;:!?') in ({quoted(STOP_WORDS)}))) as n_stop
+  from docs left join covered on docs.row = covered.row),
+measured as (
+  select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…){SPACE}*$'))) as n_ellipsis from counts),
+judged as (select *, list_filter([{', '.join(broken)}], lambda x: x is not null) as broken from measured)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  len(broken) = 0 as kept, array_to_string(broken, ',') as broken_rules
+from judged"""
+
+
+def licenses_sql(votes: int = 2, least: float = 0.5) -> str:
+    rare = {w for w, _, _ in index().postings}
+    words = ", ".join(
+        f"({k}, '{t.label}', {p}, '{w}', {w in rare}, {(p, w) in set(_mandatory(t))}, {len(t.text.split())}, {min(votes, sum(x in rare for x in t.text.split()))}, {len(set(_mandatory(t)))})"
+        for k, t in enumerate(TEMPLATES)
+        for p, w in enumerate(t.text.split())
+    )
+    base = " union all ".join(
+        f"select row, pos, '{label}' as label from tokens where word = '{p.split()[0]}'"
+        + "".join(f" and lead(word, {k}) over (partition by row order by pos) = '{w}'" for k, w in enumerate(p.split()[1:], 1))
+        for p, label in PHRASES.items()
+    ).replace(" where word", " qualify word")
+    return f"""
+with docs as (select row_number() over () as row, doc_id, regexp_extract_all({lower("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+tokens as (select row, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos from docs),
+places as ({base}),
+based as (select row, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as base from places group by row),
+template(k, label, p, word, rare, must, size, need, musts) as (values {words}),
+aligned as (
+  select row, k, any_value(label) as label, pos - p as o, count(*) as same, count(*) filter (rare) as votes, count(*) filter (must) as must, any_value(size) as size, any_value(need) as need, any_value(musts) as musts
+  from tokens join template on tokens.word = template.word group by row, k, pos - p),
+found as (select row, list(distinct label) as labels, max(same / size) as score from aligned where o >= 0 and votes >= need and must = musts and same / size >= {least} group by row)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ','), '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(score, 0.0) end::double as score
+from docs left join based on docs.row = based.row left join found on docs.row = found.row"""
+
+
+ORACLES: dict[str, str] = {"op6_quality": quality_sql(), "op7_licenses": licenses_sql()}
