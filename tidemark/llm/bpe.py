@@ -33,7 +33,7 @@ from tidemark.llm.shared import worker_cache
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _USUAL = re.compile(rf"[\t\n\r !-~¡¿«»–—‘’“”„…€{_LETTERS}]*")
 #: Entries of a worker's memory before it starts afresh.
-KEPT = 300_000
+KEPT = 800_000
 
 
 def byte_symbols() -> list[str]:
