@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+    """Within, Spark hands Python workers Arrow batches of at most about `limit`, so their memory does not depend on the length of rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df: computed once, lineage cut, files in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 class Table:
@@ -35,7 +53,8 @@ class Table:
     def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", codec).parquet(self.path)
+        with small_batches(self.spark):
+            df.write.option("compression", codec).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
