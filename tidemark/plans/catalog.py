@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, boolean, date_key, iso_weekday, surrogate_key
-from tidemark.operators import aggregates, asof, contracts, dedup, events, facts, labels, layout, quality, scd2
+from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, quality, scd2
 from tidemark.sources import generator, tables
 from tidemark.sources.tables import table
 from tidemark.streaming import prices as stream
@@ -737,3 +738,118 @@ def lineage_audit(spark, d):
     rows = [("silver", "raw", "statements"), ("labels", "statements", "labels"), ("features", "labels", "features"), ("features", "prices", "features")]
     edges = spark.createDataFrame(rows, "pipeline string, source string, target string")
     return edges.groupBy("pipeline").agg(F.count("*").alias("edges"), F.min((F.col("source") != "") & (F.col("target") != "")).alias("complete"))
+
+
+# ---- audits, sinks and generators
+
+
+@query
+def flt_event_valid(spark, d):
+    e = table(spark, d, "events")
+    tick = F.to_json(F.struct("event_id", F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("ts"), F.when(F.col("event_id") % 10 == 0, F.lit("high")).otherwise(F.col("value").cast("string")).alias("price"), "event_type"))
+    raw = F.when(F.col("event_id") % 50 == 0, F.lit("{not json")).otherwise(tick)
+    fields = {"event_id": "bigint", "ts": "timestamp", "price": "double", "event_type": "string"}
+    return e.select(audits.valid_event(fields, raw).alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@query
+def flt_row_contract(spark, d):
+    _, failed = contracts.validate(_raw_statements(spark, d), STATEMENTS)
+    return failed.groupBy(F.split("failure_reason", "; ")[0].alias("first_error")).agg(F.count("*").alias("n"))
+
+
+@query
+def proj_align_schema(spark, d):
+    aligned = contracts.align(contracts.normalize_columns(_raw_statements(spark, d).drop("audited")), STATEMENTS)
+    return aligned.agg(F.count("*").alias("all_rows"), F.count("audited").alias("audited_rows"), F.count("ticker").alias("ticker_rows"))
+
+
+@query
+def proj_stream_to_price(spark, d):
+    t = tables.price_events(spark, d).filter("price is not null")
+    day = F.substring(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss"), 1, 10)
+    return t.select("seq", "ticker", day.alias("trading_date"), *[F.col("price").alias(f"{c}_price") for c in ("open", "high", "low", "close")], "volume")
+
+
+@query
+def session_audit(spark, d):
+    allowed = [("user", "assistant"), ("assistant", "user"), ("system", "user")]
+    bad = audits.bad_transitions(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role", allowed)
+    return bad.groupBy("before", "role").agg(F.count("*").alias("n"))
+
+
+@query
+def outbox_claim(spark, d):
+    o = table(spark, d, "orders").withColumn("lease", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")))
+    now = F.lit("1996-06-01").cast("timestamp_ntz")
+    return o.filter(audits.claimable(F.col("o_orderkey") % 8, F.col("lease"), now)).select("o_orderkey")
+
+
+@query
+def label_time_split(spark, d):
+    parts = audits.time_split(table(spark, d, "orders"), "o_orderdate", ["1995-01-01", "1997-01-01"])
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts"))
+
+
+@query
+def required_counts(spark, d):
+    return audits.required_counts({t: table(spark, d, t) for t in ("customer", "orders")} | {"nothing": table(spark, d, "region").filter("r_regionkey < 0")})
+
+
+@query
+def pit_audit(spark, d):
+    joined = join_asof_ref_ts(spark, d).withColumn("created", F.when(F.col("event_id") % 50 != 0, F.col("reference_ts")))
+    return audits.pit_audit(joined, "feature_price_ts", "reference_ts", "created")
+
+
+@query
+def run_id(spark, d):
+    return spark.createDataFrame([(audits.run_id("silver", "2026-01-01"),)], "run_id string")
+
+
+@query
+def manifest_verify(spark, d):
+    files = audits.file_digests(spark, f"{d}/region.parquet")
+    return audits.verify_manifest(files, files.unionByName(files.withColumn("name", F.lit("gone.parquet")))).filter("problem <> 'listed twice'")
+
+
+@query
+def st_microbatch(spark, d):
+    t = tables.price_events(spark, d).withColumn("event_date", F.to_date(F.timestamp_seconds("ts")))
+    return audits.microbatches(t, ["event_date"], "seq", 10, 3600, "ts").groupBy("event_date", "batch").agg(F.count("*").alias("n"))
+
+
+@query
+def agg_stream_price(spark, d):
+    t = tables.price_events(spark, d).filter("price is not null").select("id", "seq", "ticker", F.col("price").cast("decimal(18,4)").alias("price"), "volume")
+    return audits.merged_averages(t, ["ticker"], "price", "volume")
+
+
+@query
+def agg_duration_stats(spark, d):
+    e = table(spark, d, "events")
+    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("timestamp"))
+    gaps = e.select("event_type", gap.alias("gap")).filter("gap is not null")
+    return gaps.groupBy("event_type").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.min("gap").alias("shortest"), F.max("gap").alias("longest"))
+
+
+@query
+def sink_jsonl(spark, d):
+    path = f"{_scratch(spark)}/json-{spark.sparkContext.applicationId}-{id(spark)}"
+    table(spark, d, "nation").write.mode("overwrite").json(path)
+    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+
+
+@query
+def sink_bronze_stream(spark, d):
+    path = f"{_scratch(spark)}/bronze-{spark.sparkContext.applicationId}-{id(spark)}-{time.time_ns()}"
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("topic"))
+    # the layout by hour has a folder an hour; a few days are enough to see it
+    stream.bronze(e.filter("ts < timestamp'2024-01-04'"), path)
+    back = tables.optional(spark, path, "event_id long, ts timestamp, topic string, event_date date, event_hour int")
+    return back.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("event_date", "event_hour").alias("hours"))
+
+
+@query
+def sink_kafka_rows(spark, d):
+    return stream.kafka_rows(table(spark, d, "region"), "r_regionkey", "regions")

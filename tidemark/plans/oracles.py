@@ -259,3 +259,23 @@ ORACLES: dict[str, str] = {
     + " + ".join(f"((a >> {k}) & 1) * {4**k} + ((b >> {k}) & 1) * {2 * 4**k}" for k in range(4))
     + " as z_key from s",
 }
+
+ORACLES |= {
+    "flt_event_valid": "select event_id % 50 <> 0 and event_id % 9 <> 0 and event_id % 10 <> 0 as valid, count(*) as n from events group by 1",
+    "flt_row_contract": f"with {RAW} select split_part(failure_reason, '; ', 1) as first_error, count(*) as n from judged where failure_reason <> '' group by 1",
+    "proj_align_schema": f"with {RAW} select count(*) as all_rows, 0 as audited_rows, count(ticker) as ticker_rows from raw",
+    "proj_stream_to_price": f"with {TICKS} select seq, ticker, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') as trading_date, price as open_price, price as high_price, price as low_price, price as close_price, volume from ticks where price is not null",
+    "session_audit": "select before, role, count(*) as n from (select role, lag(role) over (partition by conv_id order by turn) as before from conversations) where before is not null and (before, role) not in (('user', 'assistant'), ('assistant', 'user'), ('system', 'user')) group by 1, 2",
+    "outbox_claim": "select o_orderkey from orders where o_orderkey % 8 < 5 and (o_orderkey % 3 <> 0 or o_orderdate <= timestamp '1996-06-01')",
+    "label_time_split": "select case when o_orderdate >= timestamp '1997-01-01' then 2 when o_orderdate >= timestamp '1995-01-01' then 1 else 0 end as part, count(*) as n, min(o_orderdate) as first_ts, max(o_orderdate) as last_ts from orders group by 1",
+    "required_counts": "select 'customer' as dataset_name, count(*) as row_count, count(*) > 0 as ok from customer union all select 'orders', count(*), count(*) > 0 from orders union all select 'nothing', 0, false",
+    "pit_audit": "select count(*) as row_count, count(*) filter (event_id % 50 = 0) as missing_created, 0 as leaks, count(*) filter (event_id % 50 = 0) = 0 as ok from events where event_id % 10 = 0",
+    "run_id": "select 'silver-' || substr(sha256('silver|2026-01-01'), 1, 12) as run_id",
+    "manifest_verify": "select 'gone.parquet' as name, 'missing' as problem",
+    "st_microbatch": f"with {TICKS}, numbered as (select *, make_timestamp(ts * 1000000)::date as event_date, row_number() over (partition by make_timestamp(ts * 1000000)::date, ts // 3600 order by seq) - 1 as n from ticks) select event_date, (ts // 3600)::varchar || '-' || (n // 10)::varchar as batch, count(*) as n from numbered group by 1, 2",
+    "agg_stream_price": f"with {TICKS} select ticker, count(*) as event_count, round(sum(price::decimal(18,4))::double / count(*), 6) as average_price, sum(volume)::bigint as total_volume from ticks where price is not null group by 1",
+    "agg_duration_stats": "select event_type, median(gap)::double as median_gap, min(gap) as shortest, max(gap) as longest from (select event_type, (floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by ts, event_id))))::bigint as gap from events) where gap is not null group by 1",
+    "sink_jsonl": "select * from nation",
+    "sink_bronze_stream": "select event_type as topic, count(*) as n, count(distinct (ts::date, hour(ts))) as hours from events where ts < timestamp '2024-01-04' group by 1",
+    "sink_kafka_rows": "select r_regionkey::varchar as key, '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey::varchar || '}' as value, 'regions' as topic from region",
+}

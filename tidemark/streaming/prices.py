@@ -53,3 +53,15 @@ def bronze(batch: DataFrame, path: str, ts: str = "ts") -> None:
     """Append a batch below topic / event_date / event_hour."""
     dated = batch.withColumn("event_date", F.to_date(ts)).withColumn("event_hour", F.hour(ts))
     dated.write.mode("append").partitionBy("topic", "event_date", "event_hour").parquet(path)
+
+
+def kafka_source(spark: SparkSession, servers: str, topics: str, bounded: bool = True) -> DataFrame:
+    """Values of Kafka topics from the earliest offset; needs Spark's Kafka package on the class path."""
+    reader = spark.read if bounded else spark.readStream
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": "earliest"}
+    return reader.format("kafka").options(**options).load().selectExpr("cast(value as string) as value", "topic", "timestamp")
+
+
+def kafka_rows(df: DataFrame, key: str, topic: str) -> DataFrame:
+    """Rows as a Kafka sink takes them: JSON with its fields in order of name."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*sorted(df.columns))).alias("value"), F.lit(topic).alias("topic"))
