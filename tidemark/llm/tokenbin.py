@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, delete, shared_dir, worker_cache
+from tidemark.llm.shared import cut, delete, shared_dir, small_batches, worker_cache
 
 MAGIC, END = b"WAVELET1", b"TVW\n"
 CHUNK = 1 << 18
@@ -42,14 +42,102 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 #: Characters whose class no Unicode version changes. Any other sends its text to the library whole.
 _USUAL = re.compile(rf"[\t\n\r !-~¡¿«»–—‘’“”„…€{_LETTERS}]*")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-KEPT = 300_000
+#: Texts that byte classes can cut: no apostrophe, and beyond ASCII only letters of two bytes.
+_LATIN = re.compile(rf"[\t\n\r !-&(-~{_LETTERS}]*")
+#: A worker's memory starts afresh beyond so many pieces.
+KEPT = 1_600_000
+_SPACED = re.compile(rf" [{_LETTERS}]+")
+
+
+# classes of bytes in texts of Latin letters, digits, usual punctuation: letters of two bytes count byte by byte
+_LETTER, _DIGIT, _OTHER, _SPACE, _BREAK = range(5)
+
+
+def byte_classes() -> np.ndarray:
+    classes = np.full(256, _OTHER, np.uint8)
+    for c in range(256):
+        if c >= 128 or chr(c).isalpha():
+            classes[c] = _LETTER
+        elif 48 <= c <= 57:
+            classes[c] = _DIGIT
+    classes[[9, 10, 13]] = _BREAK
+    classes[32] = _SPACE
+    return classes
+
+
+class PieceTable:
+    """The ids of pieces of up to 16 bytes: an open-addressing table in arrays, looked up for many pieces at once.
+
+    Such a piece is known by its first 8 bytes, its last 8 and its length, so a hit is exact.
+    """
+
+    def __init__(self, bits: int = 22):
+        self.bits = bits
+        self.first, self.last = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.value = np.full(1 << bits, -1, np.int32)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1, np.int64)  # ids of value v: flat[at[v] : at[v + 1]]
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First bytes, last bytes with the length in the highest byte's place of the hash, and slot. `words` are the 8 bytes before and at each place, 8 places on."""
+        spare = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
+        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        first = words[start + 8] & (full >> spare)
+        over = np.maximum(size, 8) - 8
+        last = np.where(over > 0, words[start + size], np.uint64(0))
+        # the length tells apart pieces that end in zero bytes
+        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((last + size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        return first, last ^ (size.astype(np.uint64) << np.uint64(59)), (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, first: np.ndarray, last: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 if it is not there."""
+        out = np.full(len(slot), -1, np.int32)
+        todo, place, mask = np.arange(len(slot)), slot, (1 << self.bits) - 1
+        while len(todo):
+            value = self.value[place]
+            hit = (value >= 0) & (self.first[place] == first[todo]) & (self.last[place] == last[todo])
+            out[todo[hit]] = value[hit]
+            on = ~hit & (value >= 0)
+            todo, place = todo[on], (place[on] + 1) & mask
+        return out
+
+    def add(self, first: np.ndarray, last: np.ndarray, slot: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct keys that are not there, with their ids."""
+        base = len(self)
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        used, more = int(self.at[-1]), int(sizes.sum())
+        while used + more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + more] = np.frombuffer(b"".join(ids), "<u4")
+        self.at = np.concatenate([self.at, used + np.cumsum(sizes)])
+        todo, place, mask = np.arange(len(slot)), slot.copy(), (1 << self.bits) - 1
+        while len(todo):
+            free = self.value[place] < 0
+            self.value[place[free]] = base + todo[free]
+            own = free & (self.value[place] == base + todo)
+            self.first[place[own]], self.last[place[own]] = first[todo[own]], last[todo[own]]
+            todo, place = todo[~own], (place[~own] + 1) & mask
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of one of each distinct pair."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    return order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]
 
 
 class PieceEncoder:
     """The tokenizers library's ids of whole texts under a byte-level file.
 
     The library cuts a text into pieces and encodes each alone, so equal pieces have equal ids: the library
-    encodes each distinct piece once and the ids of a text are those of its pieces in order.
+    encodes each distinct piece once and the ids of a text are those of its pieces in order. New pieces that are
+    a space and letters are handed to it as one text, whose words they are again. Texts of usual characters
+    without apostrophes are cut by byte classes, all texts of a batch together; with them, by the library's
+    pattern; any others are encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -65,21 +153,107 @@ class PieceEncoder:
         step = spec["pre_tokenizer"]
         self.by_piece = spec["normalizer"] is None and step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
         self.known: dict[str, bytes] = {}
+        self.table = PieceTable()
+        self.classes = byte_classes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def learned(self, pieces: list[str]) -> dict[str, bytes]:
+        """The library's ids of pieces."""
+        spaced = [p for p in pieces if _SPACED.fullmatch(p)]
+        others = list(set(pieces).difference(spaced))
+        found: dict[str, bytes] = {}
+        joined = [spaced[k : k + 4096] for k in range(0, len(spaced), 4096)]
+        for words, e in zip(joined, self.library.encode_batch(["".join(ws) for ws in joined], add_special_tokens=False), strict=True):
+            word = np.array(e.word_ids, np.int64)
+            if len(word) and word[-1] != len(words) - 1:  # not cut as expected
+                others += words
+                continue
+            data = np.array(e.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(word, np.arange(len(words)), "right")).tolist()
+            found.update(zip(words, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        found.update(zip(others, self.whole(others), strict=True))
+        return found
+
+    def _remember(self, pieces: set[str]) -> dict[str, bytes]:
+        if len(self.known) > KEPT // 4:
+            self.known.clear()
+        self.known.update(self.learned(list(pieces.difference(self.known))))
+        return self.known
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         usual = [self.by_piece and _USUAL.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        pieces = [_PIECE.findall(t) if u else [] for t, u in zip(texts, usual, strict=True)]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(new, self.whole(new), strict=True))
+        plain = [u and _LATIN.fullmatch(t) is not None for t, u in zip(texts, usual, strict=True)]
+        pieces = [_PIECE.findall(t) if u and not p else [] for t, u, p in zip(texts, usual, plain, strict=True)]
+        known = self._remember(set().union(*pieces)) if any(pieces) else {}
         odd = iter(self.whole([t for t, u in zip(texts, usual, strict=True) if not u]))
-        known = self.known
-        return [b"".join([known[p] for p in ps]) if u else next(odd) for ps, u in zip(pieces, usual, strict=True)]
+        by_class = iter(self.by_class([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(by_class) if p else b"".join([known[x] for x in ps]) if u else next(odd) for p, u, ps in zip(plain, usual, pieces, strict=True)]
+
+    def cut(self, data: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The joined texts, where their pieces start, and where the texts end."""
+        joined = b"".join(data)
+        ends = np.cumsum([len(d) for d in data])
+        c = self.classes[np.frombuffer(joined, np.uint8)]
+        blank = c >= _SPACE
+        start = np.zeros(len(c), bool)
+        # a piece starts where the class changes, after a line break, and where white space begins; a space before
+        # a word belongs to the word
+        word = ~blank[1:] & (((c[1:] != c[:-1]) & ~blank[:-1]) | (c[:-1] == _BREAK))
+        start[1:] = word | (blank[1:] & ~blank[:-1])
+        # the last of several white characters before a word stands apart from the others
+        start[1:-1] |= blank[1:-1] & blank[:-2] & ~blank[2:] & (np.isin(np.arange(2, len(c)), ends, invert=True) if len(c) > 2 else True)
+        begins = np.concatenate([[0], ends[:-1]])
+        start[begins[begins < len(c)]] = True
+        return joined, np.flatnonzero(start), ends
+
+    def by_class(self, texts: list[str]) -> list[bytes]:
+        data = [t.encode() for t in texts]
+        if not sum(map(len, data)):
+            return [b""] * len(data)
+        joined, start, ends = self.cut(data)
+        size = np.diff(start, append=len(joined))
+        table = self.table
+        if len(table) > KEPT:
+            table = self.table = PieceTable()
+        padded = b"\0" * 8 + joined + b"\0" * 8
+        words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        first, last, slot = table.keys(words, start, np.minimum(size, 16))
+        value = table.find(first, last, slot)
+        long = np.flatnonzero(size > 16)
+        value[long] = 0
+        missing = np.flatnonzero((value < 0) & (size <= 16))
+        if len(missing):
+            where = missing[_distinct(first[missing], last[missing])]
+            names = [joined[a : a + m].decode() for a, m in zip(start[where].tolist(), size[where].tolist(), strict=True)]
+            learned = self.learned(names)
+            table.add(first[where], last[where], slot[where], [learned[x] for x in names])
+            value[missing] = table.find(first[missing], last[missing], slot[missing])
+        count = table.at[value + 1] - table.at[value] if len(table) else np.zeros(len(value), np.int64)
+        own: list[bytes] = []
+        if len(long):
+            names = [joined[a : a + m].decode() for a, m in zip(start[long].tolist(), size[long].tolist(), strict=True)]
+            known = self._remember(set(names))
+            own = [known[x] for x in names]
+            count[long] = [len(x) // 4 for x in own]
+        stop = np.cumsum(count)
+        flat = np.empty(int(stop[-1]), np.uint32)
+        short = np.ones(len(value), bool)
+        short[long] = False
+        n = count[short]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        flat[np.repeat((stop - count)[short], n) + inner] = table.flat[np.repeat(table.at[value[short]], n) + inner]
+        if own:
+            n = count[long]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat((stop - count)[long], n) + inner] = np.frombuffer(b"".join(own), "<u4")
+        # tokens before the first piece at or after each text's end
+        total = np.concatenate([[0], stop])
+        bounds = total[np.searchsorted(start, ends)].tolist()
+        raw = flat.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)]
 
 
 def build(ids: np.ndarray, planes: int, doc_ids: list, lengths: list[int], part: int, shard: int) -> bytes:
@@ -98,18 +272,18 @@ def build(ids: np.ndarray, planes: int, doc_ids: list, lengths: list[int], part:
     seq = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     chunks_at = []
     for level in range(planes - 1, -1, -1):
-        bits = ((seq >> level) & 1).astype(bool)
+        bits = (seq & seq.dtype.type(1 << level)) != 0
         offsets, blobs, before, ones = [0], [], [], 0
         for k in range(0, max(len(bits), 1), CHUNK):
             part_bits = bits[k : k + CHUNK]
             blobs.append(pack.compress(np.packbits(part_bits, bitorder="little").tobytes()))
             before.append(ones)
-            ones += int(part_bits.sum())
+            ones += int(np.count_nonzero(part_bits))
             offsets.append(offsets[-1] + len(blobs[-1]))
         put(f"ones{level}", pack.compress(np.array([*before, ones], "<u8").tobytes()))
         put(f"bits{level}", b"".join(blobs))
         chunks_at.append(offsets)
-        seq = np.concatenate([seq[~bits], seq[bits]])
+        seq = np.concatenate([np.compress(~bits, seq), np.compress(bits, seq)])
     head = {"n": len(ids), "planes": planes, "part": part, "shard": shard, "docs": len(lengths), "null_ids": known.count(False), "sections": where, "chunks": chunks_at}
     header = json.dumps(head, separators=(",", ":")).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(sections)
@@ -201,8 +375,9 @@ class Shard:
         for p in range(self.planes - 1, -1, -1):
             bits = np.concatenate([self.bits(p, c) for c in range(len(self.ones[p]) - 1)]) if self.n else np.zeros(0, bool)
             above = np.empty(self.n, kind)
-            above[~bits] = seq[: self.zeros[p]]
-            above[bits] = seq[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
+            # by place, which is faster than by mask where bits look random
+            above[np.flatnonzero(~bits)] = seq[: self.zeros[p]]
+            above[np.flatnonzero(bits)] = seq[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             seq = above
         return seq
 
@@ -254,7 +429,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id: str = "
     shards = sorted_rows.mapInArrow(run, "payload binary")
     # the text sink writes a column's bytes as they are, then the end mark
     writer = shards.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1)
-    writer.mode("overwrite").text(path)
+    with small_batches(df.sparkSession):
+        writer.mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
