@@ -23,6 +23,7 @@ are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,10 +160,13 @@ def with_edits(df: DataFrame, id: str = "doc_id", text: str = "text", ranges: in
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
     cuts = sorted(set(cuts or []))
-    # range r holds cuts[r-1] < key <= cuts[r]
+    # range r holds cuts[r-1] < key <= cuts[r]; found in two steps, by every m-th cut and then among the m that follow
     part = F.lit(0)
     if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("key")))
+        m = math.isqrt(len(cuts)) + 1
+        below = lambda values: F.size(F.filter(values, lambda c: c < F.col("key")))
+        every, coarse = (F.array(*[F.lit(c).cast("long") for c in some]) if some else F.array().cast("array<bigint>") for some in (cuts, cuts[m - 1 :: m]))
+        part = below(coarse) * m + below(F.slice(every, below(coarse) * m + 1, m))
     heads = {r["part"]: r["key"] for r in rows.groupBy(part.alias("part")).agg(F.max("key").alias("key")).collect()}
     used = sorted(heads)
     above = {p: used[(k + 1) % len(used)] for k, p in enumerate(used)}

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower
+from tidemark.llm.shared import ascii_lower, fixed
 
 #: What separates words: all ASCII but digits and small letters, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -151,7 +151,7 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: di
         return F.struct(F.get(labels, c["k"]).alias("label"), c["o"].alias("at"), F.when(verified, same / F.size(whole)).otherwise(F.lit(0.0)).alias("score"))
 
     found = F.filter(F.transform(F.col(cand), judged), lambda x: x["score"] >= score)
-    return df.withColumn(into, F.struct(F.size(w).cast("long").alias("n_words"), places.alias("places"), found.alias("found"))).drop(w, hits, cand)
+    return df.withColumn(into, fixed(F.struct(F.size(w).cast("long").alias("n_words"), places.alias("places"), found.alias("found")))).drop(w, hits, cand)
 
 
 def _mandatory(t: Template) -> list[tuple[int, str]]:

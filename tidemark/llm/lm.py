@@ -155,14 +155,15 @@ def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
 def _asked(block: Block, order: int, n: int, role: int) -> Iterator[tuple[int, bytes]]:
     """(range, packed keys and counts by order): counts are 0 unless the block trains (role 1) or is held out (role 2)."""
     found = [np.unique(block.grams(k), return_counts=True) for k in range(1, order + 1)]
-    edges = [np.searchsorted(ranges_of(keys, n), np.arange(n + 1)) for keys, _ in found]
-    for r in range(n):
+    parts = [ranges_of(keys, n) for keys, _ in found]
+    used = np.unique(np.concatenate(parts))
+    edges = [(np.searchsorted(p, used, "left"), np.searchsorted(p, used, "right")) for p in parts]
+    for k, r in enumerate(used.tolist()):
         arrays = []
-        for (keys, counts), edge in zip(found, edges, strict=True):
-            part = keys[edge[r] : edge[r + 1]]
-            arrays += [_planes(np.diff(part, prepend=np.uint64(0))), (counts[edge[r] : edge[r + 1]] * (role > 0)).astype("<u4")]
-        if any(len(a) for a in arrays):
-            yield r, _pack(*arrays)
+        for (keys, counts), (left, right) in zip(found, edges, strict=True):
+            part = keys[left[k] : right[k]]
+            arrays += [_planes(np.diff(part, prepend=np.uint64(0))), (counts[left[k] : right[k]] * (role > 0)).astype("<u4")]
+        yield r, _pack(*arrays)
 
 
 def _answered(asked: list[tuple[int, int, bytes]], order: int) -> tuple[list[tuple[int, bytes]], int, int, int]:

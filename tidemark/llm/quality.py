@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower, words
+from tidemark.llm.shared import ascii_lower, fixed, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -92,7 +92,7 @@ def measured(df: DataFrame, text: str = "text", window: int = 3, into: str = "qu
         "n_upper": (F.char_length(t) - F.char_length(F.regexp_replace(F.col(t), "[A-Z]+", ""))).cast("long"),
         "n_stop_words": F.size(F.filter(low, lambda x: x.isin(STOP_WORDS))).cast("long"),
     }
-    return df.withColumn(into, F.struct(*[c.alias(k) for k, c in counts.items()])).drop(t, w, s)
+    return df.withColumn(into, fixed(F.struct(*[c.alias(k) for k, c in counts.items()]))).drop(t, w, s)
 
 
 def ratios(q: str = "quality") -> dict[str, Column]:
@@ -136,6 +136,4 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", in
 def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with df's own columns."""
     judged = judge(df, rules, text, "__quality")
-    # a filter is pushed below deterministic projections, where each use of an array would work it out anew
-    stays = judged.withColumn("__part", F.spark_partition_id())
-    return stays.filter((F.size("__quality_failed") == 0) & (F.col("__part") >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return judged.filter(F.size("__quality_failed") == 0).select(*[F.col(f"`{c}`") for c in df.columns])

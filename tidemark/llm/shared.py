@@ -78,6 +78,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def fixed(c: Column) -> Column:
+    """c, as an expression that filters are not pushed below. There each use of an array would work it out anew, for every element."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def worker_cache(key: str, make):
     """What make() returned for this key in this Python process; functions pickled by value have no other memory between tasks."""
     import sys

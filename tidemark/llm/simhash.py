@@ -93,7 +93,8 @@ def bucket_stars(fps: list[int], radius: int) -> list[tuple[int, int]]:
     while len(rest):
         root, todo, rest = rest[0], [rest[0]], rest[1:]
         while todo and len(rest):
-            near = np.bitwise_count(rest ^ todo.pop()) <= radius
+            # unsigned, as numpy counts the bits of a signed number's absolute value
+            near = np.bitwise_count((rest ^ todo.pop()).view(np.uint64)) <= radius
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
@@ -149,7 +150,7 @@ SKETCH, PARTS = 256, 6
 
 
 def word_prints(text: str | None, width: int = 5) -> tuple[int, list[int], bytes]:
-    """(hash of the word sequence, PARTS fingerprints over distinct words weighted by length, min-hash sketch of the word shingles)."""
+    """(hash of the word sequence, PARTS fingerprints over distinct words, min-hash sketch of the word shingles)."""
     import numpy as np
     from xxhash import xxh3_128_digest, xxh64_intdigest
 
@@ -160,12 +161,11 @@ def word_prints(text: str | None, width: int = 5) -> tuple[int, list[int], bytes
         return name, [0] * PARTS, bytes(SKETCH)
     distinct = list(dict.fromkeys(words))
     digests = b"".join([xxh3_128_digest(w, seed) for w in distinct for seed in range(PARTS // 2)])
-    weight = np.array([len(w) for w in distinct], np.int32)
     total = np.zeros(64 * PARTS, np.int64)
     for k in range(0, len(distinct), 1 << 12):
         part = np.frombuffer(digests[8 * PARTS * k : 8 * PARTS * (k + (1 << 12))], np.uint8).reshape(-1, 8 * PARTS)
-        total += (np.unpackbits(part, axis=1, bitorder="little") * weight[k : k + (1 << 12), None]).sum(axis=0)
-    prints = np.packbits(2 * total > weight.sum(), bitorder="little").view("<i8").tolist()
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    prints = np.packbits(2 * total > len(distinct), bitorder="little").view("<i8").tolist()
     if len(words) <= width:
         hashes = [xxh64_intdigest(whole, 3)]
     else:
@@ -210,8 +210,8 @@ def near_texts(
     """(doc_id, component_id): classes of documents whose word shingles are similar by `least` (Jaccard).
 
     Fingerprints of whole word shingles change in many bits when a few words do, so candidates come from SimHash
-    over the distinct words, weighted by length, in PARTS independent parts: texts that agree to within `radius`
-    bits in any part meet by covering masks. What meets is verified by min-hash sketches of the shingles, with
+    over the distinct words, in PARTS independent parts: texts that agree to within `radius` bits in any part meet
+    by covering masks for certain, and often beyond. What meets is verified by min-hash sketches of the shingles, with
     `margin` for their error. Copies up to case and white space are one node. A bucket of more than `bucket` nodes
     is cut into blocks, and each pair of blocks is a bucket of its own, so no link is lost.
     """

@@ -256,9 +256,9 @@ def _asked(texts: list[bytes], length: int, n: int) -> Iterator[tuple[int, bytes
     if not found:
         return
     keys = np.unique(np.concatenate(found))
-    edges = np.searchsorted(_part(keys, n), np.arange(n + 1))
-    for r in np.flatnonzero(np.diff(edges)).tolist():
-        part = keys[edges[r] : edges[r + 1]]
+    used, first = np.unique(_part(keys, n), return_index=True)
+    for r, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        part = keys[a:b]
         planes = np.ascontiguousarray(np.diff(part, prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T)
         yield r, _pack(planes)
 

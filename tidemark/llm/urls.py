@@ -2,7 +2,7 @@
 
 Trust is personalised PageRank from the trusted hosts along links; distrust runs from the blocked hosts against
 links (who links to blocked hosts is suspect). Both are power iterations over aggregated host edges in Spark: an
-edge row a pair of hosts, a rank row a host, checkpointed every few rounds. The mass of hosts without links goes
+edge row a pair of hosts, a rank row a host, checkpointed each round. The mass of hosts without links goes
 back to the seeds, as in a walk that starts anew. A host is blocked when its distrust, times `bias`, is above
 its trust and above `floor` times the mean rank; each host is judged once and pages take their host's verdict.
 
@@ -67,7 +67,7 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(host, rank): where a walk along the edges is found that starts anew at a seed with probability 1 - damping.
 
     seeds: distinct hosts. The ranks sum to 1 if there is a seed. Mass at hosts without an edge is dealt to the
@@ -83,15 +83,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         return start.select("host", F.col("start").alias("rank"))
     steps = cut(steps)
     rank = start.select("host", F.col("start").alias("rank"))
-    for k in range(rounds):
+    for _ in range(rounds):
         moved = rank.join(steps, rank["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part") * damping).alias("rank"))
         arrived = moved.select(F.col("dst").alias("host"), "rank")
         # what did not move (restarts and hosts without links) is one minus what arrived
         missing = arrived.agg((F.lit(1.0) - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("missing"))
         anew = start.join(F.broadcast(missing)).select("host", (F.col("start") * F.col("missing")).alias("rank"))
-        rank = arrived.unionByName(anew).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % every == every - 1 or k == rounds - 1:
-            rank = cut(rank)
+        # `arrived` is used twice, so an uncut plan would double with each round
+        rank = cut(arrived.unionByName(anew).groupBy("host").agg(F.sum("rank").alias("rank")))
     return rank
 
 
