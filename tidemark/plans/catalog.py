@@ -25,7 +25,6 @@ STATEMENTS = contracts.Contract(
     {"fiscal_year": "integer", "total_assets": "float", "net_income": "float", "audited": "boolean"},
     {"exchange": ("HOSE", "HNX", "UPCOM")},
 )
-LINE_ORDER = [F.col("l_shipdate").desc_nulls_last(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
 
 
@@ -305,7 +304,8 @@ def agg_latest_by_key(spark, d):
 
 @query
 def win_row_number_latest(spark, d):
-    return dedup.latest_by_key(table(spark, d, "lineitem"), LINE_KEYS, LINE_ORDER).select(*LINE_KEYS, "l_partkey", "l_suppkey", "l_shipdate")
+    newest = [F.col("l_shipdate").desc_nulls_last(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]
+    return dedup.latest_by_key(table(spark, d, "lineitem"), LINE_KEYS, newest).select(*LINE_KEYS, "l_partkey", "l_suppkey", "l_shipdate")
 
 
 @query
