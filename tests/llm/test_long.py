@@ -36,5 +36,5 @@ def test_corpus_operators(long_docs):
     assert (report[2].n_removed, report[3].n_removed, report[3].n_spans) == (0, 5000, 1)
     assert {r.doc_id: r.n_tokens for r in lm.score(docs).collect()} == {1: 3, 2: 30_001, 3: len((text[:5000] + "x").split()) + 1, 4: 1}
     bytes_ = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
-    assert {r.doc_id: r.n_tokens for r in tokenbin.written(docs, public_tokenizers.path("byte_bpe_50k.json"), shard_tokens=1000).collect()}[2] == len(bytes_) + 1
+    assert {r.doc_id: r.n_tokens for r in tokenbin.written(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}[2] == len(bytes_) + 1
     assert sum(r["size"] for r in mixing.mix(docs.selectExpr("*", "'s' as source")).collect() if r.doc_id == 2) == 30_000
