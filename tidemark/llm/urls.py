@@ -71,7 +71,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     """(host, rank): where a walk along the edges is found that starts anew at a seed with probability 1 - damping.
 
     seeds: distinct hosts. The ranks sum to 1 if there is a seed. Mass at hosts without an edge is dealt to the
-    seeds too; that sum is carried as one row.
+    seeds too; that sum is one number a round.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("part"))
@@ -85,12 +85,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rank = start.select("host", F.col("start").alias("rank"))
     for _ in range(rounds):
         moved = rank.join(steps, rank["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part") * damping).alias("rank"))
-        arrived = moved.select(F.col("dst").alias("host"), "rank")
+        arrived = cut(moved.select(F.col("dst").alias("host"), "rank"))
         # what did not move (restarts and hosts without links) is one minus what arrived
-        missing = arrived.agg((F.lit(1.0) - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("missing"))
-        anew = start.join(F.broadcast(missing)).select("host", (F.col("start") * F.col("missing")).alias("rank"))
-        # `arrived` is used twice, so an uncut plan would double with each round
-        rank = cut(arrived.unionByName(anew).groupBy("host").agg(F.sum("rank").alias("rank")))
+        missing = 1.0 - (arrived.agg(F.sum("rank")).first()[0] or 0.0)
+        anew = start.select("host", (F.col("start") * missing).alias("rank"))
+        rank = arrived.unionByName(anew).groupBy("host").agg(F.sum("rank").alias("rank"))
     return rank
 
 
