@@ -263,8 +263,9 @@ def join_asof_ref_ts(spark, d):
 
 
 def _report_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = dedup.latest_by_aggregate(table(spark, d, "lineitem"), LINE_KEYS, ["l_shipdate", "l_partkey", "l_suppkey"])
-    s = lines.select(F.col("l_suppkey").alias("ticker"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("total_assets"))
+    newest = [F.col("l_shipdate").desc_nulls_last(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]
+    lines = dedup.latest_by_key(table(spark, d, "lineitem").select(*LINE_KEYS, "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"), LINE_KEYS, newest)
+    s = lines.select(F.col("l_suppkey").alias("ticker"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("record_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("total_assets"))
     c = tables.companies(spark, d).select(F.col("supplier").alias("ticker"), "sector")
     return s, c
 
