@@ -145,108 +145,130 @@ def near_duplicates(
     return docs.join(named, docs["fp"] == named["node_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-#: Slots of the sketch by which similarity is verified, and independent 64-bit parts of the candidates' fingerprint.
-SKETCH, PARTS = 256, 6
+#: Bands of candidates' keys and min-hashes in one: texts of a similarity s miss each other with (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
+#: Bytes that are kept of a shingle's hash, and of the hashes that one task verifies at a time.
+KEPT, AT_ONCE = 5, 32 << 20
+
+
+_ODD = [random.Random(11).getrandbits(64 * BANDS * ROWS) >> 64 * k & (1 << 64) - 1 | 1 for k in range(BANDS * ROWS)]
 
 
 def word_prints(text: str | None, width: int = 5) -> tuple[int, list[int], bytes]:
-    """(hash of the word sequence, PARTS fingerprints over distinct words, min-hash sketch of the word shingles)."""
+    """(hash of the word sequence, BANDS keys over min-hashes of the word shingles, the distinct shingles as KEPT bytes each)."""
     import numpy as np
-    from xxhash import xxh3_128_digest, xxh64_intdigest
+    from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     whole = b" ".join(words)
     name = _signed(xxh64_intdigest(whole, 1))
     if not words:
-        return name, [0] * PARTS, bytes(SKETCH)
-    distinct = list(dict.fromkeys(words))
-    digests = b"".join([xxh3_128_digest(w, seed) for w in distinct for seed in range(PARTS // 2)])
-    total = np.zeros(64 * PARTS, np.int64)
-    for k in range(0, len(distinct), 1 << 12):
-        part = np.frombuffer(digests[8 * PARTS * k : 8 * PARTS * (k + (1 << 12))], np.uint8).reshape(-1, 8 * PARTS)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    prints = np.packbits(2 * total > len(distinct), bitorder="little").view("<i8").tolist()
+        return name, [], b""
     if len(words) <= width:
         hashes = [xxh64_intdigest(whole, 3)]
     else:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = [0, *(ends[: len(words) - width] + 1).tolist()]
         hashes = [xxh64_intdigest(whole[a:b], 3) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    # the smallest hash of each slot; a slot keeps a byte of it, 0 if nothing fell into it
     h = np.unique(np.array(hashes, "<u8"))
-    slot = (h >> np.uint64(56)).astype(np.int64)
-    used, first = np.unique(slot, return_index=True)
-    sketch = np.zeros(SKETCH, np.uint8)
-    sketch[used] = h[first] % np.uint64(255) + np.uint64(1)
-    return name, prints, sketch.tobytes()
-
-
-def similar_stars(nodes: list[int], sketches: list[bytes], least: float) -> list[tuple[int, int]]:
-    """(member, smallest member) for the components of texts whose sketches agree by `least`."""
+    odd = np.array(_ODD, np.uint64)
+    by = odd.astype(np.uint32)[:, None]
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(low), 1 << 11):
+        np.minimum(least, (low[k : k + (1 << 11)] * by).min(axis=1), out=least)
+    keys = (least.astype(np.uint64) * odd).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+    shingles = np.unique(h & np.uint64((1 << 8 * KEPT) - 1))
+    return name, keys.view(np.int64).tolist(), shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def similar_stars(nodes: list[int], shingles: list[bytes], least: float) -> list[tuple[int, int]]:
+    """(member, smallest member) for the components of texts whose shingles have a Jaccard similarity of at least `least`."""
     import numpy as np
 
     order = np.argsort(np.array(nodes, np.int64))
     names = np.array(nodes, np.int64)[order]
-    s = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)[order]
+    wide = np.zeros((sum(map(len, shingles)) // KEPT, 8), np.uint8)
+    wide[:, :KEPT] = np.frombuffer(b"".join([shingles[k] for k in order]), np.uint8).reshape(-1, KEPT)
+    values, items = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    sizes = np.array([len(shingles[k]) // KEPT for k in order], np.int64)
+    ends = np.cumsum(sizes)
+    # the items of the texts that are still looked for, and whose they are
+    left, owner = items, np.repeat(np.arange(len(names)), sizes)
+    mark = np.zeros(len(values), bool)
     rest = np.arange(len(names))
     stars = []
     while len(rest):
         root, todo, rest = rest[0], [rest[0]], rest[1:]
         while todo and len(rest):
-            own, others = s[todo.pop()], s[rest]
-            agree = ((others == own) & (own > 0)).sum(axis=1)
-            near = agree >= least * np.maximum(((others > 0) | (own > 0)).sum(axis=1), 1)
+            x = todo.pop()
+            own = items[ends[x] - sizes[x] : ends[x]]
+            mark[own] = True
+            both = np.bincount(owner[mark[left]], minlength=len(names))[rest]
+            mark[own] = False
+            # 1e-9: a product such as 0.8 * 5 may be rounded up
+            near = (both >= least * (sizes[x] + sizes[rest] - both) - 1e-9) & (both > 0)
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
                 todo.extend(found.tolist())
-                stars.extend((int(names[x]), int(names[root])) for x in found)
+                stars.extend((int(names[y]), int(names[root])) for y in found)
+                open_ = np.zeros(len(names), bool)
+                open_[rest] = True
+                some = open_[owner]
+                left, owner = left[some], owner[some]
     return stars
 
 
-def near_texts(
-    df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, margin: float = 0.04, radius: int = 3, bucket: int = 4096
-) -> DataFrame:
+def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bucket: int = 4096) -> DataFrame:
     """(doc_id, component_id): classes of documents whose word shingles are similar by `least` (Jaccard).
 
-    Fingerprints of whole word shingles change in many bits when a few words do, so candidates come from SimHash
-    over the distinct words, in PARTS independent parts: texts that agree to within `radius` bits in any part meet
-    by covering masks for certain, and often beyond. What meets is verified by min-hash sketches of the shingles, with
-    `margin` for their error. Copies up to case and white space are one node. A bucket of more than `bucket` nodes
-    is cut into blocks, and each pair of blocks is a bucket of its own, so no link is lost.
+    Candidates come from min-hashes of the shingles, BANDS times ROWS of them: wherever two texts differ, in one place
+    or in many, they meet in no band with (1 - s ** ROWS) ** BANDS. Texts that bands connect are brought together, and
+    every pair of them is verified by the shingles themselves, up to equal hashes of KEPT bytes. Copies up to case and
+    white space are one node. Of more than `bucket` connected nodes, or AT_ONCE bytes, those of each band key are, cut
+    into blocks where a key has as many; each pair of blocks is verified on its own, so no link is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [word_prints(t.as_py(), width) for t in batch.column(1)]
             columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "fps", "sketch"])
-
-    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, node long, fps array<long>, sketch binary"))
-    nodes = docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(p * len(masks) + t).cast("short").alias("t"), F.lit(p).alias("p"), F.lit(_signed(m)).alias("m")) for p in range(PARTS) for t, m in enumerate(masks)])
-    dealt = nodes.select("node", "fps", F.explode(tables).alias("x")).select("node", F.col("x.t").alias("t"), F.get("fps", F.col("x.p")).bitwiseAND(F.col("x.m")).alias("key"))
-    shared = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = dealt.join(shared, ["t", "key"])
-    half = bucket // 2
-    blocks = F.ceil(F.col("n") / half).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    placed = members.select("t", "key", "node", F.explode(F.when(F.col("n") <= bucket, one).otherwise(pairs)).alias("pair"))
-    sketched = placed.join(nodes.select("node", "sketch"), "node")
-    met = sketched.groupBy("t", "key", "pair").agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "keys", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stars = [s for n, k in zip(*batch.columns, strict=True) for s in similar_stars(n.as_py(), k.as_py(), least - margin)]
+            stars = [s for n, k in zip(*batch.columns, strict=True) for s in similar_stars(n.as_py(), k.as_py(), least)]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    components = connected_components(met.select("nodes", "sketches").mapInArrow(verify, "a long, b long"))
-    known = nodes.select(F.col("node").alias("n"), "least")
+    def verified(placed: DataFrame, by: list[str]) -> DataFrame:
+        met = placed.join(shingles, "node").groupBy(*by).agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("shingles"))
+        return met.select("nodes", "shingles").mapInArrow(verify, "a long, b long")
+
+    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, node long, keys array<long>, shingles binary"))
+    shingles = docs.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    keyed = docs.groupBy("node").agg(F.first("keys").alias("keys"), F.first(F.octet_length("shingles")).alias("size"))
+    dealt = keyed.select("node", "size", F.posexplode("keys").alias("t", "key"))
+    shared = dealt.groupBy("t", "key").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    members = cut(dealt.join(shared, ["t", "key"]).select("t", "key", "node", "size", "first", "n", "bytes"))
+    met = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    sizes = members.select("node", "size").distinct()
+    met = met.join(sizes, "node")
+    many = cut(met.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("size").alias("all")).filter((F.col("nodes") > bucket) | (F.col("all") > AT_ONCE)).select("root"))
+    edges = verified(met.join(many, "root", "left_anti").select("node", "root"), ["root"])
+    if not many.isEmpty():
+        half = max(bucket // 2, 1)
+        blocks = F.greatest(F.ceil(F.col("n") / half), F.ceil(F.col("bytes") / (AT_ONCE // 2))).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+        one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+        crowd = members.join(met.join(many, "root", "left_semi").select("node"), "node", "left_semi")
+        whole = (F.col("n") <= bucket) & (F.col("bytes") <= AT_ONCE)
+        edges = edges.unionByName(verified(crowd.select("t", "key", "node", F.explode(F.when(whole, one).otherwise(pairs)).alias("pair")), ["t", "key", "pair"]))
+    components = connected_components(edges)
+    known = docs.groupBy(F.col("node").alias("n")).agg(F.min("doc_id").alias("least"))
     rooted = known.join(components, known["n"] == components["node"], "left").select("n", "least", F.coalesce("root", "n").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("n", "component_id")
