@@ -53,7 +53,7 @@ def _words(buffer: bytes, order: str = "<") -> np.ndarray:
 
 
 def _gram_hashes(buffer: bytes) -> np.ndarray:
-    """A hash of the GRAM (two words) bytes at each place."""
+    """A hash of the GRAM (two words) bytes at each place, never 0: that stands for no window in segments()."""
     w = _words(buffer)
     n = len(buffer) - GRAM + 1
     x = w[:n] * _M[0]
@@ -61,7 +61,7 @@ def _gram_hashes(buffer: bytes) -> np.ndarray:
     x ^= x >> np.uint64(29)
     x *= _M[2]
     x ^= x >> np.uint64(32)
-    return x
+    return np.maximum(x, np.uint64(1), out=x)
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
