@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -48,6 +49,18 @@ def test_pieces_equal_library(texts):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_of_every_length_are_told_apart():
+    """All pieces of a letter and one other byte in it, and what differs only in the last bytes of a long piece."""
+    library, own = Tokenizer.from_file(BYTES), tokenbin.PieceEncoder(BYTES)
+    pieces = {"".join(p) for n in range(1, 7) for p in itertools.product("ay", repeat=n)}
+    pieces |= {"a" * k + c + "a" * (n - k - 1) for n in range(1, 21) for k in range(n) for c in "abyzqé"}
+    given = ["w aaaaaaaa aaaaaaaay z", *(f"{p} {p}" for p in sorted(pieces)), " ".join(sorted(pieces)), *(" " * k for k in range(1, 20)), *("\n" * k + "a" for k in range(1, 20)), *("0" * k for k in range(1, 20))]
+    for t, ids in zip(given, own.encode(given), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    again = own.encode(given[::-1])[::-1]  # from memory
+    assert again == own.encode(given)
+
+
 @pytest.mark.parametrize("shard_tokens", [50, 1 << 22])
 def test_shards_equal_library(spark, docs, empty, tmp_path, shard_tokens):
     library = Tokenizer.from_file(BYTES)

@@ -68,7 +68,8 @@ def byte_classes() -> np.ndarray:
 class PieceTable:
     """The ids of pieces of up to 16 bytes: an open-addressing table in arrays, looked up for many pieces at once.
 
-    Such a piece is known by its first 8 bytes, its last 8 and its length, so a hit is exact.
+    A piece's key is its own bytes, filled up with zeros to twice 8. Pieces hold no zero byte (a text with one is not
+    cut by byte classes), so equal keys are equal pieces.
     """
 
     def __init__(self, bits: int = 22):
@@ -82,16 +83,15 @@ class PieceTable:
         return len(self.at) - 1
 
     def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First bytes, last bytes with the length in the highest byte's place of the hash, and slot. `words` are the 8 bytes before and at each place, 8 places on."""
-        spare = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
+        """Bytes 1 to 8, bytes 9 to 16, and slot. `words` are the 8 bytes from 8 places before each place on."""
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        spare = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
         first = words[start + 8] & (full >> spare)
-        over = np.maximum(size, 8) - 8
-        last = np.where(over > 0, words[start + size], np.uint64(0))
-        # the length tells apart pieces that end in zero bytes
-        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((last + size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        over = np.maximum(size, 8).astype(np.uint64) - np.uint64(8)
+        last = np.where(over > 0, words[start + 16] & (full >> (np.uint64(8) * np.minimum(np.uint64(8) - over, np.uint64(7)))), np.uint64(0))
+        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        return first, last ^ (size.astype(np.uint64) << np.uint64(59)), (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        return first, last, (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, first: np.ndarray, last: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """The value of each key, -1 if it is not there."""
@@ -218,7 +218,7 @@ class PieceEncoder:
         table = self.table
         if len(table) > KEPT:
             table = self.table = PieceTable()
-        padded = b"\0" * 8 + joined + b"\0" * 8
+        padded = b"\0" * 8 + joined + b"\0" * 16
         words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
         first, last, slot = table.keys(words, start, np.minimum(size, 16))
         value = table.find(first, last, slot)
