@@ -24,7 +24,7 @@ def changed(words, kind):
     if kind == "appended":
         return words + some(n)
     if kind == "truncated":
-        return words[: -int(0.75 * n)]
+        return words[: -int(0.85 * n)]
     at = DRAW.randrange(len(words))
     return words[:at] + some(n) + words[at:]
 

@@ -105,6 +105,21 @@ def test_near_texts_against_jaccard(docs, empty, bucket):
     assert simhash.one_each(empty).count() == 0
 
 
+def test_one_each_tells_rows_apart_by_text(spark):
+    draw = random.Random(4)
+    a, b, c, d = (" ".join(draw.choice("abcdefghijklmnop") * 3 + str(draw.randrange(500)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a, "x"), (5, a + " more", "x"), (5, b, "x"), (7, c, "x"), (7, d, "x"), (7, d, "y"), (9, b, "z"), (None, a, "n")]
+    kept = simhash.one_each(spark.createDataFrame(rows, "doc_id long, text string, gone_id string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (5, b), (7, c), (7, d), (0, a)])
+
+
+def test_hub_of_a_star(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.shared.HOT", 20)
+    edges = spark.createDataFrame([(0 if k % 2 else 500, k) for k in range(1, 400)] + [(7, 500)], "a long, b long")
+    found = {r.node: r.root for r in graph.connected_components(edges).collect()}
+    assert found == {n: 0 for n in [*range(400), 500]}
+
+
 def test_stars_join_a_component():
     fps = [0, 1, 3, 7, 15, 7 << 40, -1 << 63]
     assert sorted(simhash.bucket_stars(np.array(fps), 1)) == [(0, -1 << 63), (1, -1 << 63), (3, -1 << 63), (7, -1 << 63), (15, -1 << 63)]

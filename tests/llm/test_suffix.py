@@ -78,3 +78,37 @@ def test_equal_windows_have_equal_anchors():
         (k,) = [k for k in range(len(start)) if start[k] <= len(left) <= start[k] + size[k] - 50]
         seen.add(int(h[k]))
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("length", [16, 20, 50, 150, 300])
+def test_lengths(spark, length):
+    draw = random.Random(length)
+    shared = [bytes(draw.choice(b"abcd\0") for _ in range(n)) for n in (length - 1, length, 3 * length)]
+    rows = []
+    for k in range(24):
+        text = bytes(draw.choice(b"efgh") for _ in range(draw.randrange(0, 2 * length)))
+        rows.append((k, text + draw.choice(shared) + text[: length // 2] + b"z" * draw.choice([0, 2 * length])))
+    want = brute(rows, length)
+    found = suffix.report(spark.createDataFrame([(k, t.decode()) for k, t in rows], "doc_id long, text string").repartition(5), length=length).collect()
+    assert sorted(tuple(r) for r in found) == sorted((k, *want[k, t][:4]) for k, t in rows)
+    assert sum(r.n_removed for r in found)
+
+
+def test_lengths_out_of_bounds(docs):
+    for length in (0, 15, 30_001):
+        with pytest.raises(ValueError):
+            suffix.report(docs, length=length)
+
+
+@pytest.mark.parametrize("texts", [[None], ["short", ""], ["\0" * 100, "\0" * 100], ["a" * 49, "b" * 60]])
+def test_blocks_with_few_anchors(spark, texts):
+    rows = [(k, t) for k, t in enumerate(texts)]
+    want = brute([(k, (t or "").encode()) for k, t in rows], 50)
+    found = suffix.report(spark.createDataFrame(rows, "doc_id long, text string"), length=50).collect()
+    assert sorted(tuple(r) for r in found) == sorted((k, *want[k, (t or "").encode()][:4]) for k, t in rows)
+
+
+def test_word_order_is_stable():
+    draw = np.random.default_rng(3)
+    for key in (draw.integers(0, 50, 20_000), draw.integers(0, 1 << 60, 30_000), np.repeat(draw.integers(0, 9, 300), 70)):
+        assert (suffix.word_order(key.astype(np.uint64), 100, 16) == np.argsort(key, kind="stable")).all()

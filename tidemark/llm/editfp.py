@@ -1,23 +1,25 @@
 """Document fingerprints by randomised edit embedding.
 
-The embedding walks a text with a pointer. At step j it emits the character under the pointer and moves on if a
-shared random bit for (j, character) is 1. Two texts walk alike up to an edit; after it their pointers drift and,
-being random walks on the same bits, meet again after a few steps, from where they emit the same. So k edits
-change O(k^2) emitted places, whatever the texts' lengths: edit distance becomes Hamming distance.
-
-A document's fingerprint is a sample of its embedding: each place where the pointer moved on, with its character,
-falls by a hash into one of `SLOTS` slots, and a slot keeps `BITS` bits of the one with the smallest hash. So each
-slot samples the same place in texts that agree there, and the whole text takes part. Two hexadecimal digits a
-slot; 00 is a slot that nothing fell into (an empty text has only those). The share of equal slots among those
-used by either estimates the Jaccard similarity J of the embeddings' places, and 2J / (1 + J) their agreement.
-
-Near duplicates come from bands of sampled slots: documents that agree in all slots of a band are candidates,
-and a candidate pair is verified by its fingerprints' likeness.
-
-The walk is computed for all documents of a batch together, a step a character. The random bits repeat after
-PERIOD steps. Null text counts as empty. Texts of any length are walked whole. Repeated rows get equal
-fingerprints; ties of id are ordered by text. An empty table gives an empty result. Other columns of the input
-are not looked at.
+The embedding walks a text with a pointer. At step j it emits what stands under the pointer (a character and the one
+after it) and moves on if a shared random bit for (j, character) is 1. Two texts walk alike up to an edit; after it
+their pointers drift and, being random walks on the same bits, meet again after a few steps, from where they emit the
+same. So k edits change O(k^2) emitted places, whatever the texts' lengths: edit distance becomes Hamming distance.
+
+A document's fingerprint samples its embedding: each of SLOTS slots keeps one byte of what is emitted at one random
+place. The places are the same for all embeddings of a length, and those of a longer one differ from them only as far
+as it is longer: a slot's place is the last of a random sequence of places that lies within the embedding, drawn so
+that every place of it is as likely. The whole text is walked. Two hexadecimal digits a slot; 00 is the empty text's.
+The share of equal slots estimates the share of places at which the embeddings agree.
+
+Near duplicates come from bands of sampled slots: fingerprints that agree in all slots of a band are candidates, and
+candidates are verified by all slots. Equal fingerprints are one node, a band's links leave a task as stars, and a
+band key of more than `bucket` nodes is cut into blocks, each pair of which is verified by itself; so no link between
+candidates is lost, and no task holds a hot key.
+
+Texts of a batch are walked together, a step a character, the longest ones each by itself. The random bits repeat
+after PERIOD steps. Null text counts as empty. Texts of any length are walked whole. Repeated rows get equal
+fingerprints; ties of id are ordered by text. An empty table gives an empty result. Other columns of the input are not
+looked at.
 """
 
 from __future__ import annotations
@@ -28,14 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import worker_cache
+from tidemark.llm.graph import connected_components
+from tidemark.llm.shared import Table, cut, discard, spread_join, worker_cache
 
-SLOTS, BITS = 128, 8
+SLOTS = 64
 #: Steps after which the random bits repeat, and classes that characters are hashed into for the walk.
 PERIOD, CLASSES = 4096, 256
+#: Texts of a batch are walked together as long as there are so many.
+TOGETHER = 64
+#: Bytes of text for which there is a range of documents, and how many ranges there are at most.
+PER_RANGE, MOST_RANGES = 16 << 20, 20_000
 
 
 def walk_table(seed: int = 11) -> np.ndarray:
@@ -47,6 +54,22 @@ def walk_table(seed: int = 11) -> np.ndarray:
     return (following - np.arange(PERIOD) + 1).astype(np.uint16)
 
 
+def sample_places(seed: int = 17, most: int = 1 << 44) -> list[np.ndarray]:
+    """For each slot the rising places that it samples: in an embedding of L steps, the last one below L.
+
+    They are the times of records in a sequence of random numbers: after place t - 1, the next one lies beyond place
+    m - 1 with probability t / m. So the last one below L is uniform, and stays the same while L grows to m with t / m.
+    """
+    draw = np.random.Generator(np.random.PCG64(seed))
+    out = []
+    for _ in range(SLOTS):
+        times = [1]
+        while times[-1] < most:
+            times.append(int(times[-1] / (1.0 - draw.random())) + 1)
+        out.append(np.array(times, np.int64) - 1)
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix (multiply and shift) of each number."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,44 +77,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def embed(texts: list[str]) -> list[str]:
-    """The fingerprint of each text, as 2 * SLOTS hexadecimal digits."""
+def _walked(codes: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text, the steps at which its pointer moves on from each of its characters; texts by falling length."""
     table = worker_cache("edit walk", walk_table)
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    order = sorted(range(len(texts)), key=lambda k: -len(codes[k]))
-    lengths = np.array([len(codes[k]) for k in order], np.int64)
-    flat = np.concatenate([codes[k] for k in order]) if len(texts) else np.zeros(0, np.uint32)
+    lengths = np.array([len(c) for c in codes], np.int64)
     starts = np.cumsum(lengths) - lengths
-    best = np.full((len(texts), SLOTS), np.iinfo(np.uint64).max, np.uint64)
-    step = np.zeros(len(texts), np.int64)
-    rows = np.arange(len(texts))
-    waits, shift = table.ravel(), np.uint64(64 - (SLOTS - 1).bit_length())
-    flat_best = best.ravel()
-    # all documents that still have a k-th character; those are the first ones, by length
-    alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1 if len(lengths) else 1), "right")
-    for k, m in enumerate(alive.tolist()):
-        c = flat[starts[:m] + k]
+    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+    base = (flat & 255 ^ flat >> 8 & 255).astype(np.int64) * PERIOD
+    waits, left = table.ravel(), np.empty(len(flat), np.int64)
+    # all texts that still have a k-th character; those are the first ones
+    alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1 if len(codes) else 1), "right")
+    together = int((alive >= TOGETHER).sum())
+    step = np.zeros(len(codes), np.int64)
+    for k, m in enumerate(alive[:together].tolist()):
+        at = starts[:m] + k
         j = step[:m]
-        j += waits[(c & 255 ^ c >> 8 & 255).astype(np.int64) * PERIOD + j % PERIOD]
-        # (place, character) as one number; the place is where the pointer moves on
-        h = _mixed(j.astype(np.uint64) << np.uint64(21) | c.astype(np.uint64))
-        at = rows[:m] * SLOTS + (h >> shift).astype(np.int64)
-        flat_best[at] = np.minimum(flat_best[at], h)
-    value = np.where(best == np.iinfo(np.uint64).max, 0, best % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    out = [""] * len(texts)
-    for place, k in enumerate(order):
-        out[k] = value[place].tobytes().hex()
+        j += waits[base[at] + j % PERIOD]
+        left[at] = j
+    quick = worker_cache("edit walk as a list", lambda: walk_table().ravel().tolist())
+    for text in np.flatnonzero(lengths > together).tolist():
+        a, b, j, ends = int(starts[text]) + together, int(starts[text] + lengths[text]), int(step[text]), []
+        for c in base[a:b].tolist():
+            j += quick[c + j % PERIOD]
+            ends.append(j)
+        left[a:b] = ends
+    return [left[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def embed(texts: list[str]) -> list[bytes]:
+    """The fingerprint of each text, SLOTS bytes."""
+    places = worker_cache("edit places", sample_places)
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    order = sorted(range(len(texts)), key=lambda k: -len(codes[k]))
+    out = [bytes(SLOTS)] * len(texts)
+    filled = [k for k in order if len(codes[k])]
+    if not filled:
+        return out
+    left = _walked([codes[k] for k in filled])
+    lengths = np.array([int(x[-1]) for x in left], np.int64)
+    sampled = np.stack([p[np.searchsorted(p, lengths, "left") - 1] for p in places], axis=1)
+    for row, (k, ends) in enumerate(zip(filled, left, strict=True)):
+        own = codes[k]
+        at = np.searchsorted(ends, sampled[row], "right")  # the character under the pointer at that step
+        pair = own[at].astype(np.uint64) << np.uint64(21) | np.where(at + 1 < len(own), own[np.minimum(at + 1, len(own) - 1)], 0).astype(np.uint64)
+        out[k] = (_mixed(sampled[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pair) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
     return out
 
 
-def likeness(a: str, b: str) -> float:
-    """Estimated agreement of two texts' embeddings, 0 to 1; two empty texts agree wholly."""
-    x, y = np.frombuffer(bytes.fromhex(a), np.uint8), np.frombuffer(bytes.fromhex(b), np.uint8)
-    used = (x > 0) | (y > 0)
-    if not used.any():
-        return 1.0
-    jaccard = float((x == y)[used].mean())
-    return 2 * jaccard / (1 + jaccard)
+def likeness(a: bytes, b: bytes) -> float:
+    """Share of equal slots, 0 to 1; two empty texts agree wholly."""
+    return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
 def edited(text: str, following: str) -> str:
@@ -101,19 +136,18 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of each whole text."""
+    """(doc_id, print) of each whole text; print is binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                prints = embed([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(embed([t or "" for t in part.column(1).to_pylist()]), pa.binary())], ["doc_id", "print"])
 
-    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print binary")
 
 
-def chunks(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `limit` bytes, or one row."""
     sizes = batch.nbytes / max(batch.num_rows, 1)
     rows = max(1, int(limit / max(sizes, 1)))
@@ -121,102 +155,172 @@ def chunks(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(k, rows)
 
 
-def candidates(prints: DataFrame, bands: int = 16, rows: int = 3, least: float = 0.8, seed: int = 5) -> DataFrame:
-    """(a, b, likeness) of classes of equal fingerprints: pairs that share a band of `rows` sampled slots and agree by `least`.
+def band_key(print: Column, band: int, slots: list[int]) -> Column:
+    return F.xxhash64(F.lit(band), *[F.substring(print, s + 1, 1) for s in slots])
 
-    a < b are fingerprints; membership is the fingerprints table itself. A pair is listed once, in whichever of
-    its shared bands comes first.
-    """
-    draw = np.random.Generator(np.random.PCG64(seed))
-    picked = [sorted(draw.choice(SLOTS, rows, replace=False).tolist()) for _ in range(bands)]
-    keys = F.array(*[F.concat_ws("", F.lit(f"{k}:"), *[F.substring("fingerprint", 2 * s + 1, 2) for s in p]) for k, p in enumerate(picked)])
-    banded = prints.select("fingerprint").distinct().select("fingerprint", F.posexplode(keys).alias("band", "key"))
-    left, right = banded.alias("l"), banded.alias("r")
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.fingerprint") < F.col("r.fingerprint")))
-    pairs = pairs.select(F.col("l.fingerprint").alias("a"), F.col("r.fingerprint").alias("b")).distinct()
-    return pairs.withColumn("likeness", agreement(F.col("a"), F.col("b"))).filter(F.col("likeness") >= least)
 
+def print_stars(nodes: list[int], prints: list[bytes], least: float) -> list[tuple[int, int]]:
+    """(member, smallest member) for the components of fingerprints that agree in a share of at least `least`."""
+    order = np.argsort(np.array(nodes, np.int64))
+    names = np.array(nodes, np.int64)[order]
+    values = np.frombuffer(b"".join([prints[k] for k in order]), np.uint8).reshape(-1, SLOTS)
+    rest, stars = np.arange(len(names)), []
+    while len(rest):
+        root, todo, rest = rest[0], [rest[0]], rest[1:]
+        while todo and len(rest):
+            near = (values[rest] == values[todo.pop()]).sum(axis=1) >= least * SLOTS - 1e-9
+            if near.any():
+                found = rest[near]
+                rest = rest[~near]
+                todo.extend(found.tolist())
+                stars.extend((int(names[y]), int(names[root])) for y in found)
+    return stars
 
-def agreement(a, b):
-    """likeness() as an expression over two fingerprint columns."""
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    one = lambda x, i: F.substr(x, 2 * i + 1, F.lit(2))
-    used = F.size(F.filter(slots, lambda i: (one(a, i) != "00") | (one(b, i) != "00")))
-    same = F.size(F.filter(slots, lambda i: (one(a, i) == one(b, i)) & (one(a, i) != "00")))
-    jaccard = same / used
-    return F.when(used == 0, F.lit(1.0)).otherwise(2 * jaccard / (1 + jaccard))
 
+def classes(nodes: DataFrame, bands: int = 10, rows: int = 3, least: float = 0.8, bucket: int = 4096, seed: int = 5) -> DataFrame:
+    """Distinct (node, print) -> (node, root): fingerprints linked by `least` or more of their slots, directly or through others.
 
-def with_edits(df: DataFrame, id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
+    Candidates agree in all `rows` slots of one of `bands` bands: fingerprints at a likeness s miss each other with
+    (1 - s ** rows) ** bands, 8e-4 at 0.8. Fingerprints without a link do not appear.
+    """
 
-    The next document is the one before it by id, and after the smallest id comes the largest. Ids are cut into
-    ranges at their quantiles and each range is sorted by itself; the first document of a range also goes to the
-    end of the range above, so every document meets its next one without a global sort in one task. What the
-    driver holds is a few numbers a range. Null ids stand below all others.
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stars = [s for n, p in zip(*batch.columns, strict=True) for s in print_stars(n.as_py(), p.as_py(), least)]
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    draw = np.random.Generator(np.random.PCG64(seed))
+    picked = [sorted(draw.choice(SLOTS, rows, replace=False).tolist()) for _ in range(bands)]
+    keys = F.array(*[band_key(F.col("print"), k, p) for k, p in enumerate(picked)])
+    dealt = nodes.select("node", F.explode(keys).alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(dealt.join(shared, "key"))
+    blocks = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") / max(bucket // 2, 1))).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    placed = members.select("key", "node", F.explode(pairs).alias("pair"))
+    met = placed.join(nodes.select("node", "print"), "node").groupBy("key", "pair").agg(F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
+    components = connected_components(met.select("nodes", "prints").mapInArrow(verify, "a long, b long"))
+    discard(members)
+    return components
+
+
+def class_ids(prints: DataFrame, **options) -> DataFrame:
+    """(doc_id, print) -> (print, class_id) of every fingerprint: the smallest id of its class."""
+    own = cut(prints.groupBy(F.xxhash64("print").alias("node"), "print").agg(F.min("doc_id").alias("least")))
+    components = classes(own, **options).withColumnRenamed("node", "met")
+    rooted = cut(own.join(components, F.col("node") == F.col("met"), "left").select("print", "least", F.coalesce("root", "node").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n")).select(F.col("root").alias("on"), "class_id", "n")
+    return spread_join(rooted, names.select("on", "class_id"), "root", names, rooted.count()).select("print", "class_id")
+
+
+def _ranges(rows: DataFrame, n: int) -> tuple[Column, list[int]]:
+    """(the range of a row, the ranges' order by falling key): n or so ranges of rows (key, hash) at the keys' quantiles.
+
+    A key that holds several quantiles has a range of its own, cut further by hash, so no key's rows are one task's.
     """
-    spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    # range r holds cuts[r-1] < key <= cuts[r]; found in two steps, by every m-th cut and then among the m that follow
-    part = F.lit(0)
+    quantiles = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], max(10_000, 4 * n)).alias("q")).first()["q"] if n > 1 else []
+    times: dict[int, int] = {}
+    for q in quantiles or []:
+        times[q] = times.get(q, 0) + 1
+    heavy = {q: min(t + 1, 1 << 15) for q, t in times.items() if t > 1}
+    cuts = sorted({*times, *(q - 1 for q in heavy if q > -(1 << 63))})
+    base = F.lit(0)
     if cuts:
+        # found in two steps, by every m-th cut and then among the m that follow
         m = math.isqrt(len(cuts)) + 1
         below = lambda values: F.size(F.filter(values, lambda c: c < F.col("key")))
         every, coarse = (F.array(*[F.lit(c).cast("long") for c in some]) if some else F.array().cast("array<bigint>") for some in (cuts, cuts[m - 1 :: m]))
-        part = below(coarse) * m + below(F.slice(every, below(coarse) * m + 1, m))
-    heads = {r["part"]: r["key"] for r in rows.groupBy(part.alias("part")).agg(F.max("key").alias("key")).collect()}
-    used = sorted(heads)
-    above = {p: used[(k + 1) % len(used)] for k, p in enumerate(used)}
-    targets = F.create_map(*[x for p in used for x in (F.lit(heads[p]).cast("long"), F.lit(above[p]))]) if used else None
-    rows = rows.withColumn("part", part)
+        base = below(coarse) * m + below(F.slice(every, below(coarse) * m + 1, m))
+    sub = F.lit(0).cast("long")
+    if heavy:
+        subs = F.create_map(*[F.lit(x).cast("long") for q, t in heavy.items() for x in (q, t)])
+        sub = F.coalesce(F.shiftright((F.shiftright("hash", 32) + (1 << 31)) * subs[F.col("key")], 32), sub)
+    return F.shiftleft(base.cast("long"), 16) + sub, cuts
+
+
+def with_edits(df: DataFrame, id: str = "doc_id", text: str = "text", ranges: int | None = None, **options) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id) of each document.
+
+    The next document is the one before it by id, and after the smallest id comes the largest. Ids are cut into
+    ranges and each range is sorted by itself; the first document of a range also goes to the end of the range above,
+    so every document meets its next one without a global sort in one task. What the driver holds is a few numbers a
+    range. Null ids stand below all others. class_id is the smallest id of the documents near to each other by
+    classes(), whose options these are; null where none has an id.
+    """
+    spark = df.sparkSession
+    named = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = named.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("hash"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PER_RANGE, MOST_RANGES))
+    part, _ = _ranges(rows, n)
+    # the first row of each range, by falling key and rising hash; one row a range comes to the driver
+    first = F.max(F.struct("key", F.bitwise_not("hash").alias("not_hash"))).alias("head")
+    heads = {r["part"]: (r["head"]["key"], ~r["head"]["not_hash"]) for r in rows.groupBy(part.alias("part")).agg(first).collect()}
+    used = sorted(heads, key=lambda p: (-(p >> 16), p & 0xFFFF))
+    guests = spark.createDataFrame([(*heads[p], used[k - 1]) for k, p in enumerate(used)], "head_key long, head_hash long, above long")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for some in chunks(batch):
+                texts = some.column(1).to_pylist()
+                packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+                columns = [some.column(0), pa.array(packed, pa.binary()), pa.array(embed(texts), pa.binary()), *some.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", "print", "key", "hash", "part"])
+
+    walked = rows.withColumn("part", part).mapInArrow(walk, "doc_id long, packed binary, print binary, key long, hash long, part long")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
-    places = F.array(own)
-    if targets is not None:
-        is_head = F.col("key").isin([heads[p] for p in used])
-        places = F.when(is_head, F.array(own, F.struct(targets[F.col("key")].alias("part"), F.lit(1).alias("guest")))).otherwise(places)
-    sent = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "key", F.col("place.part").alias("part"), F.col("place.guest").alias("guest"))
-    order = ["part", "guest", F.col("key").desc(), F.xxhash64("text"), "text"]
-    lined = sent.repartition(n, "part").sortWithinPartitions(*order).select("doc_id", "text", "part", "guest")
+    both = F.array(own, F.struct(F.col("above").alias("part"), F.lit(1).alias("guest")))
+    # one row a range: at most MOST_RANGES
+    met = walked.join(F.broadcast(guests), (F.col("key") == F.col("head_key")) & (F.col("hash") == F.col("head_hash")), "left")
+    sent = met.withColumn("place", F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(both)))
+    sent = sent.select("doc_id", "packed", "print", "key", "hash", F.col("place.part").alias("part"), F.col("place.guest").alias("guest"))
+    lined = sent.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("key").desc(), "hash", "packed").select("doc_id", "packed", "print", "part", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (doc_id, text, following text)
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        held: list[tuple] = []  # (doc_id, n_chars, edited text, print, next one's print)
         size = 0
         before = None  # the row whose next is still to come
 
         def flush() -> pa.RecordBatch:
-            texts = [t for _, t, _ in held]
-            changed = [edited(t, f) for _, t, f in held]
-            nexts = [f for _, _, f in held]
-            # each row's next is the row after it, so most fingerprints are made once
-            unique = list(dict.fromkeys([*texts, *changed, *nexts]))
-            prints = dict(zip(unique, embed(unique), strict=True))
+            ids, sizes, changed, prints, nexts = (list(x) for x in zip(*held, strict=True))
+            held.clear()
+            others = embed(changed)
             columns = [
-                pa.array([d for d, _, _ in held], pa.int64()),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed], pa.string()),
-                pa.array([prints[t] for t in texts], pa.string()),
-                pa.array([prints[c] for c in changed], pa.string()),
-                pa.array([likeness(prints[t], prints[c]) for t, c in zip(texts, changed, strict=True)], pa.float64()),
-                pa.array([likeness(prints[t], prints[f]) for t, f in zip(texts, nexts, strict=True)], pa.float64()),
+                pa.array(ids, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest() for c in changed], pa.binary()),
+                pa.array(prints, pa.binary()),
+                pa.array(others, pa.binary()),
+                pa.array([likeness(p, o) for p, o in zip(prints, others, strict=True)], pa.float64()),
+                pa.array([likeness(p, o) for p, o in zip(prints, nexts, strict=True)], pa.float64()),
             ]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "sha", "print", "other", "near_edited", "near_next"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for d, t, p, g in zip(*[c.to_pylist() for c in batch.slice(k, 256).columns], strict=True):
-                    if before is not None and before[2] == p:
-                        held.append((before[0], before[1], t))
+                for d, packed, print, p, g in zip(*[c.to_pylist() for c in batch.slice(k, 256).columns], strict=True):
+                    t = unpack.decompress(packed).decode("utf-8", "surrogatepass")
+                    if before is not None and before[3] == p:
+                        held.append((before[0], len(before[1]), edited(before[1], t), before[2], print))
                         size += len(before[1])
-                        if size >= 8 << 20:
+                        if size >= 4 << 20:
                             yield flush()
                             size = 0
-                    before = None if g else (d, t, p)
+                    before = None if g else (d, t, print, p)
         if held:
             yield flush()
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return lined.mapInArrow(run, schema)
+    schema = "doc_id long, n_chars long, sha binary, print binary, other binary, near_edited double, near_next double"
+    done = Table(lined.mapInArrow(run, schema), "edit-prints").read()
+    ids = class_ids(done.select("doc_id", "print"), **options)
+    low = lambda c: F.lower(F.hex(c))
+    counts = done.groupBy(F.col("print").alias("on")).agg(F.count("*").alias("n"))
+    named = spread_join(done, cut(ids.withColumnRenamed("print", "on")), "print", counts, done.count())
+    return named.select("doc_id", "n_chars", low("sha").alias("edited_sha256"), low("print").alias("fingerprint"), low("other").alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

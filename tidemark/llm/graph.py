@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, discard, spread_join
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of any one orderable type -> (node, root): the smallest node that each node reaches.
 
     Each step links nodes to the smallest node they know of, so an edge list never grows beyond its first
-    number of edges, whatever the degree of a node. Nodes without an edge to another node do not appear. Loops,
+    number of edges, whatever the degree of a node; the edges of a hub are spread over all tasks. Nodes without an edge to another node do not appear. Loops,
     repeated edges and null ends are ignored. Every step's edges are checkpointed.
     """
     edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -27,14 +27,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).filter(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("on"), F.least("a", "m").alias("m"), "n")
+        large = spread_join(both, least.select("on", "m"), "a", least, 2 * before[0]).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.distinct())
         # small star: a node and its smaller neighbours are linked to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, large["a"] == least["u"]).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        after = _sum(edges)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("on"), "m", "n")
+        small = spread_join(large, least.select("on", "m"), "a", least, before[0]).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionByName(least.select(F.col("on").alias("a"), F.col("m").alias("b"))).distinct())
+        after = _sum(now)
+        discard(edges)
+        discard(large)
+        edges = now
         if after == before:
             break
         before = after

@@ -10,7 +10,7 @@ How it is laid out over the cluster:
 1. Documents are cut into blocks of bounded size, one pass over the text: per block the distinct words' hashes and
    the documents as numbers into them, compressed, written once as a table. Held-out documents have blocks of
    their own.
-2. Every block asks for the counts of its distinct n-grams (56-bit hashes, so a frequent n-gram costs one entry a
+2. Every block asks for the counts of its distinct n-grams (64-bit hashes, so a frequent n-gram costs one entry a
    block), dealt out by hash range; a range adds up what all blocks hold and answers each. Answers are a table.
 3. Held-out blocks meet their answers and give a histogram of (context bucket, estimates in steps of a quarter of
    a power of two), which has a bounded number of cells whatever the input; the weights are learned from it.
@@ -43,6 +43,8 @@ from tidemark.llm.shared import Table, cut
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of text in a block and for which there is a range of hashes.
 BLOCK, PER_RANGE = 8 << 20, 8 << 20
+#: Beyond so many ranges a task takes several, one after the other.
+MOST_TASKS = 20_000
 #: Local numbers 0 and 1 of every block: start of text and end of text.
 START, END = 0, 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -129,7 +131,7 @@ class Block:
         return [None if n else i for i, n in zip(self.ids.tolist(), self.null.tolist(), strict=True)]
 
     def grams(self, order: int) -> np.ndarray:
-        """The 56-bit hash of the n-gram that ends at each token; starts of texts stand before the first."""
+        """The 64-bit hash of the n-gram that ends at each token; starts of texts stand before the first."""
         salt = self.words.copy()
         salt[START], salt[END] = 0x51ED270B, 0x2545F491  # never the hash of a word but by chance
         own = salt[self.tokens]
@@ -144,12 +146,22 @@ class Block:
             x ^= x >> np.uint64(32)
             x *= _B
             x ^= x >> np.uint64(29)
-        return x >> np.uint64(8)
+        return x
 
 
 def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """The range of each 56-bit key; not decreasing with the key."""
-    return ((keys >> np.uint64(24)) * np.uint64(n)) >> np.uint64(32)
+    """The range of each 64-bit key; not decreasing with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts as bytes: their width, 4 or 8, then the numbers in it."""
+    kind = "<u4" if not len(x) or int(x.max()) < 1 << 32 else "<u8"
+    return np.concatenate([np.array([np.dtype(kind).itemsize], "u1"), x.astype(kind).view("u1")])
+
+
+def _widened(raw: np.ndarray) -> np.ndarray:
+    return np.frombuffer(raw[1:].tobytes(), f"<u{int(raw[0])}").astype(np.int64)
 
 
 def _asked(block: Block, order: int, n: int, role: int) -> Iterator[tuple[int, bytes]]:
@@ -185,17 +197,17 @@ def _answered(asked: list[tuple[int, int, bytes]], order: int) -> tuple[list[tup
             types, kept = int((main + held > 0).sum()), int(main.sum())
             tokens = kept + int(held.sum())
         for place, a, b in zip(range(len(asked)), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            sums[place] += [main[number[a:b]].astype("<u4"), held[number[a:b]].astype("<u4")]
+            sums[place] += [_narrow(main[number[a:b]]), _narrow(held[number[a:b]])]
     return [(block, _pack(*s)) for (block, _, _), s in zip(asked, sums, strict=True)], types, tokens, kept
 
 
 def _counts(block: Block, answers: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(main, held) counts of the n-gram that ends at each token, by order."""
-    parts = [_unpack(a, *["<u4"] * (2 * order)) for a in answers]
+    parts = [_unpack(a, *["u1"] * (2 * order)) for a in answers]
     out = []
     for k in range(order):
         _, number = np.unique(block.grams(k + 1), return_inverse=True)
-        main, held = (np.concatenate([p[2 * k + j] for p in parts]).astype(np.int64) for j in (0, 1))
+        main, held = (np.concatenate([_widened(p[2 * k + j]) for p in parts]) for j in (0, 1))
         out.append((main[number], held[number]))
     return out
 
@@ -297,6 +309,7 @@ def score(
     documents = sum(r["documents"] for k, r in sizes.items() if k)
     main_documents = sizes[1]["documents"] if 1 in sizes else 0
     n = max(partitions, sum(r["bytes"] for r in sizes.values()) // PER_RANGE)
+    tasks = max(partitions, min(n, MOST_TASKS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +343,7 @@ def score(
             yield rows_of(now, held)
 
     asked = blocks.read().select("block", "role", "data").mapInArrow(ask, "range int, block long, role int, data binary")
-    dealt = asked.repartition(partitions, "range").sortWithinPartitions("range")
+    dealt = asked.repartition(tasks, "range").sortWithinPartitions("range")
     schema = "block long, range int, role int, types long, tokens long, kept long, data binary"
     answers = Table(dealt.mapInArrow(answer, schema), "lm-answers", "uncompressed")
     sums = answers.read().agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "kept")]).first()
@@ -356,7 +369,7 @@ def score(
             if block is not None:
                 yield run(block, got)
 
-        return both.repartition(partitions, "block").sortWithinPartitions("block", "range").select("range", "data").mapInArrow(grouped, schema)
+        return both.repartition(tasks, "block").sortWithinPartitions("block", "range").select("range", "data").mapInArrow(grouped, schema)
 
     def histogram(block: Block, got: list[bytes]) -> pa.RecordBatch:
         counts = [main for main, _ in _counts(block, got, order)]

@@ -16,10 +16,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, else an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(named)
     return named
@@ -47,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that cut() made, once nothing that is still to be worked out reads them."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete(df.sparkSession, file.get())
+
+
 class Table:
     """A DataFrame written once as Parquet in the shared folder; drop() deletes the files."""
 
@@ -83,6 +92,31 @@ def fixed(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many _ behind it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot if one row in so many has it; so there are at most as many hot keys.
+HOT = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right on left[key] == right["on"], which is unique in right; no task gets a hot key's rows.
+
+    counts: (on, n), how many of left's `total` rows have a key. The rows of right for hot keys, at most HOT, are broadcast;
+    all other keys are joined as Spark sees fit. left is read twice. Null keys meet nothing.
+    """
+    hot = F.broadcast(counts.filter(F.col("n") >= max(total / HOT, 2)).select(F.col("on").alias("hot")))
+    some = F.broadcast(right.join(hot, F.col("on") == F.col("hot"), "left_semi"))
+    first = left.join(hot, F.col(key) == F.col("hot"), "left_semi").join(some, F.col(key) == F.col("on"), how)
+    rest = left.join(hot, F.col(key) == F.col("hot"), "left_anti").join(right, F.col(key) == F.col("on"), how)
+    return first.unionByName(rest).drop("on")
+
+
 def worker_cache(key: str, make):
     """What make() returned for this key in this Python process; functions pickled by value have no other memory between tasks."""
     import sys

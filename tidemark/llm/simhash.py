@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, discard, spread_join, unused
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -137,12 +137,19 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id): documents in linked classes; component_id is the smallest id of the class."""
     docs = cut(fingerprints(df, id, text, width, seed))
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    components = connected_components(links(nodes.select("fp"), radius, bucket))
-    rooted = nodes.join(components, nodes["fp"] == components["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return docs.join(named, docs["fp"] == named["node_fp"], "left").select("doc_id", "fp", "component_id")
+    nodes = cut(docs.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    named = cut(_named(nodes.select("node", "least"), connected_components(links(nodes.select(F.col("node").alias("fp")), radius, bucket))))
+    counts = nodes.select(F.col("node").alias("on"), "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return spread_join(docs, named.select(F.col("node").alias("on"), "component_id"), "fp", counts, total).select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, least) -> (node, component_id): the least of all nodes that a component connects; alone, a node's own."""
+    met = nodes.join(components.withColumnRenamed("node", "met"), F.col("node") == F.col("met"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = cut(met)
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).select(F.col("root").alias("on"), "component_id", "n")
+    return spread_join(rooted, names.select("on", "component_id"), "root", names, rooted.count()).select("node", "component_id")
 
 
 #: Bands of candidates' keys and min-hashes in one: texts of a similarity s miss each other with (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8.
@@ -221,7 +228,10 @@ def similar_stars(nodes: list[int], shingles: list[bytes], least: float) -> list
 
 
 def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bucket: int = 4096) -> DataFrame:
-    """(doc_id, component_id): classes of documents whose word shingles are similar by `least` (Jaccard).
+    """(doc_id, exact, node, best, component_id): classes of documents whose word shingles are similar by `least` (Jaccard).
+
+    exact is a hash of the text, node one of its words. component_id is the smallest id of the class, best that id with
+    the smallest hash of a text under it; both are null in a class without an id.
 
     Candidates come from min-hashes of the shingles, BANDS times ROWS of them: wherever two texts differ, in one place
     or in many, they meet in no band with (1 - s ** ROWS) ** BANDS. Texts that bands connect are brought together, and
@@ -234,7 +244,7 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
         for batch in batches:
             found = [word_prints(t.as_py(), width) for t in batch.column(1)]
             columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "exact", "node", "keys", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +255,9 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
         met = placed.join(shingles, "node").groupBy(*by).agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("shingles"))
         return met.select("nodes", "shingles").mapInArrow(verify, "a long, b long")
 
-    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("exact"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, node long, keys array<long>, shingles binary"))
+    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, exact long, node long, keys array<long>, shingles binary"))
     shingles = docs.groupBy("node").agg(F.first("shingles").alias("shingles"))
     keyed = docs.groupBy("node").agg(F.first("keys").alias("keys"), F.first(F.octet_length("shingles")).alias("size"))
     dealt = keyed.select("node", "size", F.posexplode("keys").alias("t", "key"))
@@ -268,19 +278,32 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
         whole = (F.col("n") <= bucket) & (F.col("bytes") <= AT_ONCE)
         edges = edges.unionByName(verified(crowd.select("t", "key", "node", F.explode(F.when(whole, one).otherwise(pairs)).alias("pair")), ["t", "key", "pair"]))
     components = connected_components(edges)
-    known = docs.groupBy(F.col("node").alias("n")).agg(F.min("doc_id").alias("least"))
-    rooted = known.join(components, known["n"] == components["node"], "left").select("n", "least", F.coalesce("root", "n").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("n", "component_id")
-    return docs.select("doc_id", "node").join(named, F.col("node") == F.col("n"), "left").select("doc_id", "component_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "exact"))
+    known = cut(docs.groupBy("node").agg(F.min(own).alias("least"), F.count("*").alias("n")))
+    named = cut(_named(known.select("node", "least"), components))
+    slim = cut(docs.select("doc_id", "exact", "node"))
+    for done in (members, many, docs):
+        discard(done)
+    counts = known.select(F.col("node").alias("on"), "n")
+    placed = spread_join(slim, named.select(F.col("node").alias("on"), F.col("component_id").alias("best")), "node", counts, slim.count())
+    return placed.withColumn("component_id", F.col("best.doc_id"))
 
 
 def one_each(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """df without the documents whose class has one of a smaller id. Rows that share the smallest id leave one; rows without an id stay."""
-    found = near_texts(df, id, text, **options)
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = df.join(gone, F.col(f"`{id}`") == F.col("__gone"), "left_anti")
-    if not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        named = kept.filter(F.col(f"`{id}`").isNotNull()).dropDuplicates([id])
-        kept = named.unionByName(kept.filter(F.col(f"`{id}`").isNull()))
+    """df with one row of each class of near texts: the one of the smallest id, of several texts under it the one whose hash is smallest.
+
+    Rows are told apart by id and text, so a text that shares its id with others stays unless it is near to one that
+    stays. Rows that are equal in both leave one. Rows without an id stay.
+    """
+    found = cut(near_texts(df, id, text, **options).select("doc_id", "exact", "best"))
+    named = [unused(df, "gone_id"), unused(df, "gone_exact")]
+    key = [F.col("doc_id").alias(named[0]), F.col("exact").alias(named[1])]
+    same = (F.col(f"`{id}`") == F.col(named[0])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(named[1]))
+    gone = cut(found.filter(F.col("doc_id").isNotNull() & (F.struct("doc_id", "exact") != F.col("best"))).select(key).distinct())
+    kept = df.join(gone, same, "left_anti")
+    twice = cut(found.filter("doc_id is not null").groupBy("doc_id", "exact").agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    if not twice.isEmpty():
+        exact = unused(df, "exact")
+        once = kept.join(twice, same, "left_semi").withColumn(exact, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([id, exact]).drop(exact)
+        kept = kept.join(twice, same, "left_anti").unionByName(once)
     return kept
