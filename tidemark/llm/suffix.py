@@ -17,8 +17,8 @@ at most 2 * length - GRAM bytes. The work then goes over the cluster in this way
 
 Hashes only decide where windows meet: results come from bytes. Equal segments of one block are sent once, for
 the smallest document that has them; in the others they are repeats already. So a passage in a third of all
-documents costs an entry a block, not an entry a document. The number of ranges and buckets grows with the input,
-so the size of one does not. A long document is taken in overlapping pieces.
+documents costs an entry a block, not an entry a document. The number of ranges, buckets and tasks grows with the
+input, so the size of one does not. A block has no more messages than distinct anchors. A long document is taken in overlapping pieces.
 
 Null text counts as empty and stays null. Null ids count as larger than all others. Rows that share an id are
 documents of equal rank; repeated rows get equal results. Texts shorter than `length` bytes are kept whole. An
@@ -43,6 +43,8 @@ GRAM = 16
 #: Bytes of text in a block and in one step of the search for anchors, and for which there is a range or bucket.
 BLOCK, STEP, PER_BUCKET = 16 << 20, 2 << 20, 8 << 20
 NULL_ID = (1 << 63) - 1
+#: Lengths go up to this, as a segment's size has two bytes. Beyond so many ranges a task takes several, one after the other.
+LONGEST, MOST_TASKS = 30_000, 20_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -131,19 +133,55 @@ def _first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: in
     return same
 
 
+def word_order(key: np.ndarray, small: int = 1 << 13, pivots: int = 512) -> np.ndarray:
+    """The stable order of words, as multikey quicksort takes one symbol: a partition by pivots into what equals one, which is
+    done, and what lies between two, which is partitioned again until it is small."""
+    n = len(key)
+    if n <= small:
+        return np.argsort(key, kind="stable")
+    chosen = np.unique(key[:: n // pivots])
+    part = np.searchsorted(chosen, key)
+    equal = chosen[np.minimum(part, len(chosen) - 1)] == key
+    side = (2 * part + equal).astype(np.uint16)
+    order = np.argsort(side, kind="stable")  # by counting: 16 bits
+    ends = np.cumsum(np.bincount(side, minlength=2 * len(chosen) + 1))
+    for k in range(0, 2 * len(chosen) + 1, 2):
+        a, b = ends[k - 1] if k else 0, ends[k]
+        if b - a > 1:
+            own = order[a:b]
+            order[a:b] = own[word_order(key[own], small, pivots)]
+    return order
+
+
+def _within(key: np.ndarray, group: np.ndarray, large: int = 1 << 13) -> np.ndarray:
+    """The stable order by word within each of the groups, which stand one after the other; large groups one by one."""
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    ends = np.concatenate([heads[1:], [len(group)]])
+    out = np.empty(len(key), np.int64)
+    rest = np.ones(len(key), bool)
+    for k in np.flatnonzero(ends - heads > large).tolist():
+        a, b = heads[k], ends[k]
+        out[a:b] = a + word_order(key[a:b])
+        rest[a:b] = False
+    some = np.flatnonzero(rest)
+    out[some] = some[np.lexsort((key[some], group[some]))]
+    return out
+
+
 def deep_shallow(buffer: bytes, starts: np.ndarray, depth: int, shallow: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Order suffixes by their first `depth` bytes: (order, same); same[i]: the i-th in order agrees with the one before it on all of them.
 
-    Shallow: multikey quicksort whose symbol is a word of 8 bytes; only suffixes that are still equal to another
-    are looked at again, to the depth `shallow`. Deep: each group left is put into a blind trie. A round takes the
+    Shallow: multikey quicksort whose symbol is a word of 8 bytes (word_order below); only suffixes that are equal to
+    another go on with their next word, to the depth `shallow`. Deep: each group left is put into a blind trie. A round takes the
     path of one suffix of each group: every other one is compared with it once, and hangs where the two first
     differ, before or after the path by the byte there. Those at one branch with one byte are the next round's
     groups; those that never leave the path are equal. The buffer has at least depth + 8 bytes after each start.
     """
     n = len(starts)
     words = _words(buffer, ">")
-    order = np.argsort(words[starts], kind="stable")
-    key = words[starts[order]]
+    key = words[starts]
+    order = word_order(key)
+    key = key[order]
     same = np.concatenate([[False], key[1:] == key[:-1]]) if n else np.zeros(0, bool)
     at = 8
     while at < min(shallow, depth - 7):
@@ -155,7 +193,7 @@ def deep_shallow(buffer: bytes, starts: np.ndarray, depth: int, shallow: int = 1
             return order, same
         group = np.cumsum(~same[where])
         key = words[starts[order[where]] + at]
-        new = np.lexsort((key, group))
+        new = _within(key, group)
         order[where] = order[where][new]
         key, group = key[new], group[new]
         same[where] = np.concatenate([[False], (key[1:] == key[:-1]) & (group[1:] == group[:-1])])
@@ -166,6 +204,8 @@ def deep_shallow(buffer: bytes, starts: np.ndarray, depth: int, shallow: int = 1
         member[:-1] |= same[1:]
     where = np.flatnonzero(member)
     head = ~same[where]  # the first of each group
+    aside = depth * 256  # the branches before the path have numbers below, those after it above
+    step = 2 * (aside + 256)
     while len(where):
         group = np.cumsum(head) - 1
         path = order[where[head]][group]
@@ -174,9 +214,9 @@ def deep_shallow(buffer: bytes, starts: np.ndarray, depth: int, shallow: int = 1
         on_path = shared >= depth
         reach = np.minimum(shared, depth - 1)
         mine, theirs = raw[starts[own] + reach].astype(np.int64), raw[starts[path] + reach]
-        branch = np.where(mine < theirs, reach * 256 + mine, (1 << 16) + (depth - reach) * 256 + mine)
-        branch[on_path] = 1 << 15
-        rank = group * (1 << 17) + branch
+        branch = np.where(mine < theirs, reach * 256 + mine, aside + (depth - reach) * 256 + mine)
+        branch[on_path] = aside
+        rank = group * step + branch
         new = np.argsort(rank, kind="stable")
         order[where] = own[new]
         rank, on_path = rank[new], on_path[new]
@@ -251,11 +291,13 @@ def _part(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _asked(texts: list[bytes], length: int, n: int) -> Iterator[tuple[int, bytes]]:
-    """(range, packed sorted keys) of the distinct anchors of a block."""
+    """(range, packed sorted keys) of the distinct anchors of a block; nothing for a block without one."""
     found = [np.unique(_mixed(segments([(d, p) for d, _, p in pieces], length)[4])) for pieces in _pieces(texts, length)]
     if not found:
         return
     keys = np.unique(np.concatenate(found))
+    if not len(keys):
+        return
     used, first = np.unique(_part(keys, n), return_index=True)
     for r, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
         part = keys[a:b]
@@ -315,6 +357,7 @@ def _segments_sent(block: int, ids: np.ndarray, texts: list[bytes], answers: lis
     content = np.arange(len(doc))
     chosen = np.flatnonzero(several)
     most = 2 * length - GRAM
+    wide = most + 2  # the size in two bytes, then the bytes
     lanes = np.arange(most)
     order = chosen[np.argsort(key[chosen], kind="stable")]
     at = 0
@@ -323,14 +366,15 @@ def _segments_sent(block: int, ids: np.ndarray, texts: list[bytes], answers: lis
         while to < len(order) and key[order[to]] == key[order[to - 1]]:
             to += 1
         part = order[at:to]
-        fixed = np.zeros((len(part), most + 1), np.uint8)
-        fixed[:, 0] = size[part] - length + 1
+        fixed = np.zeros(len(part) * wide + wide + 8, np.uint8)  # deep_shallow looks 8 bytes on
+        table = fixed[: len(part) * wide].reshape(-1, wide)
+        table[:, 0], table[:, 1] = size[part] & 255, size[part] >> 8
         for k in range(0, len(part), 1 << 14):
             some = part[k : k + (1 << 14)]
             inside = lanes < size[some][:, None]
-            fixed[k : k + len(some), 1:] = np.where(inside, raw[np.minimum(start[some][:, None] + lanes, len(raw) - 1)], 0)
-        _, first, name = np.unique(fixed.view(f"S{most + 1}").ravel(), return_index=True, return_inverse=True)
-        content[part] = part[first][name]
+            table[k : k + len(some), 2:] = np.where(inside, raw[np.minimum(start[some][:, None] + lanes, len(raw) - 1)], 0)
+        placed, same = deep_shallow(fixed.tobytes(), np.arange(len(part)) * wide, wide)
+        content[part[placed]] = part[placed[~same]][np.cumsum(~same) - 1]
         at = to
     least = np.full(len(doc), np.iinfo(np.int64).max)
     np.minimum.at(least, content, ids[doc])
@@ -358,7 +402,7 @@ def _segments_sent(block: int, ids: np.ndarray, texts: list[bytes], answers: lis
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(heads)], strict=True):
         own = lead[a:b]
         places = offset[rest[heads[a] : heads[b - 1] + counts[b - 1]]]
-        packed = _pack(key[own], ids[doc[own]], doc[own].astype("<i4"), size[own].astype("u1"), counts[a:b].astype("<i4"), places.astype("<i4"), _gather(raw, start[own], size[own]))
+        packed = _pack(key[own], ids[doc[own]], doc[own].astype("<i4"), size[own].astype("<u2"), counts[a:b].astype("<i4"), places.astype("<i4"), _gather(raw, start[own], size[own]))
         yield int(bucket[heads[a]]), packed
 
 
@@ -375,7 +419,7 @@ def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 def _bucket_repeats(parts: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, bytes]]:
     """(block, packed stretches) of what repeats a smaller document, over all (block, packed segments) of a bucket."""
-    lists = [_unpack(data, "<u8", "<i8", "<i4", "u1", "<i4", "<i4", "u1") for _, data in parts]
+    lists = [_unpack(data, "<u8", "<i8", "<i4", "<u2", "<i4", "<i4", "u1") for _, data in parts]
     block = np.repeat(np.array([b for b, _ in parts], np.int64), [len(x[0]) for x in lists])
     key, ids, doc, size, counts, places, raw = (np.concatenate(x) for x in zip(*lists, strict=True))
     del lists
@@ -440,6 +484,8 @@ def _texts(rows: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 
 def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result: str, make) -> DataFrame:
     """make(rows, texts, stretches by document) -> record batch, over all blocks."""
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {LONGEST}")
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(f"`{id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"), *columns)
@@ -478,6 +524,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
     blocks = Table(rows.mapInArrow(pack, "block long, bytes long, data binary"), "suffix-blocks", "uncompressed")
     total = blocks.read().agg(F.sum("bytes")).first()[0] or 0
     n = max(partitions, total // PER_BUCKET)
+    tasks = max(partitions, min(n, MOST_TASKS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,7 +554,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
         return pa.RecordBatch.from_arrays([pa.array([part] * len(held), pa.int32()), pa.array([b for b, _ in held], pa.int64()), pa.array(bits, pa.binary())], ["part", "block", "data"])
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions, "part").sortWithinPartitions("part").select("part", "block", "data")
+        return df.repartition(tasks, "part").sortWithinPartitions("part").select("part", "block", "data")
 
     kind = "part int, block long, data binary"
     asked = blocks.read().select("block", "data").mapInArrow(ask, kind)
@@ -516,7 +563,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
     def met(found: DataFrame, run, schema: str) -> DataFrame:
         """run(block, rows, data of `found` in order of part) for each block."""
         own = blocks.read().select(F.lit(-2).alias("part"), "block", "data")
-        both = own.unionByName(found).repartition(partitions, "block").sortWithinPartitions("block", "part").select("part", "block", "data")
+        both = own.unionByName(found).repartition(tasks, "block").sortWithinPartitions("block", "part").select("part", "block", "data")
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, own, got = None, b"", []
@@ -545,7 +592,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
     segments_sent = met(answers, send, kind)
     # stretches found within a block pass through, spread by block
     spread = F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")).otherwise(F.col("part"))
-    in_buckets = segments_sent.withColumn("spread", spread).repartition(partitions, "spread").sortWithinPartitions("part").select("part", "block", "data")
+    in_buckets = segments_sent.withColumn("spread", spread).repartition(tasks, "spread").sortWithinPartitions("part").select("part", "block", "data")
     stretches = in_buckets.mapInArrow(grouped(sort), kind)
 
     def cut_texts(block: int, rows: pa.Table, got: list[bytes]) -> Iterator[pa.RecordBatch]:
