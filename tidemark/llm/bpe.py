@@ -13,7 +13,7 @@ through the library's own normaliser and pre-tokenizer, so Unicode details are a
 
 Null text counts as empty and has no ids; its decoded text is empty. Rows are handled one by one: repeated rows
 get equal results, an empty table an empty result, and a text of any length is taken whole. Columns other than
-the text are handed through; a result column may not have the name of an input column other than one it replaces.
+the text are handed through, whatever their names; a result column replaces an input column of its name.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import worker_cache
+from tidemark.llm.shared import cut, worker_cache
 
 #: Letters whose class, lower case and composition no Unicode version changes; I with a dot is left to the library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
@@ -139,7 +139,8 @@ class ForcedBoundaryBPE:
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
-        for part in self.specials.split(text or "") if self.specials and "<" in (text or "") else [text or ""]:
+        text = text or ""
+        for part in self.specials.split(text) if any(s in text for s in self.special) else [text]:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
@@ -158,40 +159,39 @@ def _codec(path: str) -> ForcedBoundaryBPE:
     return worker_cache(f"bpe {path}", lambda: ForcedBoundaryBPE(path))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """df with the ids of each whole text, as array<int>."""
+def _with_column(df: DataFrame, given: str, into: str, kind: str, arrow: pa.DataType, path: str, work) -> DataFrame:
+    """df with the column `into`, made by work(codec, value) from the column `given`; the others travel in one struct, whatever their names."""
+    others = [c for c in df.columns if c != into]
+    row = F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                ids = pa.array([codec.encode(t.as_py()) for t in part.column(at)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c for n, c in enumerate(part.columns) if n != at], ids], [*[n for n in part.schema.names if n != "__text"], into])
+                made = pa.array([work(codec, x.as_py()) for x in part.column(0)], arrow)
+                yield pa.RecordBatch.from_arrays([made, part.column(1)], ["made", "row"])
 
-    others = df.select(*[F.col(f"`{c}`") for c in df.columns if c != into])
-    schema = others.withColumn(into, F.lit(None).cast("array<int>")).schema
-    return others.withColumn("__text", F.col(f"`{text}`")).mapInArrow(run, schema)
+    sent = df.select(F.col(f"`{given}`").alias("given"), row)
+    schema = df.select(F.lit(None).cast(kind).alias("made"), row).schema
+    return sent.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in others], F.col("made").alias(into))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """df with the text that each row's ids stand for."""
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """df with the ids of each whole text, as array<int>."""
+    return _with_column(df, text, into, "array<int>", pa.list_(pa.int32()), path, lambda codec, t: codec.encode(t))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
-        for batch in batches:
-            at = batch.schema.get_field_index("__ids")
-            texts = pa.array([codec.decode(x.as_py() or []) for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*[c for n, c in enumerate(batch.columns) if n != at], texts], [*[n for n in batch.schema.names if n != "__ids"], into])
 
-    others = df.select(*[F.col(f"`{c}`") for c in df.columns if c != into])
-    schema = others.withColumn(into, F.lit(None).cast("string")).schema
-    return others.withColumn("__ids", F.col(f"`{ids}`")).mapInArrow(run, schema)
+def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """df with the text that each row's ids stand for."""
+    return _with_column(df, ids, into, "string", pa.string(), path, lambda codec, x: codec.decode(x or []))
 
 
 def digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): both directions in one pass, so no ids are moved to Spark and back."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): both directions in one pass, so no ids are moved to Spark and back.
+
+    Worked out once, to a checkpoint, over batches of bounded bytes, so a worker's memory does not depend on the length of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
@@ -207,6 +207,6 @@ def digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") ->
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return cut(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
