@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, words string, size long, key long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, words string, size long, key long, quality_text string, licenses_hits long, gone_id long, made string, row long, __text string"
+
+
+CLASH = ("q", 4, 5, "m", 6, "t")
 
 
 @pytest.fixture(scope="session")
@@ -23,8 +26,8 @@ def texts():
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """The texts as a table with columns whose names clash with the operators' own, a null id and a repeated row."""
-    rows = [(k * 3 % 101, t, "en", None if k % 7 == 0 else f"s{k % 3}", len(t or ""), 1, "w", 2, 3) for k, t in enumerate(texts)]
-    rows += [rows[9], (None, texts[8], "en", "s0", 1, 1, "w", 2, 3)]
+    rows = [(k * 3 % 101, t, "en", None if k % 7 == 0 else f"s{k % 3}", len(t or ""), 1, "w", 2, 3, *CLASH) for k, t in enumerate(texts)]
+    rows += [rows[9], (None, texts[8], "en", "s0", 1, 1, "w", 2, 3, *CLASH)]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 

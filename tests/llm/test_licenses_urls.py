@@ -29,6 +29,15 @@ def test_templates_are_found_where_they_stand(spark):
     assert found[90] == found[91] == found[92] == []
 
 
+def test_notices_are_found_that_begin_or_end_outside_the_text(spark):
+    cut = "free software you can redistribute it and or modify it under the terms of the gnu general public license"
+    rows = [(1, cut), (2, "this program is free software; you can redistribute it under the terms of the GNU"), (3, "GNU General Public License")]
+    found = {r.doc_id: r.licenses.found for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(f.label, f["at"]) for f in found[1]] == [("gpl", -3)] and 0.8 < found[1][0].score < 1
+    assert found[2] == []  # a mandatory phrase is cut off
+    assert found[3] == []
+
+
 def test_index_holds_rare_words_of_every_template():
     idx = licenses.index()
     for k, _ in enumerate(idx.templates):
@@ -73,6 +82,23 @@ def test_ranks_equal_power_iteration(spark):
         assert abs(r["rank"] - rank[place[r.host]]) < 1e-12
 
 
+def test_hubs_are_ranked_as_others(spark, monkeypatch):
+    monkeypatch.setattr(urls, "HOT", 10)
+    monkeypatch.setattr("tidemark.llm.shared.HOT", 10)
+    edges = [("hub", f"h{k}", 1.0) for k in range(40)] + [(f"h{k}", "hub", 2.0) for k in range(0, 40, 3)] + [("h1", "h2", 1.0)]
+    seeds = spark.createDataFrame([("h1",), ("hub",)], "host string")
+    rank = {r.host: r["rank"] for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), seeds).collect()}
+    hosts = sorted({x for e in edges for x in e[:2]})
+    m = np.array([[sum(w for s, d, w in edges if (s, d) == (a, b)) for a in hosts] for b in hosts])
+    m = m / np.maximum(m.sum(axis=0), 1e-9)
+    start = np.array([h in ("h1", "hub") for h in hosts]) / 2
+    want = start
+    for _ in range(20):
+        want = 0.85 * m @ want
+        want = want + (1 - want.sum()) * start
+    assert all(abs(rank.get(h, 0) - want[k]) < 1e-9 for k, h in enumerate(hosts))
+
+
 def test_linkers_of_blocked_hosts_are_blocked(spark):
     link = '<a href="{}">x</a>'.format
     pages = [

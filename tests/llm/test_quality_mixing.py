@@ -26,6 +26,8 @@ def test_measures_equal_brute_force(docs):
 def test_keep_drops_what_a_rule_breaks(docs, empty):
     kept = quality.keep(docs)
     assert kept.columns == docs.columns
+    assert quality.judge(docs).columns == [*docs.columns, "quality", "quality_failed"]
+    assert {r.quality_text for r in kept.collect()} == {"q"}
     assert {r.text for r in kept.collect()} == {r.text for r in quality.judge(docs).filter(F.size("quality_failed") == 0).collect()}
     assert all(len((r.text or "").split()) >= 50 for r in kept.collect())
     assert quality.keep(empty).count() == 0

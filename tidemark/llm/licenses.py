@@ -6,14 +6,15 @@ document only the words with the highest idf are looked up: those in at most `ra
 template has some. A posting met at word p of the document for position q of a template votes for that template
 at offset p - q. Offsets with at least `votes` distinct positions agreeing are candidates; a candidate stands if
 every mandatory phrase of the template is found at its own place, and its score is the share of the template's
-words that stand where the offset puts them.
+words that stand where the offset puts them. A text may begin or end inside a notice: offsets may be negative, and
+the words that are cut off lower the score.
 
 Everything is arrays of one row and joins against literals: no shuffle, no user function. Texts without any
 rare word are told apart by one regular expression and cost nothing more.
 
 Null text counts as empty. Repeated rows get equal results. An empty table gives an empty result; very long
-texts are scanned whole. Columns other than the text are handed through; the columns that scan() adds are named
-in one struct, so input columns may have any names.
+texts are scanned whole. Columns are handed through, whatever their names; what scan() adds is one struct, which
+replaces an input column of its name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower, fixed
+from tidemark.llm.shared import ascii_lower, fixed, unused
 
 #: What separates words: all ASCII but digits and small letters, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,6 +59,18 @@ TEMPLATES = (
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ("waived all copyright",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("in compliance with the license", "apache org licenses")),
+    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("deal in the software without restriction", "sublicense and or sell copies")),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived",)),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("distributed in the hope that it will be useful", "gnu general public license")),
+    Template("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("copy of the mpl",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose", ("anyone is free to copy",)),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0", ("creativecommons org licenses by 4 0",)),
 )
 
 # The base phrases and their labels.
@@ -108,8 +121,8 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: di
     """df with the struct `into`: n_words, places (label, at of base phrases), found (label, at, score of templates)."""
     phrases = PHRASES if phrases is None else phrases
     idx = index(templates)
-    w, hits, cand = f"{into}_words", f"{into}_hits", f"{into}_candidates"
-    df = df.withColumn(w, normal_words(F.col(text)))
+    w, hits, cand = (unused(df, f"{into}_{x}") for x in ("words", "hits", "candidates"))
+    df = df.withColumn(w, normal_words(F.col(f"`{text}`")))
     none = F.array().cast("array<struct<label:string,at:int>>")
     first = [p.split(" ")[0] for p in phrases]
 
@@ -137,7 +150,7 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: di
                 F.coalesce(F.get(F.col(cand), i + F.get(need, x["k"]) - 1) == x, F.lit(False)).alias("enough"),
             ),
         ),
-        lambda x: x["first"] & x["enough"] & (x["o"] >= 0),
+        lambda x: x["first"] & x["enough"],
     )
     words_of = F.array(*[F.array(*map(F.lit, t.text.split())) for t in templates])
     needs_of = F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("w")) for p, s in _mandatory(t)]) for t in templates])

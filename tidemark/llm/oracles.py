@@ -76,11 +76,39 @@ template(k, label, p, word, rare, must, size, need, musts) as (values {words}),
 aligned as (
   select row, k, any_value(label) as label, pos - p as o, count(*) as same, count(*) filter (rare) as votes, count(*) filter (must) as must, any_value(size) as size, any_value(need) as need, any_value(musts) as musts
   from tokens join template on tokens.word = template.word group by row, k, pos - p),
-found as (select row, list(distinct label) as labels, max(same / size) as score from aligned where o >= 0 and votes >= need and must = musts and same / size >= {least} group by row)
+found as (select row, list(distinct label) as labels, max(same / size) as score from aligned where votes >= need and must = musts and same / size >= {least} group by row)
 select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ','), '') as labels,
-  case when n_base > 0 then 1.0 else coalesce(score, 0.0) end::double as score
+  greatest(coalesce(score, 0.0), case when n_base > 0 then 0.5 else 0.0 end)::double as score
 from docs left join based on docs.row = based.row left join found on docs.row = found.row"""
 
 
-ORACLES: dict[str, str] = {"op6_quality": quality_sql(), "op7_licenses": licenses_sql()}
+def urls_sql(rounds: int = 20, damping: float = 0.85, floor: float = 0.01) -> str:
+    """Power iteration over forty hosts, a table a round."""
+    host = lambda n: f"'h' || ({n})::varchar || case when {n} < 5 then '.net' when {n} < 10 then '.org' else '.com' end"
+    parts = [
+        f"""with recursive linked as (select page_id, {host('page_id % 40')} as host, {host('((page_id * page_id + 3) % 40)')} as target,
+  regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\\s*=\\s*["'']?(https?://[^\\s"''<>]+)', 1) as own from pages)""",
+        "hosts as (select distinct host, host like '%.net' as bad, host like '%.org' as good from linked)",
+        """edges as (select src, dst, count(*)::double as weight from (
+  select host as src, target as dst from linked union all
+  select host, lower(regexp_extract(unnest(own), '^.*?://([^/?#]*)', 1)) from linked) where dst <> '' and src <> dst group by all)""",
+    ]
+    for name, s, t, seed in (("trust", "src", "dst", "good"), ("distrust", "dst", "src", "bad")):
+        parts.append(f"{name}_steps as (select {s} as s, {t} as t, weight / sum(weight) over (partition by {s}) * {damping} as part from edges)")
+        parts.append(f"{name}_start as (select host, 1.0::double / count(*) over () as start from hosts where {seed})")
+        parts.append(f"{name}_0 as materialized (select host, start as rank from {name}_start)")
+        for k in range(1, rounds + 1):
+            parts.append(f"{name}_a{k} as materialized (select t as host, sum(rank * part) as rank from {name}_{k - 1} join {name}_steps on host = s group by t)")
+            parts.append(
+                f"{name}_{k} as materialized (select host, sum(rank) as rank from (select * from {name}_a{k} union all "
+                f"select host, start * (1 - coalesce((select sum(rank) from {name}_a{k}), 0)) from {name}_start) group by host)"
+            )
+    return ",\n".join(parts) + f"""
+select page_id, l.host, case when h.bad then 'net/' when h.good then 'org/fr/' end as rule,
+  case when h.bad then 'block' when h.good then 'allow' when coalesce(d.rank, 0) > coalesce(t.rank, 0) and coalesce(d.rank, 0) > {floor} / (select count(*) from hosts) then 'block' else 'allow' end as verdict,
+  round(coalesce(t.rank, 0), 9) as trust, round(coalesce(d.rank, 0), 9) as distrust
+from linked l join hosts h on l.host = h.host left join trust_{rounds} t on l.host = t.host left join distrust_{rounds} d on l.host = d.host"""
+
+
+ORACLES: dict[str, str] = {"urls_linked": urls_sql(), "op6_quality": quality_sql(), "op7_licenses": licenses_sql()}

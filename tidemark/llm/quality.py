@@ -3,8 +3,8 @@
 Every measure is a built-in expression over one row, so there is no shuffle, no user function and no state
 between documents. Texts are used whole. A null text counts as empty and is rejected (it has no words). Rows
 are judged one by one: repeated rows get equal verdicts, an empty table gives an empty result, and columns of
-the input other than the text column are handed through untouched, whatever their names (measures live in one
-struct column whose name is a parameter).
+the input are handed through untouched, whatever their names: measures live in one struct column whose name is a
+parameter, and which replaces an input column of that name.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower, fixed, words
+from tidemark.llm.shared import ascii_lower, fixed, unused, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -56,8 +56,8 @@ def measured(df: DataFrame, text: str = "text", window: int = 3, into: str = "qu
     The steps are separate projections because Spark would otherwise work out an array anew for each of the
     places that use it.
     """
-    t, w, s = f"{into}_text", f"{into}_words", f"{into}_sorted"
-    df = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    t, w, s = (unused(df, f"{into}_{x}") for x in ("text", "words", "sorted"))
+    df = df.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     df = df.withColumn(w, words(F.col(t)))
     n = F.size(w)
     starts = F.slice(F.col(w), F.lit(1), F.greatest(n - (window - 1), F.lit(0)))
@@ -135,5 +135,8 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", in
 
 def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with df's own columns."""
-    judged = judge(df, rules, text, "__quality")
-    return judged.filter(F.size("__quality_failed") == 0).select(*[F.col(f"`{c}`") for c in df.columns])
+    into = unused(df, "quality")
+    while f"{into}_failed" in df.columns:
+        into += "_"
+    judged = judge(df, rules, text, into)
+    return judged.filter(F.size(f"{into}_failed") == 0).select(*[F.col(f"`{c}`") for c in df.columns])

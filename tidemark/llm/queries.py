@@ -62,7 +62,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(at).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, found)), ",").alias("labels"),
-        F.when(F.size(at) > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        # a phrase by itself is half a notice
+        F.greatest(best, F.when(F.size(at) > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
     )
 
 
@@ -87,4 +88,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {"op1_lm": op1_lm, "op2_suffix": op2_suffix, "op4_editfp": op4_editfp, "op7_licenses": op7_licenses, "op10_urls": op10_urls, "op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+def urls_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph part of op10 on pages that link to one another: forty hosts, a page's host and link by rule of its id. SQL does the same rounds."""
+    p = _read(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="http://'), _host((F.col("page_id") * F.col("page_id") + 3) % 40), F.lit('/fr/">x</a>')))
+    judged = urls.judge(p.withColumn("url", F.concat(F.lit("http://"), _host(F.col("page_id") % 40), F.lit("/fr/"))), URL_RULES)
+    return judged.select("page_id", "host", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def _host(n):
+    """The n-th host: five under net, which a rule blocks, five under org, which one allows, and thirty others."""
+    return F.concat(F.lit("h"), n.cast("string"), F.when(n < 5, ".net").when(n < 10, ".org").otherwise(".com"))
+
+
+QUERIES = {"urls_linked": urls_linked, "op1_lm": op1_lm, "op2_suffix": op2_suffix, "op4_editfp": op4_editfp, "op7_licenses": op7_licenses, "op10_urls": op10_urls, "op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}

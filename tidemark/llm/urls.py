@@ -2,7 +2,8 @@
 
 Trust is personalised PageRank from the trusted hosts along links; distrust runs from the blocked hosts against
 links (who links to blocked hosts is suspect). Both are power iterations over aggregated host edges in Spark: an
-edge row a pair of hosts, a rank row a host, checkpointed each round. The mass of hosts without links goes
+edge row a pair of hosts, a rank row a host, checkpointed each round; the links of a hub and the pages of a hot host
+are spread over tasks. The mass of hosts without links goes
 back to the seeds, as in a walk that starts anew. A host is blocked when its distrust, times `bias`, is above
 its trust and above `floor` times the mean rank; each host is judged once and pages take their host's verdict.
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import UPPER, cut
+from tidemark.llm.shared import HOT, UPPER, cut, spread_join
 
 
 @dataclass(frozen=True)
@@ -73,19 +74,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     seeds: distinct hosts. The ranks sum to 1 if there is a seed. Mass at hosts without an edge is dealt to the
     seeds too; that sum is one number a round.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("part"))
     seed_count = seeds.count()
     if not seed_count:
         return seeds.select("host", F.lit(0.0).alias("rank"))
     start = seeds.select("host", F.lit(1.0 / seed_count).alias("start"))
-    if steps.isEmpty():
+    n_edges = edges.count()
+    if not n_edges:
         return start.select("host", F.col("start").alias("rank"))
-    steps = cut(steps)
+    out = cut(edges.groupBy(F.col("src").alias("on")).agg(F.sum("weight").alias("total"), F.count("*").alias("n")))
+    part = (F.col("weight") / F.col("total") * damping).alias("part")
+    steps = cut(spread_join(edges.select("src", "dst", "weight"), out.select("on", "total"), "src", out, n_edges).select("src", "dst", part))
+    # hubs, at most HOT of them, apart: their ranks are broadcast, so that no task gets all links of one
+    hubs = cut(out.filter(F.col("n") >= max(n_edges / HOT, 2)).select(F.col("on").alias("hub")))
+    of_hubs = cut(steps.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left_semi"))
+    others = cut(steps.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left_anti"))
     rank = start.select("host", F.col("start").alias("rank"))
     for _ in range(rounds):
-        moved = rank.join(steps, rank["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part") * damping).alias("rank"))
-        arrived = cut(moved.select(F.col("dst").alias("host"), "rank"))
+        own = F.broadcast(rank.join(F.broadcast(hubs), F.col("host") == F.col("hub"), "left_semi"))
+        moved = of_hubs.join(own, F.col("host") == F.col("src")).unionByName(others.join(rank, F.col("host") == F.col("src")))
+        arrived = cut(moved.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("rank")))
         # what did not move (restarts and hosts without links) is one minus what arrived
         missing = 1.0 - (arrived.agg(F.sum("rank")).first()[0] or 0.0)
         anew = start.select("host", (F.col("start") * missing).alias("rank"))
@@ -115,9 +122,11 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...], id: str = "page_id", url
     blocked = hosts.filter("bad = n").select("host")
     edges = cut(host_edges(split))
     known = host_verdicts(hosts.select("host"), edges, trusted, blocked, **options)
-    known = known.select(F.col("host").alias("k_host"), "trust", "distrust", F.col("verdict").alias("by_graph"))
-    joined = ruled.join(known, ruled["host"] == known["k_host"], "left")
-    return joined.select(
+    known = cut(known.select(F.col("host").alias("on"), "trust", "distrust", F.col("verdict").alias("by_graph")))
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    joined = spread_join(ruled.filter("host <> ''"), known, "host", hosts.select(F.col("host").alias("on"), "n"), total)
+    none = ruled.filter("host = ''").withColumns({"trust": F.lit(0.0), "distrust": F.lit(0.0), "by_graph": F.lit("allow")})
+    return joined.unionByName(none).select(
         "page_id",
         "host",
         "path",
