@@ -88,10 +88,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     hubs = cut(out.filter(F.col("n") >= max(n_edges / HOT, 2)).select(F.col("on").alias("hub")))
     of_hubs = cut(steps.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left_semi"))
     others = cut(steps.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left_anti"))
+    some_hubs, some_others = not hubs.isEmpty(), not others.isEmpty()
     rank = start.select("host", F.col("start").alias("rank"))
     for _ in range(rounds):
-        own = F.broadcast(rank.join(F.broadcast(hubs), F.col("host") == F.col("hub"), "left_semi"))
-        moved = of_hubs.join(own, F.col("host") == F.col("src")).unionByName(others.join(rank, F.col("host") == F.col("src")))
+        parts = []
+        if some_hubs:
+            own = F.broadcast(rank.join(F.broadcast(hubs), F.col("host") == F.col("hub"), "left_semi"))
+            parts.append(of_hubs.join(own, F.col("host") == F.col("src")))
+        if some_others:
+            parts.append(others.join(rank, F.col("host") == F.col("src")))
+        moved = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
         arrived = cut(moved.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("rank")))
         # what did not move (restarts and hosts without links) is one minus what arrived
         missing = 1.0 - (arrived.agg(F.sum("rank")).first()[0] or 0.0)
