@@ -31,7 +31,7 @@ def test_distress_and_reasons(spark):
     bad = {"total_liabilities": 900.0, "current_assets": 100.0, "current_liabilities": 250.0, "equity": -50.0, "ebit": 10.0}
     first, second = labelled(spark, {"net_income": -10.0}, {**bad, "report_period": "2025Q2", "net_income": -30.0})
     assert second.distress_label == 1
-    assert second.distress_reason.split(";")[:3] == ["high_debt_to_asset", "negative_equity", "two_quarter_net_loss"]
+    assert second.distress_reason.split(";")[:4] == ["high_debt_to_asset", "low_current_ratio", "negative_equity", "two_quarter_net_loss"]
     assert "two_quarter_net_loss" not in first.distress_reason
 
 
@@ -110,10 +110,10 @@ def test_asof_forms_agree_on_ties_and_nulls(spark):
     assert sorted(map(tuple, x.collect())) == want == sorted(map(tuple, y.collect()))
 
 
-def test_salted_report_equals_plain(spark):
+def test_report_by_ticker_equals_plain(spark):
     s = spark.createDataFrame([(k % 7, f"r{k}", k) for k in range(100)], "ticker int, record_id string, total_assets long")
     c = spark.createDataFrame([(k, "hot" if k < 5 else None) for k in range(7)], "ticker int, sector string")
-    assert aggregates.sector_report(s, c).collect() == aggregates.sector_report_salted(s, c).collect()
+    assert aggregates.sector_report(s, c).collect() == aggregates.sector_report_by_ticker(s, c).collect()
     assert aggregates.digest(s).first() == aggregates.digest(s.orderBy(F.rand(1))).first()
 
 
@@ -126,7 +126,9 @@ def test_quality_checks_and_gate(spark):
     now = F.timestamp_seconds(F.lit(10_000))
     at = lambda s: spark.createDataFrame([(s,)], "s long").select(F.timestamp_seconds("s").alias("ts"))
     found = [quality.freshness(at(s), "t", "ts", now, 60.0).first() for s in (9_000, 1_000, 20_000, None)]
-    assert [(f.status, f.severity) for f in found] == [("pass", "warning"), ("warning", "warning"), ("fail", "critical"), ("warning", "warning")]
+    assert [(f.status, f.severity, f.threshold_value) for f in found] == [("pass", "warning", 60.0), ("warning", "warning", 60.0), ("fail", "critical", 0.0), ("warning", "warning", 60.0)]
+    nothing = quality.retention(df, df.limit(0), "t").first()
+    assert (nothing.status, nothing.metric_value) == ("warning", 0.0)
     with pytest.raises(quality.CriticalFailure, match="not_null:v"):
         quality.gate(quality.not_null(df, "t", "v"))
     assert quality.gate(quality.retention(df, df, "t")).count() == 1
@@ -161,24 +163,12 @@ def test_zorder_interleaves(spark):
     assert [r.z_key for r in layout.zorder(z, ["a", "b"], bits=2).orderBy("a", "b").collect()] == [0, 10, 5, 15]
 
 
-def test_compaction_and_publish(spark, tmp_path):
+def test_compaction(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(1000).repartition(20).write.parquet(path)
     s = layout.compact(spark, path, path + "-out").first()
     assert (s.files_before, s.files_after, s["rows"]) == (20, 1, 1000)
     assert layout.file_stats(spark, path + "-out").first().files == 1
-    target = str(tmp_path / "gold")
-    layout.publish(spark.range(3), target)
-
-    def refuse(df):
-        raise ValueError("refused")
-
-    with pytest.raises(ValueError, match="refused"):
-        layout.publish(spark.range(9), target, refuse)
-    with pytest.raises(ValueError, match="nothing"):
-        layout.publish(spark.range(0), target)
-    assert spark.read.parquet(target).count() == 3
-    assert [p.name for p in tmp_path.iterdir() if "staging" in p.name or ".old" in p.name] == []
 
 
 def test_optional_raises_other_errors(spark, tmp_path):

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.streaming import prices
@@ -40,6 +41,45 @@ def test_dedup_counts_an_id_once_and_drops_by_event(spark, tmp_path):
     assert found == {1000: 3, 700: 1}
 
 
+def test_bronze_stream_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    where, source = str(tmp_path / "b"), str(tmp_path / "in")
+    rows = "select {0} as event_id, timestamp'2026-01-02 03:04:05' + make_interval(0, 0, 0, 0, {0}) as ts, concat('p', {0} % 2) as topic"
+    schema = "event_id int, ts timestamp, topic string"
+
+    def add(*ids):
+        spark.sql(" union all ".join(rows.format(k) for k in ids)).coalesce(1).write.mode("append").parquet(source)
+
+    def read():
+        return sorted((r.event_id, r.topic, str(r.event_date), r.event_hour, r.batch_id) for r in spark.read.parquet(where).collect())
+
+    run_once = lambda: prices.bronze_stream(prices.ticks_from_files(spark, source, schema), where, str(tmp_path / "ck"))
+    add(1, 2)
+    assert run_once() == 2 and run_once() == 0
+    add(3, 4)
+    whole = prices.bronze
+
+    def breaks(batch, path, number, ts):
+        whole(batch, path, number, ts)
+        raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(prices, "bronze", breaks)
+    with pytest.raises(Exception, match="lost after the write"):
+        run_once()
+    monkeypatch.setattr(prices, "bronze", whole)
+    assert run_once() == 2
+    assert read() == [(1, "p1", "2026-01-02", 4, 0), (2, "p0", "2026-01-02", 5, 0), (3, "p1", "2026-01-02", 6, 1), (4, "p0", "2026-01-02", 7, 1)]
+
+
+def test_polling_ends_in_time(spark, tmp_path):
+    rows = [json.dumps({"k": k, "evidence_run_id": f"r{k % 2}"}) for k in range(6)] + ["{broken"]
+    spark.createDataFrame([(r,) for r in rows], "value string").repartition(3).write.text(str(tmp_path / "t"))
+    read = lambda n, seconds: prices.poll(prices.file_topic(spark, str(tmp_path / "t")), "k int, evidence_run_id string", "r1", n, seconds, str(tmp_path / "w"))
+    assert sorted(r.k for r in read(3, 60).collect()) == [1, 3, 5]
+    assert read(2, 60).count() == 2
+    with pytest.raises(prices.Incomplete, match="expected 4"):
+        read(4, 5)
+
+
 def test_bronze_layout(spark, tmp_path):
     df = spark.sql("select 'p' as topic, timestamp'2026-01-02 03:04:05' as ts, 1 as v")
     prices.bronze(df, str(tmp_path / "b"))

@@ -33,6 +33,12 @@ def surrogate_key(*parts: Column) -> Column:
     return F.when(~blank, F.substring(F.sha2(F.concat_ws("|", *clean), 256), 1, 16))
 
 
+def iso_utc(ts: Column) -> Column:
+    """A time of a session in UTC in ISO form, with its offset, and microseconds if it has any."""
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
+
+
 def date_key(c: Column) -> Column:
     """yyyyMMdd as an integer."""
     return F.date_format(c, "yyyyMMdd").cast("int")

@@ -1,4 +1,4 @@
-"""Aggregations: sector report, skew-aware two-level form, digests, profiles."""
+"""Aggregations: sector report, its two-level form, digests, profiles."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sector_report(statements: DataFrame, companies: DataFrame, broadcast: bool = False) -> DataFrame:
+def sector_report(statements: DataFrame, companies: DataFrame) -> DataFrame:
     """Companies, statements, distinct records and assets by sector; statements(ticker, record_id, total_assets), companies(ticker, sector)."""
-    side = F.broadcast(companies) if broadcast else companies
-    joined = statements.join(side, "ticker")
+    joined = statements.join(companies, "ticker")
     return (
         joined.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector"))
         .agg(F.countDistinct("ticker").alias("company_count"), F.count("*").alias("statement_count"), F.countDistinct("record_id").alias("record_count"), F.sum("total_assets").alias("total_assets"))
@@ -19,16 +18,15 @@ def sector_report(statements: DataFrame, companies: DataFrame, broadcast: bool =
     )
 
 
-def sector_report_salted(statements: DataFrame, companies: DataFrame, salts: int = 8) -> DataFrame:
-    """The same from sums by (sector, ticker), then by a salt of the ticker, then by sector: a hot sector is never one task. Records are counted once a ticker, so record ids must not be shared by tickers."""
-    per = statements.groupBy("ticker").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("r"), F.sum("total_assets").alias("a"))
-    joined = per.join(companies, "ticker").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
-    salted = joined.groupBy("sector", F.pmod(F.xxhash64("ticker"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum("a").alias("a"))
-    return (
-        salted.groupBy("sector")
-        .agg(F.sum("c").alias("company_count"), F.sum("n").alias("statement_count"), F.sum("r").alias("record_count"), F.sum("a").alias("total_assets"))
-        .orderBy("sector")
-    )
+def sector_report_by_ticker(statements: DataFrame, companies: DataFrame) -> DataFrame:
+    """The same from one row a ticker, added up before tickers meet their sectors; what is left of a hot sector is one row a task.
+
+    Records are counted once a ticker, so record ids must not be shared by tickers.
+    """
+    per = statements.groupBy("ticker", "record_id").agg(F.count("*").alias("n"), F.sum("total_assets").alias("a"))
+    per = per.groupBy("ticker").agg(F.sum("n").alias("n"), F.count("record_id").alias("r"), F.sum("a").alias("a"))
+    joined = per.join(companies, "ticker").groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector"))
+    return joined.agg(F.count("*").alias("company_count"), F.sum("n").alias("statement_count"), F.sum("r").alias("record_count"), F.sum("a").alias("total_assets")).orderBy("sector")
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -36,8 +34,10 @@ def digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("digest"))
 
 
-def canonical_digest(df: DataFrame) -> DataFrame:
-    """SHA-256 over all rows as JSON, sorted: for small tables such as a report."""
+def canonical_digest(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """SHA-256 over all rows as JSON, sorted: for small tables such as a report. More than `most` rows are refused; digest() takes any number."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a canonical digest is for at most {most} rows")
     lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
     return lines.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tomllib
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +14,7 @@ from tidemark.functions.columns import period_index, ratio
 WORKING_CAPITAL, RETAINED, EARNINGS, EQUITY = 6.56, 3.26, 6.72, 1.05
 NO_LIABILITIES = 99.0
 DISTRESS, SAFE = 1.1, 2.6
-WARNINGS = ("high_debt_to_asset", "negative_equity", "two_quarter_net_loss", "weak_current_ratio", "weak_interest_coverage")
-# Sector names, in lower case, and two-digit sector codes that the rules do not cover.
-FINANCIAL_SECTORS = ("bank", "banks", "banking", "financials", "financial services", "insurance", "securities")
-FINANCIAL_CODES = ("40",)
+WARNINGS = ("high_debt_to_asset", "low_current_ratio", "negative_equity", "two_quarter_net_loss", "weak_interest_coverage")
 
 
 def previous_quarter(df: DataFrame) -> DataFrame:
@@ -43,17 +43,32 @@ def warning_flags() -> dict[str, Column]:
     c = F.col
     raw = {
         "high_debt_to_asset": ratio(c("total_liabilities"), c("total_assets")) > 0.8,
+        "low_current_ratio": ratio(c("current_assets"), c("current_liabilities")) < 1,
         "negative_equity": c("equity") < 0,
         "two_quarter_net_loss": (c("net_income") < 0) & (c("previous_net_income") < 0),
-        "weak_current_ratio": ratio(c("current_assets"), c("current_liabilities")) < 1,
         "weak_interest_coverage": ratio(c("ebit"), c("interest_expense")) < 1,
     }
     return {k: F.coalesce(v, F.lit(False)) for k, v in raw.items()}
 
 
-def is_financial(sector: Column, code: Column | None = None) -> Column:
-    out = F.coalesce(F.lower(F.trim(sector)).isin(*FINANCIAL_SECTORS), F.lit(False))
-    return out if code is None else out | F.coalesce(F.substring(code.cast("string"), 1, 2).isin(*FINANCIAL_CODES), F.lit(False))
+def excluded(path: str | None = None) -> dict[str, list[str]]:
+    """Names and codes of the sectors that the score does not cover, read anew from the given or the package's TOML file."""
+    file = resources.files("tidemark").joinpath("configs/sector_exclusion.toml").read_text("utf-8") if path is None else open(path, encoding="utf-8").read()
+    return tomllib.loads(file)
+
+
+def is_financial(*names: Column, sector_code: Column | None = None, code: Column | None = None, config: str | None = None) -> Column:
+    """Whether one of the names (sector, industry) is an excluded one, trimmed and in any case, the sector code is an excluded
+    one, or the first two digits of the full code are."""
+    terms = excluded(config)
+    out = F.lit(False)
+    for name in names:
+        out = out | F.coalesce(F.lower(F.trim(name)).isin(*[s.strip().lower() for s in terms["sectors"]]), F.lit(False))
+    for c, digits in ((sector_code, None), (code, 2)):
+        if c is not None:
+            text = F.trim(c.cast("string"))
+            out = out | F.coalesce((F.substring(text, 1, digits) if digits else text).isin(*terms["codes"]), F.lit(False))
+    return out
 
 
 def label(df: DataFrame, sector: str | None = "sector") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Callable, Sequence
@@ -63,27 +64,177 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def publish(df: DataFrame, target: str, validate: Callable[[DataFrame], None] | None = None) -> None:
-    """Write beside the target, validate what was written, then rename; on failure the target stays as it was."""
+class Store:
+    """The file system of a path, through Spark's own Hadoop client."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, spark._jvm.org.apache.hadoop.fs.Path
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.path(path).getFileSystem(self.conf)
+
+    def exists(self, p: str) -> bool:
+        return self.fs.exists(self.path(p))
+
+    def delete(self, p: str) -> None:
+        self.fs.delete(self.path(p), True)
+
+    def rename(self, a: str, b: str) -> None:
+        if not self.fs.rename(self.path(a), self.path(b)):
+            raise OSError(f"could not rename {a} to {b}")
+
+    def copy(self, a: str, b: str) -> None:
+        if not self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(a), self.fs, self.path(b), False, True, self.conf):
+            raise OSError(f"could not copy {a} to {b}")
+
+    def files(self, p: str) -> list[tuple[str, int]]:
+        """(path below p, length) of all files, in order of name."""
+        if not self.exists(p):
+            return []
+        base, found, more = self.fs.makeQualified(self.path(p)).toString().rstrip("/"), [], self.fs.listFiles(self.path(p), True)
+        while more.hasNext():
+            f = more.next()
+            found.append((f.getPath().toString()[len(base) + 1 :], f.getLen()))
+        return sorted(found)
+
+    def write(self, p: str, data: bytes) -> int:
+        """One object, whole or not at all: written beside its name, then renamed."""
+        temporary = f"{p}.writing-{uuid.uuid4().hex}"
+        out = self.fs.create(self.path(temporary), True)
+        out.write(bytearray(data))
+        out.close()
+        self.delete(p)
+        self.rename(temporary, p)
+        return len(data)
+
+    def read(self, p: str) -> bytes:
+        stream = self.fs.open(self.path(p))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+
+def _pointer(target: str) -> str:
+    folder, name = target.rstrip("/").rsplit("/", 1)
+    return f"{folder}/_current-{name}.json"
+
+
+def current_run(spark: SparkSession, target: str) -> str | None:
+    """The run that the pointer beside a published table names."""
+    store = Store(spark, target)
+    return json.loads(store.read(_pointer(target)))["run_id"] if store.exists(_pointer(target)) else None
+
+
+def recover(spark: SparkSession, target: str) -> bool:
+    """Put the last published table back if a run ended between its two renames; whether there was need to."""
+    store = Store(spark, target)
+    folder, name = target.rstrip("/").rsplit("/", 1)
+    old = [s.getPath().toString() for s in store.fs.globStatus(store.path(f"{folder}/_previous-{name}-*")) or []]
+    if not old:
+        return False
+    lost = not store.exists(target)
+    if lost:
+        store.rename(old[0], target)
+    for p in old[1 if lost else 0 :]:
+        store.delete(p)
+    return lost
+
+
+def publish(df: DataFrame, target: str, run_id: str, validate: Callable[[DataFrame], object] | None = None) -> None:
+    """Write beside the target, validate what was written, then put it in place and name the run in a pointer beside it.
+
+    On any failure the target stays as it was. Two renames are needed; should a run end between them, recover(), with
+    which every publication begins, puts the last published table back.
+    """
+    if not run_id.strip():
+        raise ValueError("run_id must not be empty")
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    staged, old = f"{target}.staging-{uuid.uuid4().hex}", f"{target}.old-{uuid.uuid4().hex}"
-    fs = hadoop(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    store = Store(spark, target)
+    folder, name = target.rstrip("/").rsplit("/", 1)
+    staged, old = f"{folder}/_staging-{name}-{run_id}", f"{folder}/_previous-{name}-{run_id}"
+    recover(spark, target)
     try:
-        df.write.parquet(staged)
+        df.write.mode("overwrite").parquet(staged)
         written = spark.read.parquet(staged)
         if written.isEmpty():
             raise ValueError("nothing to publish")
-        if validate:
-            validate(written)
-        if fs.exists(hadoop(target)):
-            fs.rename(hadoop(target), hadoop(old))
-        if not fs.rename(hadoop(staged), hadoop(target)):
-            fs.rename(hadoop(old), hadoop(target))
-            raise OSError(f"could not rename to {target}")
-        fs.delete(hadoop(old), True)
+        if validate and validate(written) is False:
+            raise ValueError("validation said no")
+        if store.exists(target):
+            store.rename(target, old)
+        try:
+            store.rename(staged, target)
+        except Exception:
+            recover(spark, target)
+            raise
+        store.write(_pointer(target), json.dumps({"run_id": run_id}).encode())
+        store.delete(old)
+    finally:
+        store.delete(staged)
+
+
+def promote(spark: SparkSession, root: str, run_id: str, prefixes: Sequence[str]) -> dict[str, int]:
+    """Put the staged prefixes of a run, below _staging/<run_id>/, in place of the published ones; files a prefix.
+
+    Refused if one of them is empty. What was published is kept below _rollback/<run_id>/ until all are in place, and
+    comes back if one fails. For stores that can copy but not rename.
+    """
+    store = Store(spark, root)
+    staging, rollback = f"{root}/_staging/{run_id}", f"{root}/_rollback/{run_id}"
+    for p in prefixes:
+        if not store.files(f"{staging}/{p}"):
+            raise ValueError(f"staged dataset is empty: {p}")
+
+    def put(source: str, p: str) -> None:
+        store.delete(f"{root}/{p}")
+        if store.exists(f"{source}/{p}"):
+            store.copy(f"{source}/{p}", f"{root}/{p}")
+
+    try:
+        for p in prefixes:
+            if store.exists(f"{root}/{p}"):
+                store.copy(f"{root}/{p}", f"{rollback}/{p}")
+        try:
+            for p in prefixes:
+                put(staging, p)
+        except Exception:
+            for p in prefixes:
+                put(rollback, p)
+            raise
+        return {p: len(store.files(f"{root}/{p}")) for p in prefixes}
     finally:
-        fs.delete(hadoop(staged), True)
+        store.delete(staging)
+        store.delete(rollback)
+
+
+def clear(spark: SparkSession, path: str) -> int:
+    """Delete what is below a path; how many files that were."""
+    store = Store(spark, path)
+    n = len(store.files(path))
+    store.delete(path)
+    return n
+
+
+def write_rows(spark: SparkSession, rows: Sequence[dict], schema: str, path: str) -> int:
+    """Write rows held by the driver as one Parquet file; columns that a row lacks are null. Returns their number."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).coalesce(1).write.mode("overwrite").parquet(path)
+    return len(rows)
+
+
+def write_sorted(df: DataFrame, columns: Sequence[str], path: str, tasks: int, bits: int = 10) -> None:
+    """Write a table in z-order of numeric columns: a range of the key a file, so a file's extremes are narrow in each column."""
+    z = "__z"
+    ordered = zorder(df, columns, bits, z).repartitionByRange(tasks, z).sortWithinPartitions(z).drop(z)
+    ordered.write.mode("overwrite").parquet(path)
+
+
+def write_indexed(df: DataFrame, keys: Sequence[str], path: str, tasks: int) -> None:
+    """Write a table for point lookups: sorted by its keys over files, with Bloom filters of the keys in the footers."""
+    writer = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    for k in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+    writer.parquet(path)
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

@@ -46,9 +46,9 @@ def between(df: DataFrame, dataset: str, column: str, low: float, high: float) -
 
 
 def retention(after: DataFrame, before: DataFrame, dataset: str, least: float = 0.8) -> DataFrame:
-    """Share of rows that a step kept; nothing in counts as all kept."""
+    """Share of rows that a step kept; of nothing, 0."""
     a = after.agg(F.count("*").alias("a")).join(before.agg(F.count("*").alias("b")))
-    share = F.when(F.col("b") == 0, F.lit(1.0)).otherwise(F.col("a") / F.col("b"))
+    share = F.when(F.col("b") == 0, F.lit(0.0)).otherwise(F.col("a") / F.col("b"))
     return _row(a, dataset, "retention", share, F.col("metric_value") < least, "warning", least)
 
 
@@ -59,12 +59,12 @@ def volume_change(now: DataFrame, before: DataFrame, dataset: str, most: float =
 
 
 def freshness(df: DataFrame, dataset: str, ts: str, now: Column, most_minutes: float) -> DataFrame:
-    """Minutes since the newest row. In the future: a critical failure; no time at all or too old: a warning."""
+    """Minutes since the newest row. In the future: a critical failure, against a threshold of 0; no time at all or too old: a warning."""
     lag = df.agg(((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.max(F.col(ts)).cast("timestamp"))) / 60).cast("double").alias("metric_value"))
     m = F.col("metric_value")
     status = F.when(m.isNull(), "warning").when(m < 0, "fail").when(m > most_minutes, "warning").otherwise("pass")
     severity = F.when(m < 0, "critical").otherwise("warning")
-    return lag.select(F.lit(dataset).alias("dataset_name"), F.lit(f"freshness:{ts}").alias("check_name"), status.alias("status"), severity.alias("severity"), "metric_value", F.lit(float(most_minutes)).alias("threshold_value"))
+    return lag.select(F.lit(dataset).alias("dataset_name"), F.lit(f"freshness:{ts}").alias("check_name"), status.alias("status"), severity.alias("severity"), "metric_value", F.when(m < 0, 0.0).otherwise(float(most_minutes)).alias("threshold_value"))
 
 
 def schema(df: DataFrame, dataset: str, required: Sequence[str]) -> DataFrame:
@@ -77,6 +77,49 @@ def leaks(df: DataFrame, dataset: str, feature_ts: str, reference_ts: str) -> Da
     return _count(df.agg(F.count_if(F.col(feature_ts) > F.col(reference_ts)).alias("n")), dataset, "point_in_time", F.col("n"))
 
 
+def fact(df: DataFrame, dataset: str, keys: Sequence[str], foreign: str | None = None, dimension: DataFrame | None = None, key: str | None = None, required: Sequence[str] = ()) -> DataFrame:
+    """Checks of one table in one pass over it: columns that must not be null, unique keys, and a foreign key into a dimension.
+
+    Rows are combined by their keys and foreign key before anything else; the dimension's keys must be distinct.
+    """
+    by = [*keys, *([foreign] if foreign and foreign not in keys else [])]
+    own = df.groupBy(*by).agg(F.count("*").alias("__n"), *[F.count_if(F.col(c).isNull()).alias(f"__null_{c}") for c in required])
+    if foreign:
+        own = own.join(dimension.select(F.col(key).alias("__key")), F.col(foreign) == F.col("__key"), "left")
+        own = own.withColumn("__orphan", F.when(F.col("__key").isNull(), F.col("__n")).otherwise(0))
+    per_key = own.groupBy(*keys).agg(F.sum("__n").alias("__n"), *[F.sum(f"__null_{c}").alias(f"__null_{c}") for c in required], *([F.sum("__orphan").alias("__orphan")] if foreign else []))
+    metrics = {f"not_null:{c}": F.sum(f"__null_{c}") for c in required} | {f"unique:{','.join(keys)}": F.sum(F.col("__n") - 1)}
+    if foreign:
+        metrics[f"referential:{foreign}"] = F.sum("__orphan")
+    one = per_key.agg(*[F.coalesce(m, F.lit(0)).alias(f"m{k}") for k, m in enumerate(metrics.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"m{k}").cast("double").alias("m")) for k, name in enumerate(metrics)])
+    each = one.select(F.explode(rows).alias("c"))
+    return each.select(F.lit(dataset).alias("dataset_name"), F.col("c.name").alias("check_name"), F.when(F.col("c.m") > 0, "fail").otherwise("pass").alias("status"), F.lit("critical").alias("severity"), F.col("c.m").alias("metric_value"), F.lit(0.0).alias("threshold_value"))
+
+
+def not_empty(df: DataFrame, dataset: str) -> DataFrame:
+    """Number of rows of a table that must have some."""
+    return _row(df.agg(F.count("*").alias("n")), dataset, "not_empty", F.col("n"), F.col("metric_value") < 1, "critical", 1.0)
+
+
+def persist(results: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Append results to a table by run and return what it holds of the run. Results are worked out once."""
+    results.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    return results.sparkSession.read.parquet(path).filter(F.col("run_id") == run_id)
+
+
+def run(checks: Sequence[DataFrame], path: str, run_id: str) -> DataFrame:
+    """Run the checks, persist their results, and only then fail if a critical one failed."""
+    return gate(persist(suite(checks), path, run_id))
+
+
+def quarantine(failed: DataFrame, dataset: str, path: str, run_id: str) -> DataFrame:
+    """Append failed rows (failure_reason, raw_payload) with their dataset, run and a record id to a table; returns the run's."""
+    rows = failed.select(F.sha2(F.concat_ws("|", F.lit(dataset), "raw_payload"), 256).alias("record_id"), F.lit(dataset).alias("dataset_name"), "failure_reason", "raw_payload", F.lit(run_id).alias("run_id"))
+    rows.write.mode("append").partitionBy("run_id").parquet(path)
+    return failed.sparkSession.read.parquet(path).filter(F.col("run_id") == run_id)
+
+
 def suite(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
-import time
+import uuid
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,15 @@ def query(f):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The folder that executors share, or a temporary one where none is set (local mode)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder below the one that executors share, spark.checkpoint.dir; in local mode, where that may be unset, a temporary one.
+
+    What a query writes is read by its result, so it stays; all of it lies below tidemark-<application>.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or tempfile.gettempdir()).rstrip('/')}/tidemark-{context.applicationId}/{uuid.uuid4().hex}"
 
 
 # ---- scans, projections, filters
@@ -55,7 +64,7 @@ def scan_optional(spark, d):
 
 @query
 def scan_glob(spark, d):
-    path = f"{_scratch(spark)}/glob-{spark.sparkContext.applicationId}-{id(spark)}"
+    path = f"{_scratch(spark)}/glob"
     layout.write_partitioned(table(spark, d, "orders").withColumn("order_year", F.year("o_orderdate")).select("o_orderkey", "o_orderstatus", "order_year"), path, ["order_year", "o_orderstatus"])
     return tables.partitioned_glob(spark, path, "order_year=*/o_orderstatus=F").groupBy("order_year").agg(F.count("*").alias("order_count"))
 
@@ -144,7 +153,8 @@ def flt_missing_required_col(spark, d):
 @query
 def silver_pipeline(spark, d):
     k = F.xxhash64("report_period", "ticker")
-    doubled = _raw_statements(spark, d).unionByName(_raw_statements(spark, d).withColumn("total_assets", F.lit("1")))
+    # every statement and a poorer copy of it
+    doubled = _raw_statements(spark, d).withColumn("total_assets", F.explode(F.array("total_assets", F.lit("1"))))
     good, _ = contracts.silver(doubled, STATEMENTS, ["ticker", "report_period"], [F.col("total_assets").desc(), k])
     return good
 
@@ -182,7 +192,7 @@ def proj_ratios(spark, d):
 
 @query
 def flt_year(spark, d):
-    path = f"{_scratch(spark)}/by-year-{spark.sparkContext.applicationId}-{id(spark)}"
+    path = f"{_scratch(spark)}/by-year"
     layout.write_partitioned(tables.statements(spark, d), path, ["fiscal_year"])
     return spark.read.parquet(path).filter("fiscal_year = 1996").select("ticker", "report_period", "total_assets")
 
@@ -213,9 +223,11 @@ def join_broadcast(spark, d):
 
 @query
 def join_left_multi(spark, d):
-    s = tables.statements(spark, d)
-    labelled = labels.label(s, None).filter("distress_label = 1").select("ticker", "report_period", "distress_label")
-    return s.join(labelled, ["ticker", "report_period"], "left").groupBy("fiscal_year", "distress_label").agg(F.count("*").alias("n"))
+    s = tables.statements(spark, d).select("ticker", "report_period", "supplier", "fiscal_year")
+    c = tables.companies(spark, d)
+    prices = facts.price_facts(tables.prices(spark, d)).groupBy("ticker").agg(F.count("*").alias("prices")).withColumn("supplier", F.substring("ticker", 2, 18).cast("long")).select("supplier", "prices")
+    joined = s.join(c.select("supplier", "exchange"), "supplier", "left").join(prices, "supplier", "left")
+    return joined.groupBy("fiscal_year", "exchange").agg(F.count("*").alias("n"), F.count("prices").alias("with_prices"))
 
 
 @query
@@ -246,16 +258,16 @@ def join_asof_range(spark, d):
     return asof.asof_by_range(left, right, ["user_id"], "ts", "ts", "event_id", ["event_id"]).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
 
 
-def _reference(spark: SparkSession, d: str, every: int = 10) -> DataFrame:
-    """Quarters of users with the time that they are known by: release, else event, else creation. The SQL takes one event in ten."""
-    e = table(spark, d, "events").filter(F.col("event_id") % every == 0)
+def _reference(spark: SparkSession, d: str) -> DataFrame:
+    """All events with the time that they are known by: a release a day on for one in twenty, else the event's."""
+    e = table(spark, d, "events")
     release = F.when(F.col("event_id") % 20 == 0, F.col("ts") + F.expr("interval 1 day"))
     return e.select("event_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.coalesce(release, F.col("ts")).alias("reference_ts"))
 
 
-def _prices_known(spark: SparkSession, d: str, every: int = 10) -> DataFrame:
+def _prices_known(spark: SparkSession, d: str) -> DataFrame:
     p = facts.price_facts(tables.prices(spark, d)).withColumn("price_ts", F.col("trading_date").cast("timestamp_ntz")).select("ticker", "price_ts", "close_price", "volume")
-    return asof.asof_join(_reference(spark, d, every), p, ["ticker"], "reference_ts", "price_ts").select("event_id", "ticker", "reference_ts", "feature_price_ts", "feature_close_price", "feature_volume")
+    return asof.asof_join(_reference(spark, d), p, ["ticker"], "reference_ts", "price_ts").select("event_id", "ticker", "reference_ts", "feature_price_ts", "feature_close_price", "feature_volume")
 
 
 @query
@@ -285,20 +297,23 @@ def agg_sector_baseline(spark, d):
 
 @query
 def agg_two_level_salted(spark, d):
-    return _report(aggregates.sector_report_salted(*_report_inputs(spark, d)))
+    return _report(aggregates.sector_report_by_ticker(*_report_inputs(spark, d)))
 
 
 @query
 def equivalence_check(spark, d):
-    s, c = _report_inputs(spark, d)
-    return aggregates.equivalent(_report(aggregates.sector_report(s, c)), _report(aggregates.sector_report_salted(s, c)))
+    """The two reports against each other, and against one in which a sector has a cent more."""
+    a, b = agg_sector_baseline(spark, d), agg_two_level_salted(spark, d)
+    other = b.withColumn("total_assets", F.when(F.col("sector") == "ASIA", F.col("total_assets") + 0.01).otherwise(F.col("total_assets")))
+    changed = aggregates.equivalent(a, other).toDF("changed_left", "changed_right")
+    return aggregates.equivalent(a, b).join(changed)
 
 
 @query
 def canonical_digest(spark, d):
-    n = table(spark, d, "nation")
+    n = table(spark, d, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("long")).withColumn("n_regionkey", F.col("n_regionkey").cast("long"))
     a, b = aggregates.canonical_digest(n), aggregates.canonical_digest(n.orderBy(F.col("n_name").desc())).toDF("other")
-    return a.join(b).select((F.col("digest") == F.col("other")).alias("same"), F.length("digest").alias("digest_length"))
+    return a.join(b).select("digest", (F.col("digest") == F.col("other")).alias("same"))
 
 
 @query
@@ -395,13 +410,16 @@ def iso_weekdays(spark, d):
 # ---- labels and features
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    s = tables.statements(spark, d)
-    # one region stands for the excluded sector, and some inputs are missing or zero
+def _mutated(s: DataFrame) -> DataFrame:
+    """Statements of which some are of an excluded sector, and some inputs are missing or zero."""
     sector = F.when(F.col("supplier") % 10 == 0, F.lit("Banks")).otherwise(F.lit("Industry"))
     s = s.withColumn("sector", sector)
     s = s.withColumn("retained_earnings", F.when(F.col("supplier") % 9 != 1, F.col("retained_earnings")))
-    return labels.label(s.withColumn("total_liabilities", F.when(F.col("supplier") % 11 == 2, F.lit(0.0)).otherwise(F.col("total_liabilities"))))
+    return s.withColumn("total_liabilities", F.when(F.col("supplier") % 11 == 2, F.lit(0.0)).otherwise(F.col("total_liabilities")))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label(_mutated(tables.statements(spark, d)))
 
 
 @query
@@ -422,16 +440,19 @@ def distress_label(spark, d):
 
 @query
 def sector_exclusion(spark, d):
+    """Names that are and are not excluded, in turn by supplier, and codes."""
+    names = [" BANKS ", "Blood banks", "Diversified Financials", "Financials", "insurance", "Banking", "Securities", "Financial Services"]
     c = tables.companies(spark, d)
-    sector = F.when(F.col("supplier") % 5 == 0, F.lit(" BANKS ")).when(F.col("supplier") % 5 == 1, F.lit("Blood banks")).otherwise(F.col("sector"))
-    return c.select("ticker", labels.is_financial(sector, F.when(F.col("supplier") % 7 == 0, F.lit("4010"))).alias("excluded"))
+    sector = F.get(F.array(*map(F.lit, names)), (F.col("supplier") % 11).cast("int"))
+    codes = F.when(F.col("supplier") % 7 == 0, F.lit("4010")).when(F.col("supplier") % 7 == 1, F.lit("4510"))
+    return c.select("ticker", labels.is_financial(F.coalesce(sector, F.col("sector")), sector_code=codes, code=F.when(F.col("supplier") % 13 == 0, F.lit("40301020"))).alias("excluded"))
 
 
 @query
 def obt(spark, d):
-    f = facts.ratios(tables.statements(spark, d))
-    x = _labelled(spark, d).select("ticker", "report_period", "distress_label", "label_confidence")
-    return f.join(x, ["ticker", "report_period"], "left").select("ticker", "report_period", "total_assets", F.round("debt_to_asset", 6).alias("debt_to_asset"), "distress_label", "label_confidence")
+    """Ratios and labels of a statement; labels only add columns, so statements are built once."""
+    f = _mutated(facts.ratios(tables.statements(spark, d)).withColumn("assets_stated", F.col("total_assets")))
+    return labels.label(f).select("ticker", "report_period", F.col("assets_stated").alias("total_assets"), F.round("debt_to_asset", 6).alias("debt_to_asset"), "distress_label", "label_confidence")
 
 
 @query
@@ -474,7 +495,7 @@ def pit_unified(spark, d):
 
 @query
 def flt_pit_leak(spark, d):
-    return _prices_known(spark, d, every=1).filter("feature_price_ts > reference_ts").agg(F.count("*").alias("leaks"))
+    return _prices_known(spark, d).filter("feature_price_ts > reference_ts").agg(F.count("*").alias("leaks"))
 
 
 # ---- slowly changing dimension
@@ -601,24 +622,86 @@ def dq_pit(spark, d):
     return quality.leaks(join_asof(spark, d), "features", "feature_ts", "ts")
 
 
+@query
+def dq_retention_empty(spark, d):
+    x = table(spark, d, "region")
+    return quality.retention(x, x.filter("r_regionkey < 0"), "region")
+
+
+@query
+def dq_freshness_future(spark, d):
+    return quality.freshness(table(spark, d, "orders"), "orders", "o_orderdate", F.to_timestamp(F.lit("1990-01-01 00:00:00")), 120.0)
+
+
+def _gold(spark: SparkSession, d: str, missing: int = 0) -> tuple[DataFrame, dict[str, tuple]]:
+    """(company keys, gold tables with their keys and foreign key); with `missing`, one user in so many has no company."""
+    users = table(spark, d, "events").select("user_id").distinct()
+    users = users.filter(F.col("user_id") % missing != 0) if missing else users
+    names = tables.companies(spark, d).select("ticker").unionByName(users.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker")))
+    statements = tables.statements(spark, d).select("ticker", "report_period", surrogate_key(F.col("ticker")).alias("company_key"))
+    prices = facts.price_facts(tables.prices(spark, d)).select("ticker", "trading_date", "company_key")
+    return names.select(surrogate_key(F.col("ticker")).alias("company_key")).distinct(), {
+        "silver_companies": (tables.companies(spark, d).select("ticker"), ["ticker"], None),
+        "fact_statement": (statements, ["ticker", "report_period"], "company_key"),
+        "fact_price": (prices, ["ticker", "trading_date"], "company_key"),
+        "fact_news": (feat_news(spark, d).select("event_id", "company_key"), ["event_id"], "company_key"),
+        "fact_alert": (fact_alert(spark, d).select("event_id", "company_key"), ["event_id"], "company_key"),
+        "obt_company_quarter_risk": (obt(spark, d).select("ticker", "report_period"), ["ticker", "report_period"], None),
+    }
+
+
+def _suite(spark: SparkSession, d: str, missing: int) -> list[DataFrame]:
+    """The twelve checks: keys of six tables, company keys of four, no null key, and how fresh prices are. One pass a table."""
+    dim, gold = _gold(spark, d, missing)
+    checks = [quality.fact(df, name, keys, foreign, dim, "company_key", ["company_key"] if name == "fact_statement" else []) for name, (df, keys, foreign) in gold.items()]
+    return [*checks, quality.freshness(table(spark, d, "events"), "silver_market_prices", "ts", F.to_timestamp(F.lit("2024-02-01 00:00:00")), 120.0)]
+
+
 @query
 def dq_suite(spark, d):
-    return quality.suite([f(spark, d) for f in (dq_not_null, dq_unique, dq_referential, dq_range, dq_retention, dq_volume_change, dq_schema, dq_pit)])
+    return quality.suite(_suite(spark, d, 97))
+
+
+@query
+def dq_runner(spark, d):
+    """Results are persisted before a critical one fails the run; the second run has none that does."""
+    path = f"{_scratch(spark)}/data_quality_result"
+    stopped = 0
+    for run_id, missing in (("run-1", 97), ("run-2", 0)):
+        try:
+            quality.run(_suite(spark, d, missing), path, run_id)
+        except quality.CriticalFailure:
+            stopped += 1
+    kept = spark.read.parquet(path).groupBy("run_id", "status").agg(F.count("*").alias("checks"))
+    return kept.withColumn("stopped_runs", F.lit(stopped))
+
+
+@query
+def quarantine_sink(spark, d):
+    path = f"{_scratch(spark)}/failed_records"
+    _, failed = contracts.validate(_raw_statements(spark, d), STATEMENTS)
+    quality.quarantine(failed, "statements", path, "run-1")
+    kept = quality.quarantine(failed.filter("failure_reason like 'ticker%'"), "statements", path, "run-2")
+    both = spark.read.parquet(path)
+    return both.groupBy("run_id", "dataset_name", "failure_reason").agg(F.count("*").alias("n"), F.count_if(F.length("record_id") == 64).alias("with_id")).join(kept.agg(F.count("*").alias("last_run")))
 
 
 @query
 def publish_gate(spark, d):
-    tables_of = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
-    checks = [quality.unique(table(spark, d, t), t, [k]) for t, k in tables_of.items()]
-    checks.append(quality.referential(table(spark, d, "lineitem"), "lineitem", "l_orderkey", table(spark, d, "orders"), "o_orderkey"))
-    return quality.suite(checks)
+    """Keys of six tables, company keys of four and rows in six, all at once; results come out only if no critical check fails."""
+    dim, gold = _gold(spark, d)
+    checks = [quality.fact(df, name, keys, foreign, dim, "company_key") for name, (df, keys, foreign) in gold.items()]
+    checks += [quality.not_empty(gold[name][0], name) for name in ("silver_companies", "fact_statement", "fact_price")] + [quality.not_empty(dim, "dim_company"), quality.not_empty(table(spark, d, "lineitem"), "silver_statements"), quality.not_empty(table(spark, d, "events"), "silver_market_prices")]
+    return quality.gate(quality.persist(quality.suite(checks), f"{_scratch(spark)}/results", "publish")).drop("run_id")
 
 
 @query
 def profile_digest(spark, d):
     a = aggregates.digest(table(spark, d, "part"))
     b = aggregates.digest(table(spark, d, "part").orderBy("p_name")).toDF("rows_2", "digest_2")
-    return a.join(b).select(F.col("rows").alias("part_rows"), (F.col("digest") == F.col("digest_2")).alias("same"))
+    other = table(spark, d, "part").withColumn("p_size", F.when(F.col("p_partkey") == 1, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    c = aggregates.digest(other).toDF("rows_3", "digest_3")
+    return a.join(b).join(c).select(F.col("rows").alias("part_rows"), (F.col("digest") == F.col("digest_2")).alias("same"), (F.col("digest") == F.col("digest_3")).alias("same_when_changed"))
 
 
 @query
@@ -691,7 +774,7 @@ def st_parse_side_output(spark, d):
 
 @query
 def compact_files(spark, d):
-    base = f"{_scratch(spark)}/compact-{spark.sparkContext.applicationId}-{id(spark)}"
+    base = f"{_scratch(spark)}/compact"
     table(spark, d, "orders").repartition(12).write.mode("overwrite").parquet(base)
     return layout.compact(spark, base, base + "-out").select("files_before", "files_after", "rows")
 
@@ -704,17 +787,84 @@ def zorder(spark, d):
 
 @query
 def repartition_layout(spark, d):
-    path = f"{_scratch(spark)}/layout-{spark.sparkContext.applicationId}-{id(spark)}"
+    path = f"{_scratch(spark)}/layout"
     layout.write_partitioned(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"), path, ["l_returnflag", "l_linestatus"])
     return spark.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
 @query
 def sink_staged_publish(spark, d):
-    path = f"{_scratch(spark)}/publish-{spark.sparkContext.applicationId}-{id(spark)}"
-    layout.publish(table(spark, d, "region"), path)
-    layout.publish(table(spark, d, "region").filter("r_regionkey < 3"), path)
-    return spark.read.parquet(path).select("r_regionkey", "r_name")
+    path = f"{_scratch(spark)}/gold"
+    layout.publish(table(spark, d, "region"), path, "run-1")
+    layout.publish(table(spark, d, "region").filter("r_regionkey < 3"), path, "run-2")
+    try:
+        layout.publish(table(spark, d, "nation"), path, "run-3", lambda df: df.count() < 10)
+    except ValueError:
+        pass
+    return spark.read.parquet(path).select("r_regionkey", "r_name", F.lit(layout.current_run(spark, path)).alias("run_id"))
+
+
+@query
+def sink_promote_prefix(spark, d):
+    """Two datasets staged and promoted together; a run with an empty one is refused and changes nothing."""
+    root = _scratch(spark)
+    for run_id, n in (("a", 5), ("b", 2)):
+        table(spark, d, "region").filter(F.col("r_regionkey") < n).write.parquet(f"{root}/_staging/{run_id}/gold/region")
+        table(spark, d, "nation").filter(F.col("n_regionkey") < n).write.parquet(f"{root}/_staging/{run_id}/gold/nation")
+        layout.promote(spark, root, run_id, ["gold/region", "gold/nation"])
+    table(spark, d, "region").write.parquet(f"{root}/_staging/c/gold/region")
+    try:
+        layout.promote(spark, root, "c", ["gold/region", "gold/nation"])
+    except ValueError:
+        pass
+    r, n = spark.read.parquet(f"{root}/gold/region"), spark.read.parquet(f"{root}/gold/nation")
+    return r.agg(F.count("*").alias("regions")).join(n.agg(F.count("*").alias("nations")))
+
+
+@query
+def sink_rows(spark, d):
+    path = f"{_scratch(spark)}/rows"
+    layout.write_rows(spark, [{"k": 1, "v": "a"}, {"k": 2}], "k int, v string, w double", path)
+    return spark.read.parquet(path)
+
+
+@query
+def sink_bytes(spark, d):
+    """An object written whole, written again, read back; then its folder cleared."""
+    folder = f"{_scratch(spark)}/objects"
+    store = layout.Store(spark, folder)
+    store.write(f"{folder}/report.json", b"{}")
+    size = store.write(f"{folder}/report.json", json.dumps({"rows": 25}).encode())
+    text, listed = store.read(f"{folder}/report.json").decode(), store.files(folder)
+    return spark.createDataFrame([(size, text, len(listed), layout.clear(spark, folder), store.exists(folder))], "size int, content string, files int, cleared int, left_over boolean")
+
+
+@query
+def compact_guard(spark, d):
+    """Small files are made one, a table of large ones is left alone."""
+    base = f"{_scratch(spark)}/guard"
+    table(spark, d, "orders").repartition(12).write.parquet(base)
+    done = layout.compact(spark, base, base + "-out", skip_above=1 << 30).select(F.lit("small").alias("files_are"), "files_after")
+    left = layout.compact(spark, base, base + "-left", skip_above=0).select(F.lit("large").alias("files_are"), "files_after")
+    return done.unionByName(left).withColumn("written", F.lit(layout.Store(spark, base).exists(base + "-left")))
+
+
+@query
+def zorder_write(spark, d):
+    """A table written in z-order: in each of its two columns, some files end before others begin, so a range skips files."""
+    path = f"{_scratch(spark)}/zorder"
+    layout.write_sorted(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], path, 16)
+    rows = spark.read.parquet(path)
+    ends = rows.groupBy(F.input_file_name().alias("file")).agg(*[f(c).alias(f"{n}_{c}") for c in ("p_size", "p_retailprice") for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"))
+    return ends.agg(F.sum("n").alias("rows"), (F.min("hi_p_size") < F.max("lo_p_size")).alias("size_skips"), (F.min("hi_p_retailprice") < F.max("lo_p_retailprice")).alias("price_skips"))
+
+
+@query
+def index_lookup(spark, d):
+    """Points in a table that is sorted by its keys and has Bloom filters of them."""
+    path = f"{_scratch(spark)}/indexed"
+    layout.write_indexed(tables.statements(spark, d).select("ticker", "report_period", "total_assets"), ["ticker", "report_period"], path, 8)
+    return spark.read.parquet(path).filter("ticker = 'Supplier#000000007' and report_period in ('1996Q1', '1997Q2', '2099Q1')")
 
 
 @query
@@ -727,22 +877,99 @@ def sink_upsert(spark, d):
 
 @query
 def gen_offline(spark, d):
-    c = generator.with_duplicates(generator.companies(spark, 10_000), "ticker", 0.02)
-    return c.agg(F.count("*").alias("rows"), F.countDistinct("ticker").alias("companies"), F.round(F.avg((F.col("sector") == "Manufacturing").cast("double")), 2).alias("hot_share"))
+    """Companies with copies, versioned statements and prices, as sums that tell them apart."""
+    c, s, p = generator.companies(spark, 10_000), generator.statements(spark, 2_000, 8), generator.prices(spark, 10_000)
+    count = lambda condition: F.count_if(condition).cast("long")
+    a = c.agg(F.count("*").alias("company_rows"), F.countDistinct("ticker").alias("companies"), count(F.col("sector") == "Manufacturing").alias("hot_rows"), F.countDistinct("entity_id").alias("entities"), count(F.col("exchange") == "HOSE").alias("hose_rows"), F.sum(F.unix_timestamp("created_ts")).alias("created"))
+    b = s.agg(F.count("*").alias("statement_rows"), F.sum("total_assets").alias("assets"), F.sum("total_liabilities").alias("liabilities"), F.count("operating_cash_flow").alias("new_rows"), F.sum("retained_earnings").alias("retained"), F.max("report_period").alias("last_period"))
+    return a.join(b).join(p.agg(F.count("*").alias("price_rows"), F.round(F.sum("close_price"), 2).alias("prices"), F.sum("volume").alias("volume")))
 
 
 @query
 def gen_stream(spark, d):
     e = generator.stream(spark, 50_000)
-    return e.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), F.sum(F.col("is_late").cast("long")).alias("late"))
+    return e.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("is_late", "is_out_of_order", "is_burst", "is_injected_duplicate")], F.sum("event_second").alias("event_seconds"), F.sum("ingest_second").alias("ingest_seconds"))
+
+
+def _ticked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("event_second"))
+
+
+@query
+def gen_burst(spark, d):
+    b = generator.burst(_ticked(spark, d).filter("event_id = '5'"), 10, 201)
+    return b.agg(F.count("*").alias("n"), F.min("ticker").alias("ticker"), F.max("event_second").alias("last"), (F.max("event_second") - F.min("event_second")).alias("seconds"), F.round(F.sum("price"), 2).alias("prices"), F.sum("volume").alias("volume"))
+
+
+@query
+def gen_late(spark, d):
+    return generator.late(_ticked(spark, d), 300).select("event_id", "event_second")
+
+
+@query
+def gen_dups(spark, d):
+    return generator.repeated(_ticked(spark, d), 0.25).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query
+def union_evolved_manual(spark, d):
+    s = generator.statements(spark, 500, 8).withColumn("statement_type", F.coalesce("statement_type", F.lit("?")))
+    both = generator.aligned_versions(s, {"operating_cash_flow": "bigint", "retained_earnings": "bigint", "statement_type": "string"})
+    return both.groupBy("schema_version").agg(F.count("*").alias("n"), F.count("statement_type").alias("with_type"), F.sum("operating_cash_flow").alias("cash"), F.sum("total_assets").alias("assets"))
+
+
+@query
+def scan_cached(spark, d):
+    """One read of a table for two reports."""
+    kept = tables.cached(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority"))
+    return kept.groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n")).unionByName(kept.groupBy(F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("n")))
+
+
+def _contracts() -> str:
+    return resources.files("tidemark").joinpath("configs/contracts.md").read_text("utf-8")
+
+
+@query
+def contract_parse(spark, d):
+    """The Markdown contracts against the tables that they describe."""
+    parsed = audits.parse_contracts(_contracts())
+    found = audits.check_contract(tables.companies(spark, d).select(surrogate_key(F.col("ticker")).alias("company_key"), "ticker", "sector"), parsed["dim_company"])
+    found += audits.check_contract(tables.statements(spark, d).select("ticker", "report_period", "fiscal_year", F.col("total_assets").cast("decimal(18,2)").alias("total_assets"), "equity"), parsed["fact_statement"])
+    rows = [(t, n, "keys" if n in c.keys else "partitions" if n in c.partitions else "column") for t, c in parsed.items() for n, _, _ in c.columns]
+    return spark.createDataFrame([*found, *rows], "table_name string, column_name string, problem string")
 
 
 @query
 def lineage_audit(spark, d):
-    """Edges of the pipelines registered here, and whether each has an input and an output."""
-    rows = [("silver", "raw", "statements"), ("labels", "statements", "labels"), ("features", "labels", "features"), ("features", "prices", "features")]
-    edges = spark.createDataFrame(rows, "pipeline string, source string, target string")
-    return edges.groupBy("pipeline").agg(F.count("*").alias("edges"), F.min((F.col("source") != "") & (F.col("target") != "")).alias("complete"))
+    edges = spark.createDataFrame(audits.parse_lineage(_contracts()), "dataset string, upstream string, downstream string")
+    known = spark.createDataFrame([(n,) for n in audits.parse_contracts(_contracts())], "name string")
+    return audits.lineage_problems(edges, known)
+
+
+@query
+def evidence_audit(spark, d):
+    """Evidence of a run against the tables as they are: one changed since, one grown, one gone and one never told of."""
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    path = f"{_scratch(spark)}/evidence"
+    audits.evidence({"region": r, "nation": n, "supplier": table(spark, d, "supplier"), "gone": r}).write.json(path)
+    claimed = spark.read.schema("dataset_name string, row_count long, digest string").json(path)
+    now = audits.evidence({"region": r, "nation": n.withColumn("n_name", F.lower("n_name")), "supplier": table(spark, d, "supplier").filter("s_suppkey > 1"), "part": table(spark, d, "part")})
+    return audits.audit_evidence(claimed, now, ["region", "part"])
+
+
+@query
+def proj_event_id(spark, d):
+    """Events' ids by content: the SHA-256 of their JSON with fields in order of name."""
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    return e.select("event_id", audits.content_id(e.select("event_type", "user_id").columns).alias("content_id"))
+
+
+@query
+def join_label_pit(spark, d):
+    """Labels that were known when a feature was: the last one of the ticker at or before its time."""
+    labels_known = tables.snapshots(spark, d).select("ticker", F.col("created_ts").alias("label_ts"), "status", "seq")
+    o = tables.snapshots(spark, d).filter("seq % 3 = 0").select(F.col("seq").alias("feature_id"), "ticker", (F.col("created_ts") + F.expr("interval 10 days")).alias("event_timestamp"))
+    return asof.asof_join(o, labels_known, ["ticker"], "event_timestamp", "label_ts", ["seq"], "label_").select("feature_id", "label_status", "label_seq")
 
 
 # ---- audits, sinks and generators
@@ -814,14 +1041,26 @@ def run_id(spark, d):
 
 @query
 def manifest_verify(spark, d):
-    files = audits.file_digests(spark, f"{d}/region.parquet")
-    return audits.verify_manifest(files, files.unionByName(files.withColumn("name", F.lit("gone.parquet")))).filter("problem <> 'listed twice'")
+    """A manifest with a file twice, one that is gone, one that changed, one that is not listed and one outside the folder."""
+    files = spark.createDataFrame([(f"{n}.parquet", 10 * k, f"{k:064x}") for k, n in enumerate(("region", "nation", "part", "orders"))], "name string, length long, sha256 string")
+    listed = files.filter("name <> 'orders.parquet'").withColumn("sha256", F.when(F.col("name") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")))
+    extra = spark.createDataFrame([("region.parquet", 0, f"{0:064x}"), ("gone.parquet", 1, "1"), ("../etc/x.parquet", 1, "1")], files.schema)
+    return audits.verify_manifest(files, listed.unionByName(extra))
+
+
+@query
+def file_digests(spark, d):
+    """Whole files are digested where they lie; the same file twice has one digest."""
+    a, b = audits.file_digests(spark, f"{d}/region.parquet"), audits.file_digests(spark, f"{d}/nation.parquet")
+    return a.unionByName(a).unionByName(b).agg(F.countDistinct("sha256").alias("digests"), F.count_if(F.length("sha256") == 64).alias("whole"))
 
 
 @query
 def st_microbatch(spark, d):
-    t = tables.price_events(spark, d).withColumn("event_date", F.to_date(F.timestamp_seconds("ts")))
-    return audits.microbatches(t, ["event_date"], "seq", 10, 3600, "ts").groupBy("event_date", "batch").agg(F.count("*").alias("n"))
+    """Buffers of sixteen consumers, flushed at ten rows or a minute, then written by topic, date and hour."""
+    t = tables.price_events(spark, d).withColumns({"consumer": (F.col("id") % 16).cast("int"), "elapsed": (F.col("seq") % 23).cast("int"), "at": F.timestamp_seconds("ts")})
+    f = audits.flushed(t.select("consumer", "seq", "elapsed", "ticker", "at"), "consumer", "seq", "elapsed", 10, 60)
+    return f.groupBy("consumer", "flush", F.to_date("at").alias("event_date"), F.hour("at").alias("event_hour")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -840,19 +1079,42 @@ def agg_duration_stats(spark, d):
 
 @query
 def sink_jsonl(spark, d):
-    path = f"{_scratch(spark)}/json-{spark.sparkContext.applicationId}-{id(spark)}"
+    path = f"{_scratch(spark)}/json"
     table(spark, d, "nation").write.mode("overwrite").json(path)
     return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
 
 
 @query
 def sink_bronze_stream(spark, d):
-    path = f"{_scratch(spark)}/bronze-{spark.sparkContext.applicationId}-{id(spark)}-{time.time_ns()}"
-    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("topic"))
-    # the layout by hour has a folder an hour; a few days are enough to see it
-    stream.bronze(e.filter("ts < timestamp'2024-01-04'"), path)
-    back = tables.optional(spark, path, "event_id long, ts timestamp, topic string, event_date date, event_hour int")
-    return back.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("event_date", "event_hour").alias("hours"))
+    """All events as a stream into folders by topic, date, hour and batch; a second run finds nothing new."""
+    where = _scratch(spark)
+    e = stream.ticks_from_files(spark, f"{d}/events.parquet*", EVENTS).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("topic"))
+    taken = [stream.bronze_stream(e, f"{where}/bronze", f"{where}/checkpoint") for _ in range(2)]
+    back = spark.read.schema("event_id long, ts timestamp, topic string, event_date date, event_hour int, batch_id int").parquet(f"{where}/bronze")
+    return back.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("event_date", "event_hour").alias("hours"), F.countDistinct("batch_id").alias("batches")).withColumns({"taken": F.lit(taken[0]).cast("long"), "taken_again": F.lit(taken[1]).cast("long")})
+
+
+@query
+def src_kafka_poll(spark, d):
+    """The messages of one run out of a topic that holds three, read until all that are expected are there."""
+    where = _scratch(spark)
+    e = table(spark, d, "events")
+    message = F.to_json(F.struct("event_id", "event_type", F.concat(F.lit("run"), (F.col("event_id") % 3).cast("string")).alias("evidence_run_id")))
+    e.select(message.alias("value")).repartition(4).write.text(f"{where}/topic")
+    expected = e.filter("event_id % 3 = 1").count()
+    got = stream.poll(stream.file_topic(spark, f"{where}/topic"), "event_id long, event_type string, evidence_run_id string", "run1", expected, 120.0, where)
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query
+def sink_flink_files(spark, d):
+    """Files of a bounded run: side outputs by route and its windows."""
+    path = f"{_scratch(spark)}/run"
+    routed = _route(spark, d, True)
+    kept = routed.filter("route in ('on_time', 'allowed_late')").withColumn("price", F.col("price").cast("decimal(18,4)"))
+    stream.side_outputs(routed, events.tumbling(kept, "ticker", "ts", 3600, "price", "volume"), path)
+    side = spark.read.schema("id long, seq long, route string").json(f"{path}/side").groupBy("route").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+    return side.unionByName(spark.read.parquet(f"{path}/windows").agg(F.lit("windows").alias("route"), F.count("*").alias("n"), F.sum("event_count").alias("seqs")))
 
 
 @query

@@ -50,13 +50,13 @@ price_facts as (
   from (select *, lag(close_price) over (partition by ticker order by trading_date) as before from prices))"""
 
 SNAPSHOTS = f"""snapshots as (
-  select c_name as ticker, o_orderstatus as status, o_orderpriority as priority, c_mktsegment as segment, o_orderdate as created_ts, o_orderkey as seq
+  select upper(c_name) as ticker, o_orderstatus as status, o_orderpriority as priority, c_mktsegment as segment, o_orderdate as created_ts, o_orderkey as seq
   from orders join customer on o_custkey = c_custkey),
 marked as (
   select *, lag(seq) over w is null as is_first, (lag(status) over w, lag(priority) over w, lag(segment) over w) is distinct from (status, priority, segment) as changed
   from snapshots window w as (partition by ticker order by created_ts, seq)),
 versions as (
-  select {key("ticker")} as company_key, substr(sha256(upper(trim(ticker)) || '|' || upper(strftime(created_ts, '%Y-%m-%d %H:%M:%S'))), 1, 16) as version_key,
+  select {key("ticker")} as company_key, substr(sha256(upper(trim(ticker)) || '|' || upper(strftime(created_ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(created_ts) % 1000000 > 0 then '.' || lpad((microsecond(created_ts) % 1000000)::varchar, 6, '0') else '' end || '+00:00')), 1, 16) as version_key,
     ticker, status, priority, segment, created_ts as valid_from_ts, lead(created_ts) over w as valid_to_ts, lead(seq) over w is null as is_current, seq
   from marked where is_first or changed window w as (partition by ticker order by created_ts, seq))"""
 
@@ -66,7 +66,7 @@ PREVIOUS = """previous as (
 
 FLAGS = """coalesce(total_assets > 0 and total_liabilities / nullif(total_assets, 0) > 0.8, false) as high_debt_to_asset,
     coalesce(equity < 0, false) as negative_equity, coalesce(net_income < 0 and previous_net_income < 0, false) as two_quarter_net_loss,
-    coalesce(current_liabilities > 0 and current_assets / nullif(current_liabilities, 0) < 1, false) as weak_current_ratio,
+    coalesce(current_liabilities > 0 and current_assets / nullif(current_liabilities, 0) < 1, false) as low_current_ratio,
     coalesce(interest_expense > 0 and ebit / nullif(interest_expense, 0) < 1, false) as weak_interest_coverage"""
 
 LABELLED = f"""{STATEMENTS},
@@ -80,8 +80,8 @@ scored as (
       + 1.05 * (case when total_liabilities = 0 then 99.0 when total_liabilities > 0 then equity / total_liabilities end), 4) end as z_score, {FLAGS}
   from previous),
 counted as (
-  select *, list_filter([case when high_debt_to_asset then 'high_debt_to_asset' end, case when negative_equity then 'negative_equity' end,
-      case when two_quarter_net_loss then 'two_quarter_net_loss' end, case when weak_current_ratio then 'weak_current_ratio' end,
+  select *, list_filter([case when high_debt_to_asset then 'high_debt_to_asset' end, case when low_current_ratio then 'low_current_ratio' end,
+      case when negative_equity then 'negative_equity' end, case when two_quarter_net_loss then 'two_quarter_net_loss' end,
       case when weak_interest_coverage then 'weak_interest_coverage' end], lambda x: x is not null) as warnings from scored),
 labelled as (
   select *, len(warnings) as n_warnings,
@@ -110,7 +110,7 @@ from (select * from events where event_type = 'purchase') p asof left join (
 on p.user_id = v.user_id and p.ts >= v.ts"""
 
 REFERENCE = """reference as (
-  select event_id, 'U' || user_id::varchar as ticker, case when event_id % 20 = 0 then ts + interval 1 day else ts end as reference_ts from events where event_id % 10 = 0)"""
+  select event_id, 'U' || user_id::varchar as ticker, case when event_id % 20 = 0 then ts + interval 1 day else ts end as reference_ts from events)"""
 
 TICKS = """base as (
   select event_id as id, event_id * 2 as seq, floor(epoch(ts))::bigint - case when event_id % 7 = 0 then event_id * 997 % 20000 else 0 end as ts,
@@ -146,6 +146,63 @@ CHECKS = {
     "dq_pit": check("features", "point_in_time", "count(*) filter (feature_ts > ts)", f"({ASOF})"),
 }
 
+def fact(dataset: str, source: str, keys: str, foreign: bool = False, required: bool = False) -> list[str]:
+    own = [check(dataset, "not_null:company_key", "count(*) filter (company_key is null)", source)] if required else []
+    own.append(check(dataset, f"unique:{keys}", "coalesce(sum(n - 1), 0)", f"(select count(*) as n from {source} group by {keys})"))
+    if foreign:
+        own.append(check(dataset, "referential:company_key", "count(*)", f"{source} where company_key is null or company_key not in (select company_key from dim)"))
+    return own
+
+
+def gold(missing: int) -> str:
+    users = f"select distinct 'U' || user_id::varchar as ticker from events{f' where user_id % {missing} <> 0' if missing else ''}"
+    user = "'U' || user_id::varchar"
+    return f"""with {COMPANIES}, {STATEMENTS}, {PRICES},
+dim as (select distinct {key('ticker')} as company_key from (select ticker from companies union all {users})),
+fact_statement as (select ticker, report_period, {key('ticker')} as company_key from statements),
+fact_price as (select ticker, trading_date, {key('ticker')} as company_key from price_facts),
+fact_news as (select event_id, {key(user)} as company_key from events where event_type = 'click'),
+fact_alert as (select event_id, {key(user)} as company_key from events where value > 90)"""
+
+
+def facts(required: bool) -> list[str]:
+    return [
+        *fact("silver_companies", "companies", "ticker"),
+        *fact("fact_statement", "fact_statement", "ticker,report_period", True, required),
+        *fact("fact_price", "fact_price", "ticker,trading_date", True),
+        *fact("fact_news", "fact_news", "event_id", True),
+        *fact("fact_alert", "fact_alert", "event_id", True),
+        *fact("obt_company_quarter_risk", "fact_statement", "ticker,report_period"),
+    ]
+
+
+def suite() -> str:
+    fresh = "select 'silver_market_prices', 'freshness:ts', case when m < 0 then 'fail' when m > 120 then 'warning' else 'pass' end, case when m < 0 then 'critical' else 'warning' end, m, case when m < 0 then 0.0 else 120.0 end from (select (epoch(timestamp '2024-02-01 00:00:00') - floor(epoch(max(ts)))) / 60 as m from events)"
+    return " union all ".join([*facts(True), fresh])
+
+
+def run_2() -> str:
+    return f"select 'run-2' as run_id, status, count(*) as checks, 1 as stopped_runs from ({gold(0)} {suite()}) group by status"
+
+
+def publication() -> str:
+    filled = (("silver_companies", "companies"), ("fact_statement", "fact_statement"), ("fact_price", "fact_price"), ("dim_company", "dim"), ("silver_statements", "lineitem"), ("silver_market_prices", "events"))
+    return " union all ".join([*facts(False), *[check(n, "not_empty", "count(*)", t, "critical", "m < 1", "1.0") for n, t in filled]])
+
+
+def unit(seed: str, *parts: str) -> str:
+    """The generators' number in [0, 1): the first 8 hexadecimal digits of a SHA-256."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"({p})::varchar" for p in parts]])
+    digits = f"substr(sha256({text}), 1, 8)"
+    return f"(('0x' || {digits})::bigint::double / 4294967296)"
+
+
+GENERATED = f"""drafted as (
+  select i, q, 1000000 + i * 100 + q * 1000 as total_assets, case when q < 4 then 1 else 2 end as schema_version, {unit("7", "i", "q")} as u from range(2000) t(i), range(8) v(q)),
+generated as (
+  select *, floor(total_assets * (0.45::double + u * 0.25::double))::bigint as total_liabilities, (2020 + q // 4)::varchar || 'Q' || (q % 4 + 1)::varchar as report_period,
+    case when schema_version = 2 then floor(total_assets * 0.03::double) end as operating_cash_flow, case when schema_version = 2 then floor(total_assets * 0.08::double) end as retained_earnings from drafted)"""
+
 ORACLES: dict[str, str] = {
     "scan_parquet": "select l_orderkey, l_linenumber, l_quantity from lineitem where l_shipdate >= '1995-01-01' and l_quantity < 10",
     "scan_optional": "select r_regionkey, r_name from region",
@@ -191,8 +248,9 @@ ORACLES: dict[str, str] = {
     "join_asof_ref_ts": f"with {PRICES}, {REFERENCE} select event_id, r.ticker, reference_ts, trading_date::timestamp as feature_price_ts, close_price as feature_close_price, volume as feature_volume from reference r asof left join price_facts p on r.ticker = p.ticker and r.reference_ts >= p.trading_date::timestamp",
     "agg_sector_baseline": REPORT,
     "agg_two_level_salted": REPORT,
-    "equivalence_check": "select 0 as only_left, 0 as only_right",
-    "canonical_digest": "select true as same, 64 as digest_length",
+    "equivalence_check": f"with report as ({REPORT}) select 0 as only_left, 0 as only_right, count(*) as changed_left, count(*) as changed_right from report where sector = 'ASIA'",
+    "canonical_digest": """select true as same, sha256(string_agg(line, chr(10) order by line)) as digest from (
+  select '{"n_nationkey":' || n_nationkey::varchar || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey::varchar || '}' as line from nation)""",
     "agg_latest_by_key": LATEST,
     "win_row_number_latest": LATEST,
     "agg_having_dups": "select l_orderkey, l_linenumber, count(*) as row_count from lineitem group by 1, 2 having count(*) > 1",
@@ -212,7 +270,7 @@ ORACLES: dict[str, str] = {
     "z_score": f"with {LABELLED} select ticker, report_period, z_score from labelled",
     "warning_rules": f"with {STATEMENTS}, {PREVIOUS.format('statements')} select ticker, report_period, {FLAGS} from previous",
     "distress_label": f"with {LABELLED} select ticker, report_period, distress_label, distress_reason, label_confidence, training_eligible, n_warnings from labelled",
-    "sector_exclusion": "select s_name as ticker, s_suppkey % 5 = 0 or s_suppkey % 7 = 0 as excluded from supplier",
+    "sector_exclusion": "select s_name as ticker, s_suppkey % 11 in (0, 2, 4, 6, 7) or s_suppkey % 7 = 0 or s_suppkey % 13 = 0 as excluded from supplier",
     "obt": f"with {LABELLED} select s.ticker, s.report_period, s.total_assets, round(case when s.total_assets > 0 then s.total_liabilities / s.total_assets end, 6) as debt_to_asset, distress_label, label_confidence from statements s left join labelled l on s.ticker = l.ticker and s.report_period = l.report_period",
     "feat_financial": f"with {STATEMENTS} select 'financial' as feature_family, ticker, report_period as feature_period, round(case when total_assets > 0 then net_income / total_assets end, 6) as feature_roa, interest_expense as feature_interest from statements",
     "feat_market": f"with {PRICES} select 'market' as feature_family, ticker, trading_date as feature_date, close_price as feature_close, coalesce(round(daily_return, 6), 0.0) as feature_return from price_facts",
@@ -235,14 +293,15 @@ ORACLES: dict[str, str] = {
     "page_offset": "select c_custkey, c_name from customer order by c_custkey limit 20 offset 40",
     **CHECKS,
     "dq_freshness": "select 'orders' as dataset_name, 'freshness:o_orderdate' as check_name, case when m is null then 'warning' when m < 0 then 'fail' when m > 1440 then 'warning' else 'pass' end as status, case when m < 0 then 'critical' else 'warning' end as severity, m as metric_value, 1440.0::double as threshold_value from (select (epoch(timestamp '2005-01-01 00:00:00') - floor(epoch(max(o_orderdate)))) / 60 as m from orders)",
-    "dq_suite": " union all ".join(f"(select * from ({CHECKS[k]}))" for k in ("dq_not_null", "dq_unique", "dq_referential", "dq_range", "dq_retention", "dq_volume_change", "dq_schema", "dq_pit")),
-    "publish_gate": " union all ".join(
-        [check(t, f"unique:{k}", "coalesce(sum(n - 1), 0)", f"(select count(*) as n from {t} group by {k})") for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))]
-        + [check("lineitem", "referential:l_orderkey", "count(*)", "lineitem where l_orderkey is null or l_orderkey not in (select o_orderkey from orders)")]
-    ),
-    "profile_digest": "select count(*) as part_rows, true as same from part",
+    "dq_retention_empty": check("region", "retention", "0.0", "range(1)", "warning", "m < 0.8", "0.8"),
+    "dq_freshness_future": "select 'orders' as dataset_name, 'freshness:o_orderdate' as check_name, 'fail' as status, 'critical' as severity, (epoch(timestamp '1990-01-01 00:00:00') - floor(epoch(max(o_orderdate)))) / 60 as metric_value, 0.0::double as threshold_value from orders",
+    "dq_suite": f"{gold(97)} {suite()}",
+    "dq_runner": f"{gold(97)}, first as ({suite()}) select 'run-1' as run_id, status, count(*) as checks, 1 as stopped_runs from first group by status union all {run_2()}",
+    "quarantine_sink": f"with {RAW}, failed as (select 'run-1' as run_id, failure_reason from judged where failure_reason <> '' union all select 'run-2', failure_reason from judged where failure_reason like 'ticker%') select run_id, 'statements' as dataset_name, failure_reason, count(*) as n, count(*) as with_id, (select count(*) from failed where run_id = 'run-2') as last_run from failed group by 1, 3",
+    "publish_gate": f"{gold(0)} {publication()}",
+    "profile_digest": "select count(*) as part_rows, true as same, false as same_when_changed from part",
     "docs_by_content": "select sha256(coalesce(text, '')) as content_hash, min(doc_id) as kept_id, count(*) as copies from documents group by 1",
-    "join_left_multi": f"with {STATEMENTS}, {PREVIOUS.format('statements')}, flagged as (select *, {FLAGS}, total_assets > 0 as ok from previous), judged as (select *, round(6.56 * ((current_assets - current_liabilities) / total_assets) + 3.26 * (retained_earnings / total_assets) + 6.72 * (ebit / total_assets) + 1.05 * (case when total_liabilities = 0 then 99.0 when total_liabilities > 0 then equity / total_liabilities end), 4) as z, high_debt_to_asset::int + negative_equity::int + two_quarter_net_loss::int + weak_current_ratio::int + weak_interest_coverage::int as w from flagged) select fiscal_year::int as fiscal_year, case when coalesce(z < 1.1, false) or w >= 2 then 1 end as distress_label, count(*) as n from judged group by 1, 2",
+    "join_left_multi": f"with {COMPANIES}, {STATEMENTS}, {PRICES}, known as (select substr(ticker, 2)::bigint as supplier, count(*) as prices from price_facts group by 1) select fiscal_year, exchange, count(*) as n, count(prices) as with_prices from statements s left join companies c on s.supplier = c.supplier left join known k on s.supplier = k.supplier group by 1, 2",
     "st_bounded_oracle": f"with {routed(True)} select route, count(*) as n from routed group by 1",
     "st_routed_no_dedup": f"with {routed(False)} select route, count(*) as n from routed group by 1",
     "st_too_late": f"with {routed(True)} select id, seq, ts, ticker from routed where route = 'too_late'",
@@ -252,9 +311,17 @@ ORACLES: dict[str, str] = {
     "st_parse_side_output": "select count(*) filter (event_id % 50 <> 0) as valid_rows, count(*) filter (event_id % 50 <> 0) as volume, count(*) filter (event_id % 50 = 0) as invalid_rows from events",
     "compact_files": "select 12 as files_before, 1 as files_after, count(*) as rows from orders",
     "repartition_layout": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2",
-    "sink_staged_publish": "select r_regionkey, r_name from region where r_regionkey < 3",
+    "sink_staged_publish": "select r_regionkey, r_name, 'run-2' as run_id from region where r_regionkey < 3",
+    "sink_promote_prefix": "select (select count(*) from region where r_regionkey < 2) as regions, (select count(*) from nation where n_regionkey < 2) as nations",
+    "sink_rows": "select * from (values (1, 'a', null::double), (2, null, null)) t(k, v, w)",
+    "sink_bytes": "select 12 as size, '{\"rows\": 25}' as content, 1 as files, 1 as cleared, false as left_over",
+    "compact_guard": "select 'small' as files_are, 1 as files_after, false as written union all select 'large', 12, false",
+    "zorder_write": "select count(*) as rows, true as size_skips, true as price_skips from part",
+    "index_lookup": f"with {STATEMENTS} select ticker, report_period, total_assets from statements where ticker = 'Supplier#000000007' and report_period in ('1996Q1', '1997Q2', '2099Q1')",
     "sink_upsert": "select o_custkey, max(o_orderdate) as o_orderdate from orders group by 1",
-    "lineage_audit": "select * from (values ('silver', 1, true), ('labels', 1, true), ('features', 2, true)) t(pipeline, edges, complete)",
+    "lineage_audit": "select * from (values ('label_distress', '', 'no contract'), ('feat_orphan', '', 'no contract'), ('feat_orphan', '', 'no upstream'), ('label_distress', 'fact_statement', 'upstream not named')) t(dataset, name, problem)",
+    "contract_parse": "select * from (values ('fact_statement', 'currency', 'missing'), ('fact_statement', 'total_assets', 'type'), ('fact_statement', 'equity', 'extra'), ('dim_company', 'company_key', 'keys'), ('dim_company', 'ticker', 'column'), ('dim_company', 'sector', 'column'), ('fact_statement', 'ticker', 'keys'), ('fact_statement', 'report_period', 'keys'), ('fact_statement', 'fiscal_year', 'partitions'), ('fact_statement', 'total_assets', 'column'), ('fact_statement', 'currency', 'column')) t(table_name, column_name, problem)",
+    "evidence_audit": "select * from (values ('region', 'ok'), ('nation', 'content differs'), ('supplier', 'row count differs'), ('gone', 'no such table'), ('part', 'missing evidence')) t(dataset_name, status)",
     "zorder": "with s as (select p_partkey, case when max(p_size) over () > min(p_size) over () then floor((p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ()) * 15)::bigint else 0 end as a, case when max(price) over () > min(price) over () then floor((price - min(price) over ()) / (max(price) over () - min(price) over ()) * 15)::bigint else 0 end as b from (select *, p_retailprice::decimal(12,2)::double as price from part)) select p_partkey, "
     + " + ".join(f"((a >> {k}) & 1) * {4**k} + ((b >> {k}) & 1) * {2 * 4**k}" for k in range(4))
     + " as z_key from s",
@@ -269,13 +336,49 @@ ORACLES |= {
     "outbox_claim": "select o_orderkey from orders where o_orderkey % 8 < 5 and (o_orderkey % 3 <> 0 or o_orderdate <= timestamp '1996-06-01')",
     "label_time_split": "select case when o_orderdate >= timestamp '1997-01-01' then 2 when o_orderdate >= timestamp '1995-01-01' then 1 else 0 end as part, count(*) as n, min(o_orderdate) as first_ts, max(o_orderdate) as last_ts from orders group by 1",
     "required_counts": "select 'customer' as dataset_name, count(*) as row_count, count(*) > 0 as ok from customer union all select 'orders', count(*), count(*) > 0 from orders union all select 'nothing', 0, false",
-    "pit_audit": "select count(*) as row_count, count(*) filter (event_id % 50 = 0) as missing_created, 0 as leaks, count(*) filter (event_id % 50 = 0) = 0 as ok from events where event_id % 10 = 0",
+    "pit_audit": "select count(*) as row_count, count(*) filter (event_id % 50 = 0) as missing_created, 0 as leaks, count(*) filter (event_id % 50 = 0) = 0 as ok from events",
     "run_id": "select 'silver-' || substr(sha256('silver|2026-01-01'), 1, 12) as run_id",
-    "manifest_verify": "select 'gone.parquet' as name, 'missing' as problem",
-    "st_microbatch": f"with {TICKS}, numbered as (select *, make_timestamp(ts * 1000000)::date as event_date, row_number() over (partition by make_timestamp(ts * 1000000)::date, ts // 3600 order by seq) - 1 as n from ticks) select event_date, (ts // 3600)::varchar || '-' || (n // 10)::varchar as batch, count(*) as n from numbered group by 1, 2",
+    "manifest_verify": "select * from (values ('region.parquet', 'listed twice'), ('nation.parquet', 'changed'), ('orders.parquet', 'not listed'), ('gone.parquet', 'missing'), ('../etc/x.parquet', 'unsafe path')) t(name, problem)",
+    "file_digests": "select 2 as digests, 3 as whole",
+    "st_microbatch": f"""with recursive {TICKS},
+lined as (select id % 16 as consumer, seq, (seq % 23)::int as elapsed, ts, row_number() over (partition by id % 16 order by seq) as place from ticks),
+walked as (
+  select consumer, place, 0 as flush, 1 as held, elapsed as waited from lined where place = 1
+  union all
+  select n.consumer, n.place, case when w.held >= 10 or w.waited >= 60 then w.flush + 1 else w.flush end,
+    case when w.held >= 10 or w.waited >= 60 then 1 else w.held + 1 end, case when w.held >= 10 or w.waited >= 60 then n.elapsed else w.waited + n.elapsed end
+  from walked w join lined n on n.consumer = w.consumer and n.place = w.place + 1)
+select w.consumer::int as consumer, flush, make_timestamp(ts * 1000000)::date as event_date, hour(make_timestamp(ts * 1000000))::int as event_hour, count(*) as n
+from walked w join lined l on w.consumer = l.consumer and w.place = l.place group by all""",
     "agg_stream_price": f"with {TICKS} select ticker, count(*) as event_count, round(sum(price::decimal(18,4))::double / count(*), 6) as average_price, sum(volume)::bigint as total_volume from ticks where price is not null group by 1",
     "agg_duration_stats": "select event_type, median(gap)::double as median_gap, min(gap) as shortest, max(gap) as longest from (select event_type, (floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by ts, event_id))))::bigint as gap from events) where gap is not null group by 1",
     "sink_jsonl": "select * from nation",
-    "sink_bronze_stream": "select event_type as topic, count(*) as n, count(distinct (ts::date, hour(ts))) as hours from events where ts < timestamp '2024-01-04' group by 1",
+    "sink_bronze_stream": "select event_type as topic, count(*) as n, count(distinct (ts::date, hour(ts))) as hours, 1 as batches, (select count(*) from events) as taken, 0 as taken_again from events group by 1",
+    "src_kafka_poll": "select event_type, count(*) as n, sum(event_id)::bigint as ids from events where event_id % 3 = 1 group by 1",
+    "sink_flink_files": f"with {routed(True)} select route, count(*) as n, sum(seq)::bigint as seqs from routed where route in ('invalid', 'duplicate', 'too_late') group by 1 union all select 'windows', count(distinct (ticker, ts // 3600)), count(*) from routed where route in ('on_time', 'allowed_late')",
+    "proj_event_id": """select event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id::varchar || '}') as content_id from events""",
+    "join_label_pit": f"""with {SNAPSHOTS}, features as (select seq as feature_id, ticker, created_ts + interval 10 days as event_timestamp from snapshots where seq % 3 = 0),
+known as (select ticker, created_ts, status, seq from snapshots qualify row_number() over (partition by ticker, created_ts order by seq desc) = 1)
+select feature_id, k.status as label_status, k.seq as label_seq from features f asof left join known k on f.ticker = k.ticker and f.event_timestamp >= k.created_ts""",
+    "scan_cached": "select o_orderstatus as value, count(*) as n from orders group by 1 union all select o_orderpriority, count(*) from orders group by 1",
+    "gen_offline": f"""with companies as (
+  select i, 'G' || lpad(i::varchar, 7, '0') as ticker, case when i < 7000 then 'HOSE' when i % 2 = 0 then 'HNX' else 'UPCOM' end as exchange, i < 6000 as hot, i % 1000 as entity from range(10000) t(i)),
+copied as (select *, 1767225600 + i as created from companies union all select *, 1767225600 + i + 60 from companies where {unit("7", "ticker")} < 0.02 / (1 - 0.02)),
+{GENERATED}
+select a.*, b.*, c.* from
+  (select count(*) as company_rows, count(distinct ticker) as companies, count(*) filter (hot) as hot_rows, count(distinct entity) as entities, count(*) filter (exchange = 'HOSE') as hose_rows, sum(created)::bigint as created from copied) a,
+  (select count(*) as statement_rows, sum(total_assets)::bigint as assets, sum(total_liabilities)::bigint as liabilities, count(operating_cash_flow) as new_rows, sum(retained_earnings)::bigint as retained, max(report_period) as last_period from generated where i < 2000) b,
+  (select count(*) as price_rows, round(sum(round(10 + {unit("8", "i")} * 90, 2)), 2) as prices, sum(1000 + i)::bigint as volume from companies) c""",
+    "gen_stream": f"""with base as (
+  select i, i % 600 < 60 as is_burst, case when i % 600 < 60 then i - i % 600 + (i % 600) // 10 else i end as ingest, {unit("7", "i")} < 0.03 as is_late, {unit("8", "i")} < 0.05 as is_out from range(50000) t(i)),
+shifted as (select *, case when is_late then 120 + floor({unit("9", "i")} * 180) when is_out then floor({unit("10", "i")} * 30) else 0 end as shift from base),
+doubled as (select *, false as copy from shifted union all select *, true from shifted where {unit("12", "'e' || i::varchar")} < 0.015 / (1 - 0.015))
+select count(*) as rows, count(distinct i) as ids, count(*) filter (is_late) as is_late, count(*) filter (is_out and not is_late) as is_out_of_order, count(*) filter (is_burst) as is_burst,
+  count(*) filter (copy) as is_injected_duplicate, sum(ingest - shift)::bigint as event_seconds, sum(ingest)::bigint as ingest_seconds from doubled""",
+    "gen_burst": """with e as (select user_id, floor(epoch(ts)) as began from events where event_id = 5), b as (select i, 'U' || user_id::varchar as ticker, began + i * (10 / 200.0::double) as event_second from range(201) t(i), e)
+select count(*) as n, min(ticker) as ticker, max(event_second)::double as last, max(event_second) - min(event_second) as seconds, round(sum(10 + i * 0.01::double), 2) as prices, sum(100 + i)::bigint as volume from b""",
+    "gen_late": f"select event_id::varchar as event_id, (floor(epoch(ts)) - ceil({unit('0', 'event_id')} * 300))::bigint as event_second from events",
+    "gen_dups": f"select event_id::varchar as event_id, case when {unit('0', 'event_id')} < 0.25 then 2 else 1 end as n from events",
+    "union_evolved_manual": f"with {GENERATED} select schema_version, count(*) as n, case when schema_version = 2 then count(*) else 0 end as with_type, case when schema_version = 2 then sum(operating_cash_flow)::bigint end as cash, sum(total_assets)::bigint as assets from generated where i < 500 group by 1",
     "sink_kafka_rows": "select r_regionkey::varchar as key, '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey::varchar || '}' as value, 'regions' as topic from region",
 }

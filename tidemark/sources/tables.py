@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def partitioned_glob(spark: SparkSession, base: str, pattern: str) -> DataFrame:
     return spark.read.option("basePath", base).parquet(f"{base}/{pattern}")
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """df read once and kept by executors, spilling to disk; what an executor loses with it is read again."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
+
+
 def of_run(df: DataFrame, run_id: str, column: str = "evidence_run_id") -> DataFrame:
     """Rows of one run if the table says which run a row is of."""
     return df.filter(F.col(column) == run_id) if column in df.columns else df

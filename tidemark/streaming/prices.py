@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.layout import Store
+
 TICK = "event_id long, ts timestamp, ticker string, price double, volume long"
 
 
@@ -49,17 +52,77 @@ def ticks_from_files(spark: SparkSession, path: str, schema: str, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def bronze(batch: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append a batch below topic / event_date / event_hour."""
-    dated = batch.withColumn("event_date", F.to_date(ts)).withColumn("event_hour", F.hour(ts))
-    dated.write.mode("append").partitionBy("topic", "event_date", "event_hour").parquet(path)
+def bronze(batch: DataFrame, path: str, number: int = 0, ts: str = "ts") -> None:
+    """Write a batch below topic / event_date / event_hour / batch_id. A batch that is written again first loses what there is of it."""
+    store = Store(batch.sparkSession, path)
+    for left in store.fs.globStatus(store.path(f"{path}/topic=*/event_date=*/event_hour=*/batch_id={number}")) or []:
+        store.fs.delete(left.getPath(), True)
+    dated = batch.withColumns({"event_date": F.to_date(ts), "event_hour": F.hour(ts), "batch_id": F.lit(number)})
+    by = ["topic", "event_date", "event_hour", "batch_id"]
+    dated.repartition(*by[:3]).write.mode("append").partitionBy(*by).parquet(path)
+
+
+def bronze_stream(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> int:
+    """Run a stream with a column `topic` into the bronze layout over all there is; the rows that this run took.
+
+    The checkpoint holds what was read: a run that starts again goes on after the last whole batch, and the batch that
+    was under way is written again under its own number, so every row is there once.
+    """
+    query = stream.writeStream.foreachBatch(lambda batch, number: bronze(batch, path, number, ts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)
 
 
-def kafka_source(spark: SparkSession, servers: str, topics: str, bounded: bool = True) -> DataFrame:
-    """Values of Kafka topics from the earliest offset; needs Spark's Kafka package on the class path."""
+def kafka_source(spark: SparkSession, servers: str, topics: str, bounded: bool = True, **options: str) -> DataFrame:
+    """Values of Kafka topics from the earliest offset; needs Spark's Kafka package on the class path. Offsets are kept in the
+    checkpoint of the query that reads a stream, never committed to Kafka."""
     reader = spark.read if bounded else spark.readStream
-    options = {"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": "earliest"}
-    return reader.format("kafka").options(**options).load().selectExpr("cast(value as string) as value", "topic", "timestamp")
+    given = {"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": "earliest", "failOnDataLoss": "true"} | options
+    return reader.format("kafka").options(**given).load().selectExpr("cast(value as string) as value", "topic", "timestamp")
+
+
+def file_topic(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream in the form of kafka_source from files of JSON lines (value), for tests and replays."""
+    return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).text(path).withColumns({"topic": F.get_json_object("value", "$.topic"), "timestamp": F.current_timestamp()})
+
+
+class Incomplete(Exception):
+    """A bounded read ended with fewer rows than expected."""
+
+
+def poll(stream: DataFrame, schema: str, run_id: str, expected: int, seconds: float, where: str) -> DataFrame:
+    """The first `expected` messages of a run, decoded, in order of arrival: reads until they are there or the time is up, then
+    raises Incomplete. Messages of other runs are passed over."""
+    spark = stream.sparkSession
+    folder = f"{where.rstrip('/')}/poll-{uuid.uuid4().hex}"
+    found = [0]
+
+    def take(batch: DataFrame, number: int) -> None:
+        own = batch.select(F.from_json("value", schema).alias("e")).select("e.*").filter(F.col("evidence_run_id") == run_id)
+        placed = own.withColumns({"batch": F.lit(number), "place": F.monotonically_increasing_id()})
+        placed.write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+        found[0] += spark.read.schema(placed.schema).parquet(f"{folder}/out/number={number}").count()
+
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").start()
+    ends = time.monotonic() + seconds
+    try:
+        while found[0] < expected and time.monotonic() < ends and query.isActive:
+            time.sleep(0.05)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    if found[0] < expected:
+        raise Incomplete(f"expected {expected} messages of {run_id}, got {found[0]}")
+    rows = spark.read.parquet(f"{folder}/out").drop("number")
+    return rows.orderBy("batch", "place").limit(expected).drop("batch", "place")
+
+
+def side_outputs(routed: DataFrame, windows: DataFrame, path: str) -> None:
+    """Files of what a bounded run leaves: late, duplicate and invalid events by route as JSON lines, and its windows as Parquet."""
+    aside = routed.filter("route in ('invalid', 'duplicate', 'too_late')")
+    aside.repartition("route").write.mode("overwrite").partitionBy("route").json(f"{path}/side")
+    windows.write.mode("overwrite").parquet(f"{path}/windows")
 
 
 def kafka_rows(df: DataFrame, key: str, topic: str) -> DataFrame:
