@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import labelled
 
-from tidemark.operators import aggregates, audits, labels, layout, quality, scd2
+from tidemark.operators import aggregates, audits, labels, layout, metadata, quality, scd2
 from tidemark.sources import generator
 
 
@@ -165,3 +165,22 @@ def test_versions_are_aligned(spark):
     df = spark.createDataFrame([(1, 5, "x"), (2, 6, None)], "schema_version int, cash long, kind string")
     found = generator.aligned_versions(df, {"cash": "long", "kind": "string"})
     assert sorted(map(tuple, found.collect())) == [(1, None, None), (2, 6, None)]
+
+
+def test_metadata_keeps_the_newest_and_refuses_what_it_does_not_know(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.sql("select 'c' as collector_name, 's' as source_system, 'k' as checkpoint_key, v as checkpoint_value, timestamp_seconds(t) as updated_at from values ('old', 1), ('new', 5), ('older', 0) t(v, t)")
+    metadata.log(rows, root, "collector_checkpoint")
+    metadata.log(rows.limit(0), root, "collector_checkpoint")
+    assert [r.checkpoint_value for r in metadata.newest(spark, root, "collector_checkpoint").collect()] == ["new"]
+    with pytest.raises(ValueError, match="no column x"):
+        metadata.log(spark.sql("select 'r' as run_id, 1 as x"), root, "pipeline_run_log")
+    with pytest.raises(Exception, match="run_id is null"):
+        metadata.log(spark.sql("select 'd' as dag_id"), root, "pipeline_run_log")
+
+
+def test_writes_are_fenced(spark):
+    rows = [(1, "s", "a", 5), (2, "s", "b", 7), (3, "s", "a", 9), (4, "s", "c", 6), (5, "s", "d", 9), (6, "t", "a", 1)]
+    df = spark.createDataFrame(rows, "at int, session string, request string, token int")
+    found = {r["at"]: r.outcome for r in audits.fenced(df, "session", "request", "token", "at").collect()}
+    assert found == {1: "accepted", 2: "accepted", 3: "replayed", 4: "fenced off", 5: "accepted", 6: "accepted"}

@@ -105,7 +105,7 @@ def test_asof_forms_agree_on_ties_and_nulls(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 3), (3, "a", 1), (4, "b", 9), (5, None, 5), (6, "a", None)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 3, 1), ("a", 3, 2), ("a", 4, 3), ("b", 10, 4), (None, 1, 5), ("a", None, 6)], "k string, t int, v int")
     x = asof.asof_join(left, right, ["k"], "t", "t", ["v"]).select("id", "feature_v")
-    y = asof.asof_by_range(left, right, ["k"], "t", "t", "id", ["v"]).select("id", "feature_v")
+    y = asof.asof_by_slots(left, right, ["k"], "t", "t", lambda t: F.floor(t / 2), ["v"]).select("id", "feature_v")
     want = [(1, 3), (2, 2), (3, None), (4, None), (5, None), (6, None)]
     assert sorted(map(tuple, x.collect())) == want == sorted(map(tuple, y.collect()))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,27 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     return found.select("__left.*", "__found.*")
 
 
-def asof_by_range(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, left_id: str, tie: Sequence[str] = (), prefix: str = "feature_") -> DataFrame:
-    """The same by a range join and row_number: for checks, not for scale."""
-    named = right.select(*[F.col(f"`{c}`").alias(prefix + c) for c in right.columns])
-    on = F.col(left_ts) >= F.col(prefix + right_ts)
-    for k in keys:
-        on = on & (F.col(k) == F.col(prefix + k))
-    best = Window.partitionBy(left_id).orderBy(F.col(prefix + right_ts).desc_nulls_last(), *[F.col(prefix + t).desc() for t in tie])
-    joined = left.join(named, on, "left").withColumn("__rank", F.row_number().over(best))
-    return joined.filter("__rank = 1").drop("__rank", *[prefix + k for k in keys])
+def asof_by_slots(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, slot: Callable[[Column], Column], tie: Sequence[str] = (), prefix: str = "feature_") -> DataFrame:
+    """The same for keys of any size: rows are sorted by key and slot of time, and row_number picks the last right row of each
+    earlier slot, one row a slot, for the left rows that have none in their own. slot is not decreasing with time.
+    """
+    order = F.struct(right_ts, *tie)
+    inside = asof_join(left.withColumn("__slot", slot(F.col(left_ts))), right.withColumn("__slot", slot(F.col(right_ts))), [*keys, "__slot"], left_ts, right_ts, tie, prefix)
+    # the last right row of each key and slot, then of all slots before one that has left rows
+    newest = F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(order.desc()))
+    ends = right.filter(F.col(right_ts).isNotNull()).withColumn("__slot", slot(F.col(right_ts))).withColumn("__rank", newest).filter("__rank = 1")
+    payload = F.struct(*[F.col(f"`{c}`").alias(prefix + c) for c in right.columns if c not in keys])
+    ends = ends.select(*keys, "__slot", payload.alias("__end"))
+    asked = left.select(*keys, slot(F.col(left_ts)).alias("__slot")).distinct()
+    both = ends.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "__slot").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__k{i}" for i in range(len(keys))]
+    carried = both.withColumn("__before", F.last("__end", ignorenulls=True).over(before))
+    carried = carried.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__slot").alias("__at"), "__before")
+    on = F.col("__slot") == F.col("__at")
+    for k, n in zip(keys, names, strict=True):
+        on = on & (F.col(k) == F.col(n))
+    found = [c for c in right.columns if c not in keys]
+    joined = inside.join(carried, on, "left")
+    own = F.col(prefix + right_ts).isNotNull()
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.when(own, F.col(prefix + c)).otherwise(F.col(f"__before.{prefix}{c}")).alias(prefix + c) for c in found])

@@ -28,6 +28,16 @@ def bad_transitions(df: DataFrame, key: str, order: str, state: str, allowed: Se
     return steps.join(rules, (F.col("before") == F.col("a")) & (F.col(state) == F.col("b")), "left_anti").select(key, order, "before", state)
 
 
+def fenced(writes: DataFrame, key: str, request: str, token: str, order: str) -> DataFrame:
+    """Adds `outcome` to writes in their order: replayed if the request was made before, fenced off if a larger token was seen
+    for the key, else accepted."""
+    by_request = Window.partitionBy(key, request).orderBy(order)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = writes.withColumn("__nth", F.row_number().over(by_request)).withColumn("__top", F.max(token).over(before))
+    outcome = F.when(F.col("__nth") > 1, "replayed").when(F.col(token) < F.col("__top"), "fenced off").otherwise("accepted")
+    return seen.withColumn("outcome", outcome).drop("__nth", "__top")
+
+
 def claimable(attempts: Column, lease_until: Column, now: Column, most: int = 5) -> Column:
     """Whether an outbox entry may be claimed: attempts are left and no lease runs."""
     return (attempts < most) & (lease_until.isNull() | (lease_until <= now))

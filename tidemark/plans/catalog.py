@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, boolean, date_key, iso_weekday, surrogate_key
-from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, quality, scd2
+from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, metadata, quality, scd2
 from tidemark.sources import generator, tables
 from tidemark.sources.tables import table
 from tidemark.streaming import prices as stream
@@ -81,6 +81,28 @@ def src_decode_json(spark, d):
     return decoded.select("event_id", "k")
 
 
+@query
+def scan_prefix(spark, d):
+    """Rows of all files below a prefix, and an error for one with none."""
+    prefix = f"{_scratch(spark)}/bronze"
+    table(spark, d, "nation").repartition(3).write.partitionBy("n_regionkey").parquet(f"{prefix}/nation")
+    try:
+        tables.below_prefix(spark, f"{prefix}/nothing")
+        missing = False
+    except FileNotFoundError:
+        missing = True
+    return tables.below_prefix(spark, prefix).select("n_nationkey", "n_name", F.lit(missing).alias("empty_is_an_error"))
+
+
+@query
+def src_collect(spark, d):
+    """Companies, statements and prices as their collectors leave them: the source manifest."""
+    where = _scratch(spark)
+    given = {"companies": (tables.companies(spark, d), ["ticker"]), "statements": (tables.statements(spark, d).select("ticker", "report_period", "total_assets"), ["ticker", "report_period"]), "prices": (tables.prices(spark, d), ["ticker", "trading_date"])}
+    lines = [tables.collected(df, name, "star schema", key, f"{where}/{name}") for name, (df, key) in given.items()]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
 @query
 def src_manifest(spark, d):
     sources = [{"name": "nations", "path": f"{d}/nation.parquet", "field_map": {"n_name": "country", "n_nationkey": "country_id"}}, {"name": "off", "path": "x", "enabled": False}]
@@ -253,9 +275,9 @@ def join_asof(spark, d):
 
 
 @query
-def join_asof_range(spark, d):
+def win_asof_pick(spark, d):
     left, right = _purchases_and_views(spark, d)
-    return asof.asof_by_range(left, right, ["user_id"], "ts", "ts", "event_id", ["event_id"]).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
+    return asof.asof_by_slots(left, right, ["user_id"], "ts", "ts", F.to_date, ["event_id"]).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
 
 
 def _reference(spark: SparkSession, d: str) -> DataFrame:
@@ -1010,6 +1032,44 @@ def session_audit(spark, d):
     return bad.groupBy("before", "role").agg(F.count("*").alias("n"))
 
 
+@query
+def session_fencing(spark, d):
+    """Writes to sessions: repeated requests are replays, and a holder whose token was overtaken is fenced off."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("session"), (F.col("event_id") % 700).alias("request"), ((F.col("event_id") * 7919) % 1000 + F.col("event_id") / 5).cast("int").alias("token"))
+    return audits.fenced(e, "session", "request", "token", "event_id").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def access_rules(spark, d):
+    """Requests of roles at levels of assurance against rules."""
+    o = table(spark, d, "orders").select(F.get(F.array(*map(F.lit, ("analyst", "admin", "guest"))), (F.col("o_orderkey") % 3).cast("int")).alias("role"), F.when(F.col("o_orderkey") % 2 == 0, "read").otherwise("publish").alias("action"), (F.col("o_orderkey") % 4).cast("int").alias("level"))
+    return metadata.permitted(o, [("analyst", "read", 1), ("admin", "read", 1), ("admin", "publish", 2)]).groupBy("role", "action", "permitted").agg(F.count("*").alias("n"))
+
+
+@query
+def row_policies(spark, d):
+    """What roles see of the customers: their own segment, all, or nothing."""
+    c = table(spark, d, "customer")
+    policies = {"auditor": None, "building": F.col("c_mktsegment") == "BUILDING", "solvent": F.col("c_acctbal") > 0}
+    counts = [metadata.visible(c, role, policies).agg(F.lit(role).alias("role"), F.count("*").alias("n")) for role in (*policies, "stranger")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query
+def sink_metadata(spark, d):
+    """Rows logged to the eight metadata tables, some twice; the newest of each key counts."""
+    root = _scratch(spark)
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    for k, (name, t) in enumerate(metadata.TABLES.items()):
+        keys = {c: F.concat(F.lit(f"{c}-"), (F.col("o_orderkey") % (k + 2)).cast("string")) for c in t.keys}
+        metadata.log(o.select(*[c.alias(n) for n, c in keys.items()], F.col("at").alias(t.newest)), root, name)
+    counts = [metadata.newest(spark, root, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n"), F.max(F.unix_timestamp(t.newest)).alias("last")) for n, t in metadata.TABLES.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 @query
 def outbox_claim(spark, d):
     o = table(spark, d, "orders").withColumn("lease", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")))

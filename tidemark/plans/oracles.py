@@ -244,7 +244,7 @@ ORACLES: dict[str, str] = {
     "join_exists": "select o_orderkey, o_totalprice from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity >= 49)",
     "join_left_anti": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
     "join_asof": ASOF,
-    "join_asof_range": ASOF,
+    "win_asof_pick": ASOF,
     "join_asof_ref_ts": f"with {PRICES}, {REFERENCE} select event_id, r.ticker, reference_ts, trading_date::timestamp as feature_price_ts, close_price as feature_close_price, volume as feature_volume from reference r asof left join price_facts p on r.ticker = p.ticker and r.reference_ts >= p.trading_date::timestamp",
     "agg_sector_baseline": REPORT,
     "agg_two_level_salted": REPORT,
@@ -360,6 +360,21 @@ from walked w join lined l on w.consumer = l.consumer and w.place = l.place grou
     "join_label_pit": f"""with {SNAPSHOTS}, features as (select seq as feature_id, ticker, created_ts + interval 10 days as event_timestamp from snapshots where seq % 3 = 0),
 known as (select ticker, created_ts, status, seq from snapshots qualify row_number() over (partition by ticker, created_ts order by seq desc) = 1)
 select feature_id, k.status as label_status, k.seq as label_seq from features f asof left join known k on f.ticker = k.ticker and f.event_timestamp >= k.created_ts""",
+    "scan_prefix": "select n_nationkey, n_name, true as empty_is_an_error from nation",
+    "src_collect": f"""with {COMPANIES}, {STATEMENTS}, {PRICES}, ids as (
+  select 'companies' as d, 'companies|' || ticker as k from companies union all select 'statements', 'statements|' || ticker || '|' || report_period from statements
+  union all select 'prices', 'prices|' || ticker || '|' || trading_date::varchar from prices)
+select d as dataset_name, 'star schema' as source_system, count(*) as row_count, count(distinct k) as keys, min(k) as first_key, max(k) as last_key from ids group by d""",
+    "session_fencing": """with e as (select event_id, user_id % 50 as session, event_id % 700 as request, trunc((event_id * 7919) % 1000 + event_id / 5)::int as token from events),
+seen as (select *, row_number() over (partition by session, request order by event_id) as nth, max(token) over (partition by session order by event_id rows between unbounded preceding and 1 preceding) as top from e)
+select case when nth > 1 then 'replayed' when token < top then 'fenced off' else 'accepted' end as outcome, count(*) as n from seen group by 1""",
+    "access_rules": """with r as (select case o_orderkey % 3 when 0 then 'analyst' when 1 then 'admin' else 'guest' end as role, case when o_orderkey % 2 = 0 then 'read' else 'publish' end as action, o_orderkey % 4 as level from orders)
+select role, action, (role in ('analyst', 'admin') and action = 'read' and level >= 1) or (role = 'admin' and action = 'publish' and level >= 2) as permitted, count(*) as n from r group by all""",
+    "row_policies": "select 'auditor' as role, count(*) as n from customer union all select 'building', count(*) from customer where c_mktsegment = 'BUILDING' union all select 'solvent', count(*) from customer where c_acctbal > 0 union all select 'stranger', 0",
+    "sink_metadata": " union all ".join(
+        f"select '{n}' as table_name, count(*) as n, max(last) as last from (select o_orderkey % {k} as key, max(floor(epoch(o_orderdate)))::bigint as last from orders group by 1)"
+        for k, n in enumerate("pipeline_run_log data_quality_result dataset_freshness schema_version_registry failed_records backfill_request source_request_log collector_checkpoint".split(), 2)
+    ),
     "scan_cached": "select o_orderstatus as value, count(*) as n from orders group by 1 union all select o_orderpriority, count(*) from orders group by 1",
     "gen_offline": f"""with companies as (
   select i, 'G' || lpad(i::varchar, 7, '0') as ticker, case when i < 7000 then 'HOSE' when i % 2 = 0 then 'HNX' else 'UPCOM' end as exchange, i < 6000 as hot, i % 1000 as entity from range(10000) t(i)),

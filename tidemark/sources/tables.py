@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.layout import Store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,24 @@ def decode_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("__json", F.from_json(F.col(column).cast("string"), schema)).select(*df.columns, "__json.*")
 
 
+def below_prefix(spark: SparkSession, prefix: str) -> DataFrame:
+    """All rows of the Parquet files below a prefix, found by listing it; an error if there are none."""
+    names = [n for n, _ in Store(spark, prefix).files(prefix) if n.endswith(".parquet")]
+    if not names:
+        raise FileNotFoundError(f"no Parquet files below {prefix}")
+    return spark.read.parquet(*[f"{prefix.rstrip('/')}/{n}" for n in names])
+
+
+def collected(rows: DataFrame, dataset: str, source_system: str, key: Sequence[str], path: str) -> DataFrame:
+    """Write what a source gave, with where it comes from and a hash of each row, and return its line of the source manifest:
+    (dataset_name, source_system, row_count, keys, first_key, last_key)."""
+    names = rows.columns
+    kept = rows.withColumns({"source_system": F.lit(source_system), "source_record_id": F.concat_ws("|", F.lit(dataset), *[F.col(k).cast("string") for k in key]), "payload_hash": F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)})
+    kept.write.mode("overwrite").parquet(path)
+    back = rows.sparkSession.read.parquet(path)
+    return back.agg(F.lit(dataset).alias("dataset_name"), F.lit(source_system).alias("source_system"), F.count("*").alias("row_count"), F.countDistinct("source_record_id").alias("keys"), F.min("source_record_id").alias("first_key"), F.max("source_record_id").alias("last_key"))
+
+
 def manifest(spark: SparkSession, sources: Sequence[dict], name: str) -> DataFrame | None:
     """The table of a declared source, its columns renamed by field_map; None if it is missing or disabled."""
     for s in sources:
