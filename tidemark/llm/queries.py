@@ -14,28 +14,34 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores. Null text is empty: its end token only; a null id is the empty text to the folds; equal rows count twice; no rows give none."""
     return lm.score(_read(spark, sf_dir, "documents"))
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document repeats of smaller ids, in bytes. Null text is empty; null ids are the largest; rows of one id do not repeat each other; no rows give none."""
     return suffix.report(_read(spark, sf_dir, "documents"), length=50)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components. Null and empty texts have fingerprint zero; a null id never names a component; equal rows share all; no rows give none."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_editfp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and their edits, and classes by bands. Null text is empty; null ids are the smallest; equal ids go by text; one document is its own next; no rows give none."""
     return editfp.with_edits(_read(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and taken words. A null source is a source, the last; null text has size 0 and is never taken; equal rows share their fate; no rows give none."""
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "epochs", "copies")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts. Null text is empty and rejected, as it has no words; rows are judged one by one; no rows give none."""
     judged = quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = quality.compiled(quality.BASE_RULES)
@@ -49,6 +55,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licence notices. Null text has no words and no labels; rows are scanned one by one; no rows give none."""
     scanned = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     at = F.col("licenses.places.at")
     base = F.array_sort(F.array_distinct(F.col("licenses.places.label")))
@@ -68,10 +75,12 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of ids read back from shard files. Null text is its end id only; null ids come first, ties go by text; no rows give none."""
     return tokenbin.written(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and of what they decode to. Null text is empty: no ids, empty text; rows are encoded one by one; no rows give none."""
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -85,6 +94,7 @@ URL_RULES = (
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, rules and verdicts. A null url, or one without ://, has an empty host and is allowed; null html has no links; rows are judged one by one; no rows give none."""
     return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
@@ -100,4 +110,4 @@ def _host(n):
     return F.concat(F.lit("h"), n.cast("string"), F.when(n < 5, ".net").when(n < 10, ".org").otherwise(".com"))
 
 
-QUERIES = {"urls_linked": urls_linked, "op1_lm": op1_lm, "op2_suffix": op2_suffix, "op4_editfp": op4_editfp, "op7_licenses": op7_licenses, "op10_urls": op10_urls, "op8_tokenbin": op8_tokenbin, "op9_bpe": op9_bpe, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked)}

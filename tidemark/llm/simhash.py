@@ -184,7 +184,7 @@ def word_prints(text: str | None, width: int = 5) -> tuple[int, list[int], bytes
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(low), 1 << 11):
         np.minimum(least, (low[k : k + (1 << 11)] * by).min(axis=1), out=least)
-    keys = (least.astype(np.uint64) * odd).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+    keys = (least.astype(np.uint64) * odd).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)  # the band is in them: its factors are its own
     shingles = np.unique(h & np.uint64((1 << 8 * KEPT) - 1))
     return name, keys.view(np.int64).tolist(), shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
 
@@ -237,7 +237,9 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     or in many, they meet in no band with (1 - s ** ROWS) ** BANDS. Texts that bands connect are brought together, and
     every pair of them is verified by the shingles themselves, up to equal hashes of KEPT bytes. Copies up to case and
     white space are one node. Of more than `bucket` connected nodes, or AT_ONCE bytes, those of each band key are, cut
-    into blocks where a key has as many; each pair of blocks is verified on its own, so no link is lost.
+    into blocks where a key has as many. There each block is verified by itself with the key's first node, which a group
+    of near copies is settled by; only keys whose nodes are then still apart have each pair of blocks verified, so no
+    link is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,23 +262,31 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     docs = cut(rows.mapInArrow(run, f"doc_id {kind}, exact long, node long, keys array<long>, shingles binary"))
     shingles = docs.groupBy("node").agg(F.first("shingles").alias("shingles"))
     keyed = docs.groupBy("node").agg(F.first("keys").alias("keys"), F.first(F.octet_length("shingles")).alias("size"))
-    dealt = keyed.select("node", "size", F.posexplode("keys").alias("t", "key"))
-    shared = dealt.groupBy("t", "key").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
-    members = cut(dealt.join(shared, ["t", "key"]).select("t", "key", "node", "size", "first", "n", "bytes"))
+    dealt = keyed.select("node", "size", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    members = cut(dealt.join(shared, "key").select("key", "node", "size", "first", "n", "bytes"))
     met = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
     sizes = members.select("node", "size").distinct()
     met = met.join(sizes, "node")
     many = cut(met.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("size").alias("all")).filter((F.col("nodes") > bucket) | (F.col("all") > AT_ONCE)).select("root"))
     edges = verified(met.join(many, "root", "left_anti").select("node", "root"), ["root"])
     if not many.isEmpty():
-        half = max(bucket // 2, 1)
-        blocks = F.greatest(F.ceil(F.col("n") / half), F.ceil(F.col("bytes") / (AT_ONCE // 2))).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-        one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-        crowd = members.join(met.join(many, "root", "left_semi").select("node"), "node", "left_semi")
+        crowd = cut(members.join(met.join(many, "root", "left_semi").select("node"), "node", "left_semi"))
         whole = (F.col("n") <= bucket) & (F.col("bytes") <= AT_ONCE)
-        edges = edges.unionByName(verified(crowd.select("t", "key", "node", F.explode(F.when(whole, one).otherwise(pairs)).alias("pair")), ["t", "key", "pair"]))
+        blocks = F.when(whole, 1).otherwise(F.greatest(F.ceil(F.col("n") / max(bucket // 2, 1)), F.ceil(F.col("bytes") / (AT_ONCE // 2)))).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        # first each block by itself, with the key's first node in every block: work in proportion to the nodes
+        with_first = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+        inside = cut(verified(crowd.select("key", "node", F.explode(with_first).alias("block")), ["key", "block"]))
+        # then pairs of blocks, for the keys whose nodes are still in several components
+        found = cut(connected_components(inside)).select(F.col("node").alias("met"), F.col("root"))
+        placed = crowd.filter(~whole).join(found, F.col("node") == F.col("met"), "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = cut(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"))
+        edges = edges.unionByName(inside)
+        if not open_.isEmpty():
+            pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+            left = crowd.join(open_, "key", "left_semi").select("key", "node", F.explode(pairs).alias("pair"))
+            edges = edges.unionByName(verified(left, ["key", "pair"]))
     components = connected_components(edges)
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "exact"))
     known = cut(docs.groupBy("node").agg(F.min(own).alias("least"), F.count("*").alias("n")))
