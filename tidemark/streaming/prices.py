@@ -59,7 +59,9 @@ def bronze(batch: DataFrame, path: str, number: int = 0, ts: str = "ts") -> None
         store.fs.delete(left.getPath(), True)
     dated = batch.withColumns({"event_date": F.to_date(ts), "event_hour": F.hour(ts), "batch_id": F.lit(number)})
     by = ["topic", "event_date", "event_hour", "batch_id"]
-    dated.repartition(*by[:3]).write.mode("append").partitionBy(*by).parquet(path)
+    # a number of its own, so that small batches are not made one task: a file costs more than its rows
+    tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated.repartition(tasks, *by[:3]).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def bronze_stream(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> int:
