@@ -20,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD
+from tidemark.llm.shared import WORD, cut
+
+#: Documents for which there is a hash range in each source, beyond the first 1024.
+PER_RANGE = 100_000
 
 
 def water_fill(sizes: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
@@ -56,12 +59,17 @@ def mix(
     max_epochs: float = 2.0,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     seed: int = 42,
-    ranges: int = 1024,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, epochs, copies (how often the mix takes it), place (its hash). No text is shuffled."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    """One row a document: doc_id, source, size, source_size, target, epochs, copies (how often the mix takes it), place (its hash).
+
+    Texts are read once: sizes and places are a checkpoint, and no text is shuffled. The number of ranges grows with the table.
+    """
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
     place = _place(seed, id, text)
-    sized = df.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), place.alias("place"), F.pmod(place, F.lit(ranges)).alias("range"))
+    sized = cut(df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), place.alias("place")))
+    ranges = ranges or max(1024, sized.count() // PER_RANGE)
+    sized = sized.withColumn("range", F.pmod("place", F.lit(ranges)))
     slots = sized.groupBy("source", "range").agg(F.sum("size").alias("slot_size"))
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     targets = water_fill(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), share, max_epochs, weights)
@@ -98,12 +106,12 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _place(seed: int, id: str, text: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id), F.col(text))
+    return F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{text}`"))
 
 
 def repeated(df: DataFrame, *, id: str = "doc_id", text: str = "text", seed: int = 42, **options) -> DataFrame:
     """The mix itself: each document as often as mix() says, with df's own columns."""
     taken = mix(df, id=id, text=text, seed=seed, **options).filter("copies > 0").select("doc_id", "place", "copies").distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id).alias("doc_id"), _place(seed, id, text).alias("place"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id}`").alias("doc_id"), _place(seed, id, text).alias("place"))
     joined = _same(rows, taken, ["doc_id", "place"])
     return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy")).select("row.*")
