@@ -111,4 +111,18 @@ select page_id, l.host, case when h.bad then 'net/' when h.good then 'org/fr/' e
 from linked l join hosts h on l.host = h.host left join trust_{rounds} t on l.host = t.host left join distrust_{rounds} d on l.host = d.host"""
 
 
-ORACLES: dict[str, str] = {"urls_linked": urls_sql(), "op6_quality": quality_sql(), "op7_licenses": licenses_sql()}
+def fim_sql() -> str:
+    """Cut by substring, and restored by the places of the cuts."""
+    return """
+with hashed as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (select doc_id, t, length(t) as n, [('0x' || substr(h, 8 * k + 1, 8))::bigint for k in [0, 1, 2, 3]] as d from hashed),
+placed as (select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+  if(n = 0 or regexp_matches(t, '<[PSM]>') or d[3] % 100 >= 90, 'plain', if(d[4] % 100 < 20, 'spm', 'psm')) as form from drawn),
+parts as (select *, substring(t, 1, a) as p, substring(t, a + 1, b - a) as m, substring(t, b + 1) as s from placed)
+select doc_id, n, form, if(form = 'plain', null, a) as prefix_chars, if(form = 'plain', null, b - a) as middle_chars,
+  sha256(if(form = 'plain', t, if(form = 'psm', '<P>' || p || '<S>' || s || '<M>' || m, '<S>' || s || '<P>' || p || '<M>' || m))) as output_sha256,
+  sha256(t) as restored_sha256
+from parts"""
+
+
+ORACLES: dict[str, str] = {"op13_fim": fim_sql(), "urls_linked": urls_sql(), "op6_quality": quality_sql(), "op7_licenses": licenses_sql()}

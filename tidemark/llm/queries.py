@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, editfp, licenses, lm, mixing, quality, simhash, suffix, tokenbin, urls
+from tidemark.llm import bpe, editfp, fim, licenses, lm, mixing, quality, simhash, suffix, tokenbin, urls
+from tidemark.llm.shared import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,4 +111,11 @@ def _host(n):
     return F.concat(F.lit("h"), n.cast("string"), F.when(n < 5, ".net").when(n < 10, ".org").otherwise(".com"))
 
 
-QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked)}
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the outputs and of the texts restored from them. Null text is empty and plain; a null id draws as an empty one; equal rows give equal rows; no rows give none."""
+    made = fim.transform(_read(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return cut(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests))
+
+
+QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked, op13_fim)}
