@@ -111,6 +111,19 @@ select page_id, l.host, case when h.bad then 'net/' when h.good then 'org/fr/' e
 from linked l join hosts h on l.host = h.host left join trust_{rounds} t on l.host = t.host left join distrust_{rounds} d on l.host = d.host"""
 
 
+def lines_sql() -> str:
+    key = f"{lower(f"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')")}"
+    return f"""
+with docs as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+numbered as (select row, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from docs),
+keyed as (select row, doc_id, i, line, {key} as key from numbered),
+counted as (select key, max(doc_id) as top from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+marked as (select row, k.doc_id, i, line, top is not null and k.doc_id <> top as gone from keyed k left join counted c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from marked group by row, doc_id"""
+
+
 def fim_sql() -> str:
     """Cut by substring, and restored by the places of the cuts."""
     return """
@@ -125,4 +138,4 @@ select doc_id, n, form, if(form = 'plain', null, a) as prefix_chars, if(form = '
 from parts"""
 
 
-ORACLES: dict[str, str] = {"op13_fim": fim_sql(), "urls_linked": urls_sql(), "op6_quality": quality_sql(), "op7_licenses": licenses_sql()}
+ORACLES: dict[str, str] = {"op11_lines": lines_sql(), "op13_fim": fim_sql(), "urls_linked": urls_sql(), "op6_quality": quality_sql(), "op7_licenses": licenses_sql()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, editfp, fim, licenses, lm, mixing, quality, simhash, suffix, tokenbin, urls
+from tidemark.llm import bpe, editfp, fim, licenses, linededup, lm, mixing, quality, simhash, suffix, tokenbin, urls
 from tidemark.llm.shared import cut
 
 
@@ -111,6 +111,12 @@ def _host(n):
     return F.concat(F.lit("h"), n.cast("string"), F.when(n < 5, ".net").when(n < 10, ".org").otherwise(".com"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses of lines that three or more have. Null text is one empty line; null ids are one document, the smallest; rows of one id lose the same; no rows give none."""
+    kept = linededup.drop_lines(_read(spark, sf_dir, "documents"), least=20, documents=3)
+    return cut(kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the outputs and of the texts restored from them. Null text is empty and plain; a null id draws as an empty one; equal rows give equal rows; no rows give none."""
     made = fim.transform(_read(spark, sf_dir, "documents"))
@@ -118,4 +124,4 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests))
 
 
-QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked, op13_fim)}
+QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked, op11_lines, op13_fim)}

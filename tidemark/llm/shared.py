@@ -57,16 +57,16 @@ def discard(df: DataFrame) -> None:
 
 
 class Table:
-    """A DataFrame written once as Parquet in the shared folder; drop() deletes the files."""
+    """A DataFrame written once as Parquet in the shared folder, in folders by some columns if need be; drop() deletes the files."""
 
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
-        self.spark = df.sparkSession
+    def __init__(self, df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None):
+        self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         with small_batches(self.spark):
-            df.write.option("compression", codec).parquet(self.path)
+            df.write.option("compression", codec).partitionBy(by or []).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
