@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, editfp, fim, licenses, linededup, lm, mixing, quality, simhash, suffix, tokenbin, urls
+from tidemark.llm import bpe, editfp, fim, licenses, linededup, lm, mixing, quality, simhash, spelling, suffix, tokenbin, urls
 from tidemark.llm.shared import cut
 
 
@@ -117,6 +117,12 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their near words and forms, one run in 97 with a planted typo. Null text has no words; a null id counts as an empty one; equal rows count twice; no rows give none."""
+    found = spelling.variants(_read(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, typos=97)
+    return found.select("word", "n", "form", "form_n", "n_near", "root")
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the outputs and of the texts restored from them. Null text is empty and plain; a null id draws as an empty one; equal rows give equal rows; no rows give none."""
     made = fim.transform(_read(spark, sf_dir, "documents"))
@@ -124,4 +130,4 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests))
 
 
-QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked, op11_lines, op13_fim)}
+QUERIES = {q.__name__: q for q in (op1_lm, op2_suffix, op3_simhash, op4_editfp, op5_mixing, op6_quality, op7_licenses, op8_tokenbin, op9_bpe, op10_urls, urls_linked, op11_lines, op12_spelling, op13_fim)}
