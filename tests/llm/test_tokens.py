@@ -99,3 +99,24 @@ def test_wavelet_matrix_answers():
         shard.locate(65_000, 0)
     with pytest.raises(ValueError):
         tokenbin.Shard(b"WAVELET1 cut off")
+
+
+def test_the_piece_table_grows():
+    table = tokenbin.PieceTable(bits=4)
+    keys = np.arange(1, 5000, dtype=np.uint64)
+    for part in np.array_split(keys, 7):
+        table.add(part, part * np.uint64(3), [int(k).to_bytes(4, "little") * int(k % 3) for k in part])
+    value = table.find(keys, keys * np.uint64(3))
+    assert value.tolist() == list(range(len(keys))) and table.bits == 14
+    assert table.find(keys[:5], keys[:5]).tolist() == [-1] * 5
+    own = [table.flat[table.at[v] : table.at[v + 1]].tolist() for v in value]
+    assert own == [[int(k)] * int(k % 3) for k in keys]
+
+
+def test_more_pieces_than_slots(monkeypatch):
+    whole = tokenbin.PieceTable
+    monkeypatch.setattr(tokenbin, "PieceTable", lambda: whole(bits=6))
+    own, library = tokenbin.PieceEncoder(BYTES), Tokenizer.from_file(BYTES)
+    text = " ".join(f"{k * 7919 % 100003}" for k in range(3000))
+    (ids,) = own.encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

@@ -82,21 +82,25 @@ class PieceTable:
     def __len__(self) -> int:
         return len(self.at) - 1
 
-    def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes 1 to 8, bytes 9 to 16, and slot. `words` are the 8 bytes from 8 places before each place on."""
+    def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes 1 to 8 and bytes 9 to 16. `words` are the 8 bytes from 8 places before each place on."""
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         spare = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
         first = words[start + 8] & (full >> spare)
         over = np.maximum(size, 8).astype(np.uint64) - np.uint64(8)
         last = np.where(over > 0, words[start + 16] & (full >> (np.uint64(8) * np.minimum(np.uint64(8) - over, np.uint64(7)))), np.uint64(0))
+        return first, last
+
+    def slots(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where to begin to look for each key."""
         mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        return first, last, (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, first: np.ndarray, last: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    def find(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The value of each key, -1 if it is not there."""
-        out = np.full(len(slot), -1, np.int32)
-        todo, place, mask = np.arange(len(slot)), slot, (1 << self.bits) - 1
+        out = np.full(len(first), -1, np.int32)
+        todo, place, mask = np.arange(len(first)), self.slots(first, last), (1 << self.bits) - 1
         while len(todo):
             value = self.value[place]
             hit = (value >= 0) & (self.first[place] == first[todo]) & (self.last[place] == last[todo])
@@ -105,20 +109,30 @@ class PieceTable:
             todo, place = todo[on], (place[on] + 1) & mask
         return out
 
-    def add(self, first: np.ndarray, last: np.ndarray, slot: np.ndarray, ids: list[bytes]) -> None:
-        """Distinct keys that are not there, with their ids."""
+    def add(self, first: np.ndarray, last: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct keys that are not there, with their ids. The table doubles before more than half of its slots are in use."""
         base = len(self)
+        while 2 * (base + len(ids)) > 1 << self.bits:
+            held = self.value >= 0
+            first_, last_, value = self.first[held], self.last[held], self.value[held]
+            self.bits += 1
+            self.first, self.last, self.value = (np.concatenate([x, x]) for x in (self.first, self.last, self.value))
+            self.value[:] = -1
+            self._place(first_, last_, value)
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         used, more = int(self.at[-1]), int(sizes.sum())
         while used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[used : used + more] = np.frombuffer(b"".join(ids), "<u4")
         self.at = np.concatenate([self.at, used + np.cumsum(sizes)])
-        todo, place, mask = np.arange(len(slot)), slot.copy(), (1 << self.bits) - 1
+        self._place(first, last, base + np.arange(len(ids)))
+
+    def _place(self, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> None:
+        todo, place, mask = np.arange(len(first)), self.slots(first, last), (1 << self.bits) - 1
         while len(todo):
             free = self.value[place] < 0
-            self.value[place[free]] = base + todo[free]
-            own = free & (self.value[place] == base + todo)
+            self.value[place[free]] = value[todo[free]]
+            own = free & (self.value[place] == value[todo])
             self.first[place[own]], self.last[place[own]] = first[todo[own]], last[todo[own]]
             todo, place = todo[~own], (place[~own] + 1) & mask
 
@@ -220,8 +234,8 @@ class PieceEncoder:
             table = self.table = PieceTable()
         padded = b"\0" * 8 + joined + b"\0" * 16
         words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-        first, last, slot = table.keys(words, start, np.minimum(size, 16))
-        value = table.find(first, last, slot)
+        first, last = table.keys(words, start, np.minimum(size, 16))
+        value = table.find(first, last)
         long = np.flatnonzero(size > 16)
         value[long] = 0
         missing = np.flatnonzero((value < 0) & (size <= 16))
@@ -229,8 +243,8 @@ class PieceEncoder:
             where = missing[_distinct(first[missing], last[missing])]
             names = [joined[a : a + m].decode() for a, m in zip(start[where].tolist(), size[where].tolist(), strict=True)]
             learned = self.learned(names)
-            table.add(first[where], last[where], slot[where], [learned[x] for x in names])
-            value[missing] = table.find(first[missing], last[missing], slot[missing])
+            table.add(first[where], last[where], [learned[x] for x in names])
+            value[missing] = table.find(first[missing], last[missing])
         count = table.at[value + 1] - table.at[value] if len(table) else np.zeros(len(value), np.int64)
         own: list[bytes] = []
         if len(long):
