@@ -85,3 +85,14 @@ def test_repeated_rows_are_the_copies(docs):
 def test_projection_stays_native(docs):
     plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Exchange hash", plan)
+
+
+def test_a_text_of_two_sources_is_repeated_by_each(spark):
+    rows = [(None, "one two three four", s) for s in ("a", "b", None) for _ in range(9)] + [(1, "five words stand in here", s) for s in ("a", "b")]
+    rows += [(k, " ".join(["w"] * (k % 7)), "b") for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, found = Counter(), Counter((r.doc_id, r.text, r.source) for r in mixing.repeated(df).collect())
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r["size"], r.source] += r.copies
+    assert {k: v for k, v in want.items() if v} == {(d, len(t.split()), s): n for (d, t, s), n in found.items()}
+    assert len({n for (d, _, s), n in found.items() if d is None}) > 1

@@ -109,9 +109,10 @@ def _place(seed: int, id: str, text: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{text}`"))
 
 
-def repeated(df: DataFrame, *, id: str = "doc_id", text: str = "text", seed: int = 42, **options) -> DataFrame:
-    """The mix itself: each document as often as mix() says, with df's own columns."""
-    taken = mix(df, id=id, text=text, seed=seed, **options).filter("copies > 0").select("doc_id", "place", "copies").distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id}`").alias("doc_id"), _place(seed, id, text).alias("place"))
-    joined = _same(rows, taken, ["doc_id", "place"])
+def repeated(df: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, **options) -> DataFrame:
+    """The mix itself: each document as often as mix() says, with df's own columns. A text that is in two sources under one id, or
+    under none, is taken from each as often as that source takes it."""
+    taken = mix(df, id=id, source=source, text=text, seed=seed, **options).filter("copies > 0").select("doc_id", "source", "place", "copies").distinct()
+    own = [F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), _place(seed, id, text).alias("place")]
+    joined = _same(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *own), taken, ["doc_id", "source", "place"])
     return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy")).select("row.*")
