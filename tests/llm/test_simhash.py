@@ -67,9 +67,9 @@ def test_large_buckets_lose_no_link(spark, bucket):
     assert {n: found.get(n, n) for n in of} == of
 
 
-@pytest.mark.parametrize("few", [0, 60, 1 << 18])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(graph, "FEW", few)
+@pytest.mark.parametrize("held", [0, 7, 1 << 18])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
     draw = random.Random(3)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(7, 7), (None, 3)]
     of = classes(range(60), lambda a, b: (a, b) in edges or (b, a) in edges)
@@ -115,9 +115,9 @@ def test_one_each_tells_rows_apart_by_text(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (5, b), (7, c), (7, d), (0, a)])
 
 
-@pytest.mark.parametrize("few", [0, 1 << 18])
-def test_hub_of_a_star(spark, monkeypatch, few):
-    monkeypatch.setattr(graph, "FEW", few)
+@pytest.mark.parametrize("held", [0, 1 << 18])
+def test_hub_of_a_star(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
     monkeypatch.setattr("tidemark.llm.shared.HOT", 20)
     edges = spark.createDataFrame([(0 if k % 2 else 500, k) for k in range(1, 400)] + [(7, 500)], "a long, b long")
     found = {r.node: r.root for r in graph.connected_components(edges).collect()}

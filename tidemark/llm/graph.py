@@ -1,4 +1,4 @@
-"""Connected components over edges, in Spark: alternating large-star and small-star steps, the last of them in one task."""
+"""Connected components over edges: each task contracts its own, and alternating large-star and small-star steps join what is left."""
 
 from __future__ import annotations
 
@@ -17,12 +17,13 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-#: So many edges or fewer are contracted by one task, whose memory they bound.
-FEW = 1 << 18
+#: Nodes that a task holds while it contracts edges.
+HELD = 1 << 18
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """(node, root) of at most FEW edges, by union-find; the smaller of two roots stays the root."""
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, that connect what the given ones do: each task finds components among its own by union-find and
+    keeps a star for each, from HELD nodes on in several portions. The smaller of two roots stays the root."""
     kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,17 +36,24 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
+        def stars() -> pa.RecordBatch:
+            nodes = [n for n in list(parent) if find(n) != n]
+            roots = [parent[n] for n in nodes]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array(roots, arrow)], ["a", "b"])
+
         for batch in batches:
             arrow = batch.column(0).type
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
+            if len(parent) > HELD:
+                yield stars()
         if parent:
-            nodes = list(parent)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([find(n) for n in nodes], arrow)], ["node", "root"])
+            yield stars()
 
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+    return edges.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -53,14 +61,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step links nodes to the smallest node they know of, so an edge list never grows beyond its first
     number of edges, whatever the degree of a node; the edges of a hub are spread over all tasks. Nodes without an edge to another node do not appear. Loops,
-    repeated edges and null ends are ignored. Every step's edges are checkpointed; once there are FEW, one task ends it.
+    repeated edges and null ends are ignored. Every step's edges are checkpointed.
     """
     edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = cut(edges.distinct())
+    edges = cut(_contracted(edges))
     before = _sum(edges)
     while before[0]:
-        if before[0] <= FEW:
-            return cut(_in_one_task(edges))
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("on"), F.least("a", "m").alias("m"), "n")
@@ -69,7 +75,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("on"), "m", "n")
         small = spread_join(large, least.select("on", "m"), "a", least, before[0]).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select(F.col("on").alias("a"), F.col("m").alias("b"))).distinct())
+        now = cut(_contracted(small.unionByName(least.select(F.col("on").alias("a"), F.col("m").alias("b"))).distinct()))
         after = _sum(now)
         discard(edges)
         discard(large)
