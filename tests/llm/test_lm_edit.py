@@ -194,3 +194,53 @@ def test_classes_have_recall(spark, bucket):
         parent[max(x, y)] = min(x, y)
     for i in range(len(texts)):  # nothing is connected that no chain of links connects
         assert find(of[prints[i]]) == find(i)
+
+
+def test_a_hot_band_costs_rows_in_proportion(spark, monkeypatch):
+    """Fingerprints of which most agree in most slots, near ones among them: no link is lost, and pairs of blocks are not needed."""
+    draw = np.random.Generator(np.random.PCG64(3))
+    head = draw.integers(1, 256, 45, dtype=np.uint8)
+    rows, near = [], []
+    for k in range(3000):
+        own = np.concatenate([head, draw.integers(1, 256, 19, dtype=np.uint8)])
+        rows.append(own)
+        if k % 10 == 0:  # a copy with twelve other slots is near, one with thirteen is not
+            for changed in (12, 13):
+                copy = own.copy()
+                at = draw.choice(64, changed, replace=False)
+                copy[at] = copy[at] % 255 + 1
+                near.append((len(rows) - 1, len(rows))) if changed == 12 else None
+                rows.append(copy)
+    prints = np.stack(rows)
+    df = spark.createDataFrame([(k, bytes(p)) for k, p in enumerate(prints)], "doc_id long, print binary").repartition(6)
+    dealt = []
+    whole = editfp.spread_join
+    monkeypatch.setattr(editfp, "spread_join", lambda left, *a, **k: (dealt.append(left.count()) if "key" in left.columns else None, whole(left, *a, **k))[1])
+    of = {bytes(r["print"]): r.class_id for r in editfp.class_ids(df, bucket=256).collect()}
+    assert all(of[bytes(prints[i])] == of[bytes(prints[j])] for i, j in near)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero((prints[:i] == prints[i]).sum(axis=1) >= 52).tolist():
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    assert [of[bytes(p)] for p in prints] == [find(k) for k in range(len(rows))]
+    assert len(dealt) > 1 and dealt[1] <= 13 * 13 * len(rows)
+
+
+def test_a_hot_key_of_copies_is_one_class(spark):
+    draw = np.random.Generator(np.random.PCG64(4))
+    base = draw.integers(1, 256, 64, dtype=np.uint8)
+    prints = set()
+    for _ in range(500):
+        p = base.copy()
+        at = draw.choice(12, 3)  # within the same twelve slots
+        p[at] = draw.integers(1, 256, 3)
+        prints.add(bytes(p))
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(sorted(prints))], "doc_id long, print binary").repartition(4)
+    assert {r.class_id for r in editfp.class_ids(df, bucket=20).collect()} == {0}

@@ -12,9 +12,9 @@ that every place of it is as likely. The whole text is walked. Two hexadecimal d
 The share of equal slots estimates the share of places at which the embeddings agree.
 
 Near duplicates come from bands of sampled slots: fingerprints that agree in all slots of a band are candidates, and
-candidates are verified by all slots. Equal fingerprints are one node, a band's links leave a task as stars, and a
-band key of more than `bucket` nodes is cut into blocks, each pair of which is verified by itself; so no link between
-candidates is lost, and no task holds a hot key.
+candidates are verified by all slots. There are as many bands as it takes for every linked pair to agree in one. Equal
+fingerprints are one node, a band's links leave a task as stars, and a band key of more than `bucket` nodes is cut into
+blocks and, where these stay apart, dealt out anew by the slots that vary below it; no link is lost, and no task holds a hot key.
 
 Texts of a batch are walked together, a step a character, the longest ones each by itself. The random bits repeat
 after PERIOD steps. Null text counts as empty. Texts of any length are walked whole. Repeated rows get equal
@@ -155,10 +155,6 @@ def chunks(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(k, rows)
 
 
-def band_key(print: Column, band: int, slots: list[int]) -> Column:
-    return F.xxhash64(F.lit(band), *[F.substring(print, s + 1, 1) for s in slots])
-
-
 def print_stars(nodes: list[int], prints: list[bytes], least: float) -> list[tuple[int, int]]:
     """(member, smallest member) for the components of fingerprints that agree in a share of at least `least`."""
     order = np.argsort(np.array(nodes, np.int64))
@@ -177,11 +173,31 @@ def print_stars(nodes: list[int], prints: list[bytes], least: float) -> list[tup
     return stars
 
 
-def classes(nodes: DataFrame, bands: int = 10, rows: int = 3, least: float = 0.8, bucket: int = 4096, seed: int = 5) -> DataFrame:
+def _sampled(parent: Column, slots: Column, parts: int) -> Column:
+    """The keys of a fingerprint below its key `parent`: `slots` dealt out to `parts` bands, and what stands in each band's."""
+    band = lambda g: F.filter(slots, lambda _, k: F.pmod(k, F.lit(parts)) == g)
+    values = lambda g: F.transform(band(g), lambda s: F.substring(F.col("print"), s + 1, 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda g: F.xxhash64(parent, g, values(g)))
+
+
+def _varying(members: DataFrame) -> DataFrame:
+    """(at, slots): the slots in which the fingerprints of a key differ at all."""
+    words = [F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SLOTS // 8)]
+    both = members.groupBy(F.col("key").alias("at")).agg(F.array(*[F.bit_or(w).bitwiseXOR(F.bit_and(w)) for w in words]).alias("x"))
+    every = F.expr(f"filter(sequence(0, {SLOTS - 1}), s -> (shiftrightunsigned(x[cast(floor(s / 8) as int)], cast(8 * (7 - s % 8) as int)) & 255) <> 0)")
+    return both.select("at", every.alias("slots"))
+
+
+def classes(nodes: DataFrame, least: float = 0.8, bucket: int = 4096, levels: int = 3, seed: int = 5) -> DataFrame:
     """Distinct (node, print) -> (node, root): fingerprints linked by `least` or more of their slots, directly or through others.
 
-    Candidates agree in all `rows` slots of one of `bands` bands: fingerprints at a likeness s miss each other with
-    (1 - s ** rows) ** bands, 8e-4 at 0.8. Fingerprints without a link do not appear.
+    Linked fingerprints differ in at most d slots. The slots, in a sampled order, are dealt out to d + 1 bands, so in one
+    of them the two agree for certain: candidates are those that share a band's key. A key of up to `bucket` nodes is
+    verified by one task. A larger one is settled by itself where its nodes are near copies: blocks of it are verified, each
+    with the key's first node. Where they are still apart, the slots that vary within the key are dealt out to d + 1 bands again, below that
+    key, and so on for `levels` levels; each sends a node to d + 1 keys, so the work is in proportion to the nodes. A key
+    whose nodes vary in d slots or fewer holds links only. What is hot and apart at the last level has each pair of its
+    blocks verified, so no link is lost. Fingerprints without a link do not appear.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +205,51 @@ def classes(nodes: DataFrame, bands: int = 10, rows: int = 3, least: float = 0.8
             stars = [s for n, p in zip(*batch.columns, strict=True) for s in print_stars(n.as_py(), p.as_py(), least)]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    draw = np.random.Generator(np.random.PCG64(seed))
-    picked = [sorted(draw.choice(SLOTS, rows, replace=False).tolist()) for _ in range(bands)]
-    keys = F.array(*[band_key(F.col("print"), k, p) for k, p in enumerate(picked)])
-    dealt = nodes.select("node", F.explode(keys).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(dealt.join(shared, "key"))
-    blocks = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") / max(bucket // 2, 1))).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    placed = members.select("key", "node", F.explode(pairs).alias("pair"))
-    met = placed.join(nodes.select("node", "print"), "node").groupBy("key", "pair").agg(F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
-    components = connected_components(met.select("nodes", "prints").mapInArrow(verify, "a long, b long"))
-    discard(members)
+    def verified(placed: DataFrame, by: list[str]) -> DataFrame:
+        met = placed.groupBy(*by).agg(F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
+        return met.select("nodes", "prints").mapInArrow(verify, "a long, b long")
+
+    bands = math.floor((1 - least) * SLOTS + 1e-9) + 1
+    order = np.random.Generator(np.random.PCG64(seed)).permutation(SLOTS).tolist()
+    fixed = F.array(*[F.xxhash64(F.lit(g), *[F.substring("print", s + 1, 1) for s in order[g::bands]]) for g in range(bands)])
+    dealt = nodes.select("node", "print", F.explode(fixed).alias("key"))
+    edges, done = None, []
+    for level in range(levels):
+        shared = cut(dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+        total = shared.agg(F.sum("n"), F.max("n")).first()
+        members = spread_join(dealt, shared.withColumnRenamed("key", "on"), "key", shared.select(F.col("key").alias("on"), "n"), total[0] or 0)
+        found = cut(verified(members.filter(F.col("n") <= bucket), ["key"]))
+        edges = edges.unionByName(found) if edges else found
+        done += [shared, found]
+        if (total[1] or 0) <= bucket:
+            break
+        crowd = cut(members.filter(F.col("n") > bucket))
+        blocks = F.ceil(F.col("n") / max(bucket // 2, 1)).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        with_first = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+        inside = cut(verified(crowd.select("key", "node", "print", F.explode(with_first).alias("block")), ["key", "block"]))
+        # nodes that vary in fewer slots than there are bands are all near
+        few = _varying(crowd)
+        near = few.filter(F.size("slots") < bands).select("at")
+        linked = cut(crowd.join(near, F.col("key") == F.col("at"), "left_semi").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")))
+        edges = edges.unionByName(inside).unionByName(linked)
+        done += [crowd, inside, linked]
+        known = cut(connected_components(inside.unionByName(linked))).select(F.col("node").alias("met"), "root")
+        rooted = crowd.join(known, F.col("node") == F.col("met"), "left").withColumn("root", F.coalesce("root", "node"))
+        apart = cut(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select(F.col("key").alias("at")))
+        done.append(apart)
+        if apart.isEmpty():
+            break
+        left = crowd.join(apart, F.col("key") == F.col("at"), "left_semi")
+        if level + 1 < levels:
+            slots = _varying(left).filter(F.size("slots") >= bands)
+            dealt = left.join(slots, F.col("key") == F.col("at")).select("node", "print", F.explode(_sampled(F.col("key"), F.col("slots"), bands)).alias("key"))
+        else:
+            pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+            edges = edges.unionByName(verified(left.select("key", "node", "print", F.explode(pairs).alias("pair")), ["key", "pair"]))
+    components = connected_components(edges)
+    for some in done:
+        discard(some)
     return components
 
 
