@@ -66,6 +66,29 @@ def test_results_are_persisted_before_a_run_fails(spark, tmp_path):
     assert quality.run([quality.retention(bad, bad, "t")], path, "two").count() == 1
 
 
+def test_a_run_tried_again_has_one_result(spark, tmp_path):
+    path, bad = str(tmp_path / "r"), spark.createDataFrame([(1,), (1,)], "k int")
+    for data, passes in ((bad, False), (bad.distinct(), True), (bad.distinct(), True)):
+        if passes:
+            assert quality.run([quality.unique(data, "t", ["k"])], path, "2026-01-01T00:00").count() == 1
+        else:
+            with pytest.raises(quality.CriticalFailure):
+                quality.run([quality.unique(data, "t", ["k"])], path, "2026-01-01T00:00")
+    assert [r.status for r in spark.read.parquet(path).collect()] == ["pass"]
+    failed = spark.createDataFrame([("ticker: required", "{}"), ("x", "{1}")], "failure_reason string, raw_payload string")
+    where = str(tmp_path / "q")
+    quality.quarantine(failed, "t", where, "other")
+    assert [quality.quarantine(failed.limit(n), "t", where, "a:b").count() for n in (2, 2, 1, 0)] == [2, 2, 1, 0]
+    assert {r.run_id for r in spark.read.parquet(where).collect()} == {"other"}
+
+
+def test_objects_are_replaced_and_created_once(spark, tmp_path):
+    store, p = layout.Store(spark, str(tmp_path)), str(tmp_path / "o.json")
+    assert store.write(p, b"one") == 3 and store.write(p, b"three") == 5 and store.read(p) == b"three"
+    assert not store.create(p, b"other") and store.create(p + "2", b"new") and store.read(p) == b"three"
+    assert [n for n, _ in store.files(str(tmp_path)) if not n.endswith(".crc")] == ["o.json", "o.json2"]
+
+
 def test_checks_of_a_table_in_one_pass(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "z"), (None, "b")], "k int, f string")
     dim = spark.createDataFrame([("a",), ("b",)], "f string")

@@ -104,8 +104,8 @@ def test_scd2_merge_equals_rebuild(spark):
 def test_asof_forms_agree_on_ties_and_nulls(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 3), (3, "a", 1), (4, "b", 9), (5, None, 5), (6, "a", None)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 3, 1), ("a", 3, 2), ("a", 4, 3), ("b", 10, 4), (None, 1, 5), ("a", None, 6)], "k string, t int, v int")
-    x = asof.asof_join(left, right, ["k"], "t", "t", ["v"]).select("id", "feature_v")
-    y = asof.asof_by_slots(left, right, ["k"], "t", "t", lambda t: F.floor(t / 2), ["v"]).select("id", "feature_v")
+    x = asof.asof_in_one(left, right, ["k"], "t", "t", ["v"]).select("id", "feature_v")
+    y = asof.asof_join(left, right, ["k"], "t", "t", ["v"], slot=lambda t: F.floor(t / 2)).select("id", "feature_v")
     want = [(1, 3), (2, 2), (3, None), (4, None), (5, None), (6, None)]
     assert sorted(map(tuple, x.collect())) == want == sorted(map(tuple, y.collect()))
 
@@ -188,5 +188,5 @@ def test_plans(spark):
     scan = tables.table(spark, d, "lineitem").filter("l_quantity < 10").select("l_orderkey")
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(l_quantity" in plan and "l_extendedprice" not in plan
-    joined = asof.asof_join(*[tables.table(spark, d, "events").select("event_id", "ts", "user_id")] * 2, ["user_id"], "ts", "ts")
+    joined = asof.asof_in_one(*[tables.table(spark, d, "events").select("event_id", "ts", "user_id")] * 2, ["user_id"], "ts", "ts")
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

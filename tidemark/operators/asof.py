@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, tie: Sequence[str] = (), prefix: str = "feature_") -> DataFrame:
-    """Each left row with the last right row of its keys at or before its time; ties by `tie`, the largest wins.
+def asof_in_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, tie: Sequence[str] = (), prefix: str = "feature_") -> DataFrame:
+    """What asof_join gives, with each key's rows sorted by one task: for keys that are known to be small.
 
     Both sides go through one shuffle by key, sorted by time with right rows first, and the last right row so far
     is carried on: linear in both sides, where a range join is quadratic in a key's rows. Right columns get the
@@ -29,12 +29,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     return found.select("__left.*", "__found.*")
 
 
-def asof_by_slots(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, slot: Callable[[Column], Column], tie: Sequence[str] = (), prefix: str = "feature_") -> DataFrame:
-    """The same for keys of any size: rows are sorted by key and slot of time, and row_number picks the last right row of each
-    earlier slot, one row a slot, for the left rows that have none in their own. slot is not decreasing with time.
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, tie: Sequence[str] = (), prefix: str = "feature_", slot: Callable[[Column], Column] = F.to_date) -> DataFrame:
+    """Each left row with the last right row of its keys at or before its time; ties by `tie`, the largest wins.
+
+    For keys of any size: rows are sorted by key and slot of time (a day, if not told otherwise), and row_number picks the last
+    right row of each earlier slot, one row a slot, for the left rows that have none in their own. slot must not decrease with
+    time. Right columns get the prefix; they are null where no right row is early enough, or a key or time is null.
     """
     order = F.struct(right_ts, *tie)
-    inside = asof_join(left.withColumn("__slot", slot(F.col(left_ts))), right.withColumn("__slot", slot(F.col(right_ts))), [*keys, "__slot"], left_ts, right_ts, tie, prefix)
+    inside = asof_in_one(left.withColumn("__slot", slot(F.col(left_ts))), right.withColumn("__slot", slot(F.col(right_ts))), [*keys, "__slot"], left_ts, right_ts, tie, prefix)
     # the last right row of each key and slot, then of all slots before one that has left rows
     newest = F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(order.desc()))
     ends = right.filter(F.col(right_ts).isNotNull()).withColumn("__slot", slot(F.col(right_ts))).withColumn("__rank", newest).filter("__rank = 1")

@@ -7,6 +7,7 @@ import math
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +98,39 @@ class Store:
         return sorted(found)
 
     def write(self, p: str, data: bytes) -> int:
-        """One object, whole or not at all: written beside its name, then renamed."""
+        """One object, whole or not at all: written beside its name, then renamed over what is there."""
         temporary = f"{p}.writing-{uuid.uuid4().hex}"
         out = self.fs.create(self.path(temporary), True)
         out.write(bytearray(data))
         out.close()
-        self.delete(p)
-        self.rename(temporary, p)
+        options = self.spark._jvm.org.apache.hadoop.fs.Options
+        overwrite = self.spark.sparkContext._gateway.new_array(options.Rename, 1)
+        overwrite[0] = options.Rename.OVERWRITE
+        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(temporary), self.path(p), overwrite)
         return len(data)
 
+    def create(self, p: str, data: bytes) -> bool:
+        """One object, if there is none of that name: written beside it, then renamed without overwriting. Whether it was this one."""
+        temporary = f"{p}.writing-{uuid.uuid4().hex}"
+        out = self.fs.create(self.path(temporary), True)
+        out.write(bytearray(data))
+        out.close()
+        jvm = self.spark._jvm
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            if self.fs.getScheme() == "file":  # whose rename looks first and then acts; a link is made or refused in one step
+                local = lambda x: jvm.java.io.File(self.path(x).toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(local(p), local(temporary))
+                return True
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(temporary), self.path(p), none)
+            return True
+        except Py4JJavaError:
+            if not self.exists(p):
+                raise
+            return False
+        finally:
+            self.delete(temporary)
+
     def read(self, p: str) -> bytes:
         stream = self.fs.open(self.path(p))
         try:

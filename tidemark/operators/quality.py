@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.layout import Store
+
 
 class CriticalFailure(Exception):
     """A critical check failed."""
@@ -102,10 +104,18 @@ def not_empty(df: DataFrame, dataset: str) -> DataFrame:
     return _row(df.agg(F.count("*").alias("n")), dataset, "not_empty", F.col("n"), F.col("metric_value") < 1, "critical", 1.0)
 
 
+def _of_run(rows: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Write a run's rows in place of what the table holds of it, so that a run tried again leaves one result, and read them back."""
+    spark, schema = rows.sparkSession, rows.withColumn("run_id", F.lit(run_id)).schema
+    store = Store(spark, path)
+    store.delete(f"{path}/run_id={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)}")
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    return spark.read.schema(schema).parquet(path).filter(F.col("run_id") == run_id)
+
+
 def persist(results: DataFrame, path: str, run_id: str) -> DataFrame:
-    """Append results to a table by run and return what it holds of the run. Results are worked out once."""
-    results.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
-    return results.sparkSession.read.parquet(path).filter(F.col("run_id") == run_id)
+    """Write results to a table by run, in place of earlier ones of the run, and return what it holds of the run. Results are worked out once."""
+    return _of_run(results, path, run_id)
 
 
 def run(checks: Sequence[DataFrame], path: str, run_id: str) -> DataFrame:
@@ -114,10 +124,10 @@ def run(checks: Sequence[DataFrame], path: str, run_id: str) -> DataFrame:
 
 
 def quarantine(failed: DataFrame, dataset: str, path: str, run_id: str) -> DataFrame:
-    """Append failed rows (failure_reason, raw_payload) with their dataset, run and a record id to a table; returns the run's."""
-    rows = failed.select(F.sha2(F.concat_ws("|", F.lit(dataset), "raw_payload"), 256).alias("record_id"), F.lit(dataset).alias("dataset_name"), "failure_reason", "raw_payload", F.lit(run_id).alias("run_id"))
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
-    return failed.sparkSession.read.parquet(path).filter(F.col("run_id") == run_id)
+    """Write failed rows (failure_reason, raw_payload) with their dataset, run and a record id to a table by dataset, in place of
+    earlier ones of the run; returns the run's."""
+    rows = failed.select(F.sha2(F.concat_ws("|", F.lit(dataset), "raw_payload"), 256).alias("record_id"), F.lit(dataset).alias("dataset_name"), "failure_reason", "raw_payload")
+    return _of_run(rows, path, run_id)
 
 
 def suite(checks: Sequence[DataFrame]) -> DataFrame:

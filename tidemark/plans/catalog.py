@@ -277,7 +277,7 @@ def join_asof(spark, d):
 @query
 def win_asof_pick(spark, d):
     left, right = _purchases_and_views(spark, d)
-    return asof.asof_by_slots(left, right, ["user_id"], "ts", "ts", F.to_date, ["event_id"]).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
+    return asof.asof_join(left, right, ["user_id"], "ts", "ts", ["event_id"], slot=lambda t: F.date_trunc("hour", t)).select("event_id", "user_id", "ts", "feature_event_id", "feature_ts", "feature_value")
 
 
 def _reference(spark: SparkSession, d: str) -> DataFrame:
@@ -990,7 +990,7 @@ def proj_event_id(spark, d):
 def join_label_pit(spark, d):
     """Labels that were known when a feature was: the last one of the ticker at or before its time."""
     labels_known = tables.snapshots(spark, d).select("ticker", F.col("created_ts").alias("label_ts"), "status", "seq")
-    o = tables.snapshots(spark, d).filter("seq % 3 = 0").select(F.col("seq").alias("feature_id"), "ticker", (F.col("created_ts") + F.expr("interval 10 days")).alias("event_timestamp"))
+    o = tables.snapshots(spark, d).select(F.col("seq").alias("feature_id"), "ticker", (F.col("created_ts") + F.expr("interval 10 days")).alias("event_timestamp"))
     return asof.asof_join(o, labels_known, ["ticker"], "event_timestamp", "label_ts", ["seq"], "label_").select("feature_id", "label_status", "label_seq")
 
 

@@ -357,7 +357,7 @@ from walked w join lined l on w.consumer = l.consumer and w.place = l.place grou
     "src_kafka_poll": "select event_type, count(*) as n, sum(event_id)::bigint as ids from events where event_id % 3 = 1 group by 1",
     "sink_flink_files": f"with {routed(True)} select route, count(*) as n, sum(seq)::bigint as seqs from routed where route in ('invalid', 'duplicate', 'too_late') group by 1 union all select 'windows', count(distinct (ticker, ts // 3600)), count(*) from routed where route in ('on_time', 'allowed_late')",
     "proj_event_id": """select event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id::varchar || '}') as content_id from events""",
-    "join_label_pit": f"""with {SNAPSHOTS}, features as (select seq as feature_id, ticker, created_ts + interval 10 days as event_timestamp from snapshots where seq % 3 = 0),
+    "join_label_pit": f"""with {SNAPSHOTS}, features as (select seq as feature_id, ticker, created_ts + interval 10 days as event_timestamp from snapshots),
 known as (select ticker, created_ts, status, seq from snapshots qualify row_number() over (partition by ticker, created_ts order by seq desc) = 1)
 select feature_id, k.status as label_status, k.seq as label_seq from features f asof left join known k on f.ticker = k.ticker and f.event_timestamp >= k.created_ts""",
     "scan_prefix": "select n_nationkey, n_name, true as empty_is_an_error from nation",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.layout import Store
@@ -52,16 +52,19 @@ def ticks_from_files(spark: SparkSession, path: str, schema: str, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def bronze(batch: DataFrame, path: str, number: int = 0, ts: str = "ts") -> None:
-    """Write a batch below topic / event_date / event_hour / batch_id. A batch that is written again first loses what there is of it."""
+def bronze(batch: DataFrame, path: str, number: int = 0, ts: str = "ts") -> int:
+    """Write a batch below topic / event_date / event_hour / batch_id and return its rows. A batch that is written again first
+    loses what there is of it."""
     store = Store(batch.sparkSession, path)
     for left in store.fs.globStatus(store.path(f"{path}/topic=*/event_date=*/event_hour=*/batch_id={number}")) or []:
         store.fs.delete(left.getPath(), True)
-    dated = batch.withColumns({"event_date": F.to_date(ts), "event_hour": F.hour(ts), "batch_id": F.lit(number)})
+    seen = Observation()
+    dated = batch.observe(seen, F.count(F.lit(1)).alias("n")).withColumns({"event_date": F.to_date(ts), "event_hour": F.hour(ts), "batch_id": F.lit(number)})
     by = ["topic", "event_date", "event_hour", "batch_id"]
     # a number of its own, so that small batches are not made one task: a file costs more than its rows
     tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dated.repartition(tasks, *by[:3]).write.mode("append").partitionBy(*by).parquet(path)
+    return seen.get["n"]
 
 
 def bronze_stream(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> int:
@@ -70,9 +73,14 @@ def bronze_stream(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts")
     The checkpoint holds what was read: a run that starts again goes on after the last whole batch, and the batch that
     was under way is written again under its own number, so every row is there once.
     """
-    query = stream.writeStream.foreachBatch(lambda batch, number: bronze(batch, path, number, ts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    taken: dict[int, int] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        taken[number] = bronze(batch, path, number, ts)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return sum(taken.values())
 
 
 def kafka_source(spark: SparkSession, servers: str, topics: str, bounded: bool = True, **options: str) -> DataFrame:
