@@ -28,14 +28,18 @@ def route(events: DataFrame, *, id: str, seq: str, ts: str, valid: Column, delay
     """
     good = events.withColumn("__valid", F.coalesce(valid, F.lit(False)))
     first = F.row_number().over(Window.partitionBy("__valid", id).orderBy(seq)) == 1
-    good = good.withColumn("__dup", F.col("__valid") & ~first if dedup else F.lit(False))
-    good = good.withColumn("__time", F.when(F.col("__valid") & ~F.col("__dup"), F.col(ts)))
-    good = running_max(good, seq, "__time", "__top")
-    mark = F.greatest(F.coalesce("__top", F.col(ts)), F.col(ts)) - delay
-    route = (
-        F.when(~F.col("__valid"), "invalid").when(F.col("__dup"), "duplicate").when(F.col(ts) + lateness < mark, "too_late").when(F.col(ts) < mark, "allowed_late").otherwise("on_time")
-    )
-    return good.withColumn("route", route).drop("__valid", "__dup", "__time", "__top")
+    kind = F.when(~F.col("__valid"), "invalid").when(~first, "duplicate").otherwise("first") if dedup else F.when(~F.col("__valid"), "invalid").otherwise("first")
+    return by_watermark(good.withColumn("__kind", kind), "__kind", seq, ts, delay, lateness).drop("__valid", "__kind")
+
+
+def by_watermark(events: DataFrame, kind: str, seq: str, ts: str, delay: int, lateness: int, before: int | None = None) -> DataFrame:
+    """Adds `route` to events whose column `kind` says invalid, duplicate or first. before: the largest time of first ones
+    that came earlier than any of these, if there were some."""
+    timed = running_max(events.withColumn("__time", F.when(F.col(kind) == "first", F.col(ts))), seq, "__time", "__top")
+    top = F.greatest(F.col("__top"), F.lit(before).cast("long"))
+    mark = F.greatest(F.coalesce(top, F.col(ts)), F.col(ts)) - delay
+    route = F.when(F.col(kind) != "first", F.col(kind)).when(F.col(ts) + lateness < mark, "too_late").when(F.col(ts) < mark, "allowed_late").otherwise("on_time")
+    return timed.withColumn("route", route).drop("__time", "__top")
 
 
 def tumbling(events: DataFrame, key: str, ts: str, seconds: int, price: str, volume: str) -> DataFrame:
