@@ -212,18 +212,19 @@ def classes(nodes: DataFrame, least: float = 0.8, bucket: int = 4096, levels: in
     bands = math.floor((1 - least) * SLOTS + 1e-9) + 1
     order = np.random.Generator(np.random.PCG64(seed)).permutation(SLOTS).tolist()
     fixed = F.array(*[F.xxhash64(F.lit(g), *[F.substring("print", s + 1, 1) for s in order[g::bands]]) for g in range(bands)])
-    dealt = nodes.select("node", "print", F.explode(fixed).alias("key"))
+    dealt = nodes.select("node", F.explode(fixed).alias("key"))
     edges, done = None, []
     for level in range(levels):
         shared = cut(dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
         total = shared.agg(F.sum("n"), F.max("n")).first()
         members = spread_join(dealt, shared.withColumnRenamed("key", "on"), "key", shared.select(F.col("key").alias("on"), "n"), total[0] or 0)
-        found = cut(verified(members.filter(F.col("n") <= bucket), ["key"]))
+        # fingerprints go only where they are compared
+        found = cut(verified(members.filter(F.col("n") <= bucket).join(nodes, "node"), ["key"]))
         edges = edges.unionByName(found) if edges else found
         done += [shared, found]
         if (total[1] or 0) <= bucket:
             break
-        crowd = cut(members.filter(F.col("n") > bucket))
+        crowd = cut(members.filter(F.col("n") > bucket).join(nodes, "node"))
         blocks = F.ceil(F.col("n") / max(bucket // 2, 1)).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         with_first = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
@@ -243,7 +244,7 @@ def classes(nodes: DataFrame, least: float = 0.8, bucket: int = 4096, levels: in
         left = crowd.join(apart, F.col("key") == F.col("at"), "left_semi")
         if level + 1 < levels:
             slots = _varying(left).filter(F.size("slots") >= bands)
-            dealt = left.join(slots, F.col("key") == F.col("at")).select("node", "print", F.explode(_sampled(F.col("key"), F.col("slots"), bands)).alias("key"))
+            dealt = left.join(slots, F.col("key") == F.col("at")).select("node", F.explode(_sampled(F.col("key"), F.col("slots"), bands)).alias("key"))
         else:
             pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
             edges = edges.unionByName(verified(left.select("key", "node", "print", F.explode(pairs).alias("pair")), ["key", "pair"]))
