@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from importlib import resources
@@ -15,6 +16,7 @@ from tidemark.functions.columns import blank_to_null, boolean, date_key, iso_wee
 from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, metadata, quality, scd2
 from tidemark.sources import generator, tables
 from tidemark.sources.tables import table
+from tidemark.streaming import log, stateful
 from tidemark.streaming import prices as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,6 +763,77 @@ def st_batch_windows(spark, d):
     return w.select("ticker", "window_start", "window_end", "event_count", "total_volume")
 
 
+_DELIVERED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _delivered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events in twelve deliveries to a log of four partitions. After each, the routing query starts again from its state, takes what
+    is new, and stops; the windows follow. (events with routes, windows), worked out once an application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _DELIVERED:
+        return _DELIVERED[key]
+    where, e = _scratch(spark), tables.price_events(spark, d).withColumn("price", F.col("price").cast("decimal(18,4)"))
+    last = e.agg(F.max("seq")).first()[0] or 0
+    lines = e.select(F.col("ticker").alias("key"), F.to_json(F.struct(*e.columns)).alias("value"), F.timestamp_seconds("ts").alias("timestamp"), "seq")
+    for k in range(12):
+        log.append(lines.filter(F.floor(F.col("seq") * 12 / (last + 1)) == k), f"{where}/topic", 4, ["seq"])
+        ticks = log.stream(spark, f"{where}/topic").select(F.from_json("value", stateful.TICK).alias("t")).select("t.*")
+        stateful.route_stream(ticks, where, 7200, 10800, availableNow=True).awaitTermination()
+    _DELIVERED[key] = stateful.ended(spark, where, 3600, 7200, 10800)
+    return _DELIVERED[key]
+
+
+@query
+def st_stream_routes(spark, d):
+    """Every event's route from the stateful stream: duplicates by keyed state, late and too late ones by the watermark so far."""
+    return _delivered(spark, d)[0].select("id", "seq", "route")
+
+
+@query
+def st_stream_windows(spark, d):
+    """The last firing of each window of the stateful stream."""
+    return _delivered(spark, d)[1].select("ticker", "window_start", "window_end", "event_count", "total_volume")
+
+
+@query
+def src_log_bounded(spark, d):
+    """A topic of all events read by ranges of offsets: the first half of each partition, the rest, and all; none twice and none left out."""
+    path, e = f"{_scratch(spark)}/topic", table(spark, d, "events")
+    ends = log.append(e.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "event_type")).alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), "event_id"), path, 4, ["event_id"])
+    half = json.dumps({p: n // 2 for p, n in ends.items()})
+    parts = [log.read(spark, path, endingOffsets=half), log.read(spark, path, startingOffsets=half)]
+    both = parts[0].withColumn("part", F.lit("first")).unionByName(parts[1].withColumn("part", F.lit("rest")))
+    decoded = both.select("part", "partition", "offset", F.from_json("value", "event_id bigint, event_type string").alias("e"))
+    return decoded.groupBy("e.event_type").agg(F.count("*").alias("n"), F.countDistinct("partition", "offset").alias("places"), F.sum("e.event_id").alias("ids"))
+
+
+@query
+def src_log_stream(spark, d):
+    """The same topic as a stream of ten batches or more that stops half-way and goes on from its checkpoint."""
+    where, e = _scratch(spark), table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "event_type")).alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), "event_id")
+    n = sum(log.append(rows, f"{where}/topic", 4, ["event_id"]).values())
+    done = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+        done.append(number)
+
+    def started():
+        lines = log.stream(spark, f"{where}/topic", maxOffsetsPerTrigger=str(max(n // 10, 1)), group="reader")
+        return lines.writeStream.foreachBatch(take).option("checkpointLocation", f"{where}/checkpoint").start()
+
+    first = started()
+    while len(done) < min(5, n) and first.isActive:
+        time.sleep(0.05)
+    first.stop()
+    second = started()
+    second.processAllAvailable()
+    second.stop()
+    back = spark.read.schema(f"{log.SCHEMA}, batch int").parquet(f"{where}/out").withColumn("e", F.from_json("value", "event_id bigint, event_type string"))
+    return back.groupBy("e.event_type").agg(F.count("*").alias("n"), F.sum("e.event_id").alias("ids"))
+
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 

@@ -304,7 +304,11 @@ ORACLES: dict[str, str] = {
     "join_left_multi": f"with {COMPANIES}, {STATEMENTS}, {PRICES}, known as (select substr(ticker, 2)::bigint as supplier, count(*) as prices from price_facts group by 1) select fiscal_year, exchange, count(*) as n, count(prices) as with_prices from statements s left join companies c on s.supplier = c.supplier left join known k on s.supplier = k.supplier group by 1, 2",
     "st_bounded_oracle": f"with {routed(True)} select route, count(*) as n from routed group by 1",
     "st_routed_no_dedup": f"with {routed(False)} select route, count(*) as n from routed group by 1",
+    "st_stream_routes": f"with {routed(True)} select id, seq, route from routed",
+    "src_log_bounded": "select event_type, count(*) as n, count(*) as places, sum(event_id)::bigint as ids from events group by 1",
+    "src_log_stream": "select event_type, count(*) as n, sum(event_id)::bigint as ids from events group by 1",
     "st_too_late": f"with {routed(True)} select id, seq, ts, ticker from routed where route = 'too_late'",
+    "st_stream_windows": f"with {routed(True)} select ticker, ts - ts % 3600 as window_start, ts - ts % 3600 + 3600 as window_end, count(*) as event_count, sum(volume)::bigint as total_volume from routed where route in ('on_time', 'allowed_late') group by all",
     "st_batch_windows": f"with {routed(True)} select ticker, ts - ts % 3600 as window_start, ts - ts % 3600 + 3600 as window_end, count(*) as event_count, sum(volume)::bigint as total_volume from routed where route in ('on_time', 'allowed_late') group by all",
     "st_tumbling": "select 'U' || user_id::varchar as ticker, (floor(epoch(ts)) - floor(epoch(ts)) % 3600)::bigint as window_start, count(*) as event_count, count(*) as total_volume from events group by 1, 2",
     "st_dedup_ttl": "select count(*) as event_count, count(distinct (user_id, floor(epoch(ts) / 3600))) as windows from events",

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,15 +68,16 @@ def kinds(ticks: DataFrame, ttl: int) -> DataFrame:
     return ticks.groupBy("id").applyInPandasWithState(run, f"{TICK}, kind string", "ends long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def route_stream(ticks: DataFrame, where: str, delay: int, lateness: int, ttl: int = 3600, after: Callable[[int], None] | None = None):
-    """Start the query that writes every event with its route below <where>/routed/batch=<n>. after(n) is called at the end of each batch."""
+def route_stream(ticks: DataFrame, where: str, delay: int, lateness: int, ttl: int = 3600, after: Callable[[int], None] | None = None, **trigger):
+    """Start the query that writes every event with its route below <where>/routed/batch=<n>. after(n) is called at the end of each
+    batch; trigger: availableNow=True to end with what there is."""
     spark = ticks.sparkSession
     store = Store(spark, where)
 
     def take(batch: DataFrame, n: int) -> None:
         place, beside = f"{where}/routed/batch={n}", f"{where}/_beside/{uuid.uuid4().hex}"
+        batch.write.parquet(f"{beside}/marked")  # state is worked out once a batch, and when a batch is run again too
         if not store.exists(place):
-            batch.write.parquet(f"{beside}/marked")  # state is worked out once
             marked = batch.sparkSession.read.schema(batch.schema).parquet(f"{beside}/marked")
             top = json.loads(store.read(f"{where}/tops/{n - 1}.json")) if n else None
             routed = events.by_watermark(marked, "kind", "seq", "ts", delay, lateness, top)
@@ -84,12 +86,13 @@ def route_stream(ticks: DataFrame, where: str, delay: int, lateness: int, ttl: i
             store.write(f"{where}/tops/{n}.json", json.dumps(max((x for x in (top, own) if x is not None), default=None)).encode())
             store.fs.mkdirs(store.path(f"{where}/routed"))
             store.rename(f"{beside}/routed", place)
-            store.delete(beside)
+        store.delete(beside)
         if after:
             after(n)
 
     store.fs.mkdirs(store.path(f"{where}/tops"))
     writer = kinds(ticks, ttl).writeStream.foreachBatch(take).option("checkpointLocation", f"{where}/checkpoint-route")
+    writer = writer.trigger(**trigger) if trigger else writer
     return _with_rocksdb(spark, writer.start)
 
 
@@ -150,16 +153,31 @@ def end_mark(spark: SparkSession, where: str, size: int, delay: int, lateness: i
     spark.createDataFrame(mark, f"{TICK}, route string").coalesce(1).write.mode("overwrite").parquet(f"{where}/routed/batch={last[0] + 1}")
 
 
-def bounded(ticks: DataFrame, where: str, size: int, delay: int, lateness: int, ttl: int = 3600, after: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all events with their route, the last firing of each window) of what a stream has now."""
-    spark = ticks.sparkSession
-    query = route_stream(ticks, where, delay, lateness, ttl, after)
+def _through(query) -> None:
+    """Wait until a query has had a batch without rows, and stop it. With timeouts by the clock it has batches without end, and
+    Spark's own processAllAvailable() would not return."""
     try:
-        query.processAllAvailable()
+        while query.isActive:
+            progress = query.lastProgress
+            if progress and progress["numInputRows"] == 0:
+                break
+            time.sleep(0.05)
     finally:
         query.stop()
+    if query.exception():
+        raise query.exception()
+
+
+def bounded(ticks: DataFrame, where: str, size: int, delay: int, lateness: int, ttl: int = 3600, after: Callable[[int], None] | None = None, files: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(all events with their route, the last firing of each window) of what a stream has now."""
+    _through(route_stream(ticks, where, delay, lateness, ttl, after))
+    return ended(ticks.sparkSession, where, size, delay, lateness, files)
+
+
+def ended(spark: SparkSession, where: str, size: int, delay: int, lateness: int, files: int = 8) -> tuple[DataFrame, DataFrame]:
+    """What bounded() gives, of events that were routed before."""
     end_mark(spark, where, size, delay, lateness)
-    window_stream(spark, where, size, delay, lateness).awaitTermination()
+    window_stream(spark, where, size, delay, lateness, files).awaitTermination()
     fired = spark.read.schema(f"{WINDOW}, batch int").parquet(f"{where}/windows")
     last = fired.groupBy("ticker", "window_start").agg(F.max_by(F.struct("window_end", "event_count", "total_volume", "price_sum", "firing"), "firing").alias("w"))
     return routed(spark, where).filter("route <> 'end'"), last.select("ticker", "window_start", "w.*")
