@@ -21,6 +21,15 @@ def test_word_bpe_equals_library(texts):
         assert own.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False), t
 
 
+def test_a_small_memory_gives_the_same_ids(texts, monkeypatch):
+    whole = bpe.ForcedBoundaryBPE(WORDS)
+    want = [whole.encode(t or "") for t in texts]
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 40)
+    own = bpe.ForcedBoundaryBPE(WORDS)
+    assert [own.encode(t or "") for t in texts] == want
+    assert sum(map(len, own.known)) < 10_000 and len(own.fragments) < 50
+
+
 def test_cuts_cross_no_token():
     own = bpe.ForcedBoundaryBPE(WORDS)
     units = list("xq") + list("zzqj") + ["k</w>"]

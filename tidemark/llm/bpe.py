@@ -32,8 +32,8 @@ from tidemark.llm.shared import cut, worker_cache
 #: Letters whose class, lower case and composition no Unicode version changes; I with a dot is left to the library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _USUAL = re.compile(rf"[\t\n\r !-~¡¿«»–—‘’“”„…€{_LETTERS}]*")
-#: Entries of a worker's memory before it starts afresh.
-KEPT = 800_000
+#: Entries of a worker's memory, and code points of the words in it, before it starts afresh.
+KEPT, KEPT_CHARS = 400_000, 8 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -65,6 +65,7 @@ class ForcedBoundaryBPE:
         plain = split.replace("\\p{L}", _LETTERS).replace("\\p{N}", "0-9")
         self.word = re.compile(plain)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.known_chars = self.fragment_chars = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
 
@@ -113,8 +114,10 @@ class ForcedBoundaryBPE:
             return self.merged(parts[0])
         for fragment in parts:
             if fragment not in self.fragments:
-                if len(self.fragments) >= KEPT:
+                self.fragment_chars += sum(map(len, fragment))
+                if len(self.fragments) >= KEPT // 4 or self.fragment_chars > KEPT_CHARS // 4:
                     self.fragments.clear()
+                    self.fragment_chars = 0
                 self.fragments[fragment] = self.merged(fragment)
             ids += self.fragments[fragment]
         return ids
@@ -131,10 +134,12 @@ class ForcedBoundaryBPE:
             normal = self.library.normalizer.normalize_str(text)
             words, make = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)], self.of_symbols
             table = {}
-        if len(table) > KEPT:
-            table.clear()
+        if len(self.known) > KEPT or self.known_chars > KEPT_CHARS:
+            self.known.clear()
+            self.known_chars = 0
         for w in set(words).difference(table):
             table[w] = make(w)
+            self.known_chars += len(w) if table is self.known else 0
         return table, words
 
     def encode(self, text: str | None) -> list[int]:
