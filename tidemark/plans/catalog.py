@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, boolean, date_key, iso_weekday, surrogate_key
-from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, metadata, quality, scd2
+from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, metadata, packing, quality, scd2, versions
 from tidemark.sources import generator, tables
 from tidemark.sources.tables import table
 from tidemark.streaming import log, stateful
@@ -916,6 +916,45 @@ def sink_promote_prefix(spark, d):
     return r.agg(F.count("*").alias("regions")).join(n.agg(F.count("*").alias("nations")))
 
 
+@query
+def publish_versions(spark, d):
+    """Two datasets published together by numbered manifests, one of them added to, a refused run, and the first version read again."""
+    root = _scratch(spark)
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    versions.publish({"orders": o.filter("o_orderkey % 2 = 0"), "customer": c}, root, "run-1")
+    versions.publish({"orders": o.filter("o_orderkey % 2 = 1")}, root, "run-2", append=True)
+    try:
+        versions.publish({"orders": o, "customer": c.filter("c_custkey < 0")}, root, "run-3")
+    except ValueError:
+        pass
+    now, first = versions.read(spark, root, "orders"), versions.read(spark, root, "orders", 1)
+    run_id = F.lit(versions.manifest(spark, root)["run_id"])
+    rows = now.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), run_id.alias("run_id"))
+    before = first.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n_first"))
+    return rows.join(before, F.col("o_orderstatus") == F.col("status"), "left").drop("status")
+
+
+@query
+def compact_partitions(spark, d):
+    """A partitioned table of many small files, compacted folder by folder: its rows, and files before and after."""
+    path = f"{_scratch(spark)}/lines"
+    table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").repartition(12).write.partitionBy("l_returnflag", "l_linestatus").parquet(path)
+    done = packing.compact(spark, path)
+    folders = spark.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+    return folders.withColumns({"fewer": F.lit(done["files_after"] < done["files_before"]), "files_after": F.lit(done["files_after"]).cast("long")})
+
+
+@query
+def index_skips(spark, d):
+    """A range of order keys, by zones from the files' footers: its rows, and that most files were not opened."""
+    path = f"{_scratch(spark)}/zoned"
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").repartitionByRange(16, "o_orderkey").write.parquet(path)
+    packing.write_zones(spark, path, ["o_orderkey", "o_totalprice"])
+    ranges = {"o_orderkey": (100, 250)}
+    picked, of = packing.pick(spark, path, ranges)
+    return packing.between(spark, path, ranges).withColumn("most_skipped", F.lit(len(picked) * 4 <= of))
+
+
 @query
 def sink_rows(spark, d):
     path = f"{_scratch(spark)}/rows"

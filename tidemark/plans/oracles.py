@@ -307,6 +307,9 @@ ORACLES: dict[str, str] = {
     "st_stream_routes": f"with {routed(True)} select id, seq, route from routed",
     "src_log_bounded": "select event_type, count(*) as n, count(*) as places, sum(event_id)::bigint as ids from events group by 1",
     "src_log_stream": "select event_type, count(*) as n, sum(event_id)::bigint as ids from events group by 1",
+    "publish_versions": "select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys, 'run-2' as run_id, nullif(count(*) filter (o_orderkey % 2 = 0), 0) as n_first from orders group by 1",
+    "compact_partitions": "select l_returnflag, l_linestatus, count(*) as n, sum(l_orderkey)::bigint as keys, true as fewer, (select count(*) from (select distinct l_returnflag, l_linestatus from lineitem)) as files_after from lineitem group by 1, 2",
+    "index_skips": "select o_orderkey, o_orderstatus, o_totalprice, true as most_skipped from orders where o_orderkey between 100 and 250",
     "st_too_late": f"with {routed(True)} select id, seq, ts, ticker from routed where route = 'too_late'",
     "st_stream_windows": f"with {routed(True)} select ticker, ts - ts % 3600 as window_start, ts - ts % 3600 + 3600 as window_end, count(*) as event_count, sum(volume)::bigint as total_volume from routed where route in ('on_time', 'allowed_late') group by all",
     "st_batch_windows": f"with {routed(True)} select ticker, ts - ts % 3600 as window_start, ts - ts % 3600 + 3600 as window_end, count(*) as event_count, sum(volume)::bigint as total_volume from routed where route in ('on_time', 'allowed_late') group by all",
