@@ -33,7 +33,7 @@ from tidemark.llm.shared import cut, worker_cache
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _USUAL = re.compile(rf"[\t\n\r !-~¡¿«»–—‘’“”„…€{_LETTERS}]*")
 #: Entries of a worker's memory, and code points of the words in it, before it starts afresh.
-KEPT, KEPT_CHARS = 400_000, 8 << 20
+KEPT, KEPT_CHARS = 150_000, 2 << 20
 
 
 def byte_symbols() -> list[str]:
