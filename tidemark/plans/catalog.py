@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, boolean, date_key, iso_weekday, surrogate_key
-from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, metadata, packing, quality, scd2, versions
+from tidemark.operators import aggregates, asof, audits, contracts, dedup, events, facts, labels, layout, metadata, packing, profile, quality, scd2, search, versions
 from tidemark.sources import generator, tables
 from tidemark.sources.tables import table
 from tidemark.streaming import log, stateful
@@ -955,6 +955,52 @@ def index_skips(spark, d):
     return packing.between(spark, path, ranges).withColumn("most_skipped", F.lit(len(picked) * 4 <= of))
 
 
+@query
+def profile_columns(spark, d):
+    """Columns of the orders by sketches of each day, merged: counts, and whether distinct values and medians are within 3 % of the exact ones."""
+    o = table(spark, d, "orders").select("o_orderdate", "o_custkey", "o_orderpriority", F.col("o_totalprice"))
+    path = f"{_scratch(spark)}/sketches"
+    columns = o.columns[1:]
+    profile.daily(o, "o_orderdate", columns).write.parquet(path)
+    found = profile.merged(spark.read.parquet(path))
+    exact = o.agg(*[F.countDistinct(c).alias(c) for c in columns])
+    distinct = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("exact")) for c in columns])).alias("x")).select("x.*")
+    ranks = o.agg(*[F.percentile(F.col(c), F.array(F.lit(0.47), F.lit(0.53))).alias(c) for c in ("o_custkey", "o_totalprice")]).first()
+    inside = F.lit(None).cast("boolean")
+    for c in ranks.asDict():
+        inside = F.when(F.col("column_name") == c, F.col("median").between(*ranks[c])).otherwise(inside)
+    joined = found.join(distinct, F.col("column_name") == F.col("name"))
+    return joined.select("column_name", "row_count", "null_count", F.col("exact").alias("distinct_values"), (F.abs(F.col("distinct_values") / F.col("exact") - 1) < 0.03).alias("close"), inside.alias("median_close"))
+
+
+@query
+def percentile_exact(spark, d):
+    """The median gap of each event type in exact passes, no type's rows in one task."""
+    e = table(spark, d, "events")
+    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("timestamp"))
+    found = profile.exact_percentile(e.select("event_type", gap.alias("gap")), ["event_type"], "gap", 0.5, _scratch(spark))
+    return found.withColumnRenamed("percentile", "median_gap")
+
+
+@query
+def search_trigrams(spark, d):
+    """Documents that hold the first thirty characters of a benchmark passage, by a trigram index over whole texts."""
+    path, docs = f"{_scratch(spark)}/trigrams", table(spark, d, "documents").select("doc_id", "text")
+    search.write_trigrams(docs, "doc_id", "text", path, 8)
+    terms = table(spark, d, "benchmark").select(F.substring("text", 1, 30).alias("term")).distinct()
+    return search.containing(docs, "doc_id", "text", terms, path).withColumnRenamed("id", "doc_id")
+
+
+@query
+def page_blocks(spark, d):
+    """Page three of the customers by balance from the blocks that hold it, and what follows its last row."""
+    path, order = f"{_scratch(spark)}/pages", ["c_acctbal", "c_custkey"]
+    search.write_blocks(table(spark, d, "customer").select(*order, "c_name"), order, path, 100, 8)
+    third = search.page(spark, path, order, 40, 20)
+    last = third.orderBy(*[F.col(c).desc() for c in order]).first()
+    return third.withColumn("part", F.lit("page")).unionByName(search.page_after(spark, path, order, (last.c_acctbal, last.c_custkey), 20).withColumn("part", F.lit("next")))
+
+
 @query
 def sink_rows(spark, d):
     path = f"{_scratch(spark)}/rows"

@@ -307,6 +307,10 @@ ORACLES: dict[str, str] = {
     "st_stream_routes": f"with {routed(True)} select id, seq, route from routed",
     "src_log_bounded": "select event_type, count(*) as n, count(*) as places, sum(event_id)::bigint as ids from events group by 1",
     "src_log_stream": "select event_type, count(*) as n, sum(event_id)::bigint as ids from events group by 1",
+    "profile_columns": " union all ".join(f"select '{c}' as column_name, count(*) as row_count, count(*) filter ({c} is null) as null_count, count(distinct {c}) as distinct_values, true as close, {m} as median_close from orders" for c, m in (("o_custkey", "true"), ("o_orderpriority", "null"), ("o_totalprice", "true"))),
+    "percentile_exact": "with g as (select event_type, floor(epoch(ts)) - lag(floor(epoch(ts))) over (partition by user_id order by ts, event_id) as gap from events) select event_type, median(gap) as median_gap from g where gap is not null group by 1",
+    "search_trigrams": "select distinct term, doc_id from (select distinct substr(text, 1, 30) as term from benchmark) join documents on contains(lower(text), lower(term))",
+    "page_blocks": "select c_acctbal, c_custkey, c_name, case when k <= 60 then 'page' else 'next' end as part from (select *, row_number() over (order by c_acctbal, c_custkey) as k from customer) where k between 41 and 80",
     "publish_versions": "select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys, 'run-2' as run_id, nullif(count(*) filter (o_orderkey % 2 = 0), 0) as n_first from orders group by 1",
     "compact_partitions": "select l_returnflag, l_linestatus, count(*) as n, sum(l_orderkey)::bigint as keys, true as fewer, (select count(*) from (select distinct l_returnflag, l_linestatus from lineitem)) as files_after from lineitem group by 1, 2",
     "index_skips": "select o_orderkey, o_orderstatus, o_totalprice, true as most_skipped from orders where o_orderkey between 100 and 250",
