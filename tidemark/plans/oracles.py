@@ -405,6 +405,6 @@ select count(*) as rows, count(distinct i) as ids, count(*) filter (is_late) as
 select count(*) as n, min(ticker) as ticker, max(event_second)::double as last, max(event_second) - min(event_second) as seconds, round(sum(10 + i * 0.01::double), 2) as prices, sum(100 + i)::bigint as volume from b""",
     "gen_late": f"select event_id::varchar as event_id, (floor(epoch(ts)) - ceil({unit('0', 'event_id')} * 300))::bigint as event_second from events",
     "gen_dups": f"select event_id::varchar as event_id, case when {unit('0', 'event_id')} < 0.25 then 2 else 1 end as n from events",
-    "union_evolved_manual": f"with {GENERATED} select schema_version, count(*) as n, case when schema_version = 2 then count(*) else 0 end as with_type, case when schema_version = 2 then sum(operating_cash_flow)::bigint end as cash, sum(total_assets)::bigint as assets from generated where i < 500 group by 1",
+    "union_evolved_manual": f"with {STATEMENTS}, v as (select *, case when fiscal_year < 1995 then 1 else 2 end as schema_version from statements) select schema_version, count(*) as n, case when schema_version = 2 then count(*) else 0 end as with_type, case when schema_version = 2 then count(retained_earnings) else 0 end as with_retained, sum(total_assets::decimal(18,2))::double as assets from v group by 1",
     "sink_kafka_rows": "select r_regionkey::varchar as key, '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey::varchar || '}' as value, 'regions' as topic from region",
 }
