@@ -408,3 +408,9 @@ select count(*) as n, min(ticker) as ticker, max(event_second)::double as last,
     "union_evolved_manual": f"with {STATEMENTS}, v as (select *, case when fiscal_year < 1995 then 1 else 2 end as schema_version from statements) select schema_version, count(*) as n, case when schema_version = 2 then count(*) else 0 end as with_type, case when schema_version = 2 then count(retained_earnings) else 0 end as with_retained, sum(total_assets::decimal(18,2))::double as assets from v group by 1",
     "sink_kafka_rows": "select r_regionkey::varchar as key, '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey::varchar || '}' as value, 'regions' as topic from region",
 }
+
+_GOLD = {
+    "dim_company": "scd2_rebuild", "dim_date": "dim_date", "fact_financial_statement": "fact_fin", "fact_market_price": "win_lag_return", "fact_news": "feat_news", "fact_alert": "fact_alert",
+    "feat_financial": "feat_financial", "feat_market": "feat_market", "obt_company_quarter_risk": "obt", "obt_distress_label": "distress_label", "obt_point_in_time": "pit_unified",
+}
+ORACLES["gold_views"] = " union all ".join(f"select 'gold_{n}' as view_name, count(*) as n, 'silver_prices, ?' as refused from ({ORACLES[q]})" for n, q in _GOLD.items())

@@ -86,6 +86,31 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame], prefixes:
     return out
 
 
+def contract_functions(spark: SparkSession, prefixes: Sequence[str] = ("dim_", "fact_", "obt_", "feat_")) -> None:
+    """SQL functions of the naming contract: gold_bad_names(names) are those that no kind of table has, gold_checked(names) the
+    names, or an error that lists the bad ones."""
+    rule = "^gold_(" + "|".join(prefixes) + ").+"
+    spark.sql(f"create or replace temporary function gold_bad_names(names array<string>) returns array<string> return filter(names, n -> n is null or not n rlike '{rule}')")
+    spark.sql(
+        "create or replace temporary function gold_checked(names array<string>) returns array<string> return "
+        "if(size(gold_bad_names(names)) = 0, names, raise_error(concat('not a gold name: ', array_join(gold_bad_names(names), ', ', '?'))))"
+    )
+
+
+def written_views(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> list[str]:
+    """Write Gold tables below a folder and register a view over each one's files; the views' names, after the contract's check."""
+    names = register_views(spark, tables)
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    register_views(spark, {name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in tables.items()})
+    contract_functions(spark)
+    return spark.sql("select gold_checked(:names) as names", args={"names": spark_array(names)}).first()["names"]
+
+
+def spark_array(values: Sequence[str]):
+    return F.array(*map(F.lit, values))
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as companies: ticker, company_name, exchange, sector (region)."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
