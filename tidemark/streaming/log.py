@@ -17,6 +17,7 @@ store that these know.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
@@ -46,18 +47,26 @@ def segments(names: Sequence[str]) -> dict[int, list[tuple[int, int, str]]]:
     return found
 
 
-def append(df: DataFrame, path: str, partitions: int, order: Sequence[str | Column], segment_rows: int = 1_000_000) -> dict[int, int]:
+def _place(name: str) -> tuple[str, list[int]]:
+    """What puts staged files in order: folder, number of the task, number of its file."""
+    folder, _, file = name.rpartition("/")
+    return folder, [int(x) for x in re.match(r"part-(\d+)-.*?(?:\.c(\d+))?\.", file).groups("0")]
+
+
+def append(df: DataFrame, path: str, partitions: int, order: Sequence[str | Column], segment_rows: int = 1_000_000, task_rows: int = 250_000) -> dict[int, int]:
     """Append rows (key, value, timestamp) to a topic; the next offset of each partition that there is. One appender a topic at a time.
 
-    Rows of a key keep `order`. A segment holds at most segment_rows.
+    Rows of a key keep `order`. A segment holds at most segment_rows. A task sorts and writes a range of partition and order of
+    about task_rows, so its memory does not grow with what is appended.
     """
     spark = df.sparkSession
     store, staged = Store(spark, path), f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
     numbered = df.withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
     try:
-        lined = numbered.repartition(partitions, "partition").sortWithinPartitions("partition", *order).select("key", "value", "timestamp", "partition")
+        tasks = max(1, -(-df.count() // task_rows))
+        lined = numbered.repartitionByRange(tasks, "partition", *order).sortWithinPartitions("partition", *order).select("key", "value", "timestamp", "partition")
         lined.write.option("maxRecordsPerFile", segment_rows).partitionBy("partition").parquet(staged)
-        names = sorted(n for n, _ in store.files(staged) if n.endswith(".parquet"))
+        names = sorted((n for n, _ in store.files(staged) if n.endswith(".parquet")), key=_place)
         ends = {p: own[-1][0] + own[-1][1] for p, own in segments([n for n, _ in store.files(path)]).items()}
         if not names:
             return ends
@@ -146,6 +155,7 @@ class _Files:
         return out
 
     def read(self, part: Range | None) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import pyarrow.parquet as pq
 
@@ -158,7 +168,7 @@ class _Files:
                 first = part.first + max(at, part.skip)
                 at += batch.num_rows
                 if some.num_rows:
-                    own = [pa.array([part.partition] * some.num_rows, pa.int32()), pa.array(range(first, first + some.num_rows), pa.int64())]
+                    own = [pa.array([part.partition] * some.num_rows, pa.int32()), pa.array(np.arange(first, first + some.num_rows))]
                     at_us = some.column(2).cast(pa.timestamp("us", "UTC"))
                     yield pa.RecordBatch.from_arrays([*own, some.column(0), some.column(1), at_us], ["partition", "offset", "key", "value", "timestamp"])
                 if at >= part.skip + part.take:
