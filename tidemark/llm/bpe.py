@@ -3,7 +3,7 @@
 A merge can only ever build a token of the vocabulary. So where two neighbouring symbols never stand side by
 side inside any token, no merge crosses: that place is a certain cut, and the fragments on both sides can be
 encoded independently and their ids concatenated. Fragments are short and few are distinct, so each is encoded
-once a worker and kept.
+once a task and kept.
 
 The vocabulary file is one of the tokenizers library (BPE with an end-of-word suffix, over byte symbols), and
 ids equal the library's: text between special tokens is normalised and cut into words as the file says, each
@@ -22,18 +22,21 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, worker_cache
+from tidemark.llm.shared import cut
 
 #: Letters whose class, lower case and composition no Unicode version changes; I with a dot is left to the library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _USUAL = re.compile(rf"[\t\n\r !-~¡¿«»–—‘’“”„…€{_LETTERS}]*")
-#: Entries of a worker's memory, and code points of the words in it, before it starts afresh.
-KEPT, KEPT_CHARS = 150_000, 2 << 20
+#: Entries of a task's memory, and code points of the words in it, before it starts afresh.
+KEPT, KEPT_CHARS = 250_000, 3 << 20
+#: Symbols of a fragment up to which each merge looks at all pairs that are left; beyond, all places of a pair are merged at a time.
+SHORT = 64
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +61,7 @@ class ForcedBoundaryBPE:
         self.ranks = {m: k for k, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = {i: str(i) for i in self.tokens}
         self.symbols = byte_symbols()
         self.inside = {p for t in self.vocab for w in [self.units(t)] for p in zip(w, w[1:])}
         self.library = Tokenizer.from_file(path)
@@ -88,7 +92,19 @@ class ForcedBoundaryBPE:
     def merged(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
         """The ids of one fragment: merge the pair of lowest rank, leftmost first, until none is left."""
         parts = list(fragment)
-        ranks = self.ranks
+        ranks, vocab = self.ranks, self.vocab
+        if len(parts) <= SHORT:
+            get, none = ranks.get, len(ranks)
+            found = [get(p, none) for p in zip(parts, parts[1:])]
+            while found and (best := min(found)) < none:
+                k = found.index(best)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del found[k]
+                if k:
+                    found[k - 1] = get((parts[k - 1], parts[k]), none)
+                if k < len(found):
+                    found[k] = get((parts[k], parts[k + 1]), none)
+            return tuple([vocab[p] for p in parts if p in vocab])
         while len(parts) > 1:
             best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
             if best not in ranks:
@@ -102,7 +118,6 @@ class ForcedBoundaryBPE:
                     out.append(parts[k])
                     k += 1
             parts = out
-        vocab = self.vocab
         return tuple(vocab[p] for p in parts if p in vocab)
 
     def of_symbols(self, word: str) -> tuple[int, ...]:
@@ -150,8 +165,7 @@ class ForcedBoundaryBPE:
                 ids.append(self.special[part])
             elif part:
                 table, words = self.stretch(part)
-                for w in words:
-                    ids += table[w]
+                ids += chain.from_iterable(map(table.__getitem__, words))
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -160,17 +174,13 @@ class ForcedBoundaryBPE:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-def _codec(path: str) -> ForcedBoundaryBPE:
-    return worker_cache(f"bpe {path}", lambda: ForcedBoundaryBPE(path))
-
-
 def _with_column(df: DataFrame, given: str, into: str, kind: str, arrow: pa.DataType, path: str, work) -> DataFrame:
     """df with the column `into`, made by work(codec, value) from the column `given`; the others travel in one struct, whatever their names."""
     others = [c for c in df.columns if c != into]
     row = F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        codec = ForcedBoundaryBPE(path)  # goes with the task: an idle worker holds none
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -199,13 +209,13 @@ def digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        codec = ForcedBoundaryBPE(path)  # goes with the task: an idle worker holds none
         for batch in batches:
             n, of_ids, of_text = [], [], []
             for t in batch.column(1):
                 ids = codec.encode(t.as_py())
                 n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
