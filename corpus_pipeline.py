@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id. Texts
-    without words are one class, rows without an id stay, and of equal rows one does."""
-    return simhash.one_each(docs.select(COLUMNS), width=5, least=0.8)
+    """One document of each class of near duplicates: the one with the smallest id. Documents are linked as in op3, by fingerprints at
+    most 3 bits apart, and also by five-word shingles of similarity 0.8, which finds longer changes. Texts without words are one
+    class, rows without an id stay, and of equal rows one does."""
+    return simhash.one_each(docs.select(COLUMNS), width=5, least=0.8, radius=3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,23 @@ def test_stars_are_exact():
     texts = [words, words[2:], words[3:], words[5:]]  # 10, 8, 7 and 5 of them
     shingles = [simhash.word_prints(" ".join(t))[2] for t in texts]
     assert sorted(simhash.similar_stars([5, 3, 9, 1], shingles, 0.8)) == [(5, 3), (9, 3)]
+
+
+def test_fingerprints_link_as_in_op3_beside_the_shingles(spark):
+    """Texts whose fingerprints are 3 bits apart or less are one class in the pipeline's stage, though their five-word shingles differ."""
+    import random
+
+    draw, near = random.Random(3), None
+    while near is None:
+        words = [draw.choice("abcdefgh") * draw.randrange(1, 4) for _ in range(400)]
+        other = list(words)
+        for k in range(0, 400, 20):
+            other[k] = "new"
+        a, b = " ".join(words), " ".join(other)
+        if ((simhash.simhash(a) ^ simhash.simhash(b)) & (1 << 64) - 1).bit_count() <= 3:
+            near = (a, b)
+        cut = lambda w: {tuple(w[k : k + 5]) for k in range(396)}
+        assert len(cut(words) & cut(other)) < 0.8 * len(cut(words) | cut(other))
+    df = spark.createDataFrame([(1, near[0]), (2, near[1]), (3, "quite another text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_each(df, radius=3).collect()) == [1, 3]
+    assert simhash.one_each(df).count() == 3

@@ -227,8 +227,9 @@ def similar_stars(nodes: list[int], shingles: list[bytes], least: float) -> list
     return stars
 
 
-def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bucket: int = 4096) -> DataFrame:
-    """(doc_id, exact, node, best, component_id): classes of documents whose word shingles are similar by `least` (Jaccard).
+def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bucket: int = 4096, radius: int | None = None) -> DataFrame:
+    """(doc_id, exact, node, best, component_id): classes of documents whose word shingles are similar by `least` (Jaccard), and with
+    a radius also of those whose fingerprints (of three-word shingles) links() connects, as near_duplicates() does.
 
     exact is a hash of the text, node one of its words. component_id is the smallest id of the class, best that id with
     the smallest hash of a text under it; both are null in a class without an id.
@@ -246,7 +247,8 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
         for batch in batches:
             found = [word_prints(t.as_py(), width) for t in batch.column(1)]
             columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "exact", "node", "keys", "shingles"])
+            columns.append(pa.array([None if radius is None else simhash(t.as_py()) for t in batch.column(1)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "exact", "node", "keys", "shingles", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +261,7 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
 
     rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("exact"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, exact long, node long, keys array<long>, shingles binary"))
+    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, exact long, node long, keys array<long>, shingles binary, fp long"))
     shingles = docs.groupBy("node").agg(F.first("shingles").alias("shingles"))
     keyed = docs.groupBy("node").agg(F.first("keys").alias("keys"), F.first(F.octet_length("shingles")).alias("size"))
     dealt = keyed.select("node", "size", F.explode("keys").alias("key"))
@@ -287,6 +289,8 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
             pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
             left = crowd.join(open_, "key", "left_semi").select("key", "node", F.explode(pairs).alias("pair"))
             edges = edges.unionByName(verified(left, ["key", "pair"]))
+    if radius is not None:
+        edges = edges.unionByName(_print_stars(cut(docs.groupBy("node").agg(F.first("fp").alias("fp"))), radius))
     components = connected_components(edges)
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "exact"))
     known = cut(docs.groupBy("node").agg(F.min(own).alias("least"), F.count("*").alias("n")))
@@ -299,6 +303,16 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     return placed.withColumn("component_id", F.col("best.doc_id"))
 
 
+def _print_stars(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, fp) -> edges (a, b) from each node to the smallest one whose fingerprint links() connects with its own."""
+    prints = cut(nodes.groupBy(F.col("fp").alias("on")).agg(F.count("*").alias("n")))
+    roots = cut(connected_components(links(prints.select(F.col("on").alias("fp")), radius)))
+    total = nodes.count()
+    rooted = cut(spread_join(nodes, roots.select(F.col("node").alias("on"), "root"), "fp", prints, total, "left").select("node", F.coalesce("root", "fp").alias("root")))
+    groups = cut(rooted.groupBy(F.col("root").alias("on")).agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1"))
+    return spread_join(rooted, groups.select("on", "b"), "root", groups, total).filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def one_each(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df with one row of each class of near texts: the one of the smallest id, of several texts under it the one whose hash is smallest.
 
