@@ -104,7 +104,8 @@ def bucket_stars(fps: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, radius: int = 3, bucket: int = 8192) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links up to `radius` bits."""
+    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links up to `radius` bits; a checkpoint, so that
+    who contracts them in Python has no second worker a task."""
     masks = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.lit(_signed(m)).alias("m")) for t, m in enumerate(covering_masks(radius))])
     tables = distinct.select("fp", F.explode(masks).alias("x")).select("fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
     shared = tables.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -117,7 +118,7 @@ def links(distinct: DataFrame, radius: int = 3, bucket: int = 8192) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     found = usual.select("fps").mapInArrow(run, "a long, b long")
-    return found.unionByName(around(members.filter(F.col("n") > bucket).select("fp").distinct(), radius))
+    return cut(found.unionByName(around(members.filter(F.col("n") > bucket).select("fp").distinct(), radius)))
 
 
 def around(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -138,7 +139,9 @@ def near_duplicates(
     """(doc_id, fp, component_id): documents in linked classes; component_id is the smallest id of the class."""
     docs = cut(fingerprints(df, id, text, width, seed))
     nodes = cut(docs.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    named = cut(_named(nodes.select("node", "least"), connected_components(links(nodes.select(F.col("node").alias("fp")), radius, bucket))))
+    edges = links(nodes.select(F.col("node").alias("fp")), radius, bucket)
+    named = cut(_named(nodes.select("node", "least"), connected_components(edges)))
+    discard(edges)
     counts = nodes.select(F.col("node").alias("on"), "n")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return spread_join(docs, named.select(F.col("node").alias("on"), "component_id"), "fp", counts, total).select("doc_id", "fp", "component_id")
@@ -291,12 +294,13 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
             edges = edges.unionByName(verified(left, ["key", "pair"]))
     if radius is not None:
         edges = edges.unionByName(_print_stars(cut(docs.groupBy("node").agg(F.first("fp").alias("fp"))), radius))
+    edges = cut(edges)  # verified before they are contracted: both in one task would take two Python workers, which stay when idle
     components = connected_components(edges)
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "exact"))
     known = cut(docs.groupBy("node").agg(F.min(own).alias("least"), F.count("*").alias("n")))
     named = cut(_named(known.select("node", "least"), components))
     slim = cut(docs.select("doc_id", "exact", "node"))
-    for done in (members, many, docs):
+    for done in (members, many, docs, edges):
         discard(done)
     counts = known.select(F.col("node").alias("on"), "n")
     placed = spread_join(slim, named.select(F.col("node").alias("on"), F.col("component_id").alias("best")), "node", counts, slim.count())
@@ -306,7 +310,9 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
 def _print_stars(nodes: DataFrame, radius: int) -> DataFrame:
     """(node, fp) -> edges (a, b) from each node to the smallest one whose fingerprint links() connects with its own."""
     prints = cut(nodes.groupBy(F.col("fp").alias("on")).agg(F.count("*").alias("n")))
-    roots = cut(connected_components(links(prints.select(F.col("on").alias("fp")), radius)))
+    edges = links(prints.select(F.col("on").alias("fp")), radius)
+    roots = cut(connected_components(edges))
+    discard(edges)
     total = nodes.count()
     rooted = cut(spread_join(nodes, roots.select(F.col("node").alias("on"), "root"), "fp", prints, total, "left").select("node", F.coalesce("root", "fp").alias("root")))
     groups = cut(rooted.groupBy(F.col("root").alias("on")).agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1"))
