@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, lean
 
 #: Letters whose class, lower case and composition no Unicode version changes; I with a dot is left to the library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
@@ -189,7 +189,7 @@ def _with_column(df: DataFrame, given: str, into: str, kind: str, arrow: pa.Data
 
     sent = df.select(F.col(f"`{given}`").alias("given"), row)
     schema = df.select(F.lit(None).cast(kind).alias("made"), row).schema
-    return sent.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in others], F.col("made").alias(into))
+    return sent.mapInArrow(lean(run), schema).select(*[F.col(f"row.`{c}`").alias(c) for c in others], F.col("made").alias(into))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -224,4 +224,4 @@ def digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") ->
 
     rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return cut(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return cut(rows.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))

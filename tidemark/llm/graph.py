@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, discard, spread_join
+from tidemark.llm.shared import cut, discard, lean, spread_join
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -53,7 +53,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if parent:
             yield stars()
 
-    return edges.mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

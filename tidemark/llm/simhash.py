@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
-from tidemark.llm.shared import cut, discard, spread_join, unused
+from tidemark.llm.shared import cut, discard, lean, spread_join, unused
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", width: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
@@ -117,7 +117,7 @@ def links(distinct: DataFrame, radius: int = 3, bucket: int = 8192) -> DataFrame
             stars = [s for fps in batch.column(0) for s in bucket_stars(fps.values.to_numpy(), radius)]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    found = usual.select("fps").mapInArrow(run, "a long, b long")
+    found = usual.select("fps").mapInArrow(lean(run), "a long, b long")
     return cut(found.unionByName(around(members.filter(F.col("n") > bucket).select("fp").distinct(), radius)))
 
 
@@ -260,11 +260,11 @@ def near_texts(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
 
     def verified(placed: DataFrame, by: list[str]) -> DataFrame:
         met = placed.join(shingles, "node").groupBy(*by).agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("shingles"))
-        return met.select("nodes", "shingles").mapInArrow(verify, "a long, b long")
+        return met.select("nodes", "shingles").mapInArrow(lean(verify), "a long, b long")
 
     rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("exact"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    docs = cut(rows.mapInArrow(run, f"doc_id {kind}, exact long, node long, keys array<long>, shingles binary, fp long"))
+    docs = cut(rows.mapInArrow(lean(run), f"doc_id {kind}, exact long, node long, keys array<long>, shingles binary, fp long"))
     shingles = docs.groupBy("node").agg(F.first("shingles").alias("shingles"))
     keyed = docs.groupBy("node").agg(F.first("keys").alias("keys"), F.first(F.octet_length("shingles")).alias("size"))
     dealt = keyed.select("node", "size", F.explode("keys").alias("key"))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Table, cut
+from tidemark.llm.shared import Table, cut, lean
 
 GRAM = 16
 #: Bytes of text in a block and in one step of the search for anchors, and for which there is a range or bucket.
@@ -521,7 +521,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
         if held:
             yield block()
 
-    blocks = Table(rows.mapInArrow(pack, "block long, bytes long, data binary"), "suffix-blocks", "uncompressed")
+    blocks = Table(rows.mapInArrow(lean(pack), "block long, bytes long, data binary"), "suffix-blocks", "uncompressed")
     total = blocks.read().agg(F.sum("bytes")).first()[0] or 0
     n = max(partitions, total // PER_BUCKET)
     tasks = max(partitions, min(n, MOST_TASKS))
@@ -557,8 +557,8 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
         return df.repartition(tasks, "part").sortWithinPartitions("part").select("part", "block", "data")
 
     kind = "part int, block long, data binary"
-    asked = blocks.read().select("block", "data").mapInArrow(ask, kind)
-    answers = dealt(asked).mapInArrow(grouped(answer), kind)
+    asked = blocks.read().select("block", "data").mapInArrow(lean(ask), kind)
+    answers = dealt(asked).mapInArrow(lean(grouped(answer)), kind)
 
     def met(found: DataFrame, run, schema: str) -> DataFrame:
         """run(block, rows, data of `found` in order of part) for each block."""
@@ -578,7 +578,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
             if block is not None:
                 yield from run(block, _rows(own), got)
 
-        return both.mapInArrow(over, schema)
+        return both.mapInArrow(lean(over), schema)
 
     def send(block: int, rows: pa.Table, got: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, texts = _texts(rows)
@@ -593,7 +593,7 @@ def _run(df: DataFrame, id: str, text: str, length: int, columns: list, result:
     # stretches found within a block pass through, spread by block
     spread = F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")).otherwise(F.col("part"))
     in_buckets = segments_sent.withColumn("spread", spread).repartition(tasks, "spread").sortWithinPartitions("part").select("part", "block", "data")
-    stretches = in_buckets.mapInArrow(grouped(sort), kind)
+    stretches = in_buckets.mapInArrow(lean(grouped(sort)), kind)
 
     def cut_texts(block: int, rows: pa.Table, got: list[bytes]) -> Iterator[pa.RecordBatch]:
         texts = _texts(rows)[1]
